@@ -72,11 +72,16 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n-1) modulo 2**64; kept, as a worker needs them again and again."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(1 << max(n, 1024).bit_length(), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,6 +123,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SP
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of words given as byte spans."""
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(MULTIPLIER, len(data))[: len(data)], dtype=np.uint64, out=prefix[1:])
+    np.cumsum(BYTE_VALUES[data] * powers(MULTIPLIER, len(data)), dtype=np.uint64, out=prefix[1:])
     back = powers(INVERSE, len(data) + 1)
     return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64))
