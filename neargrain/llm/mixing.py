@@ -145,4 +145,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.col("__rest").cast("int")), " ")
     cut = F.when(F.col("__partial"), head).otherwise(F.col(text))
-    return rows.select(*[cut.alias(c) if c == text else F.length(cut).cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    length = F.when(F.col("__partial"), F.length(head)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return rows.select(*[cut.alias(c) if c == text else length.cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
