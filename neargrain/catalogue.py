@@ -1,4 +1,426 @@
 """The registered queries of the classification engine and their DuckDB texts."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from neargrain import sources
+from neargrain.operators import counts, evaluate, index, knn, rank, split, weights
+from neargrain.plans import Run, Settings
+from neargrain.sources import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+K = 70
+#: Whole-number weights of unpruned baskets: exact up to the cosine.
+RAW = Settings(words_below=None, frequent_words=None, weighting="raw", digits=9)
+#: The full sequence of steps.
+FULL = Settings()
+
+# ---------------------------------------------------------------- parts of the DuckDB texts
+
+BASKET = """
+    postings AS (SELECT l_orderkey AS doc_id, l_partkey AS word, sum(l_quantity)::BIGINT AS tf FROM lineitem GROUP BY 1, 2),
+    all_labels AS (
+        SELECT o_orderkey AS doc_id, 0 AS pos, c_nationkey::INTEGER AS label FROM orders JOIN customer ON o_custkey = c_custkey
+        UNION ALL SELECT o_orderkey, 1, (1000 + ascii(c_mktsegment))::INTEGER FROM orders JOIN customer ON o_custkey = c_custkey),
+    doc_labels AS (SELECT * FROM all_labels WHERE doc_id IN (SELECT doc_id FROM postings)),
+    edges AS (SELECT DISTINCT n_regionkey AS parent, n_nationkey AS child FROM nation)"""
+TEXT = """
+    postings AS (
+        SELECT doc_id, word, count(*)::BIGINT AS tf
+        FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2),
+    all_labels AS (
+        SELECT doc_id, 0 AS pos, (100 * ascii(lang))::INTEGER AS label FROM documents
+        UNION ALL SELECT doc_id, 1, (10000 + regexp_extract(source, '([0-9]+)', 1)::INTEGER)::INTEGER FROM documents),
+    doc_labels AS (SELECT * FROM all_labels WHERE doc_id IN (SELECT doc_id FROM postings))"""
+PRUNED = """
+    keep_labels AS (SELECT label FROM all_labels GROUP BY 1 HAVING count(*) >= 3),
+    keep_words AS (SELECT word FROM postings GROUP BY 1 HAVING sum(tf) >= 3 AND sum(tf) <= (SELECT count(*) FROM postings)),
+    p1 AS (SELECT * FROM postings WHERE word IN (FROM keep_words)),
+    l1 AS (SELECT * FROM all_labels WHERE label IN (FROM keep_labels)),
+    p2 AS (SELECT * FROM p1 WHERE doc_id IN (SELECT doc_id FROM l1)),
+    l2 AS (SELECT * FROM l1 WHERE doc_id IN (SELECT doc_id FROM p1)),
+    usual AS (SELECT word FROM p2 GROUP BY 1 HAVING count(*) <= 0.4::DOUBLE * (SELECT count(*) FROM p2)),
+    p3 AS (SELECT * FROM p2 WHERE word IN (FROM usual)),
+    l3 AS (SELECT * FROM l2 WHERE doc_id IN (SELECT doc_id FROM p3))"""
+TFIDF = "ln(tf + 1) * ln((SELECT count(DISTINCT doc_id) FROM {p})::DOUBLE / df)"
+
+
+def _weights(kind: str, p: str) -> str:
+    if kind == "raw":
+        return f"w AS (SELECT doc_id, word, tf AS w FROM {p})"
+    return f"w AS (SELECT doc_id, word, {TFIDF.format(p=p)} AS w FROM {p} JOIN (SELECT word, count(*) AS df FROM {p} GROUP BY 1) USING (word))"
+
+
+def _tail(labels: str, prop: float = 0.1) -> str:
+    return f"""val AS (
+        SELECT DISTINCT doc_id FROM (
+            SELECT doc_id, row_number() OVER (PARTITION BY label ORDER BY doc_id DESC, pos DESC) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {labels})
+        WHERE rn <= floor({prop}::DOUBLE * n))"""
+
+
+COSINE = "CASE WHEN a.square > 0 AND b.square > 0 THEN dot / sqrt(a.square::DOUBLE * b.square::DOUBLE) ELSE 0 END"
+
+
+def _entries(labels: str, digits: int, k: int = K, score: str = COSINE, candidates: str = "all") -> str:
+    zeros = f"""UNION ALL SELECT v.doc_id, t.doc_id, 0.0 FROM (SELECT DISTINCT doc_id FROM qw) v, (SELECT DISTINCT doc_id FROM train_labels ORDER BY 1 LIMIT {2 * k}) t
+                WHERE NOT EXISTS (FROM scored s WHERE s.q = v.doc_id AND s.doc_id = t.doc_id AND s.score <> 0)"""
+    return f"""
+    train_labels AS (SELECT * FROM {labels} WHERE doc_id NOT IN (FROM val)),
+    qw AS (SELECT * FROM w WHERE doc_id IN (FROM val)),
+    tw AS (SELECT * FROM w WHERE doc_id NOT IN (FROM val)),
+    sq AS (SELECT doc_id, sum(w * w) AS square, count(*) AS size FROM w GROUP BY 1),
+    pairs AS (SELECT qw.doc_id AS q, tw.doc_id, sum(qw.w * tw.w)::DOUBLE AS dot, count(*) AS shared FROM qw JOIN tw USING (word) GROUP BY 1, 2),
+    scored AS (SELECT q, p.doc_id, round({score}, {digits}) AS score FROM pairs p JOIN sq a ON a.doc_id = p.q JOIN sq b ON b.doc_id = p.doc_id),
+    candidates AS (SELECT q, doc_id, score FROM scored {"WHERE score <> 0 " + zeros if candidates == "all" else ""}),
+    entries AS (
+        SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, pos) AS rnk, doc_id, label, score
+        FROM candidates JOIN train_labels USING (doc_id) QUALIFY rnk <= {k})"""
+
+
+def _ranks(labels: str, per_occurrence: bool = False) -> str:
+    return f"""
+    own_edges AS (SELECT * FROM edges WHERE child IN (SELECT label FROM {labels})),
+    psums AS (SELECT child AS label, sum(n) AS psum FROM own_edges JOIN (SELECT parent, count(*) AS n FROM own_edges GROUP BY 1) USING (parent) GROUP BY 1),
+    label_counts AS (SELECT label, count(*) AS cnt FROM {labels} GROUP BY 1),
+    features AS (
+        SELECT q, label, x1, (coalesce(psum, 0) * {"n" if per_occurrence else "1"})::DOUBLE AS x2, x3, n::DOUBLE / cnt AS x4
+        FROM (SELECT q, label, max(score) AS x1, sum(score) AS x3, count(*) AS n FROM entries GROUP BY 1, 2)
+        LEFT JOIN psums USING (label) JOIN label_counts USING (label)),
+    ranks AS (SELECT *, round(3.4::DOUBLE * x1 + 0.6::DOUBLE * x2 + 0.8::DOUBLE * x3 + 0.2::DOUBLE * x4, 9) AS rank FROM features),
+    predicted AS (SELECT q, label FROM ranks QUALIFY rank / nullif(max(rank) OVER (PARTITION BY q), 0) > 0.76::DOUBLE),
+    with_fallback AS (
+        FROM predicted UNION ALL
+        SELECT v.doc_id, c.label FROM (SELECT DISTINCT doc_id FROM qw) v, (SELECT label FROM label_counts ORDER BY cnt DESC, label LIMIT 2) c
+        WHERE v.doc_id NOT IN (SELECT q FROM ranks)),
+    truth AS (SELECT DISTINCT doc_id AS q, label FROM {labels} WHERE doc_id IN (FROM val)),
+    cells AS (
+        SELECT label, count(*) FILTER (p AND t)::BIGINT AS tp, count(*) FILTER (p AND t IS NULL)::BIGINT AS fp, count(*) FILTER (p IS NULL AND t)::BIGINT AS fn
+        FROM (SELECT DISTINCT *, true AS p FROM with_fallback) FULL JOIN (SELECT *, true AS t FROM truth) USING (q, label) GROUP BY 1),
+    rates AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM cells),
+    macro AS (SELECT coalesce(avg(p), 0) AS map, coalesce(avg(r), 0) AS mar FROM rates)"""
+
+
+RAW_SQL = f"{BASKET}, {_weights('raw', 'postings')}, {_tail('doc_labels')}"
+RAW_ENTRIES = f"WITH {RAW_SQL}, {_entries('doc_labels', 9)}"
+RAW_RANKS = f"{RAW_ENTRIES}, {_ranks('doc_labels')}"
+FULL_SQL = f"WITH {BASKET}, {PRUNED}, {_weights('tf_idf', 'p3')}, {_tail('l3')}, {_entries('l3', 6)}, {_ranks('l3')}"
+MACRO = "SELECT round(map, 6) AS map, round(mar, 6) AS mar, round(CASE WHEN map + mar > 0 THEN 2 * map * mar / (map + mar) ELSE 0 END, 6) AS maf FROM macro"
+ENTRIES = "SELECT q, rnk::BIGINT AS rnk, doc_id, label, round(score, 6) AS score FROM entries"
+FEATURES = "SELECT q, label, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3, round(x4, 6) AS x4 FROM features"
+
+
+def query(oracle: str | None):
+    """Registers a function under its name, with its DuckDB text."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def basket(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fixtures.basket_postings(spark, sf_dir), fixtures.basket_labels(spark, sf_dir)
+
+
+def basket_run(spark: SparkSession, sf_dir: str, settings: Settings = RAW) -> Run:
+    return Run(basket(spark, sf_dir), fixtures.basket_edges(spark, sf_dir), settings)
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("SELECT doc_id, text, source FROM documents ORDER BY doc_id LIMIT 250 OFFSET 100")
+def subset_lines(spark, sf_dir):
+    return sources.subset(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.col("doc_id"), 100, 250)
+
+
+@query(f"WITH {BASKET} SELECT doc_id, word, tf FROM postings WHERE doc_id IN (SELECT doc_id FROM all_labels)")
+def parse_multilabel(spark, sf_dir):
+    return sources.parse_multilabel(sources.format_multilabel(*basket(spark, sf_dir)))[0]
+
+
+@query(f"WITH {BASKET} SELECT doc_id, pos::INTEGER AS pos, label FROM all_labels")
+def parse_labels_only(spark, sf_dir):
+    return sources.parse_labels(sources.format_multilabel(*basket(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- hierarchy and indices
+
+
+@query(f"WITH {BASKET} SELECT DISTINCT label, parent FROM all_labels LEFT JOIN edges ON child = label")
+def hierarchy_parents(spark, sf_dir):
+    return index.parents(fixtures.basket_edges(spark, sf_dir), fixtures.basket_labels(spark, sf_dir))
+
+
+@query(f"WITH {BASKET} SELECT parent, count(*)::BIGINT AS n_children FROM edges WHERE child IN (SELECT label FROM all_labels) GROUP BY 1")
+def hierarchy_children(spark, sf_dir):
+    return index.children(fixtures.basket_edges(spark, sf_dir), fixtures.basket_labels(spark, sf_dir))
+
+
+@query(f"""WITH {BASKET}, own AS (SELECT * FROM edges WHERE child IN (SELECT label FROM all_labels))
+    SELECT label, coalesce(sum(n), 0)::BIGINT AS psum FROM (SELECT DISTINCT label FROM all_labels)
+    LEFT JOIN own ON child = label LEFT JOIN (SELECT parent, count(*) AS n FROM own GROUP BY 1) USING (parent) GROUP BY 1""")
+def parent_sums(spark, sf_dir):
+    return index.parent_sums(fixtures.basket_edges(spark, sf_dir), fixtures.basket_labels(spark, sf_dir))
+
+
+@query(f"WITH {BASKET} SELECT word, count(*)::BIGINT AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM postings GROUP BY 1")
+def inverted_index(spark, sf_dir):
+    return index.inverted_index(fixtures.basket_postings(spark, sf_dir))
+
+
+@query(f"WITH {BASKET} SELECT label, count(*)::BIGINT AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM all_labels GROUP BY 1")
+def label_doc_map(spark, sf_dir):
+    return index.label_documents(fixtures.basket_labels(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- counts and pruning
+
+
+@query(f"WITH {BASKET} SELECT label AS key, count(*)::BIGINT AS cnt FROM all_labels GROUP BY 1")
+def label_counts(spark, sf_dir):
+    return counts.label_counts(fixtures.basket_labels(spark, sf_dir))
+
+
+@query(f"WITH {BASKET} SELECT count(*)::BIGINT AS total_count, count(DISTINCT label)::BIGINT AS d FROM all_labels")
+def label_totals(spark, sf_dir):
+    return counts.label_totals(fixtures.basket_labels(spark, sf_dir))
+
+
+@query(f"WITH {BASKET} SELECT word AS key, sum(tf)::BIGINT AS cnt FROM postings GROUP BY 1")
+def word_counts_tf(spark, sf_dir):
+    return counts.word_counts(fixtures.basket_postings(spark, sf_dir))
+
+
+@query(f"WITH {BASKET} SELECT word AS key, count(*)::BIGINT AS cnt FROM postings GROUP BY 1")
+def word_doc_freq(spark, sf_dir):
+    return counts.word_counts(fixtures.basket_postings(spark, sf_dir), binary=True)
+
+
+@query(f"WITH {BASKET} SELECT count(*)::BIGINT AS total_count, count(DISTINCT word)::BIGINT AS d FROM postings")
+def word_totals(spark, sf_dir):
+    return counts.word_totals(fixtures.basket_postings(spark, sf_dir))
+
+
+@query(f"WITH {TEXT} SELECT word AS key, sum(tf)::BIGINT AS cnt FROM postings GROUP BY 1")
+def word_counts_tf_text(spark, sf_dir):
+    return counts.word_counts(fixtures.text_postings(spark, sf_dir))
+
+
+@query(f"WITH {TEXT} SELECT word AS key, count(*)::BIGINT AS cnt FROM postings GROUP BY 1")
+def word_doc_freq_text(spark, sf_dir):
+    return counts.word_counts(fixtures.text_postings(spark, sf_dir), binary=True)
+
+
+@query(f"WITH {BASKET} SELECT label AS key, count(*)::BIGINT AS cnt FROM all_labels GROUP BY 1 HAVING count(*) >= 3 AND count(*) <= 0.05::DOUBLE * (SELECT count(*) FROM all_labels)")
+def prune_labels(spark, sf_dir):
+    labels = fixtures.basket_labels(spark, sf_dir)
+    return counts.prune(counts.label_counts(labels), counts.label_totals(labels), 3, 0.05)
+
+
+@query(f"WITH {TEXT} SELECT word AS key, sum(tf)::BIGINT AS cnt FROM postings GROUP BY 1 HAVING sum(tf) >= 3 AND sum(tf) <= 0.001::DOUBLE * (SELECT count(*) FROM postings)")
+def prune_words(spark, sf_dir):
+    postings = fixtures.text_postings(spark, sf_dir)
+    return counts.prune(counts.word_counts(postings), counts.word_totals(postings), 3, 0.001)
+
+
+@query(f"WITH {TEXT} SELECT word AS key, count(*)::BIGINT AS cnt FROM postings GROUP BY 1 HAVING count(*) <= 0.001::DOUBLE * (SELECT count(*) FROM postings) ORDER BY cnt DESC, key LIMIT 50")
+def prune_top_n(spark, sf_dir):
+    postings = fixtures.text_postings(spark, sf_dir)
+    return counts.prune(counts.word_counts(postings, True), counts.word_totals(postings), 0, 0.001, 50)
+
+
+@query(f"""WITH {TEXT}, kept AS (SELECT word FROM postings GROUP BY 1 HAVING sum(tf) >= 3)
+    SELECT doc_id, word, tf FROM postings WHERE word IN (FROM kept)""")
+def prune_corpus(spark, sf_dir):
+    postings, labels = fixtures.text_postings(spark, sf_dir), fixtures.text_labels(spark, sf_dir)
+    words = counts.prune(counts.word_counts(postings), counts.word_totals(postings), 3)
+    return counts.prune_corpus(postings, labels, None, words)[0]
+
+
+@query(f"""WITH {TEXT}, kept AS (SELECT word FROM postings GROUP BY 1 HAVING sum(tf) >= 3)
+    SELECT doc_id, pos::INTEGER AS pos, label FROM all_labels WHERE doc_id IN (SELECT doc_id FROM postings WHERE word IN (FROM kept))""")
+def prune_corpus_labels(spark, sf_dir):
+    postings, labels = fixtures.text_postings(spark, sf_dir), fixtures.text_labels(spark, sf_dir)
+    words = counts.prune(counts.word_counts(postings), counts.word_totals(postings), 3)
+    return counts.prune_corpus(postings, labels, None, words)[1]
+
+
+@query(f"WITH {TEXT} SELECT word AS key, count(*)::BIGINT AS cnt, round(count(*) / (SELECT count(*) FROM postings), 9) AS share FROM postings GROUP BY 1 ORDER BY cnt DESC, key LIMIT 100")
+def top_terms_report(spark, sf_dir):
+    postings = fixtures.text_postings(spark, sf_dir)
+    return rounded(counts.top_terms(counts.word_counts(postings, True), counts.word_totals(postings)), "share", digits=9)
+
+
+@query(f"""WITH {TEXT}, c AS (SELECT word, sum(tf)::BIGINT AS cnt FROM postings GROUP BY 1),
+    run AS (SELECT row_number() OVER o - 1 AS rnk, sum(cnt) OVER o AS cum, sum(cnt) OVER () AS total FROM c WINDOW o AS (ORDER BY cnt DESC, word))
+    SELECT percent::INTEGER AS percent, min(rnk)::BIGINT AS rank FROM run, (SELECT unnest([50, 80, 90, 95]) AS percent) WHERE 100 * cum > percent * total GROUP BY 1""")
+def count_cdf_quantiles(spark, sf_dir):
+    return counts.cdf_ranks(counts.word_counts(fixtures.text_postings(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- weights
+
+
+@query(f"WITH {BASKET}, {_weights('tf_idf', 'postings')} SELECT doc_id, word, round(w, 6) AS w FROM w")
+def tfidf(spark, sf_dir):
+    return rounded(weights.weights(fixtures.basket_postings(spark, sf_dir)), "w")
+
+
+@query(f"WITH {TEXT}, {_weights('tf_idf', 'postings')} SELECT doc_id, word, round(w, 6) AS w FROM w")
+def tfidf_text(spark, sf_dir):
+    return rounded(weights.weights(fixtures.text_postings(spark, sf_dir)), "w")
+
+
+@query(f"WITH {BASKET}, {_weights('tf_idf', 'postings')} SELECT doc_id, word, round(w::FLOAT::DOUBLE, 4) AS w FROM w")
+def tfidf_narrow(spark, sf_dir):
+    return rounded(weights.weights(fixtures.basket_postings(spark, sf_dir), narrow=True), "w", digits=4)
+
+
+@query(f"WITH {BASKET} SELECT doc_id, round(sqrt(sum(tf * tf)::DOUBLE), 6) AS norm FROM postings GROUP BY 1")
+def doc_norms(spark, sf_dir):
+    return rounded(weights.norms(weights.raw_weights(fixtures.basket_postings(spark, sf_dir))), "norm")
+
+
+@query(f"WITH {BASKET} SELECT doc_id, round(ln(sqrt(sum(tf * tf)::DOUBLE)), 6) AS norm FROM postings GROUP BY 1")
+def doc_log_norms(spark, sf_dir):
+    return rounded(weights.norms(weights.raw_weights(fixtures.basket_postings(spark, sf_dir)), log=True), "norm")
+
+
+# ---------------------------------------------------------------- splits
+
+
+@query(f"WITH {BASKET}, {_tail('doc_labels')} FROM val")
+def split_prop(spark, sf_dir):
+    return basket_run(spark, sf_dir).validation
+
+
+@query(f"WITH {BASKET} SELECT DISTINCT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY label ORDER BY doc_id DESC) AS rn FROM all_labels) WHERE rn = 1")
+def split_even(spark, sf_dir):
+    return split.split_even(fixtures.basket_labels(spark, sf_dir))
+
+
+@query(f"""WITH {BASKET}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM all_labels))
+    SELECT doc_id FROM r WHERE rn >= 3 * n // 7 AND rn < 3 * n // 7 + n // 7""")
+def split_kfold(spark, sf_dir):
+    return split.split_kfold(fixtures.basket_labels(spark, sf_dir), 7, 3)
+
+
+@query(f"WITH {BASKET}, {_tail('doc_labels')} SELECT doc_id, word, tf FROM postings WHERE doc_id NOT IN (FROM val)")
+def separate_train(spark, sf_dir):
+    run = basket_run(spark, sf_dir)
+    return split.separate(run.pruned[0], run.validation)[0]
+
+
+# ---------------------------------------------------------------- neighbours
+
+
+def _entries_of(run: Run) -> DataFrame:
+    return rounded(run.entries.withColumn("rnk", F.col("rnk").cast("bigint")), "score")
+
+
+@query(f"{RAW_ENTRIES} {ENTRIES}")
+def cosine_raw_topk(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir))
+
+
+@query(f"WITH {BASKET}, {_weights('tf_idf', 'postings')}, {_tail('doc_labels')}, {_entries('doc_labels', 6)} {ENTRIES}")
+def cosine_tfidf_topk(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir, replace(RAW, weighting="tf_idf", digits=6)))
+
+
+@query(f"WITH {RAW_SQL}, {_entries('doc_labels', 9, candidates='shared')} {ENTRIES}")
+def cosine_shared_topk(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir, replace(RAW, candidates="shared", gate=True)))
+
+
+@query(f"WITH {RAW_SQL}, {_entries('doc_labels', 9, score=f'CASE WHEN shared > floor(0.3::DOUBLE * least(a.size, b.size)) THEN {COSINE} ELSE 0 END')} {ENTRIES}")
+def cosine_overlap_topk(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir, replace(RAW, overlap=0.3)))
+
+
+@query(f"""WITH w AS (SELECT vec_id AS doc_id, unnest(range(len(embedding))) AS word, unnest(embedding)::DOUBLE AS w FROM embeddings),
+    doc_labels AS (SELECT vec_id AS doc_id, 0 AS pos, label FROM embeddings), {_tail('doc_labels')},
+    {_entries('doc_labels', 6, score=f'CASE WHEN dot > 0 THEN {COSINE} ELSE 0 END', candidates='shared')} {ENTRIES}""")
+def dense_cosine_topk(spark, sf_dir):
+    w, labels = fixtures.dense_weights(spark, sf_dir), fixtures.dense_labels(spark, sf_dir)
+    chosen = split.split_prop(labels)
+    (train, queries), (train_labels, _) = split.separate(w, chosen), split.separate(labels, chosen)
+    return rounded(knn.top_k(queries, train, train_labels, K, "shared", gate=True, digits=6).withColumn("rnk", F.col("rnk").cast("bigint")), "score")
+
+
+@query(f"{RAW_ENTRIES} SELECT q, label, count(*)::BIGINT AS n_scores, round(max(score), 6) AS best, round(min(score), 6) AS worst FROM entries GROUP BY 1, 2")
+def neighbour_scores(spark, sf_dir):
+    return rounded(basket_run(spark, sf_dir).entries.groupBy("q", "label").agg(F.count("*").alias("n_scores"), F.max("score").alias("best"), F.min("score").alias("worst")), "best", "worst")
+
+
+# ---------------------------------------------------------------- ranks and predictions
+
+
+@query(f"{RAW_RANKS} {FEATURES}")
+def label_features(spark, sf_dir):
+    return rounded(basket_run(spark, sf_dir).features, "x1", "x2", "x3", "x4")
+
+
+@query(f"{RAW_ENTRIES}, {_ranks('doc_labels', True)} {FEATURES}")
+def label_features_per_occurrence(spark, sf_dir):
+    return rounded(basket_run(spark, sf_dir, replace(RAW, per_occurrence=True)).features, "x1", "x2", "x3", "x4")
+
+
+@query(f"""{RAW_RANKS} SELECT q, label, round(ln(nullif(x1, 0)), 6) AS x1, round(ln(nullif(x2, 0)), 6) AS x2, round(ln(nullif(x3, 0)), 6) AS x3, round(ln(x4), 6) AS x4 FROM features""")
+def label_features_log(spark, sf_dir):
+    run = basket_run(spark, sf_dir)
+    psums = index.parent_sums(run.edges, run.pruned[1])
+    return rounded(rank.label_features(run.entries, psums, run.label_counts, logs=True), "x1", "x2", "x3", "x4")
+
+
+@query(f"{RAW_RANKS} SELECT q, label, round(rank, 6) AS rank FROM ranks")
+def ranks(spark, sf_dir):
+    return rounded(basket_run(spark, sf_dir).ranks.select("q", "label", "rank"), "rank")
+
+
+@query(f"{RAW_RANKS} SELECT q, label FROM predicted")
+def predict(spark, sf_dir):
+    return basket_run(spark, sf_dir).predicted
+
+
+@query(f"WITH {RAW_SQL}, {_entries('doc_labels', 9, candidates='shared')}, {_ranks('doc_labels')} SELECT q, label FROM with_fallback")
+def predict_with_fallback(spark, sf_dir):
+    return basket_run(spark, sf_dir, replace(RAW, candidates="shared")).predicted_with_fallback
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query(f"{RAW_RANKS} SELECT label, tp, fp, fn FROM cells")
+def confusion_cells(spark, sf_dir):
+    return basket_run(spark, sf_dir).cells
+
+
+@query(f"{RAW_RANKS} SELECT label, tp, fp, fn, round(p, 6) AS p, round(r, 6) AS r FROM rates")
+def category_pr(spark, sf_dir):
+    return rounded(evaluate.category_rates(basket_run(spark, sf_dir).cells), "p", "r")
+
+
+@query(f"{RAW_RANKS} {MACRO}")
+def macro_f1(spark, sf_dir):
+    return rounded(basket_run(spark, sf_dir).score, "map", "mar", "maf")
+
+
+@query(f"{FULL_SQL} {MACRO}")
+def end_to_end(spark, sf_dir):
+    return rounded(basket_run(spark, sf_dir, FULL).score, "map", "mar", "maf")

@@ -14,21 +14,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrain.llm.common import buffer_of, pieces, rolling
+from neargrain.llm.common import MULTIPLIER, buffer_of, pieces, rolling
 
-#: Hashes are dealt to so many buckets, which shuffle partitions share out.
-BUCKET_BITS = 12
+#: Hashes are dealt to 2**bits buckets, which shuffle partitions share out: at least so many bits,
+#: and four buckets for each partition.
+LEAST_BITS, MOST_BITS = 9, 20
 #: Window starts that are looked at together.
 BLOCK = 1 << 20
 #: Stands for a null id inside the operators: after all others.
 NO_ID = (1 << 63) - 1
 
 #: An anchor in a document: its place, windows before it (first start), and window starts less one.
-SPOT = np.dtype([("p", "<u4"), ("before", "<u2"), ("span", "<u2")])
+SPOT = np.dtype([("p", "<u4"), ("before", "<u1"), ("span", "<u1")])
+
+
+def bucket_bits(spark: SparkSession) -> int:
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BITS, max(LEAST_BITS, (4 * partitions - 1).bit_length()))
 
 
 def anchors(values: np.ndarray, offsets: np.ndarray, k: int, length: int) -> tuple[np.ndarray, ...]:
@@ -69,39 +76,83 @@ def spots(p: np.ndarray, before: np.ndarray, span: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROWS = "bucket int, doc_id bigint, body binary"
+#: What chunks send: to a bucket, something to settle (own is false) or, to the bucket of some
+#: documents, items of theirs (own is true).
+ROWS = "bucket int, own boolean, body binary"
+ITEMS = "bucket int, body binary"
+
 
+def rows_of(bucket: list[int], own: bool, body: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([own] * len(bucket), pa.bool_()), pa.array(body, pa.binary())], names=["bucket", "own", "body"])
 
-def rows_of(bucket: list[int], doc: list[int | None], body: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(body, pa.binary())], names=["bucket", "doc_id", "body"])
 
+def for_documents(docs: np.ndarray, items: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A row for each bucket of documents with the documents' items, packed."""
+    bucket = ((docs.astype(np.uint64) * np.uint64(MULTIPLIER)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((docs, bucket))
+    docs, items, bucket = docs[order], items[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(docs) else np.zeros(0, np.int64)
+    body = []
+    for a, b in zip(edges, np.append(edges[1:], len(docs))):
+        ids, counts = np.unique(docs[a:b], return_counts=True)
+        body.append(struct.pack("<I", len(ids)) + zstandard.compress(ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + items[a:b].tobytes(), 1))
+    return rows_of(bucket[edges].tolist(), True, body)
 
-def by_document(docs: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
-    """A row for each document with its items, packed."""
-    order = np.argsort(docs, kind="stable")
-    docs, items = docs[order], items[order]
-    edges = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(edges[1:], len(docs))
-    ids = docs[edges].tolist()
-    return rows_of([hash(i) & 0xFFF for i in ids], ids, [items[a:b].tobytes() for a, b in zip(edges, ends)])
+
+def _by_document(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a partition of buckets, with all its items."""
+    packed: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
+            packed.setdefault(bucket, []).append(body)
+    for bucket in sorted(packed):
+        docs, items = [], []
+        for body in packed.pop(bucket):
+            (n,) = struct.unpack_from("<I", body)
+            raw = zstandard.decompress(body[4:])
+            docs.append(np.repeat(np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n)))
+            items.append(np.frombuffer(raw, kind, -1, 12 * n))
+        doc, item = np.concatenate(docs), np.concatenate(items)
+        order = np.argsort(doc, kind="stable")
+        doc, item = doc[order], item[order]
+        edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[edges], pa.int64()), pa.array([item[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(doc)))], pa.binary())], names=["doc_id", "items"])
+
+
+def by_document(found: DataFrame, kind: np.dtype) -> DataFrame:
+    """(doc_id, items) of rows with the columns of ITEMS."""
+    return found.repartition(F.col("bucket")).mapInArrow(lambda b: _by_document(b, kind), "doc_id bigint, items binary")
+
+
+def passed_on(batch: pa.RecordBatch) -> tuple[pa.RecordBatch | None, list[int], list[bytes]]:
+    """Of received ROWS: documents' items, which are only passed on, and what is to settle."""
+    own = batch.column("own")
+    rest = batch.filter(pc.invert(own))
+    return batch.filter(own).select(["bucket", "body"]) if own.true_count else None, rest.column("bucket").to_pylist(), rest.column("body").to_pylist()
 
 
 def _pack(hashes: np.ndarray, docs: np.ndarray, items: np.ndarray, known: np.ndarray) -> bytes:
-    raw = b"".join((hashes.tobytes(), docs.tobytes(), items.tobytes(), known.tobytes()))
-    return struct.pack("<I", len(hashes)) + zstandard.compress(raw, 1)
+    low = int(docs.min())
+    near = docs - low
+    wide = next(w for w in (2, 4, 8) if int(near.max()) < 1 << (8 * w - 1))
+    raw = b"".join((hashes.tobytes(), near.astype(f"<i{wide}").tobytes(), items["p"].tobytes(), items["before"].tobytes(), items["span"].tobytes(), known.tobytes()))
+    return struct.pack("<IqB", len(hashes), low, wide) + zstandard.compress(raw, 1)
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
-    (n,) = struct.unpack_from("<I", body)
-    raw = zstandard.decompress(body[4:])
-    at = [0, 8 * n, 16 * n, 24 * n, 25 * n]
-    return tuple(np.frombuffer(raw[a:b], kind) for a, b, kind in zip(at, at[1:], ("<u8", "<i8", SPOT, "<u1")))
+    n, low, wide = struct.unpack_from("<IqB", body)
+    raw, at, out = zstandard.decompress(body[13:]), 0, []
+    for kind in ("<u8", f"<i{wide}", "<u4", "<u1", "<u1", "<u1"):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    hashes, near, p, before, span, known = out
+    return hashes, near.astype(np.int64) + low, spots(p, before, span), known
 
 
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], symbols: Symbols, k: int, length: int) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], symbols: Symbols, k: int, length: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Of each chunk of texts: the distinct anchors, one occurrence of each, dealt to buckets; and
     every occurrence of those that the chunk already has twice, for their documents. So a chunk
     sends an anchor once, however many of its documents have it."""
@@ -119,22 +170,22 @@ def _sampled(batches: Iterator[pa.RecordBatch], symbols: Symbols, k: int, length
             again = ~new
             twice = again | np.concatenate((again[1:], [False]))
             if twice.any():
-                yield by_document(docs[twice], items[twice])
+                yield for_documents(docs[twice], items[twice], bits)
             hashes, docs, items, known = hashes[new], docs[new], items[new], twice[new]
-            bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             ends = np.append(edges[1:], len(bucket))
-            yield rows_of(bucket[edges].tolist(), [None] * len(edges), [_pack(hashes[a:b], docs[a:b], items[a:b], known[a:b]) for a, b in zip(edges, ends)])
+            yield rows_of(bucket[edges].tolist(), False, [_pack(hashes[a:b], docs[a:b], items[a:b], known[a:b]) for a, b in zip(edges, ends)])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Of a partition of buckets: for the documents, the anchors that several chunks have."""
     found = []
     for batch in batches:
-        own = batch.column("doc_id").is_valid()
-        if own.true_count:
-            yield batch.filter(own).select(["doc_id", "body"])
-        found += [_unpack(b) for b in batch.filter(batch.column("doc_id").is_null()).column("body").to_pylist()]
+        own, _, bodies = passed_on(batch)
+        if own is not None:
+            yield own
+        found += [_unpack(b) for b in bodies]
     if not found:
         return
     hashes, docs, items, known = (np.concatenate(x) for x in zip(*found))
@@ -143,15 +194,18 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again = np.concatenate(([False], hashes[1:] == hashes[:-1]))
     twice = (again | np.concatenate((again[1:], [False]))) & (known[order] == 0)
     if twice.any():
-        yield by_document(docs[order[twice]], items[order[twice]]).select(["doc_id", "body"])
+        yield for_documents(docs[order[twice]], items[order[twice]], bits).select(["bucket", "body"])
 
 
 def repeated_spots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> DataFrame:
-    """doc_id, spots (array of packed SPOTs): the anchors of each document of ``texts`` (doc_id,
-    text; no null id) that occur more than once in all documents."""
-    sent = texts.mapInArrow(lambda b: _sampled(b, symbols, k, length), _ROWS)
-    back = sent.repartition(F.col("bucket")).mapInArrow(_repeated, "doc_id bigint, body binary")
-    return back.groupBy("doc_id").agg(F.collect_list("body").alias("spots"))
+    """(doc_id, items): the anchors, as packed SPOTs, of each document of ``texts`` (doc_id, text;
+    no null id) that occur more than once in all documents."""
+    if length - k >= 256:
+        raise ValueError("a window may have 255 anchors at most")
+    bits = bucket_bits(texts.sparkSession)
+    sent = texts.mapInArrow(lambda b: _sampled(b, symbols, k, length, bits), ROWS)
+    back = sent.repartition(F.col("bucket")).mapInArrow(lambda b: _repeated(b, bits), ITEMS)
+    return by_document(back, SPOT)
 
 
 #: A covered stretch of a document: first symbol and past the last.
@@ -170,11 +224,11 @@ def stretches(covered: np.ndarray, docs: np.ndarray, p: np.ndarray, length: int)
     return docs[entry], out
 
 
-def union(parts: list[bytes] | None, n: int) -> list[tuple[int, int]]:
+def union(parts: bytes | None, n: int) -> list[tuple[int, int]]:
     """The maximal stretches, in order, of packed ones within n symbols."""
     if not parts:
         return []
-    all_ = np.frombuffer(b"".join(parts), STRETCH)
+    all_ = np.frombuffer(parts, STRETCH)
     delta = np.zeros(n + 1, np.int64)
     np.add.at(delta, np.minimum(all_["a"], n), 1)
     np.add.at(delta, np.minimum(all_["b"], n), -1)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import pieces, word_hashes, words_of
-from neargrain.llm.repeats import BUCKET_BITS, NO_ID, SPOT, STRETCH, by_document, repeated_spots, rows_of, union
+from neargrain.llm.repeats import ITEMS, NO_ID, ROWS, SPOT, STRETCH, bucket_bits, by_document, for_documents, passed_on, repeated_spots, rows_of, union
 
 LENGTH, K = 20, 10
 #: Words of passages that one automaton holds; a group of passages with one anchor stays together.
@@ -109,8 +109,8 @@ def settle_shard(passages: list[tuple[int, int, list]], length: int) -> tuple[li
     return docs, found
 
 
-def _covered(docs: list[int], found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return by_document(np.array(docs, np.int64), np.array(found, STRETCH))
+def _covered(docs: list[int], found: list[tuple[int, int]], bits: int) -> pa.RecordBatch:
+    return for_documents(np.array(docs, np.int64), np.array(found, STRETCH), bits)
 
 
 def _collapse(entries: list[tuple], length: int) -> tuple[list[tuple], list[int], list[tuple[int, int]]]:
@@ -128,17 +128,17 @@ def _collapse(entries: list[tuple], length: int) -> tuple[list[tuple], list[int]
     return kept, docs, found
 
 
-def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Cuts out the passages around repeated anchors and deals them to buckets; of passages that
     a chunk has several times, the first."""
     for whole in batches:
         for batch in pieces(whole, "text"):
             entries = []
-            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spots"))):
+            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items"))):
                 if not parts:
                     continue
                 words = text.encode().split()
-                for p, before, span in np.frombuffer(b"".join(parts), SPOT).tolist():
+                for p, before, span in np.frombuffer(parts, SPOT).tolist():
                     passage = words[p - before : p - before + span + length]
                     if len(passage) == span + length:  # else another row has this id
                         entries.append((xxhash.xxh64_digest(b" ".join(words[p : p + k])), before, span, b" ".join(passage), doc, p))
@@ -146,23 +146,22 @@ def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
                 continue
             kept, docs, found = _collapse(entries, length)
             if docs:
-                yield _covered(docs, found)
+                yield _covered(docs, found, bits)
             buckets: dict[int, list] = {}
             for e in kept:
-                buckets.setdefault(int.from_bytes(e[0][:4]) >> (32 - BUCKET_BITS), []).append(e)
-            yield rows_of(list(buckets), [None] * len(buckets), [zstandard.compress(pickle.dumps(x, 5), 1) for x in buckets.values()])
+                buckets.setdefault(int.from_bytes(e[0][:4]) >> (32 - bits), []).append(e)
+            yield rows_of(list(buckets), False, [zstandard.compress(pickle.dumps(x, 5), 3) for x in buckets.values()])
 
 
-def _match(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Of a partition of buckets: collapses equal passages, leaves out those of which no window
     is in another passage with that anchor, and streams the others against automata."""
     packed: dict[int, list[bytes]] = {}
     for batch in batches:
-        own = batch.column("doc_id").is_valid()
-        if own.true_count:
-            yield batch.filter(own).select(["doc_id", "body"])
-        rest = batch.filter(batch.column("doc_id").is_null())
-        for bucket, body in zip(rest.column("bucket").to_pylist(), rest.column("body").to_pylist()):
+        own, buckets, bodies = passed_on(batch)
+        if own is not None:
+            yield own
+        for bucket, body in zip(buckets, bodies):
             packed.setdefault(bucket, []).append(body)
     shard: list[tuple[int, int, list]] = []
     for bucket in sorted(packed):
@@ -178,10 +177,10 @@ def _match(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                     docs, found, shard = docs + more_docs, found + more, []
             a = b
         if docs:
-            yield _covered(docs, found).select(["doc_id", "body"])
+            yield _covered(docs, found, bits).select(["bucket", "body"])
     docs, found = settle_shard(shard, length)
     if docs:
-        yield _covered(docs, found).select(["doc_id", "body"])
+        yield _covered(docs, found, bits).select(["bucket", "body"])
 
 
 def _sharing(group: list[tuple], length: int) -> list[tuple[int, int, list]]:
@@ -202,7 +201,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text"):
             out = []
-            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts"))):
+            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items"))):
                 words = text.encode().split()
                 gone = union(parts, len(words))
                 edges = [0, *(x for ab in gone for x in ab), len(words)]
@@ -236,7 +235,8 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", doc_id: str =
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spots = repeated_spots(rows, _word_symbols, k, length)
-    passages = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _passages(b, length, k), "bucket int, doc_id bigint, body binary")
-    found = passages.repartition(F.col("bucket")).mapInArrow(lambda b: _match(b, length), "doc_id bigint, body binary")
-    parts = found.groupBy("doc_id").agg(F.collect_list("body").alias("parts"))
+    bits = bucket_bits(docs.sparkSession)
+    passages = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _passages(b, length, k, bits), ROWS)
+    found = passages.repartition(F.col("bucket")).mapInArrow(lambda b: _match(b, length, bits), ITEMS)
+    parts = by_document(found, STRETCH)
     return rows.join(parts, "doc_id", "left").mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<bigint>")

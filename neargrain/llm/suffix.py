@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import BYTE_VALUES, MULTIPLIER, mix, pieces
-from neargrain.llm.repeats import BUCKET_BITS, NO_ID, SPOT, by_document, repeated_spots, rows_of, stretches, union
+from neargrain.llm.repeats import ITEMS, NO_ID, ROWS, SPOT, STRETCH, bucket_bits, by_document, for_documents, passed_on, repeated_spots, rows_of, stretches, union
 
 LENGTH, K = 100, 40
 #: Bytes of the anchor's hash in front of a suffix; hashes make the splitters of the sort even.
@@ -130,18 +130,31 @@ class Suffixes:
             covered[idx[by[ranks > least]], o] = True
         return covered
 
-    def pick(self, keep: np.ndarray) -> "Suffixes":
-        at = np.flatnonzero(keep).tolist()
-        keys = [self.keys[i] for i in at]
-        shared = [0, *(common(a, b, 0) for a, b in zip(keys, keys[1:]))] if keys else []
-        return Suffixes(keys, shared, [self.lefts[i] for i in at], self.docs[keep], self.p[keep], self.low[keep], self.high[keep])
+    def open(self, covered: np.ndarray) -> "Suffixes":
+        """The entries with windows that aren't covered, with no more bytes than those need."""
+        offset = np.arange(covered.shape[1])
+        left = ~covered & (self.low[:, None] <= offset) & (offset <= self.high[:, None])
+        at = np.flatnonzero(left.any(1))
+        low, high = left[at].argmax(1), covered.shape[1] - 1 - left[at, ::-1].argmax(1)
+        entries = []
+        for i, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+            key, far = self.keys[i], self.lefts[i]
+            entries.append((key[: len(key) - (a - int(self.low[i]))], far[len(far) - b :], int(self.docs[i]), int(self.p[i]), a, b))
+        return Suffixes.of(entries)
+
+    @staticmethod
+    def of(entries: list[tuple]) -> "Suffixes":
+        """Sorts (key, left, document, place, lowest and highest offset)."""
+        entries.sort()
+        keys, lefts, docs, p, low, high = map(list, zip(*entries)) if entries else ([], [], [], [], [], [])
+        return Suffixes(keys, [0, *(common(a, b, 0) for a, b in zip(keys, keys[1:]))][: len(keys)], lefts, *(np.array(x, np.int64) for x in (docs, p, low, high)))
 
     def pack(self, a: int, b: int) -> bytes:
         """A run, front-coded: of each suffix only what it doesn't share with the one before."""
         prefix = [0, *self.shared[a + 1 : b]]
         rests = [k[s:] for k, s in zip(self.keys[a:b], prefix)]
         arrays = [np.array(prefix, "<u2"), np.array([len(x) for x in rests], "<u2"), np.array([len(x) for x in self.lefts[a:b]], "<u2"), self.docs[a:b].astype("<i8"), self.p[a:b].astype("<u4"), self.low[a:b].astype("<u2"), self.high[a:b].astype("<u2")]
-        return struct.pack("<I", b - a) + zstandard.compress(b"".join([*(x.tobytes() for x in arrays), *rests, *self.lefts[a:b]]), 1)
+        return struct.pack("<I", b - a) + zstandard.compress(b"".join([*(x.tobytes() for x in arrays), *rests, *self.lefts[a:b]]), 3)
 
     @staticmethod
     def unpack(body: bytes) -> "Suffixes":
@@ -171,47 +184,41 @@ def _merged(runs: list[Suffixes]) -> Suffixes:
     return Suffixes([runs[r].keys[i] for r, i, _ in order], [s for _, _, s in order], [runs[r].lefts[i] for r, i, _ in order], *(np.concatenate([getattr(r, name) for r in runs])[at] for name in ("docs", "p", "low", "high")))
 
 
-def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Sorts the sampled suffixes of each chunk, settles what repeats within it, and deals the
     suffixes that still have windows to settle to buckets, as front-coded runs."""
     for whole in batches:
         for batch in pieces(whole, "text"):
-            rows, entries = batch.column("spots").to_pylist(), []
+            rows, entries = batch.column("items").to_pylist(), []
             for i, parts in enumerate(rows):
                 if not parts:
                     continue
                 text, doc = batch.column("text")[i].as_py().encode(), batch.column("doc_id")[i].as_py()
-                found = np.frombuffer(b"".join(parts), SPOT)
-                p, before, span = (found[c].astype(np.int64) for c in ("p", "before", "span"))
-                found = [x.tolist() for x in (p, before, span)]
-                for at, b, s in zip(*found):
+                for at, b, s in np.frombuffer(parts, SPOT).tolist():
                     right = text[at : at - b + s + length]
                     if len(right) == s + length - b:  # else another row has this id
                         entries.append((xxhash.xxh64_digest(text[at : at + k]) + right, text[at - b : at], doc, at, b - s, b))
             if not entries:
                 continue
-            entries.sort()
-            keys, lefts, docs, p, low, high = map(list, zip(*entries))
-            run = Suffixes(keys, [0, *(common(a, b, 0) for a, b in zip(keys, keys[1:]))], lefts, *(np.array(x, np.int64) for x in (docs, p, low, high)))
+            run = Suffixes.of(entries)
             covered = run.settle(length, k)
             if covered.any():
-                yield by_document(*stretches(covered, run.docs, run.p, length))
-            run = run.pick(covered.sum(1) <= run.high - run.low)
-            bucket = np.array([int.from_bytes(key[:4]) >> (32 - BUCKET_BITS) for key in run.keys], np.int64)
+                yield for_documents(*stretches(covered, run.docs, run.p, length), bits)
+            run = run.open(covered)
+            bucket = np.array([int.from_bytes(key[:4]) >> (32 - bits) for key in run.keys], np.int64)
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
             ends = np.append(edges[1:], len(bucket))
-            yield rows_of(bucket[edges].tolist(), [None] * len(edges), [run.pack(a, b) for a, b in zip(edges.tolist(), ends.tolist())])
+            yield rows_of(bucket[edges].tolist(), False, [run.pack(a, b) for a, b in zip(edges.tolist(), ends.tolist())])
 
 
-def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Merges the runs of a partition's buckets, bucket by bucket, and settles what repeats."""
     packed: dict[int, list[bytes]] = {}
     for batch in batches:
-        own = batch.column("doc_id").is_valid()
-        if own.true_count:
-            yield batch.filter(own).select(["doc_id", "body"])
-        rest = batch.filter(batch.column("doc_id").is_null())
-        for bucket, body in zip(rest.column("bucket").to_pylist(), rest.column("body").to_pylist()):
+        own, buckets, bodies = passed_on(batch)
+        if own is not None:
+            yield own
+        for bucket, body in zip(buckets, bodies):
             packed.setdefault(bucket, []).append(body)
     waiting: list[Suffixes] = []
     for i, bucket in enumerate(sorted(packed)):
@@ -223,14 +230,14 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[p
             waiting = []
             covered = all_.settle(length, k)
             if covered.any():
-                yield by_document(*stretches(covered, all_.docs, all_.p, length)).select(["doc_id", "body"])
+                yield for_documents(*stretches(covered, all_.docs, all_.p, length), bits).select(["bucket", "body"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text"):
             out = []
-            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts"))):
+            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items"))):
                 raw = text.encode()
                 gone = union(parts, len(raw))
                 edges = [0, *(x for ab in gone for x in ab), len(raw)]
@@ -259,7 +266,8 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "do
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spots = repeated_spots(rows, lambda data, offsets: (BYTE_VALUES[data], offsets), k, length)
-    runs = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _sorted_runs(b, length, k), "bucket int, doc_id bigint, body binary")
-    found = runs.repartition(F.col("bucket")).mapInArrow(lambda b: _merge(b, length, k), "doc_id bigint, body binary")
-    parts = found.groupBy("doc_id").agg(F.collect_list("body").alias("parts"))
+    bits = bucket_bits(docs.sparkSession)
+    runs = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _sorted_runs(b, length, k, bits), ROWS)
+    found = runs.repartition(F.col("bucket")).mapInArrow(lambda b: _merge(b, length, k, bits), ITEMS)
+    parts = by_document(found, STRETCH)
     return rows.join(parts, "doc_id", "left").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<bigint>")

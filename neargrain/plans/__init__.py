@@ -1,0 +1,115 @@
+"""The classifier as a plan: from a corpus to macro-F1."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from neargrain.operators import counts, evaluate, index, knn, rank, split, weights
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Parameters of a run; None leaves a step out."""
+
+    labels_below: int = 3
+    labels_above: float = 1.0
+    words_below: int | None = 3
+    words_above: float = 1.0
+    frequent_words: float | None = 0.4  # ceiling on document frequencies, in a second pass
+    weighting: str = "tf_idf"  # or "raw"
+    narrow: bool = False
+    prop: float = 0.1
+    split: str = "tail"
+    k: int = 70
+    candidates: str = "all"
+    norm: str = "l2"
+    overlap: float | None = None
+    gate: bool = False
+    digits: int = 6
+    per_occurrence: bool = False
+    w: tuple[float, float, float, float] = rank.WEIGHTS
+    alpha: float = rank.ALPHA
+    queries: int = -1  # validation documents to score, in order; -1: all
+
+
+@dataclass(frozen=True)
+class Run:
+    """Every table of a run, made when asked for."""
+
+    corpus: tuple[DataFrame, DataFrame]  # postings, doc_labels
+    edges: DataFrame
+    settings: Settings = Settings()
+
+    @cached_property
+    def pruned(self) -> tuple[DataFrame, DataFrame]:
+        s, (postings, labels) = self.settings, self.corpus
+        if s.words_below is not None:
+            keep = counts.prune(counts.label_counts(labels), counts.label_totals(labels), s.labels_below, s.labels_above)
+            words = counts.prune(counts.word_counts(postings), counts.word_totals(postings), s.words_below, s.words_above)
+            postings, labels = counts.prune_corpus(postings, labels, keep, words)
+        else:
+            postings, labels = counts.prune_corpus(postings, labels)
+        if s.frequent_words is not None:
+            words = counts.prune(counts.word_counts(postings, True), counts.word_totals(postings), 0, s.frequent_words)
+            postings, labels = counts.prune_corpus(postings, labels, None, words)
+        return postings, labels
+
+    @cached_property
+    def weighted(self) -> DataFrame:
+        postings, _ = self.pruned
+        return weights.raw_weights(postings) if self.settings.weighting == "raw" else weights.weights(postings, self.settings.narrow)
+
+    @cached_property
+    def validation(self) -> DataFrame:
+        chosen = split.split_prop(self.pruned[1], self.settings.prop, self.settings.split)
+        return chosen if self.settings.queries < 0 else chosen.orderBy("doc_id").limit(self.settings.queries)
+
+    @cached_property
+    def parts(self) -> dict[str, DataFrame]:
+        chosen = split.split_prop(self.pruned[1], self.settings.prop, self.settings.split)
+        train_w, _ = split.separate(self.weighted, chosen)
+        train_l, _ = split.separate(self.pruned[1], chosen)
+        _, query_w = split.separate(self.weighted, self.validation)
+        _, query_l = split.separate(self.pruned[1], self.validation)
+        return {"train": train_w, "train_labels": train_l, "queries": query_w, "query_labels": query_l}
+
+    @cached_property
+    def label_counts(self) -> DataFrame:
+        return counts.label_counts(self.pruned[1])
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        s, p = self.settings, self.parts
+        return knn.top_k(p["queries"], p["train"], p["train_labels"], s.k, s.candidates, norm=s.norm, overlap=s.overlap, gate=s.gate, digits=s.digits)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return rank.label_features(self.entries, index.parent_sums(self.edges, self.pruned[1]), self.label_counts, self.settings.per_occurrence)
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        return rank.ranks(self.features, self.settings.w)
+
+    @cached_property
+    def predicted(self) -> DataFrame:
+        return rank.predict(self.ranks, self.settings.alpha)
+
+    @cached_property
+    def predicted_with_fallback(self) -> DataFrame:
+        return rank.with_fallback(self.predicted, self.ranks, self.parts["queries"], self.label_counts)
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        return self.parts["query_labels"].select(F.col("doc_id").alias("q"), "label")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return evaluate.confusion(self.predicted_with_fallback, self.truth)
+
+    @cached_property
+    def score(self) -> DataFrame:
+        return evaluate.macro(self.cells)
