@@ -59,6 +59,15 @@ def seeds(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(edges, edges[1:])]
 
 
+def words_before(text: str, places: list[int]) -> list[int]:
+    """How many spaces are before each of some rising places of a text, in one pass."""
+    out, n, last = [], 0, 0
+    for place in places:
+        n, last = n + text.count(" ", last, place), place
+        out.append(n)
+    return out
+
+
 class Scanner:
     """Finds phrases and notices in one folded text."""
 
@@ -91,9 +100,9 @@ class Scanner:
                     n = len(self.notices[i][0])
                     k = allowed(self.notices[i][0])
                     windows.setdefault(i, []).append((start - at - k - 1, start - at + n + k + 1))
-        labels = {p: label for p, label in self.phrases}
-        places = sorted((text.count(" ", 0, s), label) for s in base for p, label in labels.items() if text.startswith(p, s))
-        spans, score = set(), 1.0 if places else 0.0
+        starts = sorted(base)
+        places = [(n, label) for n, s in zip(words_before(text, starts), starts) for p, label in self.phrases if text.startswith(p, s)]
+        matches, score = set(), 1.0 if places else 0.0
         for i, found in windows.items():
             notice, label = self.notices[i]
             merged: list[list[int]] = []
@@ -105,10 +114,11 @@ class Scanner:
             for a, b in merged:
                 for m in self.patterns[i].finditer(text, a, min(b, len(text))):
                     errors = sum(m.fuzzy_counts)
-                    first = text.count(" ", 0, m.start() + (m.start() < m.end() and text[m.start()] == " ")) - 1
-                    spans.add((first, first + len(m.group().split()), label, errors))
+                    matches.add((m.end() - len(m.group().lstrip(" ")), len(m.group().split()), label, errors))
                     score = max(score, 1 - errors / len(notice))
-        return places, sorted(spans), score
+        rising = sorted(matches)
+        spans = [(n - 1, n - 1 + words, label, errors) for n, (_, words, label, errors) in zip(words_before(text, [m[0] for m in rising]), rising)]
+        return places, spans, score
 
 
 def _scan(batches: Iterator[pa.RecordBatch], phrases, notices) -> Iterator[pa.RecordBatch]:
