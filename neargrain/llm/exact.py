@@ -72,7 +72,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all columns. Of a row that is there twice, id and text alike, one
-    stays; rows without an id can't be told apart and go."""
-    kept = exact_duplicates(docs, text, doc_id).filter("kept").select(F.col("doc_id").alias(doc_id))
-    return docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id, text])
+    """The rows that stay, with all columns. Of rows that can't be told apart, id and text alike,
+    one stays; so of equal texts without any id one stays, too."""
+    key = lambda id_, sha: F.concat_ws(":", sha, id_.cast("string"))  # noqa: E731  a null id adds nothing
+    kept = exact_duplicates(docs, text, doc_id).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__kept"))
+    keyed = docs.withColumn("__kept", key(F.col(doc_id), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    return keyed.join(kept, "__kept", "left_semi").dropDuplicates(["__kept"]).drop("__kept")
