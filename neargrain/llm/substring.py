@@ -93,19 +93,19 @@ class Automaton:
 
 
 def settle_shard(passages: list[tuple[int, int, list]], length: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Passages are (document, first word's place, words). They are streamed in order against the
-    automaton of those before them: the documents and stretches of words that are covered."""
+    """Passages are (document, first word's place, words). In order, each enters the automaton and
+    is streamed against it: the documents and stretches of words that are covered."""
     automaton, docs, found = Automaton(), [], []
     for doc, start, words in sorted(passages, key=lambda x: x[:2]):
+        automaton.insert(words, doc, start)
         for i, first in automaton.matches(words, length):
-            if first < (doc, start + i):  # not this very place, from an overlapping passage
+            if first < (doc, start + i):  # not this very place
                 a, b = start + i - length + 1, start + i + 1
                 if docs and docs[-1] == doc and found[-1][0] <= a <= found[-1][1]:
                     found[-1] = (found[-1][0], max(b, found[-1][1]))
                 else:
                     docs.append(doc)
                     found.append((a, b))
-        automaton.insert(words, doc, start)
     return docs, found
 
 
