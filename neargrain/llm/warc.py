@@ -184,8 +184,9 @@ def mark_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     digest = F.when(F.octet_length("html") >= least, F.sha2("html", 256))
     first = rows.select("page_id", digest.alias("digest")).filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # Only payloads that repeat move; the others stay where they are read.
-    repeated = rows.withColumn("digest", digest).join(first, "digest", "left")
+    # Pages too small to repeat get keys of their own, so that they don't meet in one task.
+    own = F.concat(F.lit("small "), F.xxhash64("page_id", "url").cast("string"))
+    repeated = rows.withColumn("digest", F.coalesce(digest, own)).join(first, "digest", "left")
     return repeated.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
