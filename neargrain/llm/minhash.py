@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 14, 3
 #: Document frequencies are counted in 2**SLOT_BITS slots of shingle hashes: a table of one size.
 SLOT_BITS = 20
-#: Rows of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Texts of a band, and about so many bytes of them, that are compared with as many others at once.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Of BANDS * ROWS samples so many must agree before texts are fetched; a pair at the threshold
 #: agrees in fewer with probability 2e-5.
 LEAST_AGREEING = 23
@@ -168,22 +169,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: flo
     return rows.mapInArrow(check, "a bigint, b bigint, similarity double").filter(F.col("similarity") >= threshold)
 
 
-_CANDIDATES = "a bigint, b bigint"
+_LINKS = "a bigint, b bigint"
 
 
-def _compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Candidates between a block of a bucket's unsettled texts and a block of all its texts."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    if len(left) and len(right):
-        x, y = (np.frombuffer(b"".join(f["samples"]), "<u4").reshape(len(f), -1) for f in (left, right))
-        own, other = left["component"].to_numpy(), right["component"].to_numpy()
-        a_ids, b_ids = left["node"].to_numpy(), right["node"].to_numpy()
-        for i in range(len(left)):
-            agreeing = (y == x[i]).sum(1)
-            at = np.flatnonzero((agreeing >= LEAST_AGREEING) & (other != own[i]) & (b_ids != a_ids[i]))
-            found.append((np.full(len(at), a_ids[i]), b_ids[at]))
-    a, b = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _joining_links(rows: pd.DataFrame, idf: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Verified links that join classes, between two blocks of a band (or within one).
+
+    Texts of another class than the band's leader are compared with all others by their samples;
+    likely pairs are verified here, those that agree most first, and pairs that links found before
+    have joined are passed over. So a block of n texts gives n - 1 links at most. A pair that
+    shares several bands is looked at in the first of them.
+    """
+    n, slot, within = len(rows), int(rows["slot"].iloc[0]), rows["i"].iloc[0] == rows["j"].iloc[0]
+    x = np.frombuffer(b"".join(rows["samples"]), "<u4").reshape(n, -1)
+    node, text, block, apart = (rows[c].to_numpy() for c in ("node", "text", "block", "apart"))
+    root = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    bags: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+
+    def bag(at: int) -> tuple[np.ndarray, np.ndarray, float]:
+        if at not in bags:
+            _, key, count = shingles(pa.array([text[at]]))
+            w = count * np.exp(idf[_slot(key)].astype(np.float64))
+            bags[at] = key, w, float(w.sum())
+        return bags[at]
+
+    found: list[tuple[int, int]] = []
+    for at in np.flatnonzero(apart).tolist():
+        likely = (root != root[at]) & ~(apart & (np.arange(n) < at))
+        if not within:
+            likely &= block != block[at]
+        others = np.flatnonzero(likely)
+        equal = x[others] == x[at]
+        agreeing = equal.sum(1)
+        first = equal.reshape(len(others), BANDS, ROWS).all(2).argmax(1)
+        likely = (agreeing >= LEAST_AGREEING) & (first == slot)
+        others, agreeing = others[likely], agreeing[likely]
+        for other in others[np.argsort(-agreeing, kind="stable")].tolist():
+            if root[other] == root[at]:
+                continue
+            (key, w, total), (key_b, w_b, total_b) = bag(at), bag(other)
+            place = np.minimum(np.searchsorted(key_b, key), len(key_b) - 1)
+            hit = key_b[place] == key
+            shared = float(np.minimum(w[hit], w_b[place[hit]]).sum())
+            if shared >= threshold * (total + total_b - shared):
+                found.append((node[at], node[other]))
+                root[root == root[other]] = root[at]
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -195,9 +226,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     frequencies are counted over all rows in a table of one size, by slots of shingle hashes.
     Every row is sampled in one pass; copies of a text are then one node. Texts that share a band
     are linked to the smallest in it if their similarity is verified. Texts that stay in another
-    class than the smallest of a band are compared with all of that band, in blocks, by their
-    samples, and again verified. So links are linear in the rows of a band, yet none within a
-    band is left out but by a class that has it already.
+    class than the smallest of a band are compared with all of that band, in blocks of a bounded
+    size, by their samples; what agrees is verified, and only links that join classes come out.
+    So links are linear in the rows of a band, yet no two texts of a band that are similar enough
+    stay in different classes.
 
     Texts without words (null, empty, blank) are near-duplicates only as copies; null counts as
     empty. Rows with a null id are in no class: class_id is null and they are kept. Repeated rows
@@ -213,16 +245,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 samples, has = signatures(batch.column("text"), idf.value)
                 keys = pa.array([x if h else [] for x, h in zip(bands_of(samples).view(np.int64).tolist(), has)], pa.list_(pa.int64()))
                 packed = pa.array([x.tobytes() for x in (samples >> np.uint64(32)).astype("<u4")], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), keys, packed], names=["doc_id", "digest", "bands", "samples"])
+                sizes = pc.cast(pc.binary_length(batch.column("text")), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), sizes, keys, packed], names=["doc_id", "digest", "size", "bands", "samples"])
 
     sampled = rows.filter("doc_id is not null").withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
-    sampled = materialise(sampled.mapInArrow(sample, "doc_id bigint, digest binary, bands array<bigint>, samples binary"), "samples")
-    copies = sampled.groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
+    sampled = materialise(sampled.mapInArrow(sample, "doc_id bigint, digest binary, size bigint, bands array<bigint>, samples binary"), "samples")
+    # Written, so that the join below can split a digest that very many rows have.
+    copies = materialise(sampled.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "digests")
     members = sampled.select("doc_id", "digest").join(copies, "digest").select("doc_id", "copy_of").distinct()
     members = materialise(members, "copies")
     # One node per text; its bands and samples are those of any copy.
     nodes = sampled.join(members.filter("doc_id = copy_of").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+    banded = nodes.select(F.col("doc_id").alias("node"), "size", F.posexplode("bands").alias("slot", "band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     in_bands = materialise(banded.join(shared, "band"), "bands")
     pairs = in_bands.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -231,24 +265,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = materialise(_verified(pairs, texts, idf, threshold), "verified")
     classes = materialise(components(links), "classes")
 
-    # Bands where a text is in another class than the leader.
+    # Bands where a text is in another class than the leader: blocks of a bounded size are
+    # compared two by two, and give links that join classes, never all pairs.
     labelled = in_bands.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leaders = classes.select(F.col("node").alias("leader"), F.col("component").alias("leads"))
     labelled = labelled.join(leaders, "leader", "left").withColumn("apart", F.col("component") != F.coalesce("leads", "leader"))
-    labelled = materialise(labelled.select("band", "node", "leader", "component", "apart"), "labelled")
-    sizes = labelled.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart")).filter("n_apart > 0 and n > 2")
-    blocks = labelled.join(sizes, "band").join(nodes.select(F.col("doc_id").alias("node"), "samples"), "node")
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")).withColumn("last", (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))
-    columns = ["band", "node", "component", "samples"]
-    blocks = materialise(blocks, "blocks")
-    left = blocks.filter("apart").select(*columns, F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), "last")).alias("j")).toDF(*columns, "i", "j")
-    right = blocks.select(*columns, F.explode(F.sequence(F.lit(0), "last")).alias("i"), F.col("block").alias("j")).toDF(*columns, "i", "j")
-    by = ["band", "i", "j"]
-    more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare, _CANDIDATES).distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    added = materialise(_verified(more, texts, idf, threshold), "verified")
+    labelled = materialise(labelled.select("band", "slot", "node", "size", "component", "apart"), "labelled")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    bands = labelled.groupBy("band").agg(blocks.alias("blocks"), F.count("*").alias("n"), F.count_if("apart").alias("n_apart")).filter("n_apart > 0 and n > 2")
+    dealt = labelled.join(bands.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(nodes.select(F.col("doc_id").alias("node"), "samples"), "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "node", "component", "apart", "block", "samples", "text")
+    added = dealt.groupBy("band", "i", "j").applyInPandas(lambda rows: _joining_links(rows, idf.value, threshold), _LINKS)
+    added = materialise(added, "joining")
     if not added.isEmpty():
-        classes = components(links.select("a", "b").unionByName(added.select("a", "b")))
+        classes = components(links.select("a", "b").unionByName(added))
     found = members.join(classes.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
     found = found.select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
     out = rows.select("doc_id").join(found, "doc_id", "left")
