@@ -21,6 +21,8 @@ SAMPLE = 20_000
 PER_CENTRE, MOST_CENTRES, OVERLAP = 500, 4096, 4
 #: Within a shard: points of a cluster, candidates and degree of a point, slack of the pruning.
 CLUSTER, CANDIDATES, DEGREE, ALPHA = 256, 48, 24, 1.2
+#: A shard of more vectors than this is dealt into parts, which are searched two by two.
+PART = 8192
 #: Width of the search beam, queries searched together, one query of so many is audited.
 BEAM, TOGETHER, AUDIT = 12, 256, 20
 
@@ -175,10 +177,12 @@ _FOUND = "node bigint, n_links bigint, root bigint, audited bigint, audited_foun
 
 
 def _shard(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of a shard or, where it is large, of two of its parts (i, j)."""
     x = np.frombuffer(b"".join(rows["vector"]), "<f8").reshape(len(rows), -1)
     node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
     a, b, audited, found = link_shard(x, threshold)
-    # A link counts in the first shard that both ends have in common.
+    # A link counts in the first shard that both ends have in common, and there where i and j are
+    # the parts of its ends.
     shards = np.stack(rows["shards"].to_numpy())
     here = int(rows["shard"].iloc[0])
     first = np.zeros(len(a), np.int64)
@@ -186,9 +190,11 @@ def _shard(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
         s, t = shards[a[i : i + 65536]], shards[b[i : i + 65536]]
         common = (s[:, :, None] == t[:, None, :]).any(2)
         first[i : i + 65536] = np.where(common, s, np.iinfo(np.int64).max).min(1)
+    part, two = rows["part"].to_numpy(), rows["i"].iloc[0] != rows["j"].iloc[0]
+    counted = (first == here) & ((part[a] != part[b]) if two else True)
     count = np.zeros(len(rows), np.int64)
-    np.add.at(count, a[first == here], copies[b[first == here]])
-    np.add.at(count, b[first == here], copies[a[first == here]])
+    np.add.at(count, a[counted], copies[b[counted]])
+    np.add.at(count, b[counted], copies[a[counted]])
     # Of the links of a component its star is enough.
     root = node.copy()
     while True:
@@ -226,8 +232,10 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
 
     Equal unit vectors are one node with a count of copies. Centres fitted on a bounded sample
     (``SAMPLE`` rows) make overlapping shards: every vector goes to its ``OVERLAP`` nearest.
-    A shard builds pruned graphs on overlapping clusters, unites their lists, searches the range
-    of each vector from medoids, audits a part of the searches against brute force, and verifies
+    A shard of more than ``PART`` vectors is dealt into parts, of which each two are searched
+    together, so that no task holds more than two parts and no vector is left out. A shard
+    builds pruned graphs on overlapping clusters, unites their lists, searches the range of each
+    vector from medoids, audits a part of the searches against brute force, and verifies
     links in double precision. A link that several shards find counts once. Shards give counts
     and stars, not pairs; components are joined afterwards.
 
@@ -255,11 +263,15 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
                     near = np.argsort(-(x @ centres[size].T), axis=1)[:, :OVERLAP] + size * MOST_CENTRES
                 else:  # a length that the sample doesn't have
                     near = np.full((part.num_rows, 1), size * MOST_CENTRES)
-                take = np.repeat(np.arange(part.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int64()), *(part.column(c).take(pa.array(take)) for c in ("node", "copies", "vector")), pa.array(np.repeat(near, near.shape[1], axis=0).tolist(), pa.list_(pa.int64()))], names=["shard", "node", "copies", "vector", "shards"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "copies", "vector")), pa.array(near.tolist(), pa.list_(pa.int64()))], names=["node", "copies", "vector", "shards"])
 
-    dealt = nodes.select("node", "copies", "vector").mapInArrow(assign, "shard bigint, node bigint, copies bigint, vector binary, shards array<bigint>")
-    found = materialise(dealt.groupBy("shard").applyInPandas(lambda f: _shard(f, threshold), _FOUND), "found")
+    assigned = materialise(nodes.select("node", "copies", "vector").mapInArrow(assign, "node bigint, copies bigint, vector binary, shards array<bigint>"), "assigned")
+    # A row for each shard: MOST_CENTRES for each length of vectors.
+    parts = assigned.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = assigned.withColumn("shard", F.explode("shards")).join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("node", "shard"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "copies", "vector", "shards")
+    found = materialise(dealt.groupBy("shard", "i", "j").applyInPandas(lambda f: _shard(f, threshold), _FOUND), "found")
     linked = found.groupBy("node").agg(F.sum("n_links").alias("links"))
     classes = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     per_node = nodes.select("digest", "node", "copies").join(linked, "node", "left").join(classes, "node", "left")

@@ -202,6 +202,18 @@ def test_recall_on_dense_vectors(spark):
     assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
 
 
+def test_parts_of_a_large_shard(spark, monkeypatch):
+    """Dealt into parts, shards find the links, counts and classes that they find whole."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(3, 16))
+    x = centres[r.integers(0, 3, 900)] + 0.3 * r.normal(size=(900, 16))
+    vectors = {i: v.tolist() for i, v in enumerate(x)}
+    vectors |= {900 + i: vectors[i] for i in range(40)}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(embedding, "PART", 100)
+    check_vectors(embedding.near_duplicate_vectors(table).collect(), vectors)
+
+
 def test_pruning_keeps_diverse_neighbours():
     x = np.array([[1.0, 0.0], [0.999, 0.045], [0.998, 0.06], [0.0, 1.0]])
     d = 1 - x @ x.T
@@ -312,6 +324,16 @@ def test_mixed_documents_hold_what_is_taken(spark, data):
     assert found == taken
 
 
+def test_mixture_is_laid_out_by_shards(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    shard = {r["doc_id"]: r["shard"] for r in mixing.mix(docs, shards=8).filter("epochs + rest > 0 and taken <= size").collect()}
+    laid = mixing.mixed_documents(docs, shards=8).rdd.mapPartitions(lambda rows: [[r["doc_id"] for r in rows]]).collect()
+    for ids in laid:
+        order = [shard[i] for i in ids if i in shard]
+        assert order == sorted(order)
+        assert len(ids) < 20 or ids != sorted(ids)
+
+
 @pytest.mark.parametrize("sizes, weights, expected", [([100, 100, 100], [5, 2, 1], [187.5, 75, 37.5]), ([10, 100, 100], [5, 2, 1], [30, 120, 60]), ([0, 50], [5, 2], [0, 50]), ([0, 0], [1, 1], [0, 0])])
 def test_targets(sizes, weights, expected):
     assert mixing.fill(sizes, weights, float(sum(sizes)), 3.0) == pytest.approx(expected)
