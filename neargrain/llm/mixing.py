@@ -134,16 +134,25 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int = 64, seed: int = 7, **options) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as taken; a last, partial copy has
-    the document's first words, joined by spaces. Needs unique ids; rows whose id is null are left out."""
+    the document's first words, joined by spaces. Needs unique ids; rows whose id is null are left out.
+
+    Rows come in the order of their output shards, shuffled locally: a partition has slices of
+    shards, one after the other, each in the order of ``place``.
+    """
     text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
-    parts = mix(docs.filter(F.col(doc_id).isNotNull()), **options).filter("taken > 0")
-    parts = parts.groupBy("doc_id").agg(F.max("epochs").alias("__epochs"), F.max("rest").alias("__rest")).withColumnRenamed("doc_id", "__id")
-    copies = F.expr("transform(sequence(1, cast(__epochs + if(__rest > 0, 1, 0) as int)), i -> i > __epochs)")
-    rows = docs.join(parts, F.col(doc_id) == F.col("__id")).withColumn("__partial", F.explode(copies))
+    parts = mix(docs.filter(F.col(doc_id).isNotNull()), shards=shards, seed=seed, **options).filter("taken > 0")
+    parts = parts.groupBy("doc_id").agg(F.max("epochs").alias("__epochs"), F.max("rest").alias("__rest"), F.max("shard").alias("__first")).withColumnRenamed("doc_id", "__id")
+    copies = F.explode(F.expr("sequence(1, cast(__epochs + if(__rest > 0, 1, 0) as int))")).alias("__copy")
+    rows = docs.join(parts, F.col(doc_id) == F.col("__id")).select("*", copies)
+    shard, place = F.pmod(F.col("__first") + F.col("__copy") - 1, F.lit(shards)), F.xxhash64(F.lit(seed + 3), "__id", "__copy")
+    rows = rows.withColumns({"__shard": shard, "__place": place})
+    slices = max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    rows = rows.repartition("__shard", F.pmod("__place", F.lit(slices))).sortWithinPartitions("__shard", "__place")
+    partial = F.col("__copy") > F.col("__epochs")
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.col("__rest").cast("int")), " ")
-    cut = F.when(F.col("__partial"), head).otherwise(F.col(text))
-    length = F.when(F.col("__partial"), F.length(head)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    cut = F.when(partial, head).otherwise(F.col(text))
+    length = F.when(partial, F.length(head)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return rows.select(*[cut.alias(c) if c == text else length.cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
