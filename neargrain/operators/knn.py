@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from neargrain.functions import cosine, ratio
 from neargrain.operators.weights import squares
+from neargrain.sources import cut
 
 
 def scores(queries: DataFrame, train: DataFrame, norm: str = "l2", overlap: float | None = None, gate: bool = False, digits: int = 9) -> DataFrame:
@@ -56,15 +57,18 @@ def top_k(queries: DataFrame, train: DataFrame, train_labels: DataFrame, k: int
     the first k: documents are cut to k before labels are joined. ``candidates``: ``all``
     documents, those without a shared word with score 0, or only those with ``shared`` words.
     """
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
+    first = lambda rows: rows.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
     found = scores(queries, train, **options)
     if candidates == "all":
-        # Documents that score 0 rank by doc_id, whether or not they share a word.
-        found = found.filter("score <> 0")
-        found = found.unionByName(_fill(found, queries, train_labels.select("doc_id").distinct(), k))
-    elif candidates != "shared":
+        # Documents that score 0 rank by doc_id, whether or not they share a word. Queries that
+        # need them have fewer than k others, and all of those are here.
+        some = cut(first(found.filter("score <> 0")))
+        docs = first(some.unionByName(_fill(some, queries, train_labels.select("doc_id").distinct(), k)))
+    elif candidates == "shared":
+        docs = first(found)
+    else:
         raise ValueError(f"no such candidates: {candidates}")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
-    docs = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
     entries = docs.join(train_labels.select("doc_id", "pos", "label"), "doc_id")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id", "pos")
     return entries.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k).select("q", "rnk", "doc_id", "label", "score")

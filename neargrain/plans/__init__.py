@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.operators import counts, evaluate, index, knn, rank, split, weights
+from neargrain.sources import cut
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Run:
-    """Every table of a run, made when asked for."""
+    """Every table of a run, made when asked for. Tables that several later steps use are written
+    once, so that no step's plan holds those of all steps before it."""
 
     corpus: tuple[DataFrame, DataFrame]  # postings, doc_labels
     edges: DataFrame
@@ -46,33 +48,36 @@ class Run:
 
     @cached_property
     def pruned(self) -> tuple[DataFrame, DataFrame]:
-        s, (postings, labels) = self.settings, self.corpus
+        s, (postings, labels) = self.settings, (cut(x) for x in self.corpus)
         if s.words_below is not None:
             keep = counts.prune(counts.label_counts(labels), counts.label_totals(labels), s.labels_below, s.labels_above)
             words = counts.prune(counts.word_counts(postings), counts.word_totals(postings), s.words_below, s.words_above)
             postings, labels = counts.prune_corpus(postings, labels, keep, words)
         else:
             postings, labels = counts.prune_corpus(postings, labels)
+        postings, labels = cut(postings), cut(labels)
         if s.frequent_words is not None:
             words = counts.prune(counts.word_counts(postings, True), counts.word_totals(postings), 0, s.frequent_words)
-            postings, labels = counts.prune_corpus(postings, labels, None, words)
+            postings, labels = (cut(x) for x in counts.prune_corpus(postings, labels, None, words))
         return postings, labels
 
     @cached_property
     def weighted(self) -> DataFrame:
         postings, _ = self.pruned
-        return weights.raw_weights(postings) if self.settings.weighting == "raw" else weights.weights(postings, self.settings.narrow)
+        return weights.raw_weights(postings) if self.settings.weighting == "raw" else cut(weights.weights(postings, self.settings.narrow))
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return cut(split.split_prop(self.pruned[1], self.settings.prop, self.settings.split))
 
     @cached_property
     def validation(self) -> DataFrame:
-        chosen = split.split_prop(self.pruned[1], self.settings.prop, self.settings.split)
-        return chosen if self.settings.queries < 0 else chosen.orderBy("doc_id").limit(self.settings.queries)
+        return self.chosen if self.settings.queries < 0 else self.chosen.orderBy("doc_id").limit(self.settings.queries)
 
     @cached_property
     def parts(self) -> dict[str, DataFrame]:
-        chosen = split.split_prop(self.pruned[1], self.settings.prop, self.settings.split)
-        train_w, _ = split.separate(self.weighted, chosen)
-        train_l, _ = split.separate(self.pruned[1], chosen)
+        train_w, _ = split.separate(self.weighted, self.chosen)
+        train_l, _ = split.separate(self.pruned[1], self.chosen)
         _, query_w = split.separate(self.weighted, self.validation)
         _, query_l = split.separate(self.pruned[1], self.validation)
         return {"train": train_w, "train_labels": train_l, "queries": query_w, "query_labels": query_l}
@@ -84,7 +89,7 @@ class Run:
     @cached_property
     def entries(self) -> DataFrame:
         s, p = self.settings, self.parts
-        return knn.top_k(p["queries"], p["train"], p["train_labels"], s.k, s.candidates, norm=s.norm, overlap=s.overlap, gate=s.gate, digits=s.digits)
+        return cut(knn.top_k(p["queries"], p["train"], p["train_labels"], s.k, s.candidates, norm=s.norm, overlap=s.overlap, gate=s.gate, digits=s.digits))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -92,7 +97,7 @@ class Run:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return rank.ranks(self.features, self.settings.w)
+        return cut(rank.ranks(self.features, self.settings.w))
 
     @cached_property
     def predicted(self) -> DataFrame:
@@ -108,7 +113,7 @@ class Run:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return evaluate.confusion(self.predicted_with_fallback, self.truth)
+        return cut(evaluate.confusion(self.predicted_with_fallback, self.truth))
 
     @cached_property
     def score(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +72,23 @@ def parse_edges(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("value") != "").select(F.get(pair, F.lit(0)).cast("int").alias("parent"), F.get(pair, F.lit(1)).cast("int").alias("child")).distinct()
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """Writes a table between two steps below ``spark.checkpoint.dir`` and reads it back: it is made
+    once however often later steps use it, and survives lost executors. Removed when the
+    application ends. Where no folder is set (tests on one machine), a temporary one is.
+    """
+    spark = rows.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="neargrain-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/neargrain-step-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def save(tables: dict[str, DataFrame], folder: str) -> None:
     """Writes the tables between two steps."""
     for name, rows in tables.items():
