@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step handles at once; bounds the memory of a Python worker.
 BATCH_BYTES = 2 << 20
@@ -126,3 +128,47 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum(BYTE_VALUES[data] * powers(MULTIPLIER, len(data)), dtype=np.uint64, out=prefix[1:])
     back = powers(INVERSE, len(data) + 1)
     return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+#: Hashes are counted in 2**SLOT_BITS slots: a table of one size.
+SLOT_BITS = 20
+
+
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slot_counts(texts: DataFrame, slots: Callable[[pa.Array], np.ndarray]) -> tuple[int, np.ndarray]:
+    """(rows, how often each slot is in ``slots`` of the texts), over all rows of ``texts`` (text).
+    The driver gets 2**SLOT_BITS sums, however large the input is."""
+    width = 1 << (SLOT_BITS - 8)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                total += np.bincount(slots(batch.column("text")), minlength=1 << SLOT_BITS)
+                n += batch.num_rows
+        if n:
+            parts = [zstandard.compress(total[i * width : (i + 1) * width].astype("<i8").tobytes(), 1) for i in range(256)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(256)], pa.int32()), pa.array([n, *[0] * 256], pa.int64()), pa.array([b"", *parts], pa.binary())], names=["part", "n", "body"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        n = 0
+        for batch in batches:
+            for part, more, body in zip(*(c.to_pylist() for c in batch.columns)):
+                n += more
+                if part >= 0:
+                    sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(body), "<i8")
+        if sums or n:
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *sums], pa.int32()), pa.array([n, *[0] * len(sums)], pa.int64()), pa.array([b"", *(x.tobytes() for x in sums.values())], pa.binary())], names=["part", "n", "body"])
+
+    schema = "part int, n bigint, body binary"
+    parts = texts.mapInArrow(count, schema).repartition(F.col("part")).mapInArrow(add, schema).collect()
+    total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
+    for r in parts:
+        n += r["n"]
+        if r["part"] >= 0:
+            total[r["part"] * width : (r["part"] + 1) * width] += np.frombuffer(r["body"], "<i8")
+    return n, total

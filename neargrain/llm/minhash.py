@@ -8,20 +8,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neargrain.llm.common import MULTIPLIER, buffer_of, materialise, mix, pieces, rolling, word_hashes, words_of
+from neargrain.llm.common import MULTIPLIER, SLOT_BITS, buffer_of, materialise, mix, pieces, rolling, slot_counts, slot_of, word_hashes, words_of
 from neargrain.llm.graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8**ROWS)**BANDS = 4e-5.
 BANDS, ROWS = 14, 3
-#: Document frequencies are counted in 2**SLOT_BITS slots of shingle hashes: a table of one size.
-SLOT_BITS = 20
 #: Texts of a band, and about so many bytes of them, that are compared with as many others at once.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Of BANDS * ROWS samples so many must agree before texts are fetched; a pair at the threshold
@@ -54,46 +51,14 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[first], key[first], np.diff(np.append(first, len(key)))
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
-    """(documents, in how many of them each slot has a shingle), over all rows. The driver gets
-    2**SLOT_BITS sums, however large the input is."""
-    width = 1 << (SLOT_BITS - 8)
+    """(documents, in how many of them each slot has a shingle), over all rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                row, key, _ = shingles(batch.column("text"))
-                slots = np.unique(row << SLOT_BITS | _slot(key)) & ((1 << SLOT_BITS) - 1)
-                total += np.bincount(slots, minlength=1 << SLOT_BITS)
-                n += batch.num_rows
-        if n:
-            parts = [zstandard.compress(total[i * width : (i + 1) * width].astype("<i8").tobytes(), 1) for i in range(256)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(256)], pa.int32()), pa.array([n, *[0] * 256], pa.int64()), pa.array([b"", *parts], pa.binary())], names=["part", "n", "body"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        n = 0
-        for batch in batches:
-            for part, more, body in zip(*(c.to_pylist() for c in batch.columns)):
-                n += more
-                if part >= 0:
-                    sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(body), "<i8")
-        if sums or n:
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *sums], pa.int32()), pa.array([n, *[0] * len(sums)], pa.int64()), pa.array([b"", *(x.tobytes() for x in sums.values())], pa.binary())], names=["part", "n", "body"])
-
-    schema = "part int, n bigint, body binary"
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).repartition(F.col("part")).mapInArrow(add, schema).collect()
-    total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
-    for r in parts:
-        n += r["n"]
-        if r["part"] >= 0:
-            total[r["part"] * width : (r["part"] + 1) * width] += np.frombuffer(r["body"], "<i8")
-    return n, total
+    def slots(texts: pa.Array) -> np.ndarray:
+        row, key, _ = shingles(texts)
+        return np.unique(row << SLOT_BITS | slot_of(key)) & ((1 << SLOT_BITS) - 1)
+
+    return slot_counts(docs.select(F.col(text).alias("text")), slots)
 
 
 def log_idf(n: int, counts: np.ndarray) -> np.ndarray:
@@ -107,7 +72,7 @@ def signatures(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out = np.zeros((len(texts), BANDS * ROWS), np.uint64)
     if not len(row):
         return out, np.zeros(len(texts), bool)
-    weight = np.log(count).astype(np.float32) + idf[_slot(key)]
+    weight = np.log(count).astype(np.float32) + idf[slot_of(key)]
     first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     sizes, own = np.diff(np.append(first, len(row))), row[first]
     low = np.uint64(0xFFFF)
@@ -142,7 +107,7 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     sides, sums = [], []
     for texts in (a, b):
         row, key, count = shingles(texts)
-        w = count * np.exp(idf[_slot(key)].astype(np.float64))
+        w = count * np.exp(idf[slot_of(key)].astype(np.float64))
         sides.append((row, key, w))
         sums.append(np.bincount(row, w, n))
     row, key, w = (np.concatenate(x) for x in zip(*sides))
@@ -189,7 +154,7 @@ def _joining_links(rows: pd.DataFrame, idf: np.ndarray, threshold: float) -> pd.
     def bag(at: int) -> tuple[np.ndarray, np.ndarray, float]:
         if at not in bags:
             _, key, count = shingles(pa.array([text[at]]))
-            w = count * np.exp(idf[_slot(key)].astype(np.float64))
+            w = count * np.exp(idf[slot_of(key)].astype(np.float64))
             bags[at] = key, w, float(w.sum())
         return bags[at]
 

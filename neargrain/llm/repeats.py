@@ -16,16 +16,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrain.llm.common import MULTIPLIER, buffer_of, pieces, rolling
+from neargrain.llm.common import MULTIPLIER, buffer_of, mix, pieces, powers, rolling, slot_counts, slot_of
 
 #: Hashes are dealt to 2**bits buckets, which shuffle partitions share out: at least so many bits,
 #: and four buckets for each partition.
 LEAST_BITS, MOST_BITS = 9, 20
 #: Window starts that are looked at together.
 BLOCK = 1 << 20
+#: Anchors are hot in slots with more distinct surroundings than both: this, and so many times the
+#: mean of all slots.
+HOT_LEAST, HOT_TIMES = 256, 8
 #: Stands for a null id inside the operators: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -208,6 +212,30 @@ def repeated_spots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> D
     return by_document(back, SPOT)
 
 
+def hot_slots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> Broadcast:
+    """The slots of anchors that have very many different surroundings, as bits: a table of one
+    size. Windows of such anchors are dealt by their whole content, so that no task gets them all;
+    which slots are hot alters where windows meet, never which ones are equal."""
+
+    def slots(texts: pa.Array) -> np.ndarray:
+        values, rows = symbols(*buffer_of(texts))
+        row, p, before, span, hashes = anchors(values, rows, k, length)
+        if not len(p):
+            return np.zeros(0, np.int64)
+        windows, first = rolling(values, length), rows[row] + p - before
+        around = mix(hashes + windows[first] * np.uint64(MULTIPLIER)) + windows[first + span]
+        return slot_of(hashes[np.unique(around, return_index=True)[1]])
+
+    _, counts = slot_counts(texts.select("text"), slots)
+    return texts.sparkSession.sparkContext.broadcast(np.packbits(counts > max(HOT_LEAST, HOT_TIMES * counts.mean())))
+
+
+def is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of the anchors, given as rows of k symbols, are in a hot slot."""
+    slot = slot_of(mix((grams * powers(MULTIPLIER, grams.shape[1])).sum(1, dtype=np.uint64)))
+    return (hot[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 #: A covered stretch of a document: first symbol and past the last.
 STRETCH = np.dtype([("a", "<u4"), ("b", "<u4")])
 

@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import BYTE_VALUES, MULTIPLIER, mix, pieces
-from neargrain.llm.repeats import ITEMS, NO_ID, ROWS, SPOT, STRETCH, bucket_bits, by_document, for_documents, passed_on, repeated_spots, rows_of, stretches, union
+from neargrain.llm.repeats import ITEMS, NO_ID, ROWS, SPOT, STRETCH, bucket_bits, by_document, for_documents, hot_slots, is_hot, passed_on, repeated_spots, rows_of, stretches, union
 
 LENGTH, K = 100, 40
 #: Bytes of the anchor's hash in front of a suffix; hashes make the splitters of the sort even.
@@ -142,6 +143,25 @@ class Suffixes:
             entries.append((key[: len(key) - (a - int(self.low[i]))], far[len(far) - b :], int(self.docs[i]), int(self.p[i]), a, b))
         return Suffixes.of(entries)
 
+    def split(self, hot: np.ndarray, length: int, k: int) -> "Suffixes":
+        """Entries of hot anchors become one entry for each window, with the hash of the whole
+        window in front."""
+        if not self.keys:
+            return self
+        grams = np.frombuffer(b"".join([x[HEAD : HEAD + k] for x in self.keys]), np.uint8).reshape(-1, k)
+        many = is_hot(BYTE_VALUES[grams], hot)
+        if not many.any():
+            return self
+        entries = []
+        for each, key, left, doc, p, low, high in zip(many.tolist(), self.keys, self.lefts, self.docs.tolist(), self.p.tolist(), self.low.tolist(), self.high.tolist()):
+            if not each:
+                entries.append((key, left, doc, p, low, high))
+                continue
+            for o in range(low, high + 1):
+                right, far = key[HEAD : HEAD + length - o], left[len(left) - o :]
+                entries.append((xxhash.xxh64_digest(far + right) + right, far, doc, p, o, o))
+        return Suffixes.of(entries)
+
     @staticmethod
     def of(entries: list[tuple]) -> "Suffixes":
         """Sorts (key, left, document, place, lowest and highest offset)."""
@@ -184,7 +204,7 @@ def _merged(runs: list[Suffixes]) -> Suffixes:
     return Suffixes([runs[r].keys[i] for r, i, _ in order], [s for _, _, s in order], [runs[r].lefts[i] for r, i, _ in order], *(np.concatenate([getattr(r, name) for r in runs])[at] for name in ("docs", "p", "low", "high")))
 
 
-def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
     """Sorts the sampled suffixes of each chunk, settles what repeats within it, and deals the
     suffixes that still have windows to settle to buckets, as front-coded runs."""
     for whole in batches:
@@ -204,7 +224,7 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: i
             covered = run.settle(length, k)
             if covered.any():
                 yield for_documents(*stretches(covered, run.docs, run.p, length), bits)
-            run = run.open(covered)
+            run = run.open(covered).split(hot.value, length, k)
             bucket = np.array([int.from_bytes(key[:4]) >> (32 - bits) for key in run.keys], np.int64)
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
             ends = np.append(edges[1:], len(bucket))
@@ -259,15 +279,19 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "do
     merges the runs without comparing known prefixes again. Neighbours in suffix order then tell,
     for every offset of a window to its anchor, which windows are equal and where they start first.
 
+    Anchors with very many different surroundings are found first, by a count in a table of one
+    size; their windows are dealt by the whole window, so no task gets all of such an anchor.
     A chunk sends an anchor, and a window, once, however often it has it, so copies don't gather
     in one task. Null texts are empty; texts under ``length`` bytes stay whole. Null ids count as
     one id after all others. A repeated row (same id and text) is the same document and gets
     equal results. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spots = repeated_spots(rows, lambda data, offsets: (BYTE_VALUES[data], offsets), k, length)
+    symbols = lambda data, offsets: (BYTE_VALUES[data], offsets)
+    hot = hot_slots(rows, symbols, k, length)
+    spots = repeated_spots(rows, symbols, k, length)
     bits = bucket_bits(docs.sparkSession)
-    runs = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _sorted_runs(b, length, k, bits), ROWS)
+    runs = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _sorted_runs(b, length, k, bits, hot), ROWS)
     found = runs.repartition(F.col("bucket")).mapInArrow(lambda b: _merge(b, length, k, bits), ITEMS)
     parts = by_document(found, STRETCH)
     return rows.join(parts, "doc_id", "left").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<bigint>")

@@ -16,7 +16,8 @@ from hypothesis import strategies as st
 from oracle import assert_same
 from tokenizers import Tokenizer
 
-from neargrain.llm import exact, licenses, packing, queries, substring, suffix
+from neargrain.llm import exact, licenses, packing, queries, repeats, substring, suffix
+from neargrain.llm.common import BYTE_VALUES
 
 ASCII_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -168,6 +169,37 @@ def test_patchworks(spark, seed):
     check_bytes(suffix.remove_repeated_bytes(table).collect(), docs)
 
 
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+
+
+def common_line(n: int) -> list[tuple[int, str]]:
+    """Texts with one line in common, between others; every third text is much like the one before."""
+    line = prose(99, 14)
+    return [(i, f"{prose(1000 + i - (i % 3 == 2), 30)} {line} {prose(3000 + i, 30)}") for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bytes_with_hot_anchors(spark, seed, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_LEAST", seed)
+    docs = common_line(60) if seed == 2 else patchwork(seed, 60)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    check_bytes(suffix.remove_repeated_bytes(table).collect(), docs)
+
+
+def test_hot_slots_are_those_of_common_lines(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_LEAST", 20)
+    symbols = lambda data, offsets: (BYTE_VALUES[data], offsets)
+    table = spark.createDataFrame(common_line(60), "doc_id bigint, text string").repartition(3)
+    hot = repeats.hot_slots(table, symbols, suffix.K, suffix.LENGTH).value
+    line = BYTE_VALUES[np.frombuffer(prose(99, 14).encode(), np.uint8)]
+    grams = np.lib.stride_tricks.sliding_window_view(line, suffix.K)
+    assert 0 < repeats.is_hot(grams, hot).sum() == np.unpackbits(hot).sum()
+    other = spark.createDataFrame([(i, prose(i, 70)) for i in range(60)], "doc_id bigint, text string")
+    assert not repeats.hot_slots(other, symbols, suffix.K, suffix.LENGTH).value.any()
+
+
 def test_repeats_in_odd_rows(spark, odd, none):
     rows = one_id(odd)
     check_passages(substring.remove_repeated_passages(rows).collect(), texts_of(rows))
