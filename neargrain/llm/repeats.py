@@ -27,9 +27,10 @@ from neargrain.llm.common import MULTIPLIER, buffer_of, mix, pieces, powers, rol
 LEAST_BITS, MOST_BITS = 9, 20
 #: Window starts that are looked at together.
 BLOCK = 1 << 20
-#: Anchors are hot in slots with more distinct surroundings than both: this, and so many times the
-#: mean of all slots.
-HOT_LEAST, HOT_TIMES = 256, 8
+#: Anchors are hot in slots with more surroundings (equal ones of a chunk count once) than both:
+#: what a task holds with ease, about 10 MB, and so many times the mean of all slots. Each window
+#: of a hot anchor is sent by itself, so cold ones had better not be split.
+HOT_LEAST, HOT_TIMES = 1 << 16, 8
 #: Stands for a null id inside the operators: after all others.
 NO_ID = (1 << 63) - 1
 
