@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import pieces, word_hashes, words_of
-from neargrain.llm.repeats import ITEMS, NO_ID, ROWS, SPOT, STRETCH, bucket_bits, by_document, for_documents, passed_on, repeated_spots, rows_of, union
+from neargrain.llm.repeats import ITEMS, NO_ID, ROWS, SPOT, STRETCH, bucket_bits, by_document, for_documents, hot_slots, is_hot, passed_on, repeated_spots, rows_of, union
 
 LENGTH, K = 20, 10
 #: Words of passages that one automaton holds; a group of passages with one anchor stays together.
@@ -128,7 +129,27 @@ def _collapse(entries: list[tuple], length: int) -> tuple[list[tuple], list[int]
     return kept, docs, found
 
 
-def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _split(entries: list[tuple], hot: np.ndarray, length: int, k: int) -> list[tuple]:
+    """Passages around hot anchors become one entry for each window, with the hash of the whole
+    window in place of the anchor's."""
+    if not entries:
+        return entries
+    split = [passage.split() for _, _, _, passage, _, _ in entries]
+    grams = b" ".join(w for words, e in zip(split, entries) for w in words[e[1] : e[1] + k])
+    values, _ = _word_symbols(np.frombuffer(grams, np.uint8), np.array([0, len(grams)]))
+    out = []
+    for many, words, e in zip(is_hot(values.reshape(-1, k), hot).tolist(), split, entries):
+        if not many:
+            out.append(e)
+            continue
+        _, before, span, _, doc, p = e
+        for i in range(span + 1):
+            window = b" ".join(words[i : i + length])
+            out.append((xxhash.xxh64_digest(window), before - i, 0, window, doc, p))
+    return out
+
+
+def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
     """Cuts out the passages around repeated anchors and deals them to buckets; of passages that
     a chunk has several times, the first."""
     for whole in batches:
@@ -145,6 +166,8 @@ def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int)
             if not entries:
                 continue
             kept, docs, found = _collapse(entries, length)
+            kept, more_docs, more = _collapse(_split(kept, hot.value, length, k), length)
+            docs, found = docs + more_docs, found + more
             if docs:
                 yield _covered(docs, found, bits)
             buckets: dict[int, list] = {}
@@ -228,15 +251,18 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", doc_id: str =
     suffix automata of the shards' passages give matching statistics, and spans of at least
     ``length`` words with an earlier place are removed.
 
+    Anchors with very many different surroundings are found first, by a count in a table of one
+    size; their windows are dealt by the whole window, so no task gets all of such an anchor.
     Of equal passages a chunk sends one, so copies don't gather in one task. Null texts have no
     words; null ids count as one id after all others; a repeated row (same id and text) is the
     same document and gets equal results. Other columns are ignored; an empty table gives an
     empty result.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    hot = hot_slots(rows, _word_symbols, k, length)
     spots = repeated_spots(rows, _word_symbols, k, length)
     bits = bucket_bits(docs.sparkSession)
-    passages = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _passages(b, length, k, bits), ROWS)
+    passages = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _passages(b, length, k, bits, hot), ROWS)
     found = passages.repartition(F.col("bucket")).mapInArrow(lambda b: _match(b, length, bits), ITEMS)
     parts = by_document(found, STRETCH)
     return rows.join(parts, "doc_id", "left").mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<bigint>")

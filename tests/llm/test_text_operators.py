@@ -188,6 +188,14 @@ def test_bytes_with_hot_anchors(spark, seed, monkeypatch):
     check_bytes(suffix.remove_repeated_bytes(table).collect(), docs)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_with_hot_anchors(spark, seed, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_LEAST", seed)
+    docs = common_line(60) if seed == 2 else patchwork(seed, 60)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    check_passages(substring.remove_repeated_passages(table).collect(), docs)
+
+
 def test_hot_slots_are_those_of_common_lines(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_LEAST", 20)
     symbols = lambda data, offsets: (BYTE_VALUES[data], offsets)
