@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import MULTIPLIER, SLOT_BITS, buffer_of, materialise, mix, pieces, rolling, slot_counts, slot_of, word_hashes, words_of
 from neargrain.llm.graph import components
+from neargrain.llm.repeats import ITEMS, bucket_bits, by_document, for_documents
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -101,15 +103,10 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
     return total
 
 
-def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of texts pair by pair; 1 for two texts without words."""
-    n = len(a)
-    sides, sums = [], []
-    for texts in (a, b):
-        row, key, count = shingles(texts)
-        w = count * np.exp(idf[slot_of(key)].astype(np.float64))
-        sides.append((row, key, w))
-        sums.append(np.bincount(row, w, n))
+def _jaccard(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of n pairs, given as (pair, hash, weight) of both sides; 1 for
+    two without shingles."""
+    sums = [np.bincount(row, w, n) for row, _, w in sides]
     row, key, w = (np.concatenate(x) for x in zip(*sides))
     order = np.lexsort((key, row))
     row, key, w = row[order], key[order], w[order]
@@ -119,25 +116,134 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     return np.where(either > 0, shared / np.where(either > 0, either, 1), 1.0)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of ids those whose texts are as similar as asked."""
+def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Similarity of texts pair by pair with the weights of a table of slots."""
+    sides = []
+    for texts in (a, b):
+        row, key, count = shingles(texts)
+        sides.append((row, key, count * np.exp(idf[slot_of(key)].astype(np.float64))))
+    return _jaccard(sides, len(a))
+
+
+# ---------------------------------------------------------------- exact document frequencies
+
+#: A shingle of a text: its hash, how often the text has it, and how many rows have it.
+TERM = np.dtype([("key", "<u8"), ("tf", "<u4"), ("df", "<u4")])
+#: Terms that are sent back to their texts together.
+TOGETHER = 1 << 20
+
+
+def _packed(key: np.ndarray, count: np.ndarray, node: np.ndarray) -> bytes:
+    """Shingles sorted by hash with a count each and, of texts that ask, their nodes."""
+    gaps = np.diff(key, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return struct.pack("<IB", len(key), len(node) > 0) + zstandard.compress(gaps.tobytes() + count.astype("<u4").tobytes() + node.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, asks = struct.unpack_from("<IB", body)
+    raw = zstandard.decompress(body[5:])
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
+    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(raw, "<u4", n, 8 * n), np.frombuffer(raw, "<i8", n if asks else 0, 12 * n)
+
+
+def _shingles_sent(batches: Iterator[pa.RecordBatch], bits: int, asks: bool) -> Iterator[pa.RecordBatch]:
+    """Of each chunk of texts, to the buckets of the hashes: the distinct shingles and how many
+    rows have each; of texts that ask for frequencies, the shingles of each with its node."""
+    for whole in batches:
+        for batch in pieces(whole, "text"):
+            row, key, count = shingles(batch.column("text"))
+            if not len(key):
+                continue
+            if asks:
+                order = np.argsort(key, kind="stable")
+                key, count, node = key[order], count[order], batch.column("node").to_numpy()[row[order]]
+            else:
+                key, count = np.unique(key, return_counts=True)
+                node = np.zeros(0, np.int64)
+            bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            ends = np.append(edges[1:], len(key))
+            body = [_packed(key[a:b], count[a:b], node[a:b]) for a, b in zip(edges, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Of a partition of buckets: to the texts that ask, their shingles with frequencies."""
+    packed: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
+            packed.setdefault(bucket, []).append(body)
+    nodes, terms = [], []
+    for bucket in sorted(packed):
+        parts = [_unpacked(body) for body in packed.pop(bucket)]
+        asked = [x for x in parts if len(x[2])]
+        if asked:
+            key, tf, node = (np.concatenate(x) for x in zip(*asked))
+            every, rows = (np.concatenate(x) for x in zip(*((k, c) for k, c, own in parts if not len(own))))
+            order = np.argsort(every, kind="stable")
+            every, rows = every[order], rows[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            out = np.empty(len(key), TERM)
+            out["key"], out["tf"] = key, tf
+            out["df"] = np.add.reduceat(rows, first)[np.searchsorted(every[first], key)]
+            nodes.append(node)
+            terms.append(out)
+        if nodes and (not packed or sum(map(len, nodes)) >= TOGETHER):
+            yield for_documents(np.concatenate(nodes), np.concatenate(terms), bits).select(["bucket", "body"])
+            nodes, terms = [], []
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bags = []
+        for items in batch.column("items").to_pylist():
+            terms = np.sort(np.frombuffer(items, TERM), order="key")
+            bags.append(zstandard.compress(b"".join(np.ascontiguousarray(terms[c]).tobytes() for c in TERM.names), 1))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags, pa.binary())], names=["node", "bag"])
+
+
+def bags_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, bag): the shingles of texts ``asked`` (node, text), each text one of ``rows`` (text),
+    with exact frequencies over all rows. A chunk sends a shingle once, however many of its rows
+    have it; nothing is gathered or broadcast."""
+    bits = bucket_bits(rows.sparkSession)
+    every = rows.select("text").mapInArrow(lambda b: _shingles_sent(b, bits, False), ITEMS)
+    asking = asked.select("node", "text").mapInArrow(lambda b: _shingles_sent(b, bits, True), ITEMS)
+    found = every.unionByName(asking).repartition(F.col("bucket")).mapInArrow(lambda b: _counted(b, bits), ITEMS)
+    return by_document(found, TERM).mapInArrow(_bags, "node bigint, bag binary")
+
+
+def weighed(bag: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, weights) of a bag, among n rows."""
+    raw = zstandard.decompress(bag)
+    size = len(raw) // TERM.itemsize
+    tf, df = np.frombuffer(raw, "<u4", size, 8 * size), np.frombuffer(raw, "<u4", size, 12 * size)
+    return np.frombuffer(raw, "<u8", size), tf * (1 + np.log((1 + n) / (1 + df.astype(np.float64))))
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose texts are as similar as asked."""
+
+    def side(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, weights = zip(*(weighed(x, n) for x in bodies.to_pylist()))
+        return np.repeat(np.arange(len(keys)), [len(x) for x in keys]), np.concatenate(keys), np.concatenate(weights)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for half in pieces(whole, "a_text", 1 << 20):
-                for batch in pieces(half, "b_text", 1 << 20):
-                    s = similarities(batch.column("a_text"), batch.column("b_text"), idf.value)
+            for half in pieces(whole, "a_bag", 1 << 20):
+                for batch in pieces(half, "b_bag", 1 << 20):
+                    s = _jaccard([side(batch.column("a_bag")), side(batch.column("b_bag"))], batch.num_rows)
                     yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    rows = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
+    with_b = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("b_bag")), "b")
+    rows = with_b.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("a_bag")), "a").select("a", "b", "a_bag", "b_bag")
     return rows.mapInArrow(check, "a bigint, b bigint, similarity double").filter(F.col("similarity") >= threshold)
 
 
 _LINKS = "a bigint, b bigint"
 
 
-def _joining_links(rows: pd.DataFrame, idf: np.ndarray, threshold: float) -> pd.DataFrame:
+def _joining_links(rows: pd.DataFrame, n_rows: int, threshold: float) -> pd.DataFrame:
     """Verified links that join classes, between two blocks of a band (or within one).
 
     Texts of another class than the band's leader are compared with all others by their samples;
@@ -147,14 +253,13 @@ def _joining_links(rows: pd.DataFrame, idf: np.ndarray, threshold: float) -> pd.
     """
     n, slot, within = len(rows), int(rows["slot"].iloc[0]), rows["i"].iloc[0] == rows["j"].iloc[0]
     x = np.frombuffer(b"".join(rows["samples"]), "<u4").reshape(n, -1)
-    node, text, block, apart = (rows[c].to_numpy() for c in ("node", "text", "block", "apart"))
+    node, packed, block, apart = (rows[c].to_numpy() for c in ("node", "bag", "block", "apart"))
     root = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
     bags: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
 
     def bag(at: int) -> tuple[np.ndarray, np.ndarray, float]:
         if at not in bags:
-            _, key, count = shingles(pa.array([text[at]]))
-            w = count * np.exp(idf[slot_of(key)].astype(np.float64))
+            key, w = weighed(packed[at], n_rows)
             bags[at] = key, w, float(w.sum())
         return bags[at]
 
@@ -187,8 +292,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     weighted Jaccard similarity of at least ``threshold``, in classes of connected links.
 
     ``copy_of`` is the smallest id with the same text; ``class_id`` the smallest id of the class;
-    ``kept`` marks the one that stays. Weights are term counts by inverse document frequency;
-    frequencies are counted over all rows in a table of one size, by slots of shingle hashes.
+    ``kept`` marks the one that stays. Weights are term counts by inverse document frequency over
+    all rows. Samples take frequencies from a table of one size, by slots of shingle hashes; what
+    is verified has the exact frequency of each shingle, from an exchange of hashes.
     Every row is sampled in one pass; copies of a text are then one node. Texts that share a band
     are linked to the smallest in it if their similarity is verified. Texts that stay in another
     class than the smallest of a band are compared with all of that band, in blocks of a bounded
@@ -226,8 +332,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     in_bands = materialise(banded.join(shared, "band"), "bands")
     pairs = in_bands.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     involved = in_bands.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialise(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = materialise(_verified(pairs, texts, idf, threshold), "verified")
+    texts = rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bags = materialise(bags_of(rows, texts.withColumnRenamed("doc_id", "node")), "bags")
+    links = materialise(_verified(pairs, bags, n, threshold), "verified")
     classes = materialise(components(links), "classes")
 
     # Bands where a text is in another class than the leader: blocks of a bounded size are
@@ -239,10 +346,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
     bands = labelled.groupBy("band").agg(blocks.alias("blocks"), F.count("*").alias("n"), F.count_if("apart").alias("n_apart")).filter("n_apart > 0 and n > 2")
     dealt = labelled.join(bands.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(nodes.select(F.col("doc_id").alias("node"), "samples"), "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    dealt = dealt.join(nodes.select(F.col("doc_id").alias("node"), "samples"), "node").join(bags, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "node", "component", "apart", "block", "samples", "text")
-    added = dealt.groupBy("band", "i", "j").applyInPandas(lambda rows: _joining_links(rows, idf.value, threshold), _LINKS)
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "node", "component", "apart", "block", "samples", "bag")
+    added = dealt.groupBy("band", "i", "j").applyInPandas(lambda rows: _joining_links(rows, n, threshold), _LINKS)
     added = materialise(added, "joining")
     if not added.isEmpty():
         classes = components(links.select("a", "b").unionByName(added))

@@ -125,6 +125,19 @@ def test_near_classes_of_odd_rows(spark, odd, none):
     assert minhash.near_duplicates(none).count() == minhash.drop_near_duplicates(none).count() == 0
 
 
+def test_verified_with_exact_frequencies(spark, monkeypatch):
+    """Slots as full as those of a large input: only exact frequencies tell a template from copies."""
+    template = " ".join(f"t{i}" for i in range(94))
+    docs = {i: f"{template} " + " ".join(f"o{i}x{j}" for j in range(10)) for i in range(20)}
+    docs |= {20 + i: " ".join(f"a{i}x{j}" for j in range(60)) for i in range(18)}
+    docs |= {40: docs[3] + " end", 41: docs[20] + " end"}
+    monkeypatch.setattr(minhash, "document_frequencies", lambda rows: (rows.count(), np.full(1 << minhash.SLOT_BITS, 10**6)))
+    table = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4)
+    found = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table).collect()}
+    assert found == {**{i: i for i in docs}, 40: 3, 41: 20}
+    check_classes(found, docs)
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     import pyarrow as pa
 
