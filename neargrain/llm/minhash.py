@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import MULTIPLIER, SLOT_BITS, buffer_of, materialise, mix, pieces, rolling, slot_counts, slot_of, word_hashes, words_of
@@ -287,6 +287,10 @@ def _joining_links(rows: pd.DataFrame, n_rows: int, threshold: float) -> pd.Data
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, copy_of, class_id, kept of every row: texts whose TF-IDF five-word shingles have a
     weighted Jaccard similarity of at least ``threshold``, in classes of connected links.
@@ -303,9 +307,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stay in different classes.
 
     Texts without words (null, empty, blank) are near-duplicates only as copies; null counts as
-    empty. Rows with a null id are in no class: class_id is null and they are kept. Repeated rows
-    (same id and text) count as one document and come out each. Other columns are ignored.
+    empty. Rows with a null id are in no class: class_id is null and they are kept. A document is
+    an id with a text: repeated rows count as one and come out each; of an id with several texts
+    each text is a document of its own, so classes may share a class_id, and of the documents in a
+    class that have its smallest id one is kept. Other columns are ignored.
     """
+    return _classified(docs, text, doc_id, threshold).select("doc_id", "copy_of", "class_id", "kept")
+
+
+def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
+    """near_duplicates with the digest of each row's text, null for rows with a null id. Nodes are
+    texts, whichever ids they have."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n, counts = document_frequencies(rows)
     idf = docs.sparkSession.sparkContext.broadcast(log_idf(n, counts))  # 2**SLOT_BITS floats
@@ -319,21 +331,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 sizes = pc.cast(pc.binary_length(batch.column("text")), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), sizes, keys, packed], names=["doc_id", "digest", "size", "bands", "samples"])
 
-    sampled = rows.filter("doc_id is not null").withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    sampled = rows.filter("doc_id is not null").withColumn("digest", _digest("text"))
     sampled = materialise(sampled.mapInArrow(sample, "doc_id bigint, digest binary, size bigint, bands array<bigint>, samples binary"), "samples")
-    # Written, so that the join below can split a digest that very many rows have.
-    copies = materialise(sampled.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "digests")
-    members = sampled.select("doc_id", "digest").join(copies, "digest").select("doc_id", "copy_of").distinct()
-    members = materialise(members, "copies")
-    # One node per text; its bands and samples are those of any copy.
-    nodes = sampled.join(members.filter("doc_id = copy_of").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = nodes.select(F.col("doc_id").alias("node"), "size", F.posexplode("bands").alias("slot", "band"))
+    # Written, so that nodes keep their numbers and the last join can split a digest that very many rows have.
+    copies = sampled.groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
+    copies = materialise(copies.withColumn("node", F.monotonically_increasing_id()), "digests")
+    # Bands and samples of a node are those of any copy; joined by id too, so copies don't gather.
+    first = copies.select("digest", F.col("copy_of").alias("doc_id"), "node")
+    nodes = sampled.join(first, ["digest", "doc_id"]).dropDuplicates(["node"])
+    banded = nodes.select("node", "size", F.posexplode("bands").alias("slot", "band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     in_bands = materialise(banded.join(shared, "band"), "bands")
     pairs = in_bands.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    involved = in_bands.select(F.col("node").alias("doc_id")).distinct()
-    texts = rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bags = materialise(bags_of(rows, texts.withColumnRenamed("doc_id", "node")), "bags")
+    involved = first.join(in_bands.select("node").distinct(), "node")
+    texts = rows.withColumn("digest", _digest("text")).join(involved, ["digest", "doc_id"]).dropDuplicates(["node"])
+    bags = materialise(bags_of(rows, texts), "bags")
     links = materialise(_verified(pairs, bags, n, threshold), "verified")
     classes = materialise(components(links), "classes")
 
@@ -346,20 +358,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
     bands = labelled.groupBy("band").agg(blocks.alias("blocks"), F.count("*").alias("n"), F.count_if("apart").alias("n_apart")).filter("n_apart > 0 and n > 2")
     dealt = labelled.join(bands.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(nodes.select(F.col("doc_id").alias("node"), "samples"), "node").join(bags, "node")
+    dealt = dealt.join(nodes.select("node", "samples"), "node").join(bags, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "node", "component", "apart", "block", "samples", "bag")
     added = dealt.groupBy("band", "i", "j").applyInPandas(lambda rows: _joining_links(rows, n, threshold), _LINKS)
     added = materialise(added, "joining")
     if not added.isEmpty():
         classes = components(links.select("a", "b").unionByName(added))
-    found = members.join(classes.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
-    found = found.select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
-    out = rows.select("doc_id").join(found, "doc_id", "left")
-    return out.select("doc_id", "copy_of", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    labelled = copies.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = materialise(labelled.select("component", "digest", "copy_of"), "nodes")
+    leads = labelled.groupBy("component").agg(F.min(F.struct("copy_of", "digest")).alias("lead"))
+    found = labelled.join(leads, "component").select("digest", "copy_of", "lead")
+    found = sampled.select("doc_id", "digest").join(found, "digest")
+    kept = F.struct(F.col("doc_id").alias("copy_of"), "digest") == F.col("lead")
+    found = found.select("doc_id", "digest", "copy_of", F.col("lead.copy_of").alias("class_id"), kept.alias("kept"))
+    apart = rows.filter("doc_id is null").selectExpr("doc_id", "cast(null as binary) digest", "cast(null as bigint) copy_of", "cast(null as bigint) class_id", "true kept")
+    return found.unionByName(apart)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one for each class stays."""
-    found = near_duplicates(docs, text, doc_id, threshold).filter("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(found, doc_id, "left_anti")
+    """The rows of ``docs``, all columns, of which one document for each class stays."""
+    gone = _classified(docs, text, doc_id, threshold).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    marked = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__own", _digest("__text"))
+    return marked.join(gone, (F.col(doc_id).cast("bigint") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_anti").drop("__text", "__own")

@@ -138,6 +138,19 @@ def test_verified_with_exact_frequencies(spark, monkeypatch):
     check_classes(found, docs)
 
 
+def test_near_classes_of_an_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    docs = [(1, a), (2, a + " end"), (2, b), (2, b), (3, b + " end"), (4, c), (4, c + " end"), (None, c)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = sorted(tuple(r) for r in minhash.near_duplicates(table).filter("doc_id is not null").collect())
+    classes = Counter((i, copy, group) for i, copy, group, _ in found)
+    assert classes == {(1, 1, 1): 1, (2, 2, 1): 1, (2, 2, 2): 2, (3, 3, 2): 1, (4, 4, 4): 2}
+    assert Counter((i, kept) for i, _, _, kept in found) == {(1, True): 1, (2, True): 2, (2, False): 1, (3, False): 1, (4, True): 1, (4, False): 1}
+    kept = Counter(map(tuple, minhash.drop_near_duplicates(table).collect()))
+    last = next(t for i, t in kept if i == 4)
+    assert kept == {(1, a): 1, (2, b): 2, (4, last): 1, (None, c): 1}
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     import pyarrow as pa
 
