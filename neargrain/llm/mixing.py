@@ -81,8 +81,10 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     passes over the source and then the first permuted blocks, up to the document in which the
     target is reached, of which it takes the words still missing. So a source's total is its
     target rounded to a word, and no document gives more than ceil(most) times its size. The
-    blocks are dealt to output shards by a splitting tree with exact quotas; a shard's draw is a
-    run of permuted blocks that no other shard has, and ``place`` shuffles it locally.
+    blocks that the last pass draws are dealt to output shards by a splitting tree with exact
+    quotas, the others by a second one, so every pass over a source lies over all shards; a
+    shard's draws are runs of permuted blocks that no other shard has, and ``place`` shuffles
+    them locally.
 
     Nothing is gathered but one row per source. Statistics are summed per block before they are
     shuffled, so a source may hold any part of the rows. Empty texts have size 0 and give 0
@@ -101,10 +103,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     sizes = [r["size"] for r in rows]
     share = [float(weights[i % len(weights)]) for i in range(len(rows))]
     targets = fill(sizes, share, float(sum(sizes)), most)
-    quotas = np.array([max(1, r["n"]) for r in rows], np.int64)
-    starts = split_quotas(quotas, shards, seed) if rows else np.zeros((shards + 1, 0), np.int64)
-    table = [(r["key"], int(r["size"]), float(t), int(np.floor(t + 0.5)), [int(x) for x in starts[1:, i]]) for i, (r, t) in enumerate(zip(rows, targets))]
-    plan = spark.createDataFrame(table, "key string, source_size bigint, target double, goal bigint, ends array<bigint>")
+    table = [(r["key"], int(r["size"]), float(t), int(np.floor(t + 0.5))) for r, t in zip(rows, targets)]
+    plan = spark.createDataFrame(table, "key string, source_size bigint, target double, goal bigint")
 
     # A source's blocks in permuted order: at most ``blocks`` rows in a window.
     order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1), "key", "block"), "block")
@@ -116,8 +116,18 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         passes.alias("passes"),
         # Words of the last pass that fall in this block.
         F.greatest(F.lit(0), F.least("block_size", F.col("goal") - passes * F.col("source_size") - F.coalesce("before", F.lit(0)))).alias("part"),
-        F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"),
     )
+    ranked = materialise(ranked, "ranked")
+    # Blocks that the last pass draws, and the others, are split apart: so each pass lies over all shards.
+    last = F.col("part") > 0
+    counts = {r["key"]: (r["last"], r["others"]) for r in ranked.groupBy("key").agg(F.count_if(last).alias("last"), F.count_if(~last).alias("others")).collect()}
+    quotas = np.array([counts[r["key"]] for r in rows], np.int64).reshape(-1, 2)
+    ends = [split_quotas(quotas[:, i], shards, seed + i)[1:] for i in range(2)] if rows else []
+    layout = spark.createDataFrame([(r["key"], *(x[:, i].tolist() for x in ends)) for i, r in enumerate(rows)], "key string, last_ends array<bigint>, other_ends array<bigint>")
+    ranked = ranked.join(F.broadcast(layout), "key") if len(table) <= 50_000 else ranked.join(layout, "key")
+    among = F.row_number().over(Window.partitionBy("key", last).orderBy("rank")) - 1
+    ranked = ranked.withColumn("among", among).withColumn("ends", F.when(last, F.col("last_ends")).otherwise(F.col("other_ends")))
+    ranked = ranked.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("among")))).drop("last_ends", "other_ends", "among", "ends")
     # Within the one block of a source that the last pass cuts, documents in hashed order.
     joined = sized.join(ranked, ["key", "block"])
     cut = joined.filter("part > 0 and part < block_size")

@@ -360,6 +360,20 @@ def test_mixture_is_laid_out_by_shards(spark, data):
         assert len(ids) < 20 or ids != sorted(ids)
 
 
+def test_shards_hold_the_target_mixture(spark):
+    """Every shard of eight has each source near its share, also of sources that are cut down."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "'one two three four five' as text", "concat('s', id % 3) as source")
+    sources = {r["doc_id"]: r["source"] for r in docs.collect()}
+    words = defaultdict(Counter)
+    for r in mixing.mix(docs, shards=8).collect():
+        for c in range(r["epochs"] + (r["rest"] > 0)):
+            words[(r["shard"] + c) % 8][sources[r["doc_id"]]] += r["size"] if c < r["epochs"] else r["rest"]
+    assert sum(sum(own.values()) for own in words.values()) == 30_000
+    for own in words.values():
+        for source, share in (("s0", 5 / 8), ("s1", 2 / 8), ("s2", 1 / 8)):
+            assert abs(own[source] / sum(own.values()) - share) < 0.07, (source, words)
+
+
 @pytest.mark.parametrize("sizes, weights, expected", [([100, 100, 100], [5, 2, 1], [187.5, 75, 37.5]), ([10, 100, 100], [5, 2, 1], [30, 120, 60]), ([0, 50], [5, 2], [0, 50]), ([0, 0], [1, 1], [0, 0])])
 def test_targets(sizes, weights, expected):
     assert mixing.fill(sizes, weights, float(sum(sizes)), 3.0) == pytest.approx(expected)
