@@ -111,8 +111,12 @@ class Scanner:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([max(a, 0), b])
-            for a, b in merged:
-                for m in self.patterns[i].finditer(text, a, min(b, len(text))):
+            left = [(a, min(b, len(text))) for a, b in merged]
+            while left:  # the best match of a window, then what is on both sides of it
+                a, b = left.pop()
+                m = self.patterns[i].search(text, a, b)
+                if m:
+                    left += [(a, m.start()), (m.end(), b)]
                     errors = sum(m.fuzzy_counts)
                     matches.add((m.end() - len(m.group().lstrip(" ")), len(m.group().split()), label, errors))
                     score = max(score, 1 - errors / len(notice))

@@ -353,5 +353,25 @@ def test_seeds_lose_no_match():
             assert any(found == x and plain.edit_distance(words, y) <= licenses.allowed(y) for y, x in licenses.NOTICES), (words, found, errors)
 
 
+def test_neighbouring_notices():
+    """Every one of several notices in a row is found, however its errors compare with the others'."""
+    scanner = licenses.Scanner()
+    assert [s[3] for s in scanner.scan(" licensed under the mit licence xx licensed under the mit license yy ")[1]] == [1, 0]
+    r = random.Random(8)
+    for notice, label in licenses.NOTICES:
+        words, planted = [], []
+        for _ in range(6):
+            chars = list(notice)
+            for at in r.sample([i for i, c in enumerate(chars) if c != " "], r.randrange(licenses.allowed(notice) + 1)):
+                chars[at] = "9"
+            planted.append((len(words), len(words) + len(notice.split()), "".join(chars)))
+            words += ["".join(chars), *["qqqqqq"] * 9]
+            words = " ".join(words).split()
+        spans = [s for s in scanner.scan(f" {' '.join(words)} ")[1] if s[2] == label]
+        for a, b, damaged in planted:
+            errors = plain.edit_distance(damaged, notice)
+            assert any((s[0], s[1]) == (a, b) and s[3] <= errors for s in spans), (notice, damaged, spans)
+
+
 def plain_filler(r: random.Random) -> list[str]:
     return [r.choice(["the", "public", "license", "of", "use", "rights", "q7"]) for _ in range(r.randrange(12))]
