@@ -131,40 +131,60 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
 TERM = np.dtype([("key", "<u8"), ("tf", "<u4"), ("df", "<u4")])
 #: Terms that are sent back to their texts together.
 TOGETHER = 1 << 20
+#: Shingles of rows that are counted together before they are sent (8 bytes each).
+AT_ONCE = 1 << 22
 
 
 def _packed(key: np.ndarray, count: np.ndarray, node: np.ndarray) -> bytes:
-    """Shingles sorted by hash with a count each and, of texts that ask, their nodes."""
-    gaps = np.diff(key, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return struct.pack("<IB", len(key), len(node) > 0) + zstandard.compress(gaps.tobytes() + count.astype("<u4").tobytes() + node.astype("<i8").tobytes(), 1)
+    """Shingles sorted by hash with a count each and, of texts that ask, their nodes. Gaps go byte
+    by byte: the lower ones are random, the upper ones compress."""
+    gaps = np.ascontiguousarray(np.diff(key, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    rest = gaps[5:].tobytes() + count.astype("<u4").tobytes() + node.astype("<i8").tobytes()
+    return struct.pack("<IB", len(key), len(node) > 0) + gaps[:5].tobytes() + zstandard.compress(rest, 1)
 
 
 def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, asks = struct.unpack_from("<IB", body)
-    raw = zstandard.decompress(body[5:])
-    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(raw, "<u4", n, 8 * n), np.frombuffer(raw, "<i8", n if asks else 0, 12 * n)
+    rest = zstandard.decompress(body[5 + 5 * n :])
+    gaps = np.frombuffer(body[5 : 5 + 5 * n] + rest[: 3 * n], np.uint8).reshape(8, n)
+    keys = np.cumsum(np.ascontiguousarray(gaps.T).view("<u8").ravel(), dtype=np.uint64)
+    return keys, np.frombuffer(rest, "<u4", n, 3 * n), np.frombuffer(rest, "<i8", n if asks else 0, 7 * n)
 
 
-def _shingles_sent(batches: Iterator[pa.RecordBatch], bits: int, asks: bool) -> Iterator[pa.RecordBatch]:
-    """Of each chunk of texts, to the buckets of the hashes: the distinct shingles and how many
-    rows have each; of texts that ask for frequencies, the shingles of each with its node."""
+def _dealt(key: np.ndarray, count: np.ndarray, node: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Shingles sorted by hash, packed for the buckets of the hashes."""
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    body = [_packed(key[a:b], count[a:b], node[a:b]) for a, b in zip(edges, np.append(edges[1:], len(key)))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
+
+
+def _asking(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Of each chunk of texts: the shingles of each text with its node."""
     for whole in batches:
         for batch in pieces(whole, "text"):
             row, key, count = shingles(batch.column("text"))
-            if not len(key):
-                continue
-            if asks:
+            if len(key):
                 order = np.argsort(key, kind="stable")
-                key, count, node = key[order], count[order], batch.column("node").to_numpy()[row[order]]
-            else:
-                key, count = np.unique(key, return_counts=True)
-                node = np.zeros(0, np.int64)
-            bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            ends = np.append(edges[1:], len(key))
-            body = [_packed(key[a:b], count[a:b], node[a:b]) for a, b in zip(edges, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
+                yield _dealt(key[order], count[order], batch.column("node").to_numpy()[row[order]], bits)
+
+
+def _held(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Of every AT_ONCE shingles of rows: the distinct ones, and how many rows have each."""
+    keys: list[np.ndarray] = []
+
+    def sent() -> pa.RecordBatch:
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        keys.clear()
+        return _dealt(key, count, np.zeros(0, np.int64), bits)
+
+    for whole in batches:
+        for batch in pieces(whole, "text"):
+            keys.append(shingles(batch.column("text"))[1])
+            if sum(map(len, keys)) >= AT_ONCE:
+                yield sent()
+    if any(map(len, keys)):
+        yield sent()
 
 
 def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -207,8 +227,8 @@ def bags_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
     with exact frequencies over all rows. A chunk sends a shingle once, however many of its rows
     have it; nothing is gathered or broadcast."""
     bits = bucket_bits(rows.sparkSession)
-    every = rows.select("text").mapInArrow(lambda b: _shingles_sent(b, bits, False), ITEMS)
-    asking = asked.select("node", "text").mapInArrow(lambda b: _shingles_sent(b, bits, True), ITEMS)
+    every = rows.select("text").mapInArrow(lambda b: _held(b, bits), ITEMS)
+    asking = asked.select("node", "text").mapInArrow(lambda b: _asking(b, bits), ITEMS)
     found = every.unionByName(asking).repartition(F.col("bucket")).mapInArrow(lambda b: _counted(b, bits), ITEMS)
     return by_document(found, TERM).mapInArrow(_bags, "node bigint, bag binary")
 
