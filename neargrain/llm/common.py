@@ -1,42 +1,23 @@
-"""Helpers that the operators share: the shared folder, and text batches as byte buffers."""
+"""Helpers that the operators share: text batches as byte buffers, words, hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a vectorised step handles at once; bounds the memory of a Python worker.
-BATCH_BYTES = 2 << 20
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, removed when the application ends.
+from neargrain.sources import cut as materialise
+from neargrain.sources import shared_folder
 
-    Only where the session names no such folder (tests on one machine) a temporary one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="neargrain-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/neargrain-{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+__all__ = ["materialise", "shared_folder"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes a table in the shared folder and reads it back."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that a vectorised step handles at once; bounds the memory of a Python worker.
+BATCH_BYTES = 2 << 20
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -219,7 +219,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for items in batch.column("items").to_pylist():
             terms = np.sort(np.frombuffer(items, TERM), order="key")
             bags.append(zstandard.compress(b"".join(np.ascontiguousarray(terms[c]).tobytes() for c in TERM.names), 1))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags, pa.binary())], names=["node", "bag"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(bags, pa.binary())], names=["node", "bag"])
 
 
 def bags_of(rows: DataFrame, asked: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import MULTIPLIER, buffer_of, mix, pieces, powers, rolling, slot_counts, slot_of
@@ -31,13 +31,20 @@ BLOCK = 1 << 20
 #: what a task holds with ease, about 10 MB, and so many times the mean of all slots. Each window
 #: of a hot anchor is sent by itself, so cold ones had better not be split.
 HOT_LEAST, HOT_TIMES = 1 << 16, 8
-#: Stands for a null id inside the operators: after all others.
+#: Stands for a null id in the order of documents: after all others.
 NO_ID = (1 << 63) - 1
 
 #: An anchor in a document: its place, windows before it (first start), and window starts less one.
 SPOT = np.dtype([("p", "<u4"), ("before", "<u1"), ("span", "<u1")])
 
 
+def documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, id, key, text): rows as documents. A document is an id with a text; ``key`` is a
+    hash of both. Documents are ordered by ``id``, those of one id (or of none) by ``key``."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
 def bucket_bits(spark: SparkSession) -> int:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return min(MOST_BITS, max(LEAST_BITS, (4 * partitions - 1).bit_length()))
@@ -91,67 +98,95 @@ def rows_of(bucket: list[int], own: bool, body: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([own] * len(bucket), pa.bool_()), pa.array(body, pa.binary())], names=["bucket", "own", "body"])
 
 
-def for_documents(docs: np.ndarray, items: np.ndarray, bits: int) -> pa.RecordBatch:
-    """A row for each bucket of documents with the documents' items, packed."""
-    bucket = ((docs.astype(np.uint64) * np.uint64(MULTIPLIER)) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.lexsort((docs, bucket))
-    docs, items, bucket = docs[order], items[order], bucket[order]
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(docs) else np.zeros(0, np.int64)
+def for_documents(keys: np.ndarray, items: np.ndarray, bits: int, ids: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each bucket of documents (keys and, where they matter, ids) with their items, packed."""
+    ids = np.zeros(len(keys), np.int64) if ids is None else ids
+    bucket = ((keys.astype(np.uint64) * np.uint64(MULTIPLIER)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((ids, keys, bucket))
+    keys, ids, items, bucket = keys[order], ids[order], items[order], bucket[order]
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))) if len(keys) else np.zeros(0, bool)
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, np.int64)
     body = []
-    for a, b in zip(edges, np.append(edges[1:], len(docs))):
-        ids, counts = np.unique(docs[a:b], return_counts=True)
-        body.append(struct.pack("<I", len(ids)) + zstandard.compress(ids.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + items[a:b].tobytes(), 1))
+    for a, b in zip(edges, np.append(edges[1:], len(keys))):
+        first = a + np.flatnonzero(new[a:b])
+        counts = np.diff(np.append(first, b))
+        body.append(struct.pack("<I", len(first)) + zstandard.compress(keys[first].astype("<i8").tobytes() + ids[first].astype("<i8").tobytes() + counts.astype("<u4").tobytes() + items[a:b].tobytes(), 1))
     return rows_of(bucket[edges].tolist(), True, body)
 
 
-def _by_document(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
-    """One row for each document of a partition of buckets, with all its items."""
-    packed: dict[int, list[bytes]] = {}
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows by bucket: a task gets its buckets one after the other, from a sort that can spill."""
+    return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, list[bytes]]]:
+    """Of dealt rows: documents' items, which are only passed on, and the bodies of each bucket.
+    Holds one bucket."""
+    now, bodies = None, []
     for batch in batches:
+        if "own" in batch.schema.names:
+            own = batch.column("own")
+            if own.true_count:
+                yield batch.filter(own).select(["bucket", "body"]), []
+            batch = batch.filter(pc.invert(own))
         for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
-            packed.setdefault(bucket, []).append(body)
-    for bucket in sorted(packed):
-        docs, items = [], []
-        for body in packed.pop(bucket):
+            if bucket != now and bodies:
+                yield None, bodies
+                bodies = []
+            now = bucket
+            bodies.append(body)
+    if bodies:
+        yield None, bodies
+
+
+def _by_document(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a partition of buckets, with all its items."""
+    for _, bodies in buckets(batches):
+        keys, ids, items = [], [], []
+        for body in bodies:
             (n,) = struct.unpack_from("<I", body)
             raw = zstandard.decompress(body[4:])
-            docs.append(np.repeat(np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n)))
-            items.append(np.frombuffer(raw, kind, -1, 12 * n))
-        doc, item = np.concatenate(docs), np.concatenate(items)
-        order = np.argsort(doc, kind="stable")
-        doc, item = doc[order], item[order]
-        edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[edges], pa.int64()), pa.array([item[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(doc)))], pa.binary())], names=["doc_id", "items"])
+            counts = np.frombuffer(raw, "<u4", n, 16 * n)
+            keys.append(np.repeat(np.frombuffer(raw, "<i8", n), counts))
+            ids.append(np.repeat(np.frombuffer(raw, "<i8", n, 8 * n), counts))
+            items.append(np.frombuffer(raw, kind, -1, 20 * n))
+        key, id_, item = np.concatenate(keys), np.concatenate(ids), np.concatenate(items)
+        order = np.lexsort((id_, key))
+        key, id_, item = key[order], id_[order], item[order]
+        edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]))))
+        yield pa.RecordBatch.from_arrays([pa.array(key[edges], pa.int64()), pa.array(id_[edges], pa.int64()), pa.array([item[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(key)))], pa.binary())], names=["key", "of", "items"])
 
 
 def by_document(found: DataFrame, kind: np.dtype) -> DataFrame:
-    """(doc_id, items) of rows with the columns of ITEMS."""
-    return found.repartition(F.col("bucket")).mapInArrow(lambda b: _by_document(b, kind), "doc_id bigint, items binary")
+    """(key, of, items) of rows with the columns of ITEMS; ``of`` is the id, 0 where none was given."""
+    return dealt(found).mapInArrow(lambda b: _by_document(b, kind), "key bigint, of bigint, items binary")
+
 
+def same_document(rows: DataFrame, parts: DataFrame) -> Column:
+    """The condition of a join of documents with their items: by key, so that it can use the
+    rows' partitioning by key, and of rows with one key by id."""
+    return (rows["key"] == parts["key"]) & (rows["id"].bitwiseXOR(parts["of"]) == 0)
 
-def passed_on(batch: pa.RecordBatch) -> tuple[pa.RecordBatch | None, list[int], list[bytes]]:
-    """Of received ROWS: documents' items, which are only passed on, and what is to settle."""
-    own = batch.column("own")
-    rest = batch.filter(pc.invert(own))
-    return batch.filter(own).select(["bucket", "body"]) if own.true_count else None, rest.column("bucket").to_pylist(), rest.column("body").to_pylist()
 
+def _planes(values: np.ndarray) -> bytes:
+    """Rising 64-bit values as gaps, byte by byte: the upper bytes compress."""
+    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _pack(hashes: np.ndarray, docs: np.ndarray, items: np.ndarray, known: np.ndarray) -> bytes:
-    low = int(docs.min())
-    near = docs - low
-    wide = next(w for w in (2, 4, 8) if int(near.max()) < 1 << (8 * w - 1))
-    raw = b"".join((hashes.tobytes(), near.astype(f"<i{wide}").tobytes(), items["p"].tobytes(), items["before"].tobytes(), items["span"].tobytes(), known.tobytes()))
-    return struct.pack("<IqB", len(hashes), low, wide) + zstandard.compress(raw, 1)
+
+def _pack(hashes: np.ndarray, keys: np.ndarray, items: np.ndarray, known: np.ndarray) -> bytes:
+    raw = b"".join((_planes(hashes), keys.astype("<i8").tobytes(), items["p"].tobytes(), items["before"].tobytes(), items["span"].tobytes(), known.tobytes()))
+    return struct.pack("<I", len(hashes)) + zstandard.compress(raw, 1)
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
-    n, low, wide = struct.unpack_from("<IqB", body)
-    raw, at, out = zstandard.decompress(body[13:]), 0, []
-    for kind in ("<u8", f"<i{wide}", "<u4", "<u1", "<u1", "<u1"):
+    (n,) = struct.unpack_from("<I", body)
+    raw, at, out = zstandard.decompress(body[4:]), 8 * n, []
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
+    for kind in ("<i8", "<u4", "<u1", "<u1", "<u1"):
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    hashes, near, p, before, span, known = out
-    return hashes, near.astype(np.int64) + low, spots(p, before, span), known
+    keys, p, before, span, known = out
+    return np.cumsum(gaps, dtype=np.uint64), keys, spots(p, before, span), known
 
 
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -168,49 +203,46 @@ def _sampled(batches: Iterator[pa.RecordBatch], symbols: Symbols, k: int, length
             row, p, before, span, hashes = anchors(values, rows, k, length)
             if not len(p):
                 continue
-            docs, items = batch.column("doc_id").to_numpy()[row], spots(p, before, span)
+            keys, items = batch.column("key").to_numpy()[row], spots(p, before, span)
             order = np.argsort(hashes, kind="stable")
-            hashes, docs, items = hashes[order], docs[order], items[order]
+            hashes, keys, items = hashes[order], keys[order], items[order]
             new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
             again = ~new
             twice = again | np.concatenate((again[1:], [False]))
             if twice.any():
-                yield for_documents(docs[twice], items[twice], bits)
-            hashes, docs, items, known = hashes[new], docs[new], items[new], twice[new]
+                yield for_documents(keys[twice], items[twice], bits)
+            hashes, keys, items, known = hashes[new], keys[new], items[new], twice[new]
             bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             ends = np.append(edges[1:], len(bucket))
-            yield rows_of(bucket[edges].tolist(), False, [_pack(hashes[a:b], docs[a:b], items[a:b], known[a:b]) for a, b in zip(edges, ends)])
+            yield rows_of(bucket[edges].tolist(), False, [_pack(hashes[a:b], keys[a:b], items[a:b], known[a:b]) for a, b in zip(edges, ends)])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Of a partition of buckets: for the documents, the anchors that several chunks have."""
-    found = []
-    for batch in batches:
-        own, _, bodies = passed_on(batch)
+    for own, bodies in buckets(batches):
         if own is not None:
             yield own
-        found += [_unpack(b) for b in bodies]
-    if not found:
-        return
-    hashes, docs, items, known = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    again = np.concatenate(([False], hashes[1:] == hashes[:-1]))
-    twice = (again | np.concatenate((again[1:], [False]))) & (known[order] == 0)
-    if twice.any():
-        yield for_documents(docs[order[twice]], items[order[twice]], bits).select(["bucket", "body"])
+            continue
+        hashes, keys, items, known = (np.concatenate(x) for x in zip(*map(_unpack, bodies)))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        again = np.concatenate(([False], hashes[1:] == hashes[:-1]))
+        twice = (again | np.concatenate((again[1:], [False]))) & (known[order] == 0)
+        if twice.any():
+            yield for_documents(keys[order[twice]], items[order[twice]], bits).select(["bucket", "body"])
 
 
 def repeated_spots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> DataFrame:
-    """(doc_id, items): the anchors, as packed SPOTs, of each document of ``texts`` (doc_id, text;
-    no null id) that occur more than once in all documents."""
+    """(key, items): the anchors, as packed SPOTs, of each document of ``texts`` (key, text) that
+    occur more than once in all documents. Two documents that share a key get each other's places,
+    too, which is harmless: what is there is compared, and it is text of theirs."""
     if length - k >= 256:
         raise ValueError("a window may have 255 anchors at most")
     bits = bucket_bits(texts.sparkSession)
     sent = texts.mapInArrow(lambda b: _sampled(b, symbols, k, length, bits), ROWS)
-    back = sent.repartition(F.col("bucket")).mapInArrow(lambda b: _repeated(b, bits), ITEMS)
-    return by_document(back, SPOT)
+    back = dealt(sent).mapInArrow(lambda b: _repeated(b, bits), ITEMS)
+    return by_document(back, SPOT).drop("of")
 
 
 def hot_slots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> Broadcast:
@@ -241,8 +273,8 @@ def is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
 STRETCH = np.dtype([("a", "<u4"), ("b", "<u4")])
 
 
-def stretches(covered: np.ndarray, docs: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(docs, STRETCHes) of a table covered[entry, offset]: the window that starts ``offset``
+def stretches(covered: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, STRETCHes) of a table covered[entry, offset]: the window that starts ``offset``
     symbols before the entry's anchor at p is covered."""
     edge = np.zeros((len(covered), 1), bool)
     padded = np.hstack((edge, covered.astype(bool), edge))
@@ -250,7 +282,7 @@ def stretches(covered: np.ndarray, docs: np.ndarray, p: np.ndarray, length: int)
     _, b = np.nonzero(~padded[:, 1:] & padded[:, :-1])
     out = np.empty(len(entry), STRETCH)
     out["a"], out["b"] = p[entry] - (b - 1), p[entry] - a + length
-    return docs[entry], out
+    return entry, out
 
 
 def union(parts: bytes | None, n: int) -> list[tuple[int, int]]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import pieces, word_hashes, words_of
-from neargrain.llm.repeats import ITEMS, NO_ID, ROWS, SPOT, STRETCH, bucket_bits, by_document, for_documents, hot_slots, is_hot, passed_on, repeated_spots, rows_of, union
+from neargrain.llm.repeats import ITEMS, ROWS, SPOT, STRETCH, bucket_bits, buckets, by_document, dealt, documents, for_documents, hot_slots, is_hot, repeated_spots, rows_of, same_document, union
 
 LENGTH, K = 20, 10
 #: Words of passages that one automaton holds; a group of passages with one anchor stays together.
@@ -93,8 +93,8 @@ class Automaton:
                 yield i, self.first[state]
 
 
-def settle_shard(passages: list[tuple[int, int, list]], length: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Passages are (document, first word's place, words). In order, each enters the automaton and
+def settle_shard(passages: list[tuple], length: int) -> tuple[list, list[tuple[int, int]]]:
+    """Passages are (document, first word's place, words), a document its id and key. In order, each enters the automaton and
     is streamed against it: the documents and stretches of words that are covered."""
     automaton, docs, found = Automaton(), [], []
     for doc, start, words in sorted(passages, key=lambda x: x[:2]):
@@ -110,11 +110,12 @@ def settle_shard(passages: list[tuple[int, int, list]], length: int) -> tuple[li
     return docs, found
 
 
-def _covered(docs: list[int], found: list[tuple[int, int]], bits: int) -> pa.RecordBatch:
-    return for_documents(np.array(docs, np.int64), np.array(found, STRETCH), bits)
+def _covered(docs: list[tuple[int, int]], found: list[tuple[int, int]], bits: int) -> pa.RecordBatch:
+    ids, keys = np.array(docs, np.int64).T
+    return for_documents(keys, np.array(found, STRETCH), bits, ids)
 
 
-def _collapse(entries: list[tuple], length: int) -> tuple[list[tuple], list[int], list[tuple[int, int]]]:
+def _collapse(entries: list[tuple], length: int) -> tuple[list[tuple], list, list[tuple[int, int]]]:
     """Of equal passages around equal anchors the first stays; the others are covered as a whole.
     Entries are (hash, before, span, passage, document, anchor's place)."""
     entries.sort()
@@ -155,13 +156,13 @@ def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int,
     for whole in batches:
         for batch in pieces(whole, "text"):
             entries = []
-            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "items"))):
+            for id_, key, text, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "text", "items"))):
                 if not parts:
                     continue
-                words = text.encode().split()
+                words, doc = text.encode().split(), (id_, key)
                 for p, before, span in np.frombuffer(parts, SPOT).tolist():
                     passage = words[p - before : p - before + span + length]
-                    if len(passage) == span + length:  # else another row has this id
+                    if len(passage) == span + length:  # else another document has this key
                         entries.append((xxhash.xxh64_digest(b" ".join(words[p : p + k])), before, span, b" ".join(passage), doc, p))
             if not entries:
                 continue
@@ -170,25 +171,21 @@ def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int,
             docs, found = docs + more_docs, found + more
             if docs:
                 yield _covered(docs, found, bits)
-            buckets: dict[int, list] = {}
+            sent: dict[int, list] = {}
             for e in kept:
-                buckets.setdefault(int.from_bytes(e[0][:4]) >> (32 - bits), []).append(e)
-            yield rows_of(list(buckets), False, [zstandard.compress(pickle.dumps(x, 5), 3) for x in buckets.values()])
+                sent.setdefault(int.from_bytes(e[0][:4]) >> (32 - bits), []).append(e)
+            yield rows_of(list(sent), False, [zstandard.compress(pickle.dumps(x, 5), 3) for x in sent.values()])
 
 
 def _match(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Of a partition of buckets: collapses equal passages, leaves out those of which no window
     is in another passage with that anchor, and streams the others against automata."""
-    packed: dict[int, list[bytes]] = {}
-    for batch in batches:
-        own, buckets, bodies = passed_on(batch)
+    shard: list[tuple] = []
+    for own, bodies in buckets(batches):
         if own is not None:
             yield own
-        for bucket, body in zip(buckets, bodies):
-            packed.setdefault(bucket, []).append(body)
-    shard: list[tuple[int, int, list]] = []
-    for bucket in sorted(packed):
-        kept, docs, found = _collapse([e for b in packed.pop(bucket) for e in pickle.loads(zstandard.decompress(b))], length)
+            continue
+        kept, docs, found = _collapse([e for body in bodies for e in pickle.loads(zstandard.decompress(body))], length)
         a = 0
         for b in range(1, len(kept) + 1):
             if b < len(kept) and kept[b][0] == kept[a][0]:
@@ -206,7 +203,7 @@ def _match(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterato
         yield _covered(docs, found, bits).select(["bucket", "body"])
 
 
-def _sharing(group: list[tuple], length: int) -> list[tuple[int, int, list]]:
+def _sharing(group: list[tuple], length: int) -> list[tuple]:
     """The passages of a group of which a window, at its offset to the anchor, is in another."""
     seen: dict[tuple[int, int], int] = {}
     split, keys = [], []
@@ -230,7 +227,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edges = [0, *(x for ab in gone for x in ab), len(words)]
                 kept = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]] if gone else words
                 joined = b" ".join(kept)
-                out.append((None if doc == NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode(), [x for ab in gone for x in ab]))
+                out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode(), [x for ab in gone for x in ab]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
 
@@ -253,16 +250,19 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", doc_id: str =
 
     Anchors with very many different surroundings are found first, by a count in a table of one
     size; their windows are dealt by the whole window, so no task gets all of such an anchor.
-    Of equal passages a chunk sends one, so copies don't gather in one task. Null texts have no
-    words; null ids count as one id after all others; a repeated row (same id and text) is the
-    same document and gets equal results. Other columns are ignored; an empty table gives an
-    empty result.
+    Of equal passages a chunk sends one, so copies don't gather in one task. A task takes its
+    buckets one after the other from a sort that can spill, so it holds one bucket.
+
+    Null texts have no words. A document is an id with a text: rows of one id with different texts
+    are documents of their own, in an order by a hash of the text, and so are rows without an id,
+    which come after all others. A repeated row (same id and text) is the same document and
+    gets equal results. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = documents(docs, text, doc_id)
     hot = hot_slots(rows, _word_symbols, k, length)
     spots = repeated_spots(rows, _word_symbols, k, length)
     bits = bucket_bits(docs.sparkSession)
-    passages = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _passages(b, length, k, bits, hot), ROWS)
-    found = passages.repartition(F.col("bucket")).mapInArrow(lambda b: _match(b, length, bits), ITEMS)
+    passages = rows.join(spots, "key", "left").mapInArrow(lambda b: _passages(b, length, k, bits, hot), ROWS)
+    found = dealt(passages).mapInArrow(lambda b: _match(b, length, bits), ITEMS)
     parts = by_document(found, STRETCH)
-    return rows.join(parts, "doc_id", "left").mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<bigint>")
+    return rows.join(parts, same_document(rows, parts), "left").select("doc_id", "text", "items").mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<bigint>")

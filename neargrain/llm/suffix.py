@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import BYTE_VALUES, MULTIPLIER, mix, pieces
-from neargrain.llm.repeats import ITEMS, NO_ID, ROWS, SPOT, STRETCH, bucket_bits, by_document, for_documents, hot_slots, is_hot, passed_on, repeated_spots, rows_of, stretches, union
+from neargrain.llm.repeats import ITEMS, ROWS, SPOT, STRETCH, bucket_bits, buckets, by_document, dealt, documents, for_documents, hot_slots, is_hot, repeated_spots, rows_of, same_document, stretches, union
 
 LENGTH, K = 100, 40
 #: Bytes of the anchor's hash in front of a suffix; hashes make the splitters of the sort even.
@@ -87,17 +87,21 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             node >>= 1
 
 
+#: What entries have besides bytes.
+ARRAYS = ("ids", "own", "p", "low", "high")
+
+
 class Suffixes:
     """Entries in suffix order: the suffix from an anchor on (with the hash before it), the bytes
-    to its left, document, place, and the offsets of its windows."""
+    to its left, document (id and key), place, and the offsets of its windows."""
 
-    def __init__(self, keys: list[bytes], shared: list[int], lefts: list[bytes], docs: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray):
-        self.keys, self.shared, self.lefts, self.docs, self.p, self.low, self.high = keys, shared, lefts, docs, p, low, high
+    def __init__(self, keys: list[bytes], shared: list[int], lefts: list[bytes], ids: np.ndarray, own: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.keys, self.shared, self.lefts, self.ids, self.own, self.p, self.low, self.high = keys, shared, lefts, ids, own, p, low, high
 
     def settle(self, length: int, k: int) -> np.ndarray:
         """covered[entry, offset]: does an equal window start earlier? Windows at an offset are
         equal where neighbours share the suffix as far as the window goes, and the bytes to the
-        left are equal (compared by 64-bit hashes among suffixes that are equal already)."""
+        left are equal (found by 64-bit hashes, and then compared)."""
         n, w = len(self.keys), length - k + 1
         covered = np.zeros((n, w), bool)
         shared = np.maximum(np.array(self.shared, np.int64) - HEAD, 0)
@@ -105,9 +109,9 @@ class Suffixes:
             return covered
         wide = max(w - 1, 1)
         left = np.frombuffer(b"".join(x[::-1].ljust(wide, b"\0") for x in self.lefts), np.uint8).reshape(n, wide)
-        order = np.lexsort((self.p, self.docs))
+        order = np.lexsort((self.p, self.own, self.ids))
         step = np.ones(n, np.int64)
-        step[1:] = (np.diff(self.docs[order]) != 0) | (np.diff(self.p[order]) != 0)
+        step[1:] = np.any([x[order][1:] != x[order][:-1] for x in (self.ids, self.own, self.p)], axis=0)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(step)
         hashes = np.zeros(n, np.uint64)
@@ -124,13 +128,25 @@ class Suffixes:
             if len(idx) < 2:
                 continue
             key = mix(hashes[idx] + group[idx].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            by = np.lexsort((rank[idx], key))
-            key, ranks = key[by], rank[idx][by]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            least = np.repeat(ranks[first], np.diff(np.append(first, len(key))))
-            covered[idx[by[ranks > least]], o] = True
+            later, least = self._later(key, rank[idx])
+            a, b = idx[later], idx[least]
+            if not ((group[a] == group[b]) & (left[a, :o] == left[b, :o]).all(1)).all():
+                # Two hashes met: by the bytes themselves.
+                whole = np.hstack((group[idx].astype("<i8").view(np.uint8).reshape(-1, 8), left[idx, :o]))
+                later, _ = self._later(np.unique(whole, axis=0, return_inverse=True)[1].ravel(), rank[idx])
+            covered[idx[later], o] = True
         return covered
 
+    @staticmethod
+    def _later(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of equal keys: all but those of the least rank, and one of the least rank for each."""
+        by = np.lexsort((rank, key))
+        key, rank = key[by], rank[by]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        least = np.repeat(first, np.diff(np.append(first, len(key))))
+        later = rank > rank[least]
+        return by[later], by[least[later]]
+
     def open(self, covered: np.ndarray) -> "Suffixes":
         """The entries with windows that aren't covered, with no more bytes than those need."""
         offset = np.arange(covered.shape[1])
@@ -140,7 +156,7 @@ class Suffixes:
         entries = []
         for i, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
             key, far = self.keys[i], self.lefts[i]
-            entries.append((key[: len(key) - (a - int(self.low[i]))], far[len(far) - b :], int(self.docs[i]), int(self.p[i]), a, b))
+            entries.append((key[: len(key) - (a - int(self.low[i]))], far[len(far) - b :], int(self.ids[i]), int(self.own[i]), int(self.p[i]), a, b))
         return Suffixes.of(entries)
 
     def split(self, hot: np.ndarray, length: int, k: int) -> "Suffixes":
@@ -153,27 +169,27 @@ class Suffixes:
         if not many.any():
             return self
         entries = []
-        for each, key, left, doc, p, low, high in zip(many.tolist(), self.keys, self.lefts, self.docs.tolist(), self.p.tolist(), self.low.tolist(), self.high.tolist()):
+        for each, key, left, id_, own, p, low, high in zip(many.tolist(), self.keys, self.lefts, *(getattr(self, name).tolist() for name in ARRAYS)):
             if not each:
-                entries.append((key, left, doc, p, low, high))
+                entries.append((key, left, id_, own, p, low, high))
                 continue
             for o in range(low, high + 1):
                 right, far = key[HEAD : HEAD + length - o], left[len(left) - o :]
-                entries.append((xxhash.xxh64_digest(far + right) + right, far, doc, p, o, o))
+                entries.append((xxhash.xxh64_digest(far + right) + right, far, id_, own, p, o, o))
         return Suffixes.of(entries)
 
     @staticmethod
     def of(entries: list[tuple]) -> "Suffixes":
-        """Sorts (key, left, document, place, lowest and highest offset)."""
+        """Sorts (key, left, document's id and key, place, lowest and highest offset)."""
         entries.sort()
-        keys, lefts, docs, p, low, high = map(list, zip(*entries)) if entries else ([], [], [], [], [], [])
-        return Suffixes(keys, [0, *(common(a, b, 0) for a, b in zip(keys, keys[1:]))][: len(keys)], lefts, *(np.array(x, np.int64) for x in (docs, p, low, high)))
+        keys, lefts, *arrays = map(list, zip(*entries)) if entries else ([] for _ in range(7))
+        return Suffixes(keys, [0, *(common(a, b, 0) for a, b in zip(keys, keys[1:]))][: len(keys)], lefts, *(np.array(x, np.int64) for x in arrays))
 
     def pack(self, a: int, b: int) -> bytes:
         """A run, front-coded: of each suffix only what it doesn't share with the one before."""
         prefix = [0, *self.shared[a + 1 : b]]
         rests = [k[s:] for k, s in zip(self.keys[a:b], prefix)]
-        arrays = [np.array(prefix, "<u2"), np.array([len(x) for x in rests], "<u2"), np.array([len(x) for x in self.lefts[a:b]], "<u2"), self.docs[a:b].astype("<i8"), self.p[a:b].astype("<u4"), self.low[a:b].astype("<u2"), self.high[a:b].astype("<u2")]
+        arrays = [np.array(prefix, "<u2"), np.array([len(x) for x in rests], "<u2"), np.array([len(x) for x in self.lefts[a:b]], "<u2"), self.ids[a:b].astype("<i8"), self.own[a:b].astype("<i8"), self.p[a:b].astype("<u4"), self.low[a:b].astype("<u2"), self.high[a:b].astype("<u2")]
         return struct.pack("<I", b - a) + zstandard.compress(b"".join([*(x.tobytes() for x in arrays), *rests, *self.lefts[a:b]]), 3)
 
     @staticmethod
@@ -181,10 +197,10 @@ class Suffixes:
         (n,) = struct.unpack_from("<I", body)
         raw = zstandard.decompress(body[4:])
         at, arrays = 0, []
-        for kind in ("<u2", "<u2", "<u2", "<i8", "<u4", "<u2", "<u2"):
+        for kind in ("<u2", "<u2", "<u2", "<i8", "<i8", "<u4", "<u2", "<u2"):
             arrays.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        prefix, rest, left, docs, p, low, high = arrays
+        prefix, rest, left, *places = arrays
         keys, now = [], b""
         for s, r in zip(prefix.tolist(), rest.tolist()):
             now = now[:s] + raw[at : at + r]
@@ -194,14 +210,14 @@ class Suffixes:
         for r in left.tolist():
             lefts.append(raw[at : at + r])
             at += r
-        return Suffixes(keys, prefix.tolist(), lefts, docs, p.astype(np.int64), low.astype(np.int64), high.astype(np.int64))
+        return Suffixes(keys, prefix.tolist(), lefts, *(x.astype(np.int64) for x in places))
 
 
 def _merged(runs: list[Suffixes]) -> Suffixes:
     order = list(merge_runs([(r.keys, r.shared) for r in runs]))
     base = np.cumsum([0, *(len(r.keys) for r in runs)])
     at = np.array([base[r] + i for r, i, _ in order], np.int64)
-    return Suffixes([runs[r].keys[i] for r, i, _ in order], [s for _, _, s in order], [runs[r].lefts[i] for r, i, _ in order], *(np.concatenate([getattr(r, name) for r in runs])[at] for name in ("docs", "p", "low", "high")))
+    return Suffixes([runs[r].keys[i] for r, i, _ in order], [s for _, _, s in order], [runs[r].lefts[i] for r, i, _ in order], *(np.concatenate([getattr(r, name) for r in runs])[at] for name in ARRAYS))
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -213,17 +229,18 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: i
             for i, parts in enumerate(rows):
                 if not parts:
                     continue
-                text, doc = batch.column("text")[i].as_py().encode(), batch.column("doc_id")[i].as_py()
+                text, id_, own = batch.column("text")[i].as_py().encode(), batch.column("id")[i].as_py(), batch.column("key")[i].as_py()
                 for at, b, s in np.frombuffer(parts, SPOT).tolist():
                     right = text[at : at - b + s + length]
-                    if len(right) == s + length - b:  # else another row has this id
-                        entries.append((xxhash.xxh64_digest(text[at : at + k]) + right, text[at - b : at], doc, at, b - s, b))
+                    if len(right) == s + length - b:  # else another document has this key
+                        entries.append((xxhash.xxh64_digest(text[at : at + k]) + right, text[at - b : at], id_, own, at, b - s, b))
             if not entries:
                 continue
             run = Suffixes.of(entries)
             covered = run.settle(length, k)
             if covered.any():
-                yield for_documents(*stretches(covered, run.docs, run.p, length), bits)
+                entry, found = stretches(covered, run.p, length)
+                yield for_documents(run.own[entry], found, bits, run.ids[entry])
             run = run.open(covered).split(hot.value, length, k)
             bucket = np.array([int.from_bytes(key[:4]) >> (32 - bits) for key in run.keys], np.int64)
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
@@ -233,24 +250,26 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: i
 
 def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Merges the runs of a partition's buckets, bucket by bucket, and settles what repeats."""
-    packed: dict[int, list[bytes]] = {}
-    for batch in batches:
-        own, buckets, bodies = passed_on(batch)
+
+    def settled(merged: list[Suffixes]) -> Iterator[pa.RecordBatch]:
+        # Buckets share no suffix: the first entry of each shares nothing with the one before.
+        all_ = Suffixes([x for r in merged for x in r.keys], [x for r in merged for x in [0, *r.shared[1:]]], [x for r in merged for x in r.lefts], *(np.concatenate([getattr(r, n) for r in merged]) for n in ARRAYS))
+        covered = all_.settle(length, k)
+        if covered.any():
+            entry, found = stretches(covered, all_.p, length)
+            yield for_documents(all_.own[entry], found, bits, all_.ids[entry]).select(["bucket", "body"])
+
+    waiting: list[Suffixes] = []
+    for own, bodies in buckets(batches):
         if own is not None:
             yield own
-        for bucket, body in zip(buckets, bodies):
-            packed.setdefault(bucket, []).append(body)
-    waiting: list[Suffixes] = []
-    for i, bucket in enumerate(sorted(packed)):
-        waiting.append(_merged([Suffixes.unpack(b) for b in packed[bucket]]))
-        packed[bucket] = []
-        if i == len(packed) - 1 or sum(len(x.keys) for x in waiting) >= TOGETHER:
-            # Buckets share no suffix: the first entry of each shares nothing with the one before.
-            all_ = Suffixes([x for r in waiting for x in r.keys], [x for r in waiting for x in [0, *r.shared[1:]]], [x for r in waiting for x in r.lefts], *(np.concatenate([getattr(r, n) for r in waiting]) for n in ("docs", "p", "low", "high")))
+            continue
+        waiting.append(_merged([Suffixes.unpack(b) for b in bodies]))
+        if sum(len(x.keys) for x in waiting) >= TOGETHER:
+            yield from settled(waiting)
             waiting = []
-            covered = all_.settle(length, k)
-            if covered.any():
-                yield for_documents(*stretches(covered, all_.docs, all_.p, length), bits).select(["bucket", "body"])
+    if waiting:
+        yield from settled(waiting)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +281,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = union(parts, len(raw))
                 edges = [0, *(x for ab in gone for x in ab), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if gone else raw
-                out.append((None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [x for ab in gone for x in ab]))
+                out.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [x for ab in gone for x in ab]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
@@ -282,16 +301,20 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "do
     Anchors with very many different surroundings are found first, by a count in a table of one
     size; their windows are dealt by the whole window, so no task gets all of such an anchor.
     A chunk sends an anchor, and a window, once, however often it has it, so copies don't gather
-    in one task. Null texts are empty; texts under ``length`` bytes stay whole. Null ids count as
-    one id after all others. A repeated row (same id and text) is the same document and gets
-    equal results. Other columns are ignored; an empty table gives an empty result.
+    in one task. A task takes its buckets one after the other from a sort that can spill.
+
+    Null texts are empty; texts under ``length`` bytes stay whole. A document is an id with a text:
+    rows of one id with different texts are documents of their own, in an order by a hash of
+    the text, and so are rows without an id, which come after all others. A repeated row (same id
+    and text) is the same document and gets equal results. Other columns are ignored; an empty
+    table gives an empty result.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = documents(docs, text, doc_id)
     symbols = lambda data, offsets: (BYTE_VALUES[data], offsets)
     hot = hot_slots(rows, symbols, k, length)
     spots = repeated_spots(rows, symbols, k, length)
     bits = bucket_bits(docs.sparkSession)
-    runs = rows.join(spots, "doc_id", "left").mapInArrow(lambda b: _sorted_runs(b, length, k, bits, hot), ROWS)
-    found = runs.repartition(F.col("bucket")).mapInArrow(lambda b: _merge(b, length, k, bits), ITEMS)
+    runs = rows.join(spots, "key", "left").mapInArrow(lambda b: _sorted_runs(b, length, k, bits, hot), ROWS)
+    found = dealt(runs).mapInArrow(lambda b: _merge(b, length, k, bits), ITEMS)
     parts = by_document(found, STRETCH)
-    return rows.join(parts, "doc_id", "left").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<bigint>")
+    return rows.join(parts, same_document(rows, parts), "left").select("doc_id", "text", "items").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<bigint>")

@@ -106,23 +106,41 @@ def test_bins_of_a_class_take_a_fixed_count():
 # ---------------------------------------------------------------- repeated passages and bytes
 
 
-def check_passages(rows, docs, length=20):
-    words = [(d if d is not None else substring.NO_ID, plain.WORD.findall(t or "")) for d, t in docs]
-    marks = plain.repeated_windows(list({d: (d, w) for d, w in words}.values()), length)
-    for r in rows:
-        doc = substring.NO_ID if r["doc_id"] is None else r["doc_id"]
-        own = next(w for d, w in words if d == doc)
-        kept = [w for w, gone in zip(own, marks[doc]) if not gone]
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(own), len(own) - len(kept), plain.sha(" ".join(kept))), r["doc_id"]
+def in_order(spark, docs):
+    """Documents as (place in the order, id, text): by id, null last; those of one id by the hash
+    that the operators state."""
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").distinct()
+    keyed = [(r["id"], r["key"], r["doc_id"], r["text"]) for r in repeats.documents(table, "text", "doc_id").distinct().collect()]
+    return [(i, d, t) for i, (_, _, d, t) in enumerate(sorted(keyed, key=lambda x: x[:2]))]
 
 
-def check_bytes(rows, docs, length=100):
-    raw = {d if d is not None else suffix.NO_ID: (t or "").encode() for d, t in docs}
-    marks = plain.repeated_windows(list(raw.items()), length)
-    for r in rows:
-        doc = suffix.NO_ID if r["doc_id"] is None else r["doc_id"]
-        kept = bytes(b for b, gone in zip(raw[doc], marks[doc]) if not gone)
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw[doc]), len(raw[doc]) - len(kept), plain.spans(marks[doc]), plain.sha(kept)), r["doc_id"]
+def check_removal(rows, docs, spark, symbols, length, expected):
+    ordered = in_order(spark, docs)
+    marks = plain.repeated_windows([(i, symbols(t)) for i, _, t in ordered], length)
+    by_row = {(d, t): expected(symbols(t), marks[i]) for i, d, t in ordered}
+    assert Counter(rows) == Counter((d, *by_row[d, t or ""]) for d, t in docs)
+
+
+def check_passages(spark, df, docs, length=20):
+    rows = [tuple(r) for r in df.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+
+    def expected(words, gone):
+        kept = [w for w, g in zip(words, gone) if not g]
+        return len(words), len(words) - len(kept), plain.sha(" ".join(kept))
+
+    check_removal(rows, docs, spark, plain.WORD.findall, length, expected)
+    return sum(r[2] for r in rows)
+
+
+def check_bytes(spark, df, docs, length=100):
+    rows = [tuple(r) for r in df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+
+    def expected(raw, gone):
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        return len(raw), len(raw) - len(kept), plain.spans(gone), plain.sha(kept)
+
+    check_removal(rows, docs, spark, str.encode, length, expected)
+    return sum(r[2] for r in rows)
 
 
 def patchwork(seed: int, n: int, joiner: str = " ") -> list[tuple[int, str]]:
@@ -142,31 +160,20 @@ def patchwork(seed: int, n: int, joiner: str = " ") -> list[tuple[int, str]]:
     return list(dict(out).items())
 
 
-def one_id(df):
-    """Rows of which each id has one text, as both operators ask."""
-    return df.filter("doc_id is not null").unionByName(df.filter("doc_id is null and text = 'no id'"))
-
-
 def test_passages_of_the_table(spark, data):
-    rows = queries.op3_substring_dedup(spark, data).collect()
-    docs = read(spark, data)
-    assert len(rows) == len(docs) and sum(r["n_removed"] for r in rows) > 0
-    check_passages(rows, docs)
+    assert check_passages(spark, queries.op3_substring_dedup(spark, data), read(spark, data)) > 0
 
 
 def test_bytes_of_the_table(spark, data):
-    rows = queries.op9_suffix_dedup(spark, data).collect()
-    docs = read(spark, data)
-    assert len(rows) == len(docs) and sum(r["n_removed"] for r in rows) > 0
-    check_bytes(rows, docs)
+    assert check_bytes(spark, queries.op9_suffix_dedup(spark, data), read(spark, data)) > 0
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_patchworks(spark, seed):
     docs = patchwork(seed, 80, " " if seed % 2 else "\n")
     table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(1 + 3 * seed)
-    check_passages(substring.remove_repeated_passages(table).collect(), docs)
-    check_bytes(suffix.remove_repeated_bytes(table).collect(), docs)
+    check_passages(spark, substring.remove_repeated_passages(table), docs)
+    check_bytes(spark, suffix.remove_repeated_bytes(table), docs)
 
 
 def prose(seed: int, n: int) -> str:
@@ -185,7 +192,7 @@ def test_bytes_with_hot_anchors(spark, seed, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_LEAST", seed)
     docs = common_line(60) if seed == 2 else patchwork(seed, 60)
     table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
-    check_bytes(suffix.remove_repeated_bytes(table).collect(), docs)
+    check_bytes(spark, suffix.remove_repeated_bytes(table), docs)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -193,7 +200,7 @@ def test_passages_with_hot_anchors(spark, seed, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_LEAST", seed)
     docs = common_line(60) if seed == 2 else patchwork(seed, 60)
     table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
-    check_passages(substring.remove_repeated_passages(table).collect(), docs)
+    check_passages(spark, substring.remove_repeated_passages(table), docs)
 
 
 def test_hot_slots_are_those_of_common_lines(spark, monkeypatch):
@@ -209,13 +216,34 @@ def test_hot_slots_are_those_of_common_lines(spark, monkeypatch):
 
 
 def test_repeats_in_odd_rows(spark, odd, none):
-    rows = one_id(odd)
-    check_passages(substring.remove_repeated_passages(rows).collect(), texts_of(rows))
-    check_bytes(suffix.remove_repeated_bytes(rows).collect(), texts_of(rows))
-    assert substring.remove_repeated_passages(odd).count() == suffix.remove_repeated_bytes(odd).count() == odd.count()
+    check_passages(spark, substring.remove_repeated_passages(odd), texts_of(odd))
+    check_bytes(spark, suffix.remove_repeated_bytes(odd), texts_of(odd))
     assert substring.remove_repeated_passages(none).count() == suffix.remove_repeated_bytes(none).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Two texts under one id, several without an id, and copies of either: what repeats in one
+    is never cut out of its namesake."""
+    alone = [prose(i, 80) for i in range(40, 46)]
+    docs = [(7, alone[0]), (7, alone[1]), (9, alone[1]), (9, alone[1]), (None, alone[2]), (None, alone[3]), (None, alone[3]), (20, alone[2]), (None, alone[4]), (None, f"x {alone[4]} y"), (7, f"{alone[0]} z"), (2**63 - 1, alone[5]), (None, f"{alone[5]} end")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    assert check_passages(spark, substring.remove_repeated_passages(table), docs) > 0
+    assert check_bytes(spark, suffix.remove_repeated_bytes(table), docs) > 0
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    """With one hash for all bytes to the left, windows still need equal bytes."""
+    monkeypatch.setattr(suffix, "mix", lambda x: x * np.uint64(0))
+    r = random.Random(5)
+    right = bytes(r.randrange(97, 100) for _ in range(40))
+    texts = [bytes(r.choice(b"ab") for _ in range(6)) + right for _ in range(30)]
+    entries = [(b"\0" * suffix.HEAD + t[6:], t[:6], i, i, 6, 0, 6) for i, t in enumerate(texts)]
+    covered = suffix.Suffixes.of(entries)
+    marks = covered.settle(40, 34)
+    for e, (i, row) in enumerate(zip(covered.ids, marks)):
+        assert row.tolist() == [any(t[6 - o : 46 - o] == texts[i][6 - o : 46 - o] for t in texts[:i]) for o in range(7)]
+
+
 def test_kept_texts_and_spans(spark):
     table = spark.createDataFrame([(1, plain_words := " ".join(f"a{i}" for i in range(30))), (2, f"x {plain_words} y")], "doc_id bigint, text string")
     row = substring.remove_repeated_passages(table).filter("doc_id = 2").first()
