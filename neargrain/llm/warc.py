@@ -200,8 +200,10 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes | None = Non
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the archives that the manifest names."""
-    spread = manifest.select("archive").repartition(F.xxhash64("archive"))
+    """One row per record of the archives that the manifest names. An archive is read by one task
+    from end to end, and there are as many tasks as archives: a given number of partitions, which
+    adaptive execution doesn't fold although the manifest is small."""
+    spread = manifest.select("archive").coalesce(1).repartition(max(1, manifest.count()))  # names alone
     return spread.mapInArrow(lambda b: _read(b, folder), _SCHEMA)
 
 
@@ -209,7 +211,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Archives all pages and reads the archives back.
 
     A null html is an empty payload; a null url is left out of its record, control characters in
-    a url are percent-encoded. Of equal payloads of at least 100 bytes, records with the smallest
+    a url are percent-encoded. A page of any length is one record; it is held in memory once. Of
+    equal payloads of at least 100 bytes (UTF-8; 100 count, 99 don't), records with the smallest
     page_id are responses (all of them, where rows repeat that id), others revisit it; a null
     page_id is archived as such and only refers to pages that have one. An empty table writes no
     archive. Other columns are ignored.
