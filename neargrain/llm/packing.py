@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from neargrain.llm.common import pieces
 
 CAPACITY = 1024
-#: Pieces are cut down to this length; what is left of a document is shorter.
-LEAST = 64
+#: A piece that would waste more than one id in so many of its document's is cut.
+TRIM = 50
 #: The id after each document.
 END = 0
 
@@ -53,21 +53,20 @@ def encoder(vocabulary: str, ranks: str | None):
     return fast
 
 
-def cut(n: int, capacity: int, least: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of pieces of capacity, then of its halves, quarters and so on down to
-    ``least``, then the rest. All but the rest fill their share of a bin exactly."""
-    at = 0
+def cut(n: int, capacity: int, trim: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of a document's pieces. Whole capacities come first. What is left, of class
+    j, stays whole if its share of a bin, capacity // j, is longer by one in ``trim`` of the
+    document's ids at most (or by two ids); otherwise the next smaller share, capacity //
+    (j + 1), is cut off it, which fills its place exactly, and so on."""
+    at, spare = 0, max(n // trim, 2)
     for _ in range(n // capacity):
         yield at, capacity
         at += capacity
-    size = capacity // 2
-    while size >= least:
-        if n - at >= size:
-            yield at, size
-            at += size
-        size //= 2
-    if at < n:
-        yield at, n - at
+    while at < n:
+        j = capacity // (n - at)
+        size = n - at if capacity // j - (n - at) <= spare else capacity // (j + 1)
+        yield at, size
+        at += size
 
 
 class Packer:
@@ -110,7 +109,7 @@ class Packer:
                     room = min(self.capacity, 1 << (rest.bit_length() - 1)) if rest else 0
 
 
-def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str | None, capacity: int, least: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str | None, capacity: int, trim: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(vocabulary, ranks)
     packer = Packer(TaskContext.get().partitionId() << 33, capacity)
 
@@ -123,7 +122,7 @@ def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str | None,
         for batch in pieces(whole, "text"):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.append(encode(text) if text else np.zeros(0, np.uint32), np.uint32(END)).astype("<u4", copy=False)
-                for start, length in cut(len(ids), capacity, least):
+                for start, length in cut(len(ids), capacity, trim):
                     packer.add(doc, start, ids[start : start + length], len(ids))
             if packer.rows:
                 yield drain()
@@ -132,16 +131,16 @@ def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str | None,
         yield drain()
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, trim: int = TRIM) -> DataFrame:
     """Pieces of documents in sequences of at most ``capacity`` ids: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every partition packs what it reads, with bins of its own, without a shuffle. A document's ids
-    (and id 0 after them) are cut into whole capacities, halves, quarters and so on down to
-    ``least``; the rest is shorter. Pieces are dealt by length into reciprocal-capacity classes,
-    whose bins take a fixed number of pieces. Bins of cut pieces are full; bins of rests of class
-    j hold at least j / (j + 1) of the capacity. What stays in a worker's open bins fills
-    sequences without padding. A worker's memory is one bin for each class and one document.
+    Every partition packs what it reads, with bins of its own, without a shuffle. Pieces are dealt by
+    length into reciprocal-capacity classes: a piece of class j is longer than capacity / (j + 1)
+    and not longer than capacity / j, and a bin of class j takes j pieces. A document that is
+    longer than the capacity, or that would leave too much of its place empty, is cut (see
+    ``cut``), so a bin's padding is about one in 2 * ``trim`` of its ids. What stays in a worker's open
+    bins fills sequences without padding. A worker's memory is one bin for each class and one document.
 
     A null or empty text is the single id 0. Repeated rows are packed each. A null id stays null.
     An empty table gives an empty result; other columns are ignored. ``sequence_id`` is unique
@@ -153,4 +152,4 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary
     vocabulary = public_tokenizers.path("byte_bpe_50k.json") if own else vocabulary
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken") if own else ranks
     rows = docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text")
-    return rows.mapInArrow(lambda batches: _pack(batches, vocabulary, ranks, capacity, least), _SCHEMA)
+    return rows.mapInArrow(lambda batches: _pack(batches, vocabulary, ranks, capacity, trim), _SCHEMA)
