@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -15,34 +15,24 @@ from neargrain.llm.common import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 #: The weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Blocks into which the documents of each source are dealt.
+#: A source is dealt into as many blocks as the square root of its rows, but into so many at least.
 BLOCKS = 512
 
 
-@dataclass(frozen=True)
-class Source:
-    """A source of the mixture. ``key`` orders sources by code point with null last."""
-
-    key: str
-    size: int
-    target: float
-
-
 def fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
     """Targets in proportion to weights that add up to ``total``; none is above ``most`` times
     its size, the excess is shared anew by weight among the others until none is above."""
-    targets, left = [0.0] * len(sizes), list(range(len(sizes)))
-    while left:
-        share = (total - sum(targets[i] for i in range(len(sizes)) if i not in set(left))) / sum(weights[i] for i in left)
-        above = [i for i in left if weights[i] * share > most * sizes[i]]
-        if not above:
-            for i in left:
-                targets[i] = weights[i] * share
+    size, weight = np.array(sizes, np.float64), np.array(weights, np.float64)
+    targets, left = np.zeros(len(size)), np.ones(len(size), bool)
+    while left.any():
+        share = (total - targets[~left].sum()) / weight[left].sum()
+        above = left & (weight * share > most * size)
+        if not above.any():
+            targets[left] = weight[left] * share
             break
-        for i in above:
-            targets[i] = float(most * sizes[i])
-        left = [i for i in left if i not in set(above)]
-    return targets
+        targets[above] = most * size[above]
+        left &= ~above
+    return targets.tolist()
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -68,6 +58,11 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return starts
 
 
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows with a hash of id and text: rows without an id are dealt like others."""
+    return docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = 3.0, shards: int = 64, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
     """How much of every document the mixture takes, and where it goes.
 
@@ -76,8 +71,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     copy; copy c goes to (shard + c) modulo shards) and place (the order within a shard).
 
     Sources in code point order, null last, weigh ``weights``, repeating; together they share all
-    sizes, each at most ``most`` times its own. A source is dealt into ``blocks`` blocks by a
-    hash of the id. Blocks are permuted for each source by a second hash; a mixture takes whole
+    sizes, each at most ``most`` times its own. A source is dealt into blocks by a hash of id and
+    text: as many as the square root of its rows, ``blocks`` at least. Blocks are permuted for each source by a second hash; a mixture takes whole
     passes over the source and then the first permuted blocks, up to the document in which the
     target is reached, of which it takes the words still missing. So a source's total is its
     target rounded to a word, and no document gives more than ceil(most) times its size. The
@@ -88,28 +83,35 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
     Nothing is gathered but one row per source. Statistics are summed per block before they are
     shuffled, so a source may hold any part of the rows. Empty texts have size 0 and give 0
-    words; repeated rows (same id) count each and get equal parts where they fall in a whole
-    pass. Equal ids of one source share a block. An empty table gives an empty result.
+    words; repeated rows (same id and text) count each, share a block, and get equal parts where
+    they fall in a whole pass. Rows without an id are mixed like others. An empty table gives an
+    empty result.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(source).cast("string"))).alias("key"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
-    sized = sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int"))
+    return _mix(_keyed(docs, text, doc_id), text, doc_id, source, weights, most, shards, seed, blocks).drop("key")
+
+
+def _mix(docs: DataFrame, text: str, doc_id: str, source: str, weights: Sequence[float], most: float, shards: int, seed: int, blocks: int) -> DataFrame:
+    """``mix`` with each row's ``key``."""
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col("__key").alias("row"), F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col(source).cast("string"))).alias("key"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
     sized = materialise(sized, "mixing")
     spark = docs.sparkSession
-    by_block = sized.groupBy("key", "block").agg(F.sum("size").alias("block_size"), F.count("*").alias("n"))
-    by_block = materialise(by_block, "blocks")
-    # One row per source; blocks of a source are at most ``blocks`` rows.
-    rows = by_block.groupBy("key").agg(F.sum("block_size").alias("size"), F.count("*").alias("n")).collect()
-    rows = sorted(rows, key=lambda r: r["key"])
+    # One row per source.
+    rows = sorted(sized.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: r["key"])
+    few = len(rows) <= 50_000  # so the table of sources has some MB at most
+    small = lambda table: F.broadcast(table) if few else table
+    dealt = spark.createDataFrame([(r["key"], max(blocks, math.isqrt(r["n"]))) for r in rows], "key string, blocks bigint")
+    sized = sized.join(small(dealt), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row"), F.col("blocks")).cast("int")).drop("blocks")
+    by_block = materialise(sized.groupBy("key", "block").agg(F.sum("size").alias("block_size")), "blocks")
     sizes = [r["size"] for r in rows]
     share = [float(weights[i % len(weights)]) for i in range(len(rows))]
     targets = fill(sizes, share, float(sum(sizes)), most)
     table = [(r["key"], int(r["size"]), float(t), int(np.floor(t + 0.5))) for r, t in zip(rows, targets)]
     plan = spark.createDataFrame(table, "key string, source_size bigint, target double, goal bigint")
 
-    # A source's blocks in permuted order: at most ``blocks`` rows in a window.
+    # A source's blocks in permuted order: a window has the square root of its rows.
     order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1), "key", "block"), "block")
     ranked = by_block.withColumn("rank", F.row_number().over(order) - 1).withColumn("before", F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = ranked.join(F.broadcast(plan), "key") if len(table) <= 50_000 else ranked.join(plan, "key")
+    ranked = ranked.join(small(plan), "key")
     passes = F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(0)
     ranked = ranked.select(
         "key", "block", "source_size", "target", "rank", "block_size",
@@ -124,14 +126,14 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     quotas = np.array([counts[r["key"]] for r in rows], np.int64).reshape(-1, 2)
     ends = [split_quotas(quotas[:, i], shards, seed + i)[1:] for i in range(2)] if rows else []
     layout = spark.createDataFrame([(r["key"], *(x[:, i].tolist() for x in ends)) for i, r in enumerate(rows)], "key string, last_ends array<bigint>, other_ends array<bigint>")
-    ranked = ranked.join(F.broadcast(layout), "key") if len(table) <= 50_000 else ranked.join(layout, "key")
+    ranked = ranked.join(small(layout), "key")
     among = F.row_number().over(Window.partitionBy("key", last).orderBy("rank")) - 1
     ranked = ranked.withColumn("among", among).withColumn("ends", F.when(last, F.col("last_ends")).otherwise(F.col("other_ends")))
     ranked = ranked.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("among")))).drop("last_ends", "other_ends", "among", "ends")
     # Within the one block of a source that the last pass cuts, documents in hashed order.
     joined = sized.join(ranked, ["key", "block"])
     cut = joined.filter("part > 0 and part < block_size")
-    inside = Window.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(seed + 2), "row"), "row").rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("rest", F.greatest(F.lit(0), F.least("size", F.col("part") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     whole = joined.filter("part = 0 or part = block_size").withColumn("rest", F.when(F.col("part") > 0, F.col("size")).otherwise(0))
     out = whole.unionByName(cut)
@@ -140,29 +142,25 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     return out.select(
         "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"),
         (F.col("passes") + full.cast("int")).cast("bigint").alias("epochs"), F.when(full, 0).otherwise(F.col("rest")).cast("bigint").alias("rest"),
-        "shard", F.xxhash64(F.lit(seed + 3), "doc_id").alias("place"),
+        "shard", F.xxhash64(F.lit(seed + 3), "row").alias("place"), F.col("row").alias("key"),
     )
 
 
-def mixed_documents(docs: DataFrame, shards: int = 64, seed: int = 7, **options) -> DataFrame:
-    """The mixture itself: the rows of ``docs``, each as often as taken; a last, partial copy has
-    the document's first words, joined by spaces. Needs unique ids; rows whose id is null are left out.
+def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = 3.0, shards: int = 64, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
+    """The mixture itself: the rows of ``docs``, all columns, each as often as taken. Documents stay
+    whole: of the one in each source that the target cuts, a last copy is there if at least half of it
+    is taken. Repeated rows (same id and text) come as often as the one that is taken most; rows
+    without an id, or with an id that other texts have, too, are mixed like others.
 
     Rows come in the order of their output shards, shuffled locally: a partition has slices of
     shards, one after the other, each in the order of ``place``.
     """
-    text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
-    parts = mix(docs.filter(F.col(doc_id).isNotNull()), shards=shards, seed=seed, **options).filter("taken > 0")
-    parts = parts.groupBy("doc_id").agg(F.max("epochs").alias("__epochs"), F.max("rest").alias("__rest"), F.max("shard").alias("__first")).withColumnRenamed("doc_id", "__id")
-    copies = F.explode(F.expr("sequence(1, cast(__epochs + if(__rest > 0, 1, 0) as int))")).alias("__copy")
-    rows = docs.join(parts, F.col(doc_id) == F.col("__id")).select("*", copies)
-    shard, place = F.pmod(F.col("__first") + F.col("__copy") - 1, F.lit(shards)), F.xxhash64(F.lit(seed + 3), "__id", "__copy")
+    keyed = _keyed(docs, text, doc_id)
+    parts = _mix(keyed, text, doc_id, source, weights, most, shards, seed, blocks).filter("taken > 0")
+    times = F.col("epochs") + ((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size"))).cast("int")
+    parts = parts.groupBy(F.col("key").alias("__key")).agg(F.max(times).cast("int").alias("__times"), F.max("shard").alias("__first")).filter("__times > 0")
+    rows = keyed.join(parts, "__key").select("*", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy"))
+    shard, place = F.pmod(F.col("__first") + F.col("__copy") - 1, F.lit(shards)), F.xxhash64(F.lit(seed + 3), "__key", "__copy")
     rows = rows.withColumns({"__shard": shard, "__place": place})
     slices = max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    rows = rows.repartition("__shard", F.pmod("__place", F.lit(slices))).sortWithinPartitions("__shard", "__place")
-    partial = F.col("__copy") > F.col("__epochs")
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    head = F.array_join(F.slice(words, F.lit(1), F.col("__rest").cast("int")), " ")
-    cut = F.when(partial, head).otherwise(F.col(text))
-    length = F.when(partial, F.length(head)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return rows.select(*[cut.alias(c) if c == text else length.cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return rows.repartition("__shard", F.pmod("__place", F.lit(slices))).sortWithinPartitions("__shard", "__place").select(docs.columns)
