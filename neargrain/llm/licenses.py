@@ -3,6 +3,8 @@ bounded-error matching of the `regex` library."""
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,7 +35,25 @@ NOTICES = (
     ("gnu affero general public license", "agpl"),
     ("mozilla public license version 2 0", "mpl-2"),
     ("redistribution and use in source and binary forms", "bsd"),
+    ("gnu library general public license", "lgpl"),
+    ("redistributions of source code must retain the above copyright notice", "bsd"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("boost software license version 1 0", "bsl-1"),
+    ("eclipse public license version 2 0", "epl-2"),
+    ("common development and distribution license", "cddl"),
+    ("european union public licence", "eupl"),
+    ("creative commons attribution 4 0 international", "cc-by"),
+    ("cc0 1 0 universal public domain dedication", "cc0"),
+    ("academic free license version", "afl"),
+    ("the artistic license 2 0", "artistic-2"),
+    ("sil open font license", "ofl"),
+    ("open database license", "odbl"),
+    ("server side public license", "sspl"),
+    ("business source license", "busl"),
+    ("microsoft public license", "ms-pl"),
+    ("python software foundation license", "psf"),
+    ("do what the fuck you want to public license", "wtfpl"),
     ("all rights reserved", "all-rights-reserved"),
 )
 ERROR_SHARE = 10
@@ -59,6 +79,18 @@ def seeds(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(edges, edges[1:])]
 
 
+def patterns(notice: str) -> list[tuple[int, regex.Pattern]]:
+    """(errors, pattern): the notice with the errors that are allowed; and without its last words,
+    where those are so short that leaving them out is allowed, too, with the errors that are
+    left. (The library doesn't try to delete a space that it can match.)"""
+    out, gone = [], 0
+    while gone <= allowed(notice):
+        rest = notice[: len(notice) - gone]
+        out.append((gone, regex.compile(f"(?b)(?<= )(?:{regex.escape(rest)}){{e<={allowed(notice) - gone}}}(?= )")))
+        gone = len(notice) - rest.rfind(" ")
+    return out
+
+
 def words_before(text: str, places: list[int]) -> list[int]:
     """How many spaces are before each of some rising places of a text, in one pass."""
     out, n, last = [], 0, 0
@@ -74,7 +106,7 @@ class Scanner:
     def __init__(self, phrases=PHRASES, notices=NOTICES):
         self.phrases = [(f" {p} ", label) for p, label in phrases]
         self.notices = list(notices)
-        self.patterns = [regex.compile(f"(?b)(?<= )(?:{regex.escape(n)}){{e<={allowed(n)}}}(?= )") for n, _ in self.notices]
+        self.patterns = [patterns(n) for n, _ in self.notices]
         self.automaton = ahocorasick.Automaton()
         found: dict[str, list[tuple[str, int, int]]] = {}
         for p, _ in self.phrases:
@@ -105,25 +137,54 @@ class Scanner:
         matches, score = set(), 1.0 if places else 0.0
         for i, found in windows.items():
             notice, label = self.notices[i]
-            merged: list[list[int]] = []
-            for a, b in sorted(found):  # windows that overlap are searched once
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([max(a, 0), b])
-            left = [(a, min(b, len(text))) for a, b in merged]
-            while left:  # the best match of a window, then what is on both sides of it
-                a, b = left.pop()
-                m = self.patterns[i].search(text, a, b)
-                if m:
-                    left += [(a, m.start()), (m.end(), b)]
-                    errors = sum(m.fuzzy_counts)
-                    matches.add((m.end() - len(m.group().lstrip(" ")), len(m.group().split()), label, errors))
-                    score = max(score, 1 - errors / len(notice))
+            for start, end, errors, words in self.occurrences(text, i, found):
+                matches.add((start, words, label, errors))
+                score = max(score, 1 - errors / len(notice))
         rising = sorted(matches)
         spans = [(n - 1, n - 1 + words, label, errors) for n, (_, words, label, errors) in zip(words_before(text, [m[0] for m in rising]), rising)]
         return places, spans, score
 
+    def occurrences(self, text: str, i: int, windows: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(start, end, errors, words) of a notice, none over another, the better ones first chosen.
+
+        Each window is about a notice long and searched by itself, so the work grows with the
+        number of windows. A match that a better one overlaps makes way: what the chosen ones
+        leave of its window is searched again."""
+        n, k = len(self.notices[i][0]), allowed(self.notices[i][0])
+        merged: list[list[int]] = []
+        for a, b in sorted(set(windows)):  # those of one place differ by the errors between the seeds
+            if merged and a <= merged[-1][0] + k:
+                merged[-1][1] = b
+            else:
+                merged.append([a, b])
+        heap: list[tuple[int, int, int, int, int, int]] = []
+
+        def search(a: int, b: int) -> None:
+            if b - a < n - k:
+                return
+            best = min(((gone + sum(m.fuzzy_counts), m.start(), m) for gone, pattern in self.patterns[i] if (m := pattern.search(text, a, b))), default=None, key=lambda x: x[:2])
+            if best:
+                errors, _, m = best
+                whole = m.group()
+                heapq.heappush(heap, (errors, m.end() - len(whole.lstrip(" ")), m.end(), len(whole.split()), a, b))
+
+        for a, b in merged:
+            search(max(a, 0), min(b, len(text)))
+        starts, chosen = [], {}
+        while heap:
+            errors, start, end, words, a, b = heapq.heappop(heap)
+            at = bisect.bisect_left(starts, end)
+            if at and chosen[starts[at - 1]][1] > start:
+                free = a
+                for s in starts[max(0, bisect.bisect_right(starts, a) - 1) : bisect.bisect_left(starts, b)]:
+                    search(free, min(b, s))
+                    free = max(free, chosen[s][1])
+                search(free, b)
+                continue
+            starts.insert(at, start)
+            chosen[start] = (start, end, errors, words)
+        return list(chosen.values())
+
 
 def _scan(batches: Iterator[pa.RecordBatch], phrases, notices) -> Iterator[pa.RecordBatch]:
     scanner = Scanner(phrases, notices)
@@ -158,7 +219,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     alone (places count for each phrase). ``labels`` adds those of notices found with up to a
     tenth of their characters inserted, deleted or replaced, at word borders: one automaton finds
     every seed, of which an admissible match has one intact, and the `regex` library verifies
-    the edits around it. ``score`` is the best share of a notice without errors (1 for a phrase,
+    the edits around it. Every seed has a window of its own of about a notice's length, so very
+    long texts, and texts full of notices, take time in proportion to their length. ``score`` is the best share of a notice without errors (1 for a phrase,
     0 for none). Null and empty texts give no words, no places, empty labels and score 0;
     repeated rows and null ids pass through; other columns are ignored.
     """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,10 +88,28 @@ def test_both_encoders_give_the_same_ids(text):
     assert slow(text).tolist() == fast(text).tolist()
 
 
-@pytest.mark.parametrize("n", [1, 63, 64, 65, 511, 512, 1023, 1024, 1025, 5000])
+@pytest.mark.parametrize("n", [*range(1, 1100, 7), 1023, 1024, 1025, 5000])
 def test_cut_covers_all(n):
-    found = list(packing.cut(n, 1024, 64))
+    found = list(packing.cut(n, 1024, 50))
     assert [a for a, _ in found] == [sum(x for _, x in found[:i]) for i in range(len(found))] and sum(x for _, x in found) == n
+    assert all(1024 // (1024 // x) - x <= max(n // 50, 2) for _, x in found)
+
+
+def test_all_classes_occur_and_documents_are_cut_little():
+    r = np.random.default_rng(3)
+    sizes = r.integers(1, 3000, 4000).tolist()
+    pieces = [x for n in sizes for _, x in packing.cut(n, 1024, 50)]
+    assert {1024 // x for x in pieces} >= set(range(1, 33))
+    assert len(pieces) < 3.3 * len(sizes)
+    packer = packing.Packer(0, 1024)
+    for n in sizes:
+        for _, x in packing.cut(n, 1024, 50):
+            packer.add(0, 0, np.zeros(x, np.uint32), n)
+    packer.finish()
+    filled = Counter()
+    for row in packer.rows:
+        filled[row[5]] += row[2]
+    assert sum(1024 - x for x in filled.values() if x & (x - 1)) < 0.02 * sum(sizes)
 
 
 def test_bins_of_a_class_take_a_fixed_count():
@@ -401,5 +420,22 @@ def test_neighbouring_notices():
             assert any((s[0], s[1]) == (a, b) and s[3] <= errors for s in spans), (notice, damaged, spans)
 
 
+def test_long_texts_full_of_notices():
+    """Half a megabyte of notices with an error each, and one of seeds alone, in seconds."""
+    scanner = licenses.Scanner()
+    start = time.perf_counter()
+    _, spans, score = scanner.scan(" " + "licensed under the mit licence xx " * 15_000)
+    assert sum(s[2:] == ("mit", 1) for s in spans) == 15_000 and 0.9 < score < 1
+    assert not scanner.scan(" " + "general license reserved rights " * 15_000)[1]
+    assert time.perf_counter() - start < 120
+
+
+def test_a_better_match_makes_another_one_way():
+    """Of overlapping matches the better one stays, and the rest of the other's window is searched."""
+    scanner = licenses.Scanner(phrases=(), notices=(("licensed under the mit license", "mit"),))
+    assert [s[3] for s in scanner.scan(" licensed under the mitx licensed under the mit license ")[1]] == [0]
+    assert [s[3] for s in scanner.scan(" licensed under the mit licen licensed under the mit license ")[1]] == [2, 0]
+
+
 def plain_filler(r: random.Random) -> list[str]:
     return [r.choice(["the", "public", "license", "of", "use", "rights", "q7"]) for _ in range(r.randrange(12))]
