@@ -264,16 +264,16 @@ _LINKS = "a bigint, b bigint"
 
 
 def _joining_links(rows: pd.DataFrame, n_rows: int, threshold: float) -> pd.DataFrame:
-    """Verified links that join classes, between two blocks of a band (or within one).
+    """Verified links that join classes, between a block of the texts of a band that are in another
+    class than its leader (``asks``) and a block of all texts of the band.
 
-    Texts of another class than the band's leader are compared with all others by their samples;
-    likely pairs are verified here, those that agree most first, and pairs that links found before
-    have joined are passed over. So a block of n texts gives n - 1 links at most. A pair that
-    shares several bands is looked at in the first of them.
+    Texts are compared by their samples; likely pairs are verified here, those that agree most
+    first, and pairs that links found before have joined are passed over. So two blocks of n texts
+    give n - 1 links at most. A pair that shares several bands is looked at in the first of them.
     """
-    n, slot, within = len(rows), int(rows["slot"].iloc[0]), rows["i"].iloc[0] == rows["j"].iloc[0]
-    x = np.frombuffer(b"".join(rows["samples"]), "<u4").reshape(n, -1)
-    node, packed, block, apart = (rows[c].to_numpy() for c in ("node", "bag", "block", "apart"))
+    slot, asks = int(rows["slot"].iloc[0]), rows["asks"].to_numpy()
+    x = np.frombuffer(b"".join(rows["samples"]), "<u4").reshape(len(rows), -1)
+    node, packed, apart = (rows[c].to_numpy() for c in ("node", "bag", "apart"))
     root = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
     bags: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
 
@@ -284,11 +284,9 @@ def _joining_links(rows: pd.DataFrame, n_rows: int, threshold: float) -> pd.Data
         return bags[at]
 
     found: list[tuple[int, int]] = []
-    for at in np.flatnonzero(apart).tolist():
-        likely = (root != root[at]) & ~(apart & (np.arange(n) < at))
-        if not within:
-            likely &= block != block[at]
-        others = np.flatnonzero(likely)
+    for at in np.flatnonzero(asks).tolist():
+        # Of two texts that both ask, the smaller one does.
+        others = np.flatnonzero(~asks & (root != root[at]) & ~(apart & (node < node[at])))
         equal = x[others] == x[at]
         agreeing = equal.sum(1)
         first = equal.reshape(len(others), BANDS, ROWS).all(2).argmax(1)
@@ -307,6 +305,22 @@ def _joining_links(rows: pd.DataFrame, n_rows: int, threshold: float) -> pd.Data
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """The rows (band, node, size, apart, ...) as blocks (band, i, j, asks) of a bounded size: i are
+    blocks of the texts that are in another class than their band's leader, j blocks of all. A text
+    is sent once for each i and, if it is apart, once for each j. So a band of n texts of which m
+    are apart sends about 2 * n * m / BLOCK rows, and n + m while both are below BLOCK."""
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    own = F.col("apart").cast("int")
+    bands = labelled.groupBy("band").agg(F.count("*").alias("n"), blocks(F.count("*"), F.sum("size")).alias("all_blocks"), blocks(F.sum(own), F.sum(own * F.col("size"))).alias("apart_blocks"))
+    dealt = labelled.join(bands.filter("apart_blocks > 0 and n > 2").drop("n"), "band")
+    dealt = dealt.withColumns({"i": F.pmod(F.xxhash64("node"), "apart_blocks").cast("int"), "j": F.pmod(F.xxhash64("node"), "all_blocks").cast("int")})
+    answers = F.transform(F.sequence(F.lit(0), F.col("apart_blocks") - 1), lambda b: F.struct(b.alias("i"), F.col("j").alias("j"), F.lit(False).alias("asks")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda b: F.struct(F.col("i").alias("i"), b.alias("j"), F.lit(True).alias("asks")))
+    sent = F.explode(F.when(F.col("apart"), F.concat(answers, asks)).otherwise(answers)).alias("sent")
+    return dealt.select(*labelled.columns, sent).select(*labelled.columns, "sent.*")
+
+
 def _digest(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
@@ -324,7 +338,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     class than the smallest of a band are compared with all of that band, in blocks of a bounded
     size, by their samples; what agrees is verified, and only links that join classes come out.
     So links are linear in the rows of a band, yet no two texts of a band that are similar enough
-    stay in different classes.
+    stay in different classes (but for a pair that agrees in fewer than ``LEAST_AGREEING`` samples:
+    2e-5 at the threshold, besides the 4e-5 of the bands).
 
     Texts without words (null, empty, blank) are near-duplicates only as copies; null counts as
     empty. Rows with a null id are in no class: class_id is null and they are kept. A document is
@@ -375,13 +390,9 @@ def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float) -> Da
     leaders = classes.select(F.col("node").alias("leader"), F.col("component").alias("leads"))
     labelled = labelled.join(leaders, "leader", "left").withColumn("apart", F.col("component") != F.coalesce("leads", "leader"))
     labelled = materialise(labelled.select("band", "slot", "node", "size", "component", "apart"), "labelled")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
-    bands = labelled.groupBy("band").agg(blocks.alias("blocks"), F.count("*").alias("n"), F.count_if("apart").alias("n_apart")).filter("n_apart > 0 and n > 2")
-    dealt = labelled.join(bands.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(nodes.select("node", "samples"), "node").join(bags, "node")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "node", "component", "apart", "block", "samples", "bag")
-    added = dealt.groupBy("band", "i", "j").applyInPandas(lambda rows: _joining_links(rows, n, threshold), _LINKS)
+    sent = _blocks(labelled).join(nodes.select("node", "samples"), "node").join(bags, "node")
+    sent = sent.select("band", "i", "j", "asks", "slot", "node", "component", "apart", "samples", "bag")
+    added = sent.groupBy("band", "i", "j").applyInPandas(lambda rows: _joining_links(rows, n, threshold), _LINKS)
     added = materialise(added, "joining")
     if not added.isEmpty():
         classes = components(links.select("a", "b").unionByName(added))
