@@ -17,8 +17,11 @@ from neargrain.llm.graph import components
 THRESHOLD = 0.95
 #: The shards' centres are fitted on so many vectors at most, those with the smallest hash of id.
 SAMPLE = 20_000
-#: Vectors a centre stands for, most centres, and the nearest centres that a vector goes to.
-PER_CENTRE, MOST_CENTRES, OVERLAP = 500, 4096, 4
+#: Bytes of the sample, about; so longer vectors make a smaller one (of 1,000 at least).
+SAMPLE_BYTES = 64 << 20
+#: Vectors a centre stands for, most centres, the nearest centres whose shards hold a vector, and
+#: the nearest of these in which it is searched for.
+PER_CENTRE, MOST_CENTRES, OVERLAP, SEARCHED = 500, 4096, 4, 2
 #: Within a shard: points of a cluster, candidates and degree of a point, slack of the pruning.
 CLUSTER, CANDIDATES, DEGREE, ALPHA = 256, 48, 24, 1.2
 #: A shard of more vectors than this is dealt into parts, which are searched two by two.
@@ -59,9 +62,9 @@ def robust_prune(distance: np.ndarray, candidates: np.ndarray, degree: int, alph
     return out
 
 
-def build_graph(x: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(adjacency lists padded with -1, medoids). Overlapping clusters of unit vectors get pruned
-    graphs of their own; a point's lists from its clusters are united."""
+def build_graph(x: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(adjacency lists padded with -1, medoids, each point's cluster). Overlapping clusters of unit
+    vectors get pruned graphs of their own; a point's lists from its clusters are united."""
     n = len(x)
     k = max(1, -(-n // CLUSTER))
     centres = x[np.random.default_rng(seed).permutation(n)[:k]]
@@ -92,7 +95,7 @@ def build_graph(x: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             for j in range(DEGREE):
                 at = lists[part, free + j]
                 lists[part, free + j] = np.where(at < 0, found[:, j], at)
-    return lists, np.unique(np.array(medoids, np.int64))
+    return lists, np.unique(np.array(medoids, np.int64)), own[:, 0]
 
 
 def with_back_links(lists: np.ndarray, extra: int = DEGREE) -> np.ndarray:
@@ -110,59 +113,51 @@ def with_back_links(lists: np.ndarray, extra: int = DEGREE) -> np.ndarray:
 
 
 def range_search(x: np.ndarray, queries: np.ndarray, lists: np.ndarray, medoids: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs with a cosine of at least ``threshold``: greedy search from the
-    medoids with a beam, and every point in range is expanded, too."""
-    m, n = len(queries), len(x)
-    seen = np.full((m, n), -2.0)
-    open_ = np.zeros((m, n), bool)
-    seen[:, medoids] = x[queries] @ x[medoids].T
-    open_[:, medoids] = True
-    beam = min(beam, n)
-    while True:
-        least = np.partition(seen, n - beam, axis=1)[:, n - beam]
-        expand = open_ & (seen >= np.minimum(least, threshold)[:, None])
-        q, p = np.nonzero(expand)
-        if not len(q):
-            break
-        open_[q, p] = False
-        to = lists[p]
-        q = np.repeat(q, to.shape[1])[(to >= 0).ravel()]
-        to = to[to >= 0]
-        fresh = seen[q, to] == -2.0
-        key = np.unique(q[fresh] * n + to[fresh])
-        q, to = key // n, key % n
-        for a in range(0, len(q), 1 << 16):
-            b = slice(a, a + (1 << 16))
-            seen[q[b], to[b]] = np.einsum("ij,ij->i", x[queries[q[b]]], x[to[b]])
-        open_[q, to] = True
-    q, p = np.nonzero(seen >= threshold)
-    return q, p
+    """(query, point) pairs with a cosine of at least ``threshold``: greedy search from the medoids
+    with a beam, and every point in range is expanded, too. Queries that are near each other are
+    searched together: a point that one of them expands is seen by all, so a round is one product
+    of matrices and the work is that of the points that are visited."""
+    seen, new = np.zeros(len(x), bool), medoids
+    best, found = np.full((len(queries), beam), -2.0), []
+    while len(new):
+        seen[new] = True
+        similar = x[queries] @ x[new].T
+        q, p = np.nonzero(similar >= threshold)
+        found.append((q, new[p]))
+        best = np.partition(np.hstack((best, similar)), len(new), axis=1)[:, len(new) :]
+        # Bounds only rise, so a point that nobody expands now is never expanded.
+        expand = (similar >= np.minimum(best[:, 0], threshold)[:, None]).any(0)
+        near = np.unique(lists[new[expand]])
+        near = near[near >= 0]
+        new = near[~seen[near]]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def link_shard(x: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(a, b, audited links, of these found): the links a < b in a shard of unit vectors.
+def link_shard(x: np.ndarray, threshold: float = THRESHOLD, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(a, b, audited links, of these found): the links a < b in a shard of unit vectors of which an
+    end is ``asked`` for (default: all).
 
     A part of the queries is audited against brute force; where less than 99 % of their links are
     found, the shard is searched with a wider beam, and at last in full."""
-    n = len(x)
-    lists, medoids = build_graph(x)
+    n, asked = len(x), np.arange(len(x)) if asked is None else asked
+    keyed = lambda q, p: np.unique(np.minimum(q, p) * n + np.maximum(q, p))
+    lists, medoids, cluster = build_graph(x)
     lists = with_back_links(lists)
-    audited = np.arange(0, n, AUDIT)
-    true_q, true_p = np.nonzero(x[audited] @ x.T >= threshold)
-    true = np.unique(np.minimum(audited[true_q], true_p) * n + np.maximum(audited[true_q], true_p))
+    audited = asked[::AUDIT]
+    q, p = np.nonzero(x[audited] @ x.T >= threshold)
+    true = keyed(audited[q], p)
     true = true[true // n != true % n]
-    beam = BEAM
+    together, beam = asked[np.argsort(cluster[asked], kind="stable")], min(BEAM, n)
     while True:
-        keys = []
-        for a in range(0, n, TOGETHER):
-            queries = np.arange(a, min(a + TOGETHER, n))
+        keys = [np.zeros(0, np.int64)]
+        for a in range(0, len(together), TOGETHER):
+            queries = together[a : a + TOGETHER]
             if beam > 8 * BEAM:
                 q, p = np.nonzero(x[queries] @ x.T >= threshold)
             else:
                 q, p = range_search(x, queries, lists, medoids, threshold, beam)
-            q = queries[q]
-            keys.append(np.unique(np.minimum(q, p) * n + np.maximum(q, p)))
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            keys.append(keyed(queries[q], p))
+        key = np.unique(np.concatenate(keys))
         key = key[key // n != key % n]
         found = int(np.isin(true, key).sum())
         if found >= 0.99 * len(true):
@@ -179,17 +174,17 @@ _FOUND = "node bigint, n_links bigint, root bigint, audited bigint, audited_foun
 def _shard(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of a shard or, where it is large, of two of its parts (i, j)."""
     x = np.frombuffer(b"".join(rows["vector"]), "<f8").reshape(len(rows), -1)
-    node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
-    a, b, audited, found = link_shard(x, threshold)
-    # A link counts in the first shard that both ends have in common, and there where i and j are
-    # the parts of its ends.
+    node, copies, here = rows["node"].to_numpy(), rows["copies"].to_numpy(), int(rows["shard"].iloc[0])
     shards = np.stack(rows["shards"].to_numpy())
-    here = int(rows["shard"].iloc[0])
+    a, b, audited, found = link_shard(x, threshold, np.flatnonzero((shards[:, :SEARCHED] == here).any(1)))
+    # A link counts in the first shard that holds both ends and in which one of them is searched
+    # for, and there where i and j are the parts of its ends.
+    searched = np.arange(shards.shape[1]) < SEARCHED
     first = np.zeros(len(a), np.int64)
     for i in range(0, len(a), 65536):
         s, t = shards[a[i : i + 65536]], shards[b[i : i + 65536]]
-        common = (s[:, :, None] == t[:, None, :]).any(2)
-        first[i : i + 65536] = np.where(common, s, np.iinfo(np.int64).max).min(1)
+        common = (s[:, :, None] == t[:, None, :]) & (searched[:, None] | searched[None, :])
+        first[i : i + 65536] = np.where(common.any(2), s, np.iinfo(np.int64).max).min(1)
     part, two = rows["part"].to_numpy(), rows["i"].iloc[0] != rows["j"].iloc[0]
     counted = (first == here) & ((part[a] != part[b]) if two else True)
     count = np.zeros(len(rows), np.int64)
@@ -228,28 +223,33 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept, copies of every row, whatever its other columns.
+    """vec_id, n_links, component_id, kept, copies of every row, whatever its other columns; and
+    audited_links and audited_found, the sums of all shards' audits, the same in every row.
 
     Equal unit vectors are one node with a count of copies. Centres fitted on a bounded sample
-    (``SAMPLE`` rows) make overlapping shards: every vector goes to its ``OVERLAP`` nearest.
+    (``SAMPLE`` rows, ``SAMPLE_BYTES``) make overlapping shards: every vector goes to its ``OVERLAP``
+    nearest, and is searched for in the ``SEARCHED`` nearest of these.
     A shard of more than ``PART`` vectors is dealt into parts, of which each two are searched
     together, so that no task holds more than two parts and no vector is left out. A shard
     builds pruned graphs on overlapping clusters, unites their lists, searches the range of each
     vector from medoids, audits a part of the searches against brute force, and verifies
-    links in double precision. A link that several shards find counts once. Shards give counts
-    and stars, not pairs; components are joined afterwards.
+    links in double precision; a cosine of exactly ``threshold``, as double precision has it, links.
+    A link that several shards find counts once. Shards give counts and stars, not pairs;
+    components are joined afterwards.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
     vectors of different lengths don't link. A null id can't be linked to and is in no component.
-    Repeated rows (same id) count as copies of each other. An empty table gives an empty result.
+    Repeated rows (same id and vector) count as copies of each other; of an id with several vectors
+    each is a vector of its own, with links and a component of its own. Vectors may have any
+    length, as all of a shard's part (``PART``) are in one task. An empty table gives an empty result.
     """
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     prepared = materialise(rows.mapInArrow(_prepared, "vec_id bigint, digest binary, vector binary"), "vectors")
     usable = prepared.filter("digest is not null and vec_id is not null")
-    nodes = usable.groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    nodes = materialise(nodes, "nodes")
-    n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow().column(0).to_pylist()
+    nodes = usable.groupBy("digest").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n, longest = nodes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("vector")), F.lit(8))).first()
+    sample = nodes.orderBy(F.xxhash64("digest"), "digest").limit(min(SAMPLE, max(1000, SAMPLE_BYTES // longest))).select("vector").toArrow().column(0).to_pylist()
     lengths = {len(v) for v in sample}
     k = int(min(MOST_CENTRES, max(1, -(-n // PER_CENTRE))))
     centres = {size: fit_centres(np.frombuffer(b"".join(v for v in sample if len(v) == size), "<f8").reshape(-1, size // 8), k) for size in lengths}
@@ -273,10 +273,14 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     dealt = dealt.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "copies", "vector", "shards")
     found = materialise(dealt.groupBy("shard", "i", "j").applyInPandas(lambda f: _shard(f, threshold), _FOUND), "found")
     linked = found.groupBy("node").agg(F.sum("n_links").alias("links"))
+    audits = found.agg(F.coalesce(F.sum("audited"), F.lit(0)).alias("audited_links"), F.coalesce(F.sum("audited_found"), F.lit(0)).alias("audited_found"))
     classes = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    per_node = nodes.select("digest", "node", "copies").join(linked, "node", "left").join(classes, "node", "left")
-    per_node = per_node.select("digest", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    classes = materialise(classes.join(nodes.select("node", "first_id"), "node"), "classes")
+    classes = classes.join(classes.groupBy("component").agg(F.min("first_id").alias("least")), "component").select("node", "least")
+    per_node = nodes.select("digest", "node", "first_id", "copies").join(linked, "node", "left").join(classes, "node", "left")
+    per_node = per_node.select("digest", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first_id").alias("component_id"))
     out = prepared.join(per_node, "digest", "left")
     linkable = F.col("vec_id").isNotNull()
     component = F.when(linkable, F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.when(linkable, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
+    out = out.join(F.broadcast(audits), F.lit(True))  # one row
+    return out.select("vec_id", F.when(linkable, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), "audited_links", "audited_found")
