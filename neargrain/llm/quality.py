@@ -195,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def with_score(docs: DataFrame, model: Trees, text: str = "text", score: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of the whole text, in one pass without a shuffle."""
+    """All columns of ``docs`` and the score of the whole text, in one pass without a shuffle; a
+    column that has the score's name already makes way."""
+    docs = docs.drop(score)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

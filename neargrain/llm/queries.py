@@ -31,7 +31,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return embedding.near_duplicate_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,53 @@ ORACLES: dict[str, str] = {
                CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)""",
+    "op3_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+             windows AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM w WHERE len(words) >= 20),
+             later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) > 1),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS place FROM later),
+             each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+             kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept FROM each ANTI JOIN gone USING (doc_id, place) GROUP BY 1)
+        SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+    "op4_minhash_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             u AS (SELECT min(doc_id) AS node, count(*) AS copies, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d GROUP BY text),
+             s AS (SELECT node, copies, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                          ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM u),
+             t AS (SELECT node, copies, shingle, count(*) AS tf FROM s GROUP BY ALL),
+             df AS (SELECT shingle, sum(copies) AS df FROM t GROUP BY 1),
+             x AS (SELECT node, shingle, tf * (1 + ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df))) AS w FROM t JOIN df USING (shingle)),
+             total AS (SELECT node, sum(w) AS total FROM x GROUP BY 1),
+             shared AS (SELECT a.node AS a, b.node AS b, sum(least(a.w, b.w)) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.node < b.node GROUP BY 1, 2),
+             links AS (SELECT a, b FROM shared JOIN total p ON p.node = a JOIN total q ON q.node = b WHERE shared >= 0.8::DOUBLE * (p.total + q.total - shared)),
+             two_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+             reach AS (SELECT node, node AS other FROM u UNION SELECT reach.node, two_way.b FROM reach JOIN two_way ON two_way.a = reach.other),
+             classes AS (SELECT node, min(other) AS class_id FROM reach GROUP BY 1)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS copy_of, class_id, doc_id = class_id AS kept
+        FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS node FROM d) JOIN classes USING (node)""",
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) AS n FROM embeddings),
+             usable AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+             links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.n = b.n AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95::DOUBLE),
+             reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+             classes AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM classes LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1) USING (vec_id)""",
+    "op9_suffix_dedup": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+             windows AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 99)) AS i, x FROM h WHERE len(x) >= 200),
+             keyed AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS key FROM windows),
+             later AS (SELECT doc_id, i FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+             steps AS (SELECT doc_id, i, coalesce(i > lag(i) OVER o + 100, true) AS new FROM later WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+             runs AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+             spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY 1, 2),
+             before AS (SELECT s.doc_id, s.run, s.b, s.a, substr(x, 2 * coalesce(lag(s.b) OVER o, 0) + 1, 2 * (s.a - coalesce(lag(s.b) OVER o, 0))) AS piece
+                        FROM spans s JOIN h USING (doc_id) WINDOW o AS (PARTITION BY s.doc_id ORDER BY s.run)),
+             cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(piece, '' ORDER BY run) AS head FROM before GROUP BY 1)
+        SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(head || substr(x, 2 * last + 1), x))) AS kept_sha256
+        FROM h LEFT JOIN cut USING (doc_id)""",
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY 1)

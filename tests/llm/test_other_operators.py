@@ -160,6 +160,38 @@ def test_near_classes_of_an_id_with_two_texts(spark):
     assert kept == {(1, a): 1, (2, b): 2, (4, last): 1, (None, c): 1}
 
 
+def test_near_classes_equal_sql(spark, data):
+    assert_same(queries.op4_minhash_dedup(spark, data), queries.ORACLES["op4_minhash_dedup"], data)
+
+
+def test_a_band_of_unlike_texts(spark, monkeypatch):
+    """Thousands of texts of one band, in many blocks, nearly all in classes of their own."""
+    docs = {i: " ".join(f"a{i}x{j}" for j in range(12)) for i in range(1500)}
+    docs |= {2000 + i: " ".join([*(f"b{i}x{j}" for j in range(30)), f"c{i % 3}"]) for i in range(300)}
+    docs |= {3000 + i: docs[2000 + i] + " end" for i in range(300)}
+    one_band = lambda samples: np.repeat(np.arange(minhash.BANDS, dtype=np.uint64)[None], len(samples), 0)
+    monkeypatch.setattr(minhash, "bands_of", one_band)
+    monkeypatch.setattr(minhash, "BLOCK", 400)
+    table = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(6)
+    found = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table).collect()}
+    assert found == {i: i - 1000 if i >= 3000 else i for i in docs}
+
+
+def test_rows_that_blocks_send(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    rows = [(1, i, 10, i < 10) for i in range(1000)] + [(2, i, 10, i > 0) for i in range(500)] + [(3, i, 10, False) for i in range(700)]
+    sent = minhash._blocks(spark.createDataFrame(rows, "band bigint, node bigint, size bigint, apart boolean")).collect()
+    counts = Counter(r["band"] for r in sent)
+    assert counts == {1: 1000 * 1 + 10 * 10, 2: 500 * 5 + 499 * 5}
+    for band, m in ((1, 10), (2, 499)):
+        met = defaultdict(lambda: ([], []))
+        for r in sent:
+            if r["band"] == band:
+                met[r["i"], r["j"]][not r["asks"]].append(r["node"])
+        pairs = {(a, b) for asks, answers in met.values() for a in asks for b in answers}
+        assert len(pairs) == m * sum(1 for r in rows if r[0] == band)
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     import pyarrow as pa
 
@@ -222,6 +254,17 @@ def test_odd_vectors(spark):
     assert (None, 0) in found and found.count((0, 4)) == 2 and len(found) == 15
 
 
+def test_vectors_equal_sql(spark, data):
+    assert_same(queries.op5_embedding_dedup(spark, data), queries.ORACLES["op5_embedding_dedup"], data)
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0])]
+    found = embedding.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == {(1, 1, 1): 1, (1, 2, 1): 1, (2, 1, 1): 1, (3, 2, 1): 2, (4, 0, 4): 1}
+    assert len({(r["audited_links"], r["audited_found"]) for r in found}) == 1
+
+
 def test_recall_on_dense_vectors(spark):
     """Thousands of vectors around few centres, many of them near the threshold."""
     r = np.random.default_rng(3)
@@ -235,6 +278,7 @@ def test_recall_on_dense_vectors(spark):
     for row in rows:
         found[row["vec_id"]] = row["n_links"]
     assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
+    assert rows[0]["audited_links"] > 500 and rows[0]["audited_found"] >= 0.98 * rows[0]["audited_links"]
 
 
 def test_parts_of_a_large_shard(spark, monkeypatch):

@@ -187,6 +187,11 @@ def test_bytes_of_the_table(spark, data):
     assert check_bytes(spark, queries.op9_suffix_dedup(spark, data), read(spark, data)) > 0
 
 
+@pytest.mark.parametrize("name", ["op3_substring_dedup", "op9_suffix_dedup"])
+def test_removal_equals_sql(spark, data, name):
+    assert_same(queries.QUERIES[name](spark, data), queries.ORACLES[name], data)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_patchworks(spark, seed):
     docs = patchwork(seed, 80, " " if seed % 2 else "\n")
