@@ -65,15 +65,20 @@ def _tail(labels: str, prop: float = 0.1) -> str:
         WHERE rn <= floor({prop}::DOUBLE * n))"""
 
 
+#: Scores are rounded where they are made, and nowhere after: a second rounding would break ties
+#: that the first one makes, and engines break ties differently.
 COSINE = "CASE WHEN a.square > 0 AND b.square > 0 THEN dot / sqrt(a.square::DOUBLE * b.square::DOUBLE) ELSE 0 END"
 
+LOG_COSINE = """CASE WHEN dot > 0 AND ln(sqrt(a.square::DOUBLE)) * ln(sqrt(b.square::DOUBLE)) <> 0
+                THEN dot / (ln(sqrt(a.square::DOUBLE)) * ln(sqrt(b.square::DOUBLE))) ELSE 0 END"""
 
-def _entries(labels: str, digits: int, k: int = K, score: str = COSINE, candidates: str = "all") -> str:
+
+def _entries(labels: str, digits: int, k: int = K, score: str = COSINE, candidates: str = "all", queries: str = "FROM val") -> str:
     zeros = f"""UNION ALL SELECT v.doc_id, t.doc_id, 0.0 FROM (SELECT DISTINCT doc_id FROM qw) v, (SELECT DISTINCT doc_id FROM train_labels ORDER BY 1 LIMIT {2 * k}) t
                 WHERE NOT EXISTS (FROM scored s WHERE s.q = v.doc_id AND s.doc_id = t.doc_id AND s.score <> 0)"""
     return f"""
     train_labels AS (SELECT * FROM {labels} WHERE doc_id NOT IN (FROM val)),
-    qw AS (SELECT * FROM w WHERE doc_id IN (FROM val)),
+    qw AS (SELECT * FROM w WHERE doc_id IN ({queries})),
     tw AS (SELECT * FROM w WHERE doc_id NOT IN (FROM val)),
     sq AS (SELECT doc_id, sum(w * w) AS square, count(*) AS size FROM w GROUP BY 1),
     pairs AS (SELECT qw.doc_id AS q, tw.doc_id, sum(qw.w * tw.w)::DOUBLE AS dot, count(*) AS shared FROM qw JOIN tw USING (word) GROUP BY 1, 2),
@@ -91,7 +96,7 @@ def _ranks(labels: str, per_occurrence: bool = False) -> str:
     label_counts AS (SELECT label, count(*) AS cnt FROM {labels} GROUP BY 1),
     features AS (
         SELECT q, label, x1, (coalesce(psum, 0) * {"n" if per_occurrence else "1"})::DOUBLE AS x2, x3, n::DOUBLE / cnt AS x4
-        FROM (SELECT q, label, max(score) AS x1, sum(score) AS x3, count(*) AS n FROM entries GROUP BY 1, 2)
+        FROM (SELECT q, label, max(score) AS x1, round(sum(score), 9) AS x3, count(*) AS n FROM entries GROUP BY 1, 2)
         LEFT JOIN psums USING (label) JOIN label_counts USING (label)),
     ranks AS (SELECT *, round(3.4::DOUBLE * x1 + 0.6::DOUBLE * x2 + 0.8::DOUBLE * x3 + 0.2::DOUBLE * x4, 9) AS rank FROM features),
     predicted AS (SELECT q, label FROM ranks QUALIFY rank / nullif(max(rank) OVER (PARTITION BY q), 0) > 0.76::DOUBLE),
@@ -112,8 +117,8 @@ RAW_ENTRIES = f"WITH {RAW_SQL}, {_entries('doc_labels', 9)}"
 RAW_RANKS = f"{RAW_ENTRIES}, {_ranks('doc_labels')}"
 FULL_SQL = f"WITH {BASKET}, {PRUNED}, {_weights('tf_idf', 'p3')}, {_tail('l3')}, {_entries('l3', 6)}, {_ranks('l3')}"
 MACRO = "SELECT round(map, 6) AS map, round(mar, 6) AS mar, round(CASE WHEN map + mar > 0 THEN 2 * map * mar / (map + mar) ELSE 0 END, 6) AS maf FROM macro"
-ENTRIES = "SELECT q, rnk::BIGINT AS rnk, doc_id, label, round(score, 6) AS score FROM entries"
-FEATURES = "SELECT q, label, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3, round(x4, 6) AS x4 FROM features"
+ENTRIES = "SELECT q, rnk::BIGINT AS rnk, doc_id, label, score FROM entries"
+FEATURES = "SELECT q, label, x1, x2, x3, x4 FROM features"
 
 
 def query(oracle: str | None):
@@ -252,6 +257,14 @@ def prune_corpus(spark, sf_dir):
     return counts.prune_corpus(postings, labels, None, words)[0]
 
 
+@query(f"""WITH {TEXT}, usual AS (SELECT word FROM postings GROUP BY 1 HAVING count(*) <= 0.05::DOUBLE * (SELECT count(DISTINCT doc_id) FROM postings))
+    SELECT doc_id, word, tf FROM postings WHERE word IN (FROM usual)""")
+def prune_common_words(spark, sf_dir):
+    postings, labels = fixtures.text_postings(spark, sf_dir), fixtures.text_labels(spark, sf_dir)
+    words = counts.prune(counts.word_counts(postings, True), counts.document_total(postings), 0, 0.05)
+    return counts.prune_corpus(postings, labels, None, words)[0]
+
+
 @query(f"""WITH {TEXT}, kept AS (SELECT word FROM postings GROUP BY 1 HAVING sum(tf) >= 3)
     SELECT doc_id, pos::INTEGER AS pos, label FROM all_labels WHERE doc_id IN (SELECT doc_id FROM postings WHERE word IN (FROM kept))""")
 def prune_corpus_labels(spark, sf_dir):
@@ -330,7 +343,7 @@ def separate_train(spark, sf_dir):
 
 
 def _entries_of(run: Run) -> DataFrame:
-    return rounded(run.entries.withColumn("rnk", F.col("rnk").cast("bigint")), "score")
+    return run.entries.withColumn("rnk", F.col("rnk").cast("bigint"))
 
 
 @query(f"{RAW_ENTRIES} {ENTRIES}")
@@ -353,6 +366,16 @@ def cosine_overlap_topk(spark, sf_dir):
     return _entries_of(basket_run(spark, sf_dir, replace(RAW, overlap=0.3)))
 
 
+@query(f"WITH {RAW_SQL}, {_entries('doc_labels', 6, score=LOG_COSINE)} {ENTRIES}")
+def cosine_log_norm_topk(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir, replace(RAW, norm="log_l2", gate=True, digits=6)))
+
+
+@query(f"WITH {RAW_SQL}, {_entries('doc_labels', 9, queries='FROM val ORDER BY doc_id LIMIT 20')} {ENTRIES}")
+def cosine_first_queries(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir, replace(RAW, queries=20)))
+
+
 @query(f"""WITH w AS (SELECT vec_id AS doc_id, unnest(range(len(embedding))) AS word, unnest(embedding)::DOUBLE AS w FROM embeddings),
     doc_labels AS (SELECT vec_id AS doc_id, 0 AS pos, label FROM embeddings), {_tail('doc_labels')},
     {_entries('doc_labels', 6, score=f'CASE WHEN dot > 0 THEN {COSINE} ELSE 0 END', candidates='shared')} {ENTRIES}""")
@@ -360,12 +383,12 @@ def dense_cosine_topk(spark, sf_dir):
     w, labels = fixtures.dense_weights(spark, sf_dir), fixtures.dense_labels(spark, sf_dir)
     chosen = split.split_prop(labels)
     (train, queries), (train_labels, _) = split.separate(w, chosen), split.separate(labels, chosen)
-    return rounded(knn.top_k(queries, train, train_labels, K, "shared", gate=True, digits=6).withColumn("rnk", F.col("rnk").cast("bigint")), "score")
+    return knn.top_k(queries, train, train_labels, K, "shared", gate=True, digits=6).withColumn("rnk", F.col("rnk").cast("bigint"))
 
 
-@query(f"{RAW_ENTRIES} SELECT q, label, count(*)::BIGINT AS n_scores, round(max(score), 6) AS best, round(min(score), 6) AS worst FROM entries GROUP BY 1, 2")
+@query(f"{RAW_ENTRIES} SELECT q, label, count(*)::BIGINT AS n_scores, max(score) AS best, min(score) AS worst FROM entries GROUP BY 1, 2")
 def neighbour_scores(spark, sf_dir):
-    return rounded(basket_run(spark, sf_dir).entries.groupBy("q", "label").agg(F.count("*").alias("n_scores"), F.max("score").alias("best"), F.min("score").alias("worst")), "best", "worst")
+    return basket_run(spark, sf_dir).entries.groupBy("q", "label").agg(F.count("*").alias("n_scores"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
 # ---------------------------------------------------------------- ranks and predictions
@@ -373,12 +396,12 @@ def neighbour_scores(spark, sf_dir):
 
 @query(f"{RAW_RANKS} {FEATURES}")
 def label_features(spark, sf_dir):
-    return rounded(basket_run(spark, sf_dir).features, "x1", "x2", "x3", "x4")
+    return basket_run(spark, sf_dir).features
 
 
 @query(f"{RAW_ENTRIES}, {_ranks('doc_labels', True)} {FEATURES}")
 def label_features_per_occurrence(spark, sf_dir):
-    return rounded(basket_run(spark, sf_dir, replace(RAW, per_occurrence=True)).features, "x1", "x2", "x3", "x4")
+    return basket_run(spark, sf_dir, replace(RAW, per_occurrence=True)).features
 
 
 @query(f"""{RAW_RANKS} SELECT q, label, round(ln(nullif(x1, 0)), 6) AS x1, round(ln(nullif(x2, 0)), 6) AS x2, round(ln(nullif(x3, 0)), 6) AS x3, round(ln(x4), 6) AS x4 FROM features""")
@@ -388,9 +411,9 @@ def label_features_log(spark, sf_dir):
     return rounded(rank.label_features(run.entries, psums, run.label_counts, logs=True), "x1", "x2", "x3", "x4")
 
 
-@query(f"{RAW_RANKS} SELECT q, label, round(rank, 6) AS rank FROM ranks")
+@query(f"{RAW_RANKS} SELECT q, label, rank FROM ranks")
 def ranks(spark, sf_dir):
-    return rounded(basket_run(spark, sf_dir).ranks.select("q", "label", "rank"), "rank")
+    return basket_run(spark, sf_dir).ranks.select("q", "label", "rank")
 
 
 @query(f"{RAW_RANKS} SELECT q, label FROM predicted")

@@ -28,6 +28,11 @@ def word_totals(postings: DataFrame) -> DataFrame:
     return word_counts(postings, binary=True).agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("total_count"), F.count("*").alias("d"))
 
 
+def document_total(postings: DataFrame) -> DataFrame:
+    """(total_count): documents that have words; a ceiling on document frequencies is a share of it."""
+    return postings.agg(F.count_distinct("doc_id").alias("total_count"))
+
+
 def prune(counts: DataFrame, totals: DataFrame, no_below: int = 0, no_above: float = 1.0, max_n: int | None = None) -> DataFrame:
     """The (key, cnt) with no_below <= cnt <= no_above * total_count; of these the ``max_n`` most
     common, ties by key. The ceiling is that of the totals before pruning (one row)."""

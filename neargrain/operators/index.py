@@ -34,11 +34,6 @@ def inverted_index(postings: DataFrame) -> DataFrame:
     return postings.groupBy("word").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-def inverted_lists(postings: DataFrame) -> DataFrame:
-    """(word, docs): the lists as sorted arrays, for export."""
-    return postings.groupBy("word").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
-
-
 def label_documents(doc_labels: DataFrame) -> DataFrame:
     """(label, n_docs, first_doc, last_doc)."""
     return doc_labels.groupBy("label").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))

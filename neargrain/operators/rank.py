@@ -15,9 +15,10 @@ def label_features(entries: DataFrame, psums: DataFrame, counts: DataFrame, per_
     """(q, label, x1..x4): the largest score, the sum of the parents' children, the sum of scores,
     and the number of entries per occurrence of the label in the corpus.
 
+    Scores are rounded already; their sum is rounded so that it doesn't depend on their order.
     ``per_occurrence`` counts the parents' children once for each entry; ``logs`` takes natural
     logarithms (null where a feature is 0)."""
-    grouped = entries.groupBy("q", "label").agg(F.max("score").alias("x1"), F.sum("score").alias("x3"), F.count("*").alias("n"))
+    grouped = entries.groupBy("q", "label").agg(F.max("score").alias("x1"), F.round(F.sum("score"), 9).alias("x3"), F.count("*").alias("n"))
     joined = grouped.join(psums, "label", "left").join(counts.select(F.col("key").alias("label"), "cnt"), "label", "left")
     x2 = F.coalesce("psum", F.lit(0)) * (F.col("n") if per_occurrence else F.lit(1))
     columns = {"x1": F.col("x1"), "x2": x2.cast("double"), "x3": F.col("x3"), "x4": ratio(F.col("n"), F.coalesce("cnt", F.lit(0)))}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neargrain.functions import share
+from neargrain.sources import cut
 
 
 def _picked(doc_labels: DataFrame, k: Column, mode: str, seed: int) -> DataFrame:
@@ -42,7 +43,8 @@ def split_even(doc_labels: DataFrame, k: int = 1, mode: str = "tail", seed: int
 def row_numbers(docs: DataFrame) -> DataFrame:
     """(doc_id, row): 0-based numbers in order of doc_id, from a distributed sort and one count
     for each partition."""
-    numbered = docs.select("doc_id").distinct().orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("at")).persist()
+    # Written, so that a lost executor can't number the rows anew between the two uses.
+    numbered = cut(docs.select("doc_id").distinct().orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("at")))
     place = F.shiftright("at", 33)
     total, offsets = 0, []
     for part, n in sorted((r[0], r[1]) for r in numbered.groupBy(place.alias("part")).count().collect()):

@@ -1,4 +1,4 @@
-"""The classifier as a plan: from a corpus to macro-F1."""
+"""The classifier as a plan: from a corpus to macro-F1, at once or step by step."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.operators import counts, evaluate, index, knn, rank, split, weights
-from neargrain.sources import cut
+from neargrain.sources import cut, load, save
+
+#: The steps in order, and the tables of each that later steps start from.
+STEPS = {"prune": ("postings", "doc_labels"), "weigh": ("weighted",), "split": ("chosen",), "search": ("entries",), "rank": ("ranks",), "evaluate": ("cells", "score")}
 
 
 @dataclass(frozen=True)
@@ -20,7 +23,8 @@ class Settings:
     labels_above: float = 1.0
     words_below: int | None = 3
     words_above: float = 1.0
-    frequent_words: float | None = 0.4  # ceiling on document frequencies, in a second pass
+    frequent_words: float | None = 0.4  # ceiling on document frequencies, of all (document, word) pairs, in a second pass
+    common_words: float | None = None  # the same, of all documents: removes words that make the join on words large
     weighting: str = "tf_idf"  # or "raw"
     narrow: bool = False
     prop: float = 0.1
@@ -47,28 +51,47 @@ class Run:
     settings: Settings = Settings()
 
     @cached_property
-    def pruned(self) -> tuple[DataFrame, DataFrame]:
-        s, (postings, labels) = self.settings, (cut(x) for x in self.corpus)
-        if s.words_below is not None:
-            keep = counts.prune(counts.label_counts(labels), counts.label_totals(labels), s.labels_below, s.labels_above)
-            words = counts.prune(counts.word_counts(postings), counts.word_totals(postings), s.words_below, s.words_above)
-            postings, labels = counts.prune_corpus(postings, labels, keep, words)
-        else:
-            postings, labels = counts.prune_corpus(postings, labels)
-        postings, labels = cut(postings), cut(labels)
-        if s.frequent_words is not None:
-            words = counts.prune(counts.word_counts(postings, True), counts.word_totals(postings), 0, s.frequent_words)
-            postings, labels = (cut(x) for x in counts.prune_corpus(postings, labels, None, words))
+    def second_pass(self) -> tuple[DataFrame, DataFrame] | None:
+        """The corpus before the last pruning pass, written once; None where there is one pass."""
+        s = self.settings
+        if s.words_below is None:
+            return None
+        postings, labels = (cut(x) for x in self.corpus)
+        keep = counts.prune(counts.label_counts(labels), counts.label_totals(labels), s.labels_below, s.labels_above)
+        words = counts.prune(counts.word_counts(postings), counts.word_totals(postings), s.words_below, s.words_above)
+        return tuple(cut(x) for x in counts.prune_corpus(postings, labels, keep, words))
+
+    @cached_property
+    def aligned(self) -> tuple[DataFrame, DataFrame]:
+        """Both pruned tables as plans."""
+        s = self.settings
+        postings, labels = self.second_pass or counts.prune_corpus(*self.corpus)
+        for ceiling, total in ((s.frequent_words, counts.word_totals), (s.common_words, counts.document_total)):
+            if ceiling is not None:
+                words = counts.prune(counts.word_counts(postings, True), total(postings), 0, ceiling)
+                postings, labels = counts.prune_corpus(postings, labels, None, words)
         return postings, labels
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        return cut(self.aligned[0])
+
+    @cached_property
+    def doc_labels(self) -> DataFrame:
+        return cut(self.aligned[1])
+
+    @property
+    def pruned(self) -> tuple[DataFrame, DataFrame]:
+        """Both tables, written; a step that asks for one of them doesn't make the other."""
+        return self.postings, self.doc_labels
+
     @cached_property
     def weighted(self) -> DataFrame:
-        postings, _ = self.pruned
-        return weights.raw_weights(postings) if self.settings.weighting == "raw" else cut(weights.weights(postings, self.settings.narrow))
+        return weights.raw_weights(self.postings) if self.settings.weighting == "raw" else cut(weights.weights(self.postings, self.settings.narrow))
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return cut(split.split_prop(self.pruned[1], self.settings.prop, self.settings.split))
+        return cut(split.split_prop(self.doc_labels, self.settings.prop, self.settings.split))
 
     @cached_property
     def validation(self) -> DataFrame:
@@ -77,14 +100,14 @@ class Run:
     @cached_property
     def parts(self) -> dict[str, DataFrame]:
         train_w, _ = split.separate(self.weighted, self.chosen)
-        train_l, _ = split.separate(self.pruned[1], self.chosen)
+        train_l, _ = split.separate(self.doc_labels, self.chosen)
         _, query_w = split.separate(self.weighted, self.validation)
-        _, query_l = split.separate(self.pruned[1], self.validation)
+        _, query_l = split.separate(self.doc_labels, self.validation)
         return {"train": train_w, "train_labels": train_l, "queries": query_w, "query_labels": query_l}
 
     @cached_property
     def label_counts(self) -> DataFrame:
-        return counts.label_counts(self.pruned[1])
+        return counts.label_counts(self.doc_labels)
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -93,7 +116,7 @@ class Run:
 
     @cached_property
     def features(self) -> DataFrame:
-        return rank.label_features(self.entries, index.parent_sums(self.edges, self.pruned[1]), self.label_counts, self.settings.per_occurrence)
+        return rank.label_features(self.entries, index.parent_sums(self.edges, self.doc_labels), self.label_counts, self.settings.per_occurrence)
 
     @cached_property
     def ranks(self) -> DataFrame:
@@ -118,3 +141,14 @@ class Run:
     @cached_property
     def score(self) -> DataFrame:
         return evaluate.macro(self.cells)
+
+    def steps(self, folder: str, first: str = "prune", last: str = "evaluate") -> None:
+        """Makes the steps from ``first`` to ``last``: the tables of earlier ones are read from
+        ``folder``, where an earlier call has put them, and each step's are written there."""
+        names = list(STEPS)
+        a, b = names.index(first), names.index(last)
+        for name in names[:a]:
+            self.__dict__.update(load(self.edges.sparkSession, f"{folder}/{name}", STEPS[name]))
+        for name in names[a : b + 1]:
+            save({t: getattr(self, t) for t in STEPS[name]}, f"{folder}/{name}")
+            self.__dict__.update(load(self.edges.sparkSession, f"{folder}/{name}", STEPS[name]))

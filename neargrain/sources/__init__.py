@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -11,10 +12,19 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str, offset: int = 0, lines: int | None = None) -> DataFrame:
-    """(doc_id, value): the lines of text files, numbered from 0 in file order; of these
-    ``lines`` from ``offset`` on (an offset of 1 skips a header)."""
-    indexed = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    rows = spark.createDataFrame(indexed, "doc_id bigint, value string").filter(F.col("doc_id") >= offset)
+    """(doc_id, value): the lines of text files, numbered from 0 in order of file and line; of these
+    ``lines`` from ``offset`` on (an offset of 1 skips a header).
+
+    A split of a file is read in order by one task: lines are counted per split, the driver gets
+    one row for each split, and the numbers of a split start at the count of all before it.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    total, bases = 0, []
+    for r in sorted(read.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()):
+        bases.append((r["file"], r["start"], total - r["first"]))
+        total += r["n"]
+    base = spark.createDataFrame(bases, "file string, start bigint, base bigint")
+    rows = read.join(F.broadcast(base), ["file", "start"]).select((F.col("at") + F.col("base")).alias("doc_id"), "value").filter(F.col("doc_id") >= offset)
     return rows if lines is None else rows.filter(F.col("doc_id") < offset + lines)
 
 
@@ -72,21 +82,30 @@ def parse_edges(lines: DataFrame) -> DataFrame:
     return lines.filter(F.trim("value") != "").select(F.get(pair, F.lit(0)).cast("int").alias("parent"), F.get(pair, F.lit(1)).cast("int").alias("child")).distinct()
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """Writes a table between two steps below ``spark.checkpoint.dir`` and reads it back: it is made
-    once however often later steps use it, and survives lost executors. Removed when the
-    application ends. Where no folder is set (tests on one machine), a temporary one is.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, removed when the application ends.
+
+    Where the session names no such folder, a temporary one is set if one machine runs all
+    tasks; on a cluster, where executors wouldn't see each other's files, it is an error.
     """
-    spark = rows.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="neargrain-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/neargrain-step-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/neargrain-{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def cut(rows: DataFrame, name: str = "step") -> DataFrame:
+    """Writes a table between two steps into a shared folder and reads it back: it is made once
+    however often later steps use it, and survives lost executors."""
+    path = shared_folder(rows.sparkSession, name)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:

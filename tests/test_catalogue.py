@@ -14,6 +14,15 @@ def test_query_equals_its_sql(spark, data, name):
     assert_same(catalogue.QUERIES[name](spark, data), catalogue.ORACLES[name], data)
 
 
+@pytest.mark.parametrize("name", [
+    "cosine_raw_topk", "cosine_shared_topk", "cosine_overlap_topk", "cosine_log_norm_topk", "neighbour_scores",
+    "label_features", "label_features_per_occurrence", "ranks",
+])
+def test_scores_equal_their_sql_on_more_rows(spark, name):
+    data = "/root/testdata/sf0.01"
+    assert_same(catalogue.QUERIES[name](spark, data), catalogue.ORACLES[name], data)
+
+
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 

@@ -7,6 +7,7 @@ import math
 import pytest
 
 from neargrain import sources
+from neargrain.__main__ import main
 from neargrain.operators import counts, evaluate, index, knn, rank, split, weights
 from neargrain.plans import Run, Settings
 
@@ -41,10 +42,10 @@ def test_parsing(corpus):
 
 
 def test_parsing_oddities(spark):
-    lines = spark.createDataFrame([(0, "545, 32 8:1 18:2"), (1, "7,7 5:1 5:9"), (2, "4"), (3, "  "), (4, None), (5, "1 x:2 3:4")], "doc_id bigint, value string")
+    lines = spark.createDataFrame([(0, "61, 7 4:1 9:2"), (1, "7,7 5:1 5:9"), (2, "4"), (3, "  "), (4, None), (5, "1 x:2 3:4")], "doc_id bigint, value string")
     postings, labels = sources.parse_multilabel(lines, strict=False)
-    assert table(postings, "doc_id", "word", "tf") == [(0, 8, 1), (0, 18, 2), (1, 5, 9), (5, 3, 4)]
-    assert table(labels, "doc_id", "label") == [(0, 32), (0, 545), (1, 7), (1, 7), (2, 4), (5, 1)]
+    assert table(postings, "doc_id", "word", "tf") == [(0, 4, 1), (0, 9, 2), (1, 5, 9), (5, 3, 4)]
+    assert table(labels, "doc_id", "label") == [(0, 7), (0, 61), (1, 7), (1, 7), (2, 4), (5, 1)]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         sources.parse_multilabel(lines)[0].collect()
 
@@ -152,8 +153,81 @@ def test_zero_norm_and_log_norm(spark, corpus, query):
     train = weights.raw_weights(postings)
     zero = query.selectExpr("doc_id", "word", "0L as w")
     assert {r[0] for r in table(knn.scores(zero, train), "score")} == {0.0}
-    assert all(r[0] is not None for r in table(knn.scores(query, train, norm="log_l2"), "score"))
-    assert table(knn.scores(query, train, overlap=0.99).filter("score > 0"), "doc_id") == [(0,), (1,), (4,), (5,), (2,)] or knn.scores(query, train, overlap=0.99).count() == 5
+    words = {}
+    for q, rows in ((True, query), (False, train)):
+        for r in rows.select("doc_id", "word", "w").collect():
+            words.setdefault((q, r["doc_id"]), {})[r["word"]] = r["w"]
+    norm = {d: math.log(math.sqrt(sum(w * w for w in x.values()))) for d, x in words.items()}
+    expected, shared = {}, {}
+    for (is_q, q), x in words.items():
+        for (other, d), y in words.items():
+            both = x.keys() & y.keys()
+            if is_q and not other and both:
+                bottom = norm[True, q] * norm[False, d]
+                expected[q, d] = round(sum(x[w] * y[w] for w in both) / bottom, 9) if bottom else 0.0
+                shared[q, d] = len(both) > int(0.5 * min(len(x), len(y)))
+    found = {(r["q"], r["doc_id"]): r["score"] for r in knn.scores(query, train, norm="log_l2").collect()}
+    assert found == pytest.approx(expected)
+    cosines = {(r["q"], r["doc_id"]): r["score"] for r in knn.scores(query, train).collect()}
+    gated = {(r["q"], r["doc_id"]): r["score"] for r in knn.scores(query, train, overlap=0.5).collect()}
+    assert gated == {pair: s if shared[pair] else 0.0 for pair, s in cosines.items()}
+
+
+def test_random_selection(spark):
+    """k rows of each label by a hash: exactly k documents of a label that has as many, all of a
+    smaller one, the same ones again, others for another seed."""
+    labels = spark.createDataFrame([(d, 0, d % 2) for d in range(200)] + [(900, 0, 5), (901, 0, 5)], "doc_id bigint, pos int, label int")
+    one, again, other = ({r[0] for r in split.split_even(labels, 30, "random", seed).collect()} for seed in (1, 1, 2))
+    assert one == again != other
+    assert [sum(d % 2 == i for d in one if d < 900) for i in (0, 1)] == [30, 30] and {900, 901} <= one
+    part = {r[0] for r in split.split_prop(labels, 0.1, "random", 3).collect()}
+    assert [sum(d % 2 == i for d in part if d < 900) for i in (0, 1)] == [10, 10] and not part & {900, 901}
+
+
+def test_steps_start_from_saved_tables(spark, tmp_path):
+    lines = "".join(f"{d % 3 + 1}, {d % 2 + 4} {d % 5}:1 {d % 7 + 10}:2 {d % 3 + 20}:3\n" for d in range(60))
+    (tmp_path / "lines.txt").write_text("header\n" + lines)
+    (tmp_path / "edges.txt").write_text("9 1\n9 2\n9 3\n8 4\n8 5\n")
+    given = [str(tmp_path / "lines.txt"), str(tmp_path / "edges.txt"), str(tmp_path / "state"), "-k", "5"]
+    main([*given, "--to", "split"])
+    assert not (tmp_path / "state/search").exists()
+    main([*given, "--from", "search"])
+    corpus = sources.parse_multilabel(sources.numbered_lines(spark, given[0], 1))
+    expected = Run(corpus, sources.parse_edges(spark.read.text(given[1])), Settings(k=5)).score.collect()
+    assert spark.read.parquet(str(tmp_path / "state/evaluate/score")).collect() == expected
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 4000), ("c", 1)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = sources.numbered_lines(spark, str(tmp_path)).orderBy("doc_id").collect()
+        part = sources.numbered_lines(spark, str(tmp_path), 2, 3).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in rows] == list(enumerate([*(f"a{i}" for i in range(3)), *(f"b{i}" for i in range(4000)), "c0"]))
+    assert [r["value"] for r in part] == ["a2", "b0", "b1"]
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sources.shared_folder(Session, "x")
+
+
+def test_common_words_are_left_out(spark, edges):
+    postings = spark.createDataFrame([(d, w, 1) for d in range(20) for w in (1, 2 + d % 4)], "doc_id bigint, word bigint, tf bigint")
+    labels = spark.createDataFrame([(d, 0, d % 2) for d in range(20)], "doc_id bigint, pos int, label int")
+    run = Run((postings, labels), edges, Settings(frequent_words=None, common_words=0.5))
+    assert {r["word"] for r in run.postings.collect()} == {2, 3, 4, 5}
 
 
 def test_files(spark, tmp_path, corpus):
