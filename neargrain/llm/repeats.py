@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,35 @@ def documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(MOST_BITS, max(LEAST_BITS, (4 * partitions - 1).bit_length()))
+@dataclass(frozen=True)
+class Deal:
+    """How hashes are dealt to buckets, and buckets to shuffle partitions: ``seats`` has a number for
+    each of 2**bits buckets, such that each partition gets an equal share of them. Hashing the
+    buckets' own numbers would give some partitions three times as many as others."""
+
+    bits: int
+    seats: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of_bytes(self, digest: bytes) -> int:
+        return int.from_bytes(digest[:4]) >> (32 - self.bits)
+
+
+def deal_of(spark: SparkSession) -> Deal:
+    """The deal for the session's number of shuffle partitions. The driver gets some rows for each
+    bucket, 2**MOST_BITS at most."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * n - 1).bit_length()))
+    wanted = np.arange(1 << bits) * n >> bits  # the partition of each bucket
+    numbers = spark.range(2 * (1 << bits) + 64 * n).select(F.col("id").cast("int").alias("seat"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part")).toArrow()
+    seat, part = (numbers.column(c).to_numpy() for c in ("seat", "part"))
+    seat = seat[np.argsort(part, kind="stable")]
+    first, have = np.cumsum(np.bincount(part, minlength=n)) - np.bincount(part, minlength=n), np.bincount(part, minlength=n)
+    among = np.arange(1 << bits) - np.searchsorted(wanted, wanted)
+    # Should a partition have too few numbers, its buckets share them.
+    return Deal(bits, seat[np.minimum(first[wanted] + among % np.maximum(have[wanted], 1), len(seat) - 1)].astype(np.int32))
 
 
 def anchors(values: np.ndarray, offsets: np.ndarray, k: int, length: int) -> tuple[np.ndarray, ...]:
@@ -74,7 +101,8 @@ def anchors(values: np.ndarray, offsets: np.ndarray, k: int, length: int) -> tup
         first = np.flatnonzero(valid & np.concatenate(([True], ~same)))
         last = np.flatnonzero(valid & np.concatenate((~same, [True])))
         p = at[first]
-        found.append((p + base, p - first, last - first, grams[p]))
+        # Anchors have the least of many hashes: spread anew, or a few buckets would get most of them.
+        found.append((p + base, p - first, last - first, mix(grams[p])))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     p, before, span, hashes = (np.concatenate(x) for x in zip(*found))
@@ -98,10 +126,10 @@ def rows_of(bucket: list[int], own: bool, body: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([own] * len(bucket), pa.bool_()), pa.array(body, pa.binary())], names=["bucket", "own", "body"])
 
 
-def for_documents(keys: np.ndarray, items: np.ndarray, bits: int, ids: np.ndarray | None = None) -> pa.RecordBatch:
+def for_documents(keys: np.ndarray, items: np.ndarray, deal: Deal, ids: np.ndarray | None = None) -> pa.RecordBatch:
     """A row for each bucket of documents (keys and, where they matter, ids) with their items, packed."""
     ids = np.zeros(len(keys), np.int64) if ids is None else ids
-    bucket = ((keys.astype(np.uint64) * np.uint64(MULTIPLIER)) >> np.uint64(64 - bits)).astype(np.int64)
+    bucket = deal.of(keys.astype(np.uint64) * np.uint64(MULTIPLIER))
     order = np.lexsort((ids, keys, bucket))
     keys, ids, items, bucket = keys[order], ids[order], items[order], bucket[order]
     new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))) if len(keys) else np.zeros(0, bool)
@@ -111,7 +139,7 @@ def for_documents(keys: np.ndarray, items: np.ndarray, bits: int, ids: np.ndarra
         first = a + np.flatnonzero(new[a:b])
         counts = np.diff(np.append(first, b))
         body.append(struct.pack("<I", len(first)) + zstandard.compress(keys[first].astype("<i8").tobytes() + ids[first].astype("<i8").tobytes() + counts.astype("<u4").tobytes() + items[a:b].tobytes(), 1))
-    return rows_of(bucket[edges].tolist(), True, body)
+    return rows_of(deal.seats[bucket[edges]].tolist(), True, body)
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -157,9 +185,13 @@ def _by_document(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(key[edges], pa.int64()), pa.array(id_[edges], pa.int64()), pa.array([item[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(key)))], pa.binary())], names=["key", "of", "items"])
 
 
-def by_document(found: DataFrame, kind: np.dtype) -> DataFrame:
-    """(key, of, items) of rows with the columns of ITEMS; ``of`` is the id, 0 where none was given."""
-    return dealt(found).mapInArrow(lambda b: _by_document(b, kind), "key bigint, of bigint, items binary")
+Batches = Iterator[pa.RecordBatch]
+
+
+def by_document(found: DataFrame, kind: np.dtype, then: Callable[[Batches], Batches] = iter, schema: str = "key bigint, of bigint, items binary") -> DataFrame:
+    """(key, of, items) of rows with the columns of ITEMS; ``of`` is the id, 0 where none was given.
+    ``then`` makes rows of ``schema`` of them, in the same Python worker."""
+    return dealt(found).mapInArrow(lambda b: then(_by_document(b, kind)), schema)
 
 
 def same_document(rows: DataFrame, parts: DataFrame) -> Column:
@@ -192,7 +224,7 @@ def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], symbols: Symbols, k: int, length: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], symbols: Symbols, k: int, length: int, deal: Deal) -> Iterator[pa.RecordBatch]:
     """Of each chunk of texts: the distinct anchors, one occurrence of each, dealt to buckets; and
     every occurrence of those that the chunk already has twice, for their documents. So a chunk
     sends an anchor once, however many of its documents have it."""
@@ -210,15 +242,16 @@ def _sampled(batches: Iterator[pa.RecordBatch], symbols: Symbols, k: int, length
             again = ~new
             twice = again | np.concatenate((again[1:], [False]))
             if twice.any():
-                yield for_documents(keys[twice], items[twice], bits)
-            hashes, keys, items, known = hashes[new], keys[new], items[new], twice[new]
-            bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+                yield for_documents(keys[twice], items[twice], deal)
+            # 48 bits tell anchors apart well enough: equal ones only mean that texts are looked at.
+            hashes, keys, items, known = hashes[new] >> np.uint64(16) << np.uint64(16), keys[new], items[new], twice[new]
+            bucket = deal.of(hashes)
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             ends = np.append(edges[1:], len(bucket))
-            yield rows_of(bucket[edges].tolist(), False, [_pack(hashes[a:b], keys[a:b], items[a:b], known[a:b]) for a, b in zip(edges, ends)])
+            yield rows_of(deal.seats[bucket[edges]].tolist(), False, [_pack(hashes[a:b], keys[a:b], items[a:b], known[a:b]) for a, b in zip(edges, ends)])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
     """Of a partition of buckets: for the documents, the anchors that several chunks have."""
     for own, bodies in buckets(batches):
         if own is not None:
@@ -230,7 +263,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
         again = np.concatenate(([False], hashes[1:] == hashes[:-1]))
         twice = (again | np.concatenate((again[1:], [False]))) & (known[order] == 0)
         if twice.any():
-            yield for_documents(keys[order[twice]], items[order[twice]], bits).select(["bucket", "body"])
+            yield for_documents(keys[order[twice]], items[order[twice]], deal).select(["bucket", "body"])
 
 
 def repeated_spots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> DataFrame:
@@ -239,9 +272,9 @@ def repeated_spots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> D
     too, which is harmless: what is there is compared, and it is text of theirs."""
     if length - k >= 256:
         raise ValueError("a window may have 255 anchors at most")
-    bits = bucket_bits(texts.sparkSession)
-    sent = texts.mapInArrow(lambda b: _sampled(b, symbols, k, length, bits), ROWS)
-    back = dealt(sent).mapInArrow(lambda b: _repeated(b, bits), ITEMS)
+    deal = deal_of(texts.sparkSession)
+    sent = texts.mapInArrow(lambda b: _sampled(b, symbols, k, length, deal), ROWS)
+    back = dealt(sent).mapInArrow(lambda b: _repeated(b, deal), ITEMS)
     return by_document(back, SPOT).drop("of")
 
 
@@ -265,7 +298,7 @@ def hot_slots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> Broadc
 
 def is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which of the anchors, given as rows of k symbols, are in a hot slot."""
-    slot = slot_of(mix((grams * powers(MULTIPLIER, grams.shape[1])).sum(1, dtype=np.uint64)))
+    slot = slot_of(mix(mix((grams * powers(MULTIPLIER, grams.shape[1])).sum(1, dtype=np.uint64))))
     return (hot[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import pieces, word_hashes, words_of
-from neargrain.llm.repeats import ITEMS, ROWS, SPOT, STRETCH, bucket_bits, buckets, by_document, dealt, documents, for_documents, hot_slots, is_hot, repeated_spots, rows_of, same_document, union
+from neargrain.llm.repeats import ITEMS, ROWS, SPOT, STRETCH, Deal, buckets, by_document, deal_of, dealt, documents, for_documents, hot_slots, is_hot, repeated_spots, rows_of, same_document, union
 
 LENGTH, K = 20, 10
 #: Words of passages that one automaton holds; a group of passages with one anchor stays together.
@@ -110,9 +110,9 @@ def settle_shard(passages: list[tuple], length: int) -> tuple[list, list[tuple[i
     return docs, found
 
 
-def _covered(docs: list[tuple[int, int]], found: list[tuple[int, int]], bits: int) -> pa.RecordBatch:
+def _covered(docs: list[tuple[int, int]], found: list[tuple[int, int]], deal: Deal) -> pa.RecordBatch:
     ids, keys = np.array(docs, np.int64).T
-    return for_documents(keys, np.array(found, STRETCH), bits, ids)
+    return for_documents(keys, np.array(found, STRETCH), deal, ids)
 
 
 def _collapse(entries: list[tuple], length: int) -> tuple[list[tuple], list, list[tuple[int, int]]]:
@@ -150,7 +150,7 @@ def _split(entries: list[tuple], hot: np.ndarray, length: int, k: int) -> list[t
     return out
 
 
-def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
+def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, deal: Deal, hot: Broadcast) -> Iterator[pa.RecordBatch]:
     """Cuts out the passages around repeated anchors and deals them to buckets; of passages that
     a chunk has several times, the first."""
     for whole in batches:
@@ -170,14 +170,14 @@ def _passages(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int,
             kept, more_docs, more = _collapse(_split(kept, hot.value, length, k), length)
             docs, found = docs + more_docs, found + more
             if docs:
-                yield _covered(docs, found, bits)
+                yield _covered(docs, found, deal)
             sent: dict[int, list] = {}
             for e in kept:
-                sent.setdefault(int.from_bytes(e[0][:4]) >> (32 - bits), []).append(e)
+                sent.setdefault(int(deal.seats[deal.of_bytes(e[0])]), []).append(e)
             yield rows_of(list(sent), False, [zstandard.compress(pickle.dumps(x, 5), 3) for x in sent.values()])
 
 
-def _match(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], length: int, deal: Deal) -> Iterator[pa.RecordBatch]:
     """Of a partition of buckets: collapses equal passages, leaves out those of which no window
     is in another passage with that anchor, and streams the others against automata."""
     shard: list[tuple] = []
@@ -197,10 +197,10 @@ def _match(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterato
                     docs, found, shard = docs + more_docs, found + more, []
             a = b
         if docs:
-            yield _covered(docs, found, bits).select(["bucket", "body"])
+            yield _covered(docs, found, deal).select(["bucket", "body"])
     docs, found = settle_shard(shard, length)
     if docs:
-        yield _covered(docs, found, bits).select(["bucket", "body"])
+        yield _covered(docs, found, deal).select(["bucket", "body"])
 
 
 def _sharing(group: list[tuple], length: int) -> list[tuple]:
@@ -261,8 +261,8 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", doc_id: str =
     rows = documents(docs, text, doc_id)
     hot = hot_slots(rows, _word_symbols, k, length)
     spots = repeated_spots(rows, _word_symbols, k, length)
-    bits = bucket_bits(docs.sparkSession)
-    passages = rows.join(spots, "key", "left").mapInArrow(lambda b: _passages(b, length, k, bits, hot), ROWS)
-    found = dealt(passages).mapInArrow(lambda b: _match(b, length, bits), ITEMS)
+    deal = deal_of(docs.sparkSession)
+    passages = rows.join(spots, "key", "left").mapInArrow(lambda b: _passages(b, length, k, deal, hot), ROWS)
+    found = dealt(passages).mapInArrow(lambda b: _match(b, length, deal), ITEMS)
     parts = by_document(found, STRETCH)
     return rows.join(parts, same_document(rows, parts), "left").select("doc_id", "text", "items").mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<bigint>")

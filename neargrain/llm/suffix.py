@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neargrain.llm.common import BYTE_VALUES, MULTIPLIER, mix, pieces
-from neargrain.llm.repeats import ITEMS, ROWS, SPOT, STRETCH, bucket_bits, buckets, by_document, dealt, documents, for_documents, hot_slots, is_hot, repeated_spots, rows_of, same_document, stretches, union
+from neargrain.llm.repeats import ITEMS, ROWS, SPOT, STRETCH, Deal, buckets, by_document, deal_of, dealt, documents, for_documents, hot_slots, is_hot, repeated_spots, rows_of, same_document, stretches, union
 
 LENGTH, K = 100, 40
 #: Bytes of the anchor's hash in front of a suffix; hashes make the splitters of the sort even.
@@ -220,7 +220,7 @@ def _merged(runs: list[Suffixes]) -> Suffixes:
     return Suffixes([runs[r].keys[i] for r, i, _ in order], [s for _, _, s in order], [runs[r].lefts[i] for r, i, _ in order], *(np.concatenate([getattr(r, name) for r in runs])[at] for name in ARRAYS))
 
 
-def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int, hot: Broadcast) -> Iterator[pa.RecordBatch]:
+def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, deal: Deal, hot: Broadcast) -> Iterator[pa.RecordBatch]:
     """Sorts the sampled suffixes of each chunk, settles what repeats within it, and deals the
     suffixes that still have windows to settle to buckets, as front-coded runs."""
     for whole in batches:
@@ -240,15 +240,15 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: i
             covered = run.settle(length, k)
             if covered.any():
                 entry, found = stretches(covered, run.p, length)
-                yield for_documents(run.own[entry], found, bits, run.ids[entry])
+                yield for_documents(run.own[entry], found, deal, run.ids[entry])
             run = run.open(covered).split(hot.value, length, k)
-            bucket = np.array([int.from_bytes(key[:4]) >> (32 - bits) for key in run.keys], np.int64)
+            bucket = np.array([deal.of_bytes(key) for key in run.keys], np.int64)
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
             ends = np.append(edges[1:], len(bucket))
-            yield rows_of(bucket[edges].tolist(), False, [run.pack(a, b) for a, b in zip(edges.tolist(), ends.tolist())])
+            yield rows_of(deal.seats[bucket[edges]].tolist(), False, [run.pack(a, b) for a, b in zip(edges.tolist(), ends.tolist())])
 
 
-def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int, deal: Deal) -> Iterator[pa.RecordBatch]:
     """Merges the runs of a partition's buckets, bucket by bucket, and settles what repeats."""
 
     def settled(merged: list[Suffixes]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,7 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, k: int, bits: int) ->
         covered = all_.settle(length, k)
         if covered.any():
             entry, found = stretches(covered, all_.p, length)
-            yield for_documents(all_.own[entry], found, bits, all_.ids[entry]).select(["bucket", "body"])
+            yield for_documents(all_.own[entry], found, deal, all_.ids[entry]).select(["bucket", "body"])
 
     waiting: list[Suffixes] = []
     for own, bodies in buckets(batches):
@@ -313,8 +313,8 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "do
     symbols = lambda data, offsets: (BYTE_VALUES[data], offsets)
     hot = hot_slots(rows, symbols, k, length)
     spots = repeated_spots(rows, symbols, k, length)
-    bits = bucket_bits(docs.sparkSession)
-    runs = rows.join(spots, "key", "left").mapInArrow(lambda b: _sorted_runs(b, length, k, bits, hot), ROWS)
-    found = dealt(runs).mapInArrow(lambda b: _merge(b, length, k, bits), ITEMS)
+    deal = deal_of(docs.sparkSession)
+    runs = rows.join(spots, "key", "left").mapInArrow(lambda b: _sorted_runs(b, length, k, deal, hot), ROWS)
+    found = dealt(runs).mapInArrow(lambda b: _merge(b, length, k, deal), ITEMS)
     parts = by_document(found, STRETCH)
     return rows.join(parts, same_document(rows, parts), "left").select("doc_id", "text", "items").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<bigint>")
