@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from neargrain.llm.common import MULTIPLIER, SLOT_BITS, buffer_of, materialise, mix, pieces, rolling, slot_counts, slot_of, word_hashes, words_of
 from neargrain.llm.graph import components
-from neargrain.llm.repeats import ITEMS, bucket_bits, by_document, for_documents
+from neargrain.llm.repeats import ITEMS, Deal, buckets, by_document, deal_of, dealt, for_documents
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -131,8 +131,8 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
 TERM = np.dtype([("key", "<u8"), ("tf", "<u4"), ("df", "<u4")])
 #: Terms that are sent back to their texts together.
 TOGETHER = 1 << 20
-#: Shingles of rows that are counted together before they are sent (8 bytes each).
-AT_ONCE = 1 << 22
+#: Shingles of rows that are counted together before they are sent (8 bytes each, in one buffer).
+AT_ONCE = 1 << 21
 
 
 def _packed(key: np.ndarray, count: np.ndarray, node: np.ndarray) -> bytes:
@@ -151,51 +151,52 @@ def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.frombuffer(rest, "<u4", n, 3 * n), np.frombuffer(rest, "<i8", n if asks else 0, 7 * n)
 
 
-def _dealt(key: np.ndarray, count: np.ndarray, node: np.ndarray, bits: int) -> pa.RecordBatch:
+def _dealt(key: np.ndarray, count: np.ndarray, node: np.ndarray, deal: Deal) -> pa.RecordBatch:
     """Shingles sorted by hash, packed for the buckets of the hashes."""
-    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+    bucket = deal.of(key)
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     body = [_packed(key[a:b], count[a:b], node[a:b]) for a, b in zip(edges, np.append(edges[1:], len(key)))]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edges], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(deal.seats[bucket[edges]], pa.int32()), pa.array(body, pa.binary())], names=["bucket", "body"])
 
 
-def _asking(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _asking(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
     """Of each chunk of texts: the shingles of each text with its node."""
     for whole in batches:
         for batch in pieces(whole, "text"):
             row, key, count = shingles(batch.column("text"))
             if len(key):
                 order = np.argsort(key, kind="stable")
-                yield _dealt(key[order], count[order], batch.column("node").to_numpy()[row[order]], bits)
+                yield _dealt(key[order], count[order], batch.column("node").to_numpy()[row[order]], deal)
 
 
-def _held(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
     """Of every AT_ONCE shingles of rows: the distinct ones, and how many rows have each."""
-    keys: list[np.ndarray] = []
+    buffer, n = np.empty(AT_ONCE, np.uint64), 0
 
     def sent() -> pa.RecordBatch:
-        key, count = np.unique(np.concatenate(keys), return_counts=True)
-        keys.clear()
-        return _dealt(key, count, np.zeros(0, np.int64), bits)
+        buffer[:n].sort()
+        first = np.flatnonzero(np.concatenate(([True], buffer[1:n] != buffer[: n - 1])))
+        return _dealt(buffer[first], np.diff(np.append(first, n)), np.zeros(0, np.int64), deal)
 
     for whole in batches:
         for batch in pieces(whole, "text"):
-            keys.append(shingles(batch.column("text"))[1])
-            if sum(map(len, keys)) >= AT_ONCE:
-                yield sent()
-    if any(map(len, keys)):
+            keys = shingles(batch.column("text"))[1]
+            while len(keys):
+                part, keys = keys[: AT_ONCE - n], keys[AT_ONCE - n :]
+                buffer[n : n + len(part)] = part
+                n += len(part)
+                if n == AT_ONCE:
+                    yield sent()
+                    n = 0
+    if n:
         yield sent()
 
 
-def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
     """Of a partition of buckets: to the texts that ask, their shingles with frequencies."""
-    packed: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
-            packed.setdefault(bucket, []).append(body)
     nodes, terms = [], []
-    for bucket in sorted(packed):
-        parts = [_unpacked(body) for body in packed.pop(bucket)]
+    for _, bodies in buckets(batches):
+        parts = [_unpacked(body) for body in bodies]
         asked = [x for x in parts if len(x[2])]
         if asked:
             key, tf, node = (np.concatenate(x) for x in zip(*asked))
@@ -208,9 +209,11 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
             out["df"] = np.add.reduceat(rows, first)[np.searchsorted(every[first], key)]
             nodes.append(node)
             terms.append(out)
-        if nodes and (not packed or sum(map(len, nodes)) >= TOGETHER):
-            yield for_documents(np.concatenate(nodes), np.concatenate(terms), bits).select(["bucket", "body"])
+        if sum(map(len, nodes)) >= TOGETHER:
+            yield for_documents(np.concatenate(nodes), np.concatenate(terms), deal).select(["bucket", "body"])
             nodes, terms = [], []
+    if nodes:
+        yield for_documents(np.concatenate(nodes), np.concatenate(terms), deal).select(["bucket", "body"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +229,11 @@ def bags_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """(node, bag): the shingles of texts ``asked`` (node, text), each text one of ``rows`` (text),
     with exact frequencies over all rows. A chunk sends a shingle once, however many of its rows
     have it; nothing is gathered or broadcast."""
-    bits = bucket_bits(rows.sparkSession)
-    every = rows.select("text").mapInArrow(lambda b: _held(b, bits), ITEMS)
-    asking = asked.select("node", "text").mapInArrow(lambda b: _asking(b, bits), ITEMS)
-    found = every.unionByName(asking).repartition(F.col("bucket")).mapInArrow(lambda b: _counted(b, bits), ITEMS)
-    return by_document(found, TERM).mapInArrow(_bags, "node bigint, bag binary")
+    deal = deal_of(rows.sparkSession)
+    every = rows.select("text").mapInArrow(lambda b: _held(b, deal), ITEMS)
+    asking = asked.select("node", "text").mapInArrow(lambda b: _asking(b, deal), ITEMS)
+    found = dealt(every.unionByName(asking)).mapInArrow(lambda b: _counted(b, deal), ITEMS)
+    return by_document(found, TERM, _bags, "node bigint, bag binary")
 
 
 def weighed(bag: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:

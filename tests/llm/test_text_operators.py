@@ -255,6 +255,19 @@ def test_rows_that_share_an_id(spark):
     assert check_bytes(spark, suffix.remove_repeated_bytes(table), docs) > 0
 
 
+@pytest.mark.parametrize("n", [1, 8, 51, 211, 1000])
+def test_partitions_get_equal_shares_of_buckets(spark, n):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        deal = repeats.deal_of(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(deal.seats) == 1 << deal.bits >= 4 * n and len(set(deal.seats.tolist())) == len(deal.seats)
+    part = spark.createDataFrame([(int(x),) for x in deal.seats], "seat int").selectExpr(f"pmod(hash(seat), {n}) part").groupBy("part").count().collect()
+    assert len(part) == n and max(r["count"] for r in part) - min(r["count"] for r in part) <= 1
+
+
 def test_equal_hashes_are_compared(monkeypatch):
     """With one hash for all bytes to the left, windows still need equal bytes."""
     monkeypatch.setattr(suffix, "mix", lambda x: x * np.uint64(0))
