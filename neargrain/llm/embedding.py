@@ -24,8 +24,9 @@ SAMPLE_BYTES = 64 << 20
 PER_CENTRE, MOST_CENTRES, OVERLAP, SEARCHED = 500, 4096, 4, 2
 #: Within a shard: points of a cluster, candidates and degree of a point, slack of the pruning.
 CLUSTER, CANDIDATES, DEGREE, ALPHA = 256, 48, 24, 1.2
-#: A shard of more vectors than this is dealt into parts, which are searched two by two.
-PART = 8192
+#: A shard of more vectors than this is divided by centres of its own, at most MOST_BELOW; what is
+#: still larger is dealt into parts, which are searched two by two.
+PART, MOST_BELOW = 8192, 1024
 #: Width of the search beam, queries searched together, one query of so many is audited.
 BEAM, TOGETHER, AUDIT = 12, 256, 20
 
@@ -171,19 +172,30 @@ def link_shard(x: np.ndarray, threshold: float = THRESHOLD, asked: np.ndarray |
 _FOUND = "node bigint, n_links bigint, root bigint, audited bigint, audited_found bigint"
 
 
+def _padded(shards: pd.Series, searched: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, most shards of a row) shards, and in which of them the row is searched for; places
+    that a row doesn't use hold a number that no other row has."""
+    sizes = np.array([len(x) for x in shards])
+    used = np.arange(sizes.max()) < sizes[:, None]
+    out = np.repeat(-1 - np.arange(len(sizes))[:, None], sizes.max(), axis=1)
+    asked = np.zeros(out.shape, bool)
+    out[used], asked[used] = np.concatenate(shards.to_list()), np.concatenate(searched.to_list())
+    return out, asked
+
+
 def _shard(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of a shard or, where it is large, of two of its parts (i, j)."""
     x = np.frombuffer(b"".join(rows["vector"]), "<f8").reshape(len(rows), -1)
     node, copies, here = rows["node"].to_numpy(), rows["copies"].to_numpy(), int(rows["shard"].iloc[0])
-    shards = np.stack(rows["shards"].to_numpy())
-    a, b, audited, found = link_shard(x, threshold, np.flatnonzero((shards[:, :SEARCHED] == here).any(1)))
+    shards, searched = _padded(rows["shards"], rows["searched"])
+    a, b, audited, found = link_shard(x, threshold, np.flatnonzero(((shards == here) & searched).any(1)))
     # A link counts in the first shard that holds both ends and in which one of them is searched
     # for, and there where i and j are the parts of its ends.
-    searched = np.arange(shards.shape[1]) < SEARCHED
     first = np.zeros(len(a), np.int64)
     for i in range(0, len(a), 65536):
-        s, t = shards[a[i : i + 65536]], shards[b[i : i + 65536]]
-        common = (s[:, :, None] == t[:, None, :]) & (searched[:, None] | searched[None, :])
+        at, to = a[i : i + 65536], b[i : i + 65536]
+        s, t = shards[at], shards[to]
+        common = (s[:, :, None] == t[:, None, :]) & (searched[at][:, :, None] | searched[to][:, None, :])
         first[i : i + 65536] = np.where(common.any(2), s, np.iinfo(np.int64).max).min(1)
     part, two = rows["part"].to_numpy(), rows["i"].iloc[0] != rows["j"].iloc[0]
     counted = (first == here) & ((part[a] != part[b]) if two else True)
@@ -222,15 +234,60 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "digest", "vector"])
 
 
+def _divided(assigned: DataFrame) -> DataFrame:
+    """``assigned`` (node, copies, vector, shards) with ``searched``, which says of each of a node's
+    shards whether it is searched for there. A shard of more than PART vectors is replaced by
+    shards of its own centres, fitted on a bounded sample of it."""
+    part, most, sampled, sample_bytes = PART, MOST_BELOW, SAMPLE, SAMPLE_BYTES
+    each, overlap, asked, level = PER_CENTRE, OVERLAP, SEARCHED, 1 << 52
+    placed = assigned.select("node", F.posexplode("shards").alias("place", "shard"))
+    large = materialise(placed.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > part), "large")
+    if large.isEmpty():
+        return assigned.withColumn("searched", F.transform("shards", lambda _, i: i < asked))
+    members = placed.join(large, "shard").join(assigned.select("node", "vector"), "node")
+    chunks = F.ceil(F.col("n") / part)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        x = np.frombuffer(b"".join(rows["vector"]), "<f8").reshape(len(rows), -1)
+        k = int(min(most, -(-int(rows["n"].iloc[0]) // each)))
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "centres": [fit_centres(x, k).tobytes()]})
+
+    def assign(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"node": [], "place": [], "below": []})
+        x = np.frombuffer(b"".join(rows["vector"]), "<f8").reshape(len(rows), -1)
+        # A shard of which the sample took no vector stays whole.
+        c = np.frombuffer(centres["centres"].iloc[0], "<f8").reshape(-1, x.shape[1]) if len(centres) else np.zeros((1, x.shape[1]))
+        near = [np.argsort(-(x[i : i + 2048] @ c.T), axis=1)[:, :overlap] for i in range(0, len(x), 2048)]
+        below = level + int(rows["shard"].iloc[0]) * most + np.concatenate(near)
+        return pd.DataFrame({"node": rows["node"], "place": rows["place"], "below": below.tolist()})
+
+    # About ``sampled`` vectors of each shard, fewer if they are long.
+    rows = F.least(F.lit(sampled), F.greatest(F.lit(1000), F.floor(F.lit(sample_bytes) / F.octet_length("vector"))))
+    sample = members.filter(F.pmod(F.xxhash64("node", F.lit("sample")), F.col("n")) < rows).select("shard", "n", "node", "vector")
+    centres = materialise(sample.groupBy("shard").applyInPandas(fit, "shard bigint, centres binary"), "centres")
+    centres = centres.join(large, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), "centres")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).select("shard", "chunk", "node", "place", "vector")
+    below = members.groupBy("shard", "chunk").cogroup(centres.groupBy("shard", "chunk")).applyInPandas(assign, "node bigint, place int, below array<bigint>")
+    placed = placed.join(below, ["node", "place"], "left").withColumn("below", F.coalesce("below", F.array("shard")))
+    placed = placed.withColumn("searched", F.transform("below", lambda _, i: (i < asked) & (F.col("place") < asked)))
+    # OVERLAP rows of each node.
+    own = placed.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "below", "searched"))).alias("own"))
+    own = own.select("node", F.flatten("own.below").alias("shards"), F.flatten("own.searched").alias("searched"))
+    return materialise(assigned.drop("shards").join(own, "node"), "divided")
+
+
 def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept, copies of every row, whatever its other columns; and
     audited_links and audited_found, the sums of all shards' audits, the same in every row.
 
     Equal unit vectors are one node with a count of copies. Centres fitted on a bounded sample
     (``SAMPLE`` rows, ``SAMPLE_BYTES``) make overlapping shards: every vector goes to its ``OVERLAP``
-    nearest, and is searched for in the ``SEARCHED`` nearest of these.
-    A shard of more than ``PART`` vectors is dealt into parts, of which each two are searched
-    together, so that no task holds more than two parts and no vector is left out. A shard
+    nearest, and is searched for in the ``SEARCHED`` nearest of these. A shard of more than
+    ``PART`` vectors is divided by centres of its own in the same way, each vector in the
+    ``OVERLAP`` nearest of them. One that is still larger is dealt into parts, of which each two
+    are searched together, so that no task holds more than two parts and no vector is left out. A shard
     builds pruned graphs on overlapping clusters, unites their lists, searches the range of each
     vector from medoids, audits a part of the searches against brute force, and verifies
     links in double precision; a cosine of exactly ``threshold``, as double precision has it, links.
@@ -266,11 +323,11 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "copies", "vector")), pa.array(near.tolist(), pa.list_(pa.int64()))], names=["node", "copies", "vector", "shards"])
 
     assigned = materialise(nodes.select("node", "copies", "vector").mapInArrow(assign, "node bigint, copies bigint, vector binary, shards array<bigint>"), "assigned")
-    # A row for each shard: MOST_CENTRES for each length of vectors.
+    assigned = _divided(assigned)
     parts = assigned.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = assigned.withColumn("shard", F.explode("shards")).join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("node", "shard"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "copies", "vector", "shards")
+    dealt = dealt.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "copies", "vector", "shards", "searched")
     found = materialise(dealt.groupBy("shard", "i", "j").applyInPandas(lambda f: _shard(f, threshold), _FOUND), "found")
     linked = found.groupBy("node").agg(F.sum("n_links").alias("links"))
     audits = found.agg(F.coalesce(F.sum("audited"), F.lit(0)).alias("audited_links"), F.coalesce(F.sum("audited_found"), F.lit(0)).alias("audited_found"))

@@ -293,6 +293,25 @@ def test_parts_of_a_large_shard(spark, monkeypatch):
     check_vectors(embedding.near_duplicate_vectors(table).collect(), vectors)
 
 
+def test_large_shards_are_divided(spark, monkeypatch):
+    """Few centres and many vectors: shards get centres of their own, and what is still large parts."""
+    r = np.random.default_rng(17)
+    x = r.normal(size=(60, 24))[r.integers(0, 60, 4000)] + 0.18 * r.normal(size=(4000, 24))
+    x[:600] = x[0] + 0.01 * r.normal(size=(600, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1.0, 0.0]), (5001, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    whole = {r["vec_id"]: r["n_links"] for r in embedding.near_duplicate_vectors(table).collect()}
+    for name, value in {"MOST_CENTRES": 4, "PER_CENTRE": 100, "PART": 400, "SAMPLE": 1500}.items():
+        monkeypatch.setattr(embedding, name, value)
+    rows = embedding.near_duplicate_vectors(table).collect()
+    found = {r["vec_id"]: r["n_links"] for r in rows}
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    assert len(rows) == 4002 and found[5000] == found[5001] == whole[5000] == 1
+    counts = np.array([found[i] for i in range(4000)])
+    assert (counts <= true).all() and counts.sum() >= 0.98 * true.sum()
+    assert {r["component_id"] for r in rows if r["vec_id"] < 600} == {0}
+
+
 def test_pruning_keeps_diverse_neighbours():
     x = np.array([[1.0, 0.0], [0.999, 0.045], [0.998, 0.06], [0.0, 1.0]])
     d = 1 - x @ x.T
