@@ -83,10 +83,22 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers(MULTIPLIER, len(values)), dtype=np.uint64)))
+    prefix = _prefix(values)
     return mix((prefix[width:] - prefix[:n]) * powers(INVERSE, n))
 
 
+def rolling_at(values: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """The entries ``at`` of ``rolling``."""
+    prefix = _prefix(values)
+    return mix((prefix[at + width] - prefix[at]) * powers(INVERSE, len(prefix))[at])
+
+
+def _prefix(values: np.ndarray) -> np.ndarray:
+    prefix = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(MULTIPLIER, len(values)), dtype=np.uint64, out=prefix[1:])
+    return prefix
+
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True

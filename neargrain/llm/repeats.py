@@ -21,13 +21,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrain.llm.common import MULTIPLIER, buffer_of, mix, pieces, powers, rolling, slot_counts, slot_of
+from neargrain.llm.common import MULTIPLIER, buffer_of, mix, pieces, powers, rolling, rolling_at, slot_counts, slot_of
 
 #: Hashes are dealt to 2**bits buckets, which shuffle partitions share out: at least so many bits,
 #: and four buckets for each partition.
 LEAST_BITS, MOST_BITS = 9, 20
-#: Window starts that are looked at together.
-BLOCK = 1 << 20
+#: Window starts that are looked at together: few enough for a core's cache.
+BLOCK = 1 << 16
 #: Anchors are hot in slots with more surroundings (equal ones of a chunk count once) than both:
 #: what a task holds with ease, about 10 MB, and so many times the mean of all slots. Each window
 #: of a hot anchor is sent by itself, so cold ones had better not be split.
@@ -288,8 +288,9 @@ def hot_slots(texts: DataFrame, symbols: Symbols, k: int, length: int) -> Broadc
         row, p, before, span, hashes = anchors(values, rows, k, length)
         if not len(p):
             return np.zeros(0, np.int64)
-        windows, first = rolling(values, length), rows[row] + p - before
-        around = mix(hashes + windows[first] * np.uint64(MULTIPLIER)) + windows[first + span]
+        first = rows[row] + p - before
+        ends = rolling_at(values, length, np.concatenate((first, first + span))).reshape(2, -1)
+        around = mix(hashes + ends[0] * np.uint64(MULTIPLIER)) + ends[1]
         return slot_of(hashes[np.unique(around, return_index=True)[1]])
 
     _, counts = slot_counts(texts.select("text"), slots)

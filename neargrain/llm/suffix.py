@@ -33,6 +33,21 @@ def common(a: bytes, b: bytes, known: int) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
+def neighbours(keys: list[bytes]) -> list[int]:
+    """Length of the common prefix of each of some short strings with the one before it."""
+    lengths = np.array([len(x) for x in keys], np.int64)
+    wide = int(lengths.max(initial=0)) + 1
+    out = [0] * min(len(keys), 1)
+    for base in range(0, len(keys) - 1, TOGETHER):
+        part = keys[base : base + TOGETHER + 1]
+        table = np.frombuffer(b"".join([x.ljust(wide, b"\0") for x in part]), np.uint8).reshape(len(part), wide)
+        differ = table[1:] != table[:-1]
+        differ[:, -1] = True
+        ends = lengths[base : base + len(part)]
+        out += np.minimum(differ.argmax(1), np.minimum(ends[1:], ends[:-1])).tolist()
+    return out
+
+
 def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
     """Merges sorted runs, each with the common prefixes of neighbours, by a loser tree.
 
@@ -102,16 +117,24 @@ class Suffixes:
         """covered[entry, offset]: does an equal window start earlier? Windows at an offset are
         equal where neighbours share the suffix as far as the window goes, and the bytes to the
         left are equal (found by 64-bit hashes, and then compared)."""
-        n, w = len(self.keys), length - k + 1
-        covered = np.zeros((n, w), bool)
+        w = length - k + 1
+        covered = np.zeros((len(self.keys), w), bool)
         shared = np.maximum(np.array(self.shared, np.int64) - HEAD, 0)
+        # Only entries that share an anchor with a neighbour can have equal windows. Neighbours that
+        # share one are kept together; what comes after a gap shares none.
+        some = shared >= k
+        some[:1] = False
+        at = np.flatnonzero(some | np.append(some[1:], False))
+        n = len(at)
         if n < 2:
             return covered
+        shared = shared[at]
+        ids, own, p, low, high = (getattr(self, name)[at] for name in ARRAYS)
         wide = max(w - 1, 1)
-        left = np.frombuffer(b"".join(x[::-1].ljust(wide, b"\0") for x in self.lefts), np.uint8).reshape(n, wide)
-        order = np.lexsort((self.p, self.own, self.ids))
+        left = np.frombuffer(b"".join([self.lefts[i][::-1].ljust(wide, b"\0") for i in at.tolist()]), np.uint8).reshape(n, wide)
+        order = np.lexsort((p, own, ids))
         step = np.ones(n, np.int64)
-        step[1:] = np.any([x[order][1:] != x[order][:-1] for x in (self.ids, self.own, self.p)], axis=0)
+        step[1:] = np.any([x[order][1:] != x[order][:-1] for x in (ids, own, p)], axis=0)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(step)
         hashes = np.zeros(n, np.uint64)
@@ -124,31 +147,35 @@ class Suffixes:
                 continue
             group = np.cumsum(~joined)
             near = joined | np.append(joined[1:], False)
-            idx = np.flatnonzero(near & (self.low <= o) & (o <= self.high))
+            idx = np.flatnonzero(near & (low <= o) & (o <= high))
             if len(idx) < 2:
                 continue
             key = mix(hashes[idx] + group[idx].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            later, least = self._later(key, rank[idx])
-            a, b = idx[later], idx[least]
+            later, same, one = self._later(key, rank[idx])
+            a, b = idx[same], idx[one]
             if not ((group[a] == group[b]) & (left[a, :o] == left[b, :o]).all(1)).all():
                 # Two hashes met: by the bytes themselves.
                 whole = np.hstack((group[idx].astype("<i8").view(np.uint8).reshape(-1, 8), left[idx, :o]))
-                later, _ = self._later(np.unique(whole, axis=0, return_inverse=True)[1].ravel(), rank[idx])
-            covered[idx[later], o] = True
+                later, _, _ = self._later(np.unique(whole, axis=0, return_inverse=True)[1].ravel(), rank[idx])
+            covered[at[idx[later]], o] = True
         return covered
 
     @staticmethod
-    def _later(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of equal keys: all but those of the least rank, and one of the least rank for each."""
-        by = np.lexsort((rank, key))
+    def _later(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of equal keys: all but those of the least rank; and pairs that tie each of them to one."""
+        by = np.argsort(key)
         key, rank = key[by], rank[by]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        least = np.repeat(first, np.diff(np.append(first, len(key))))
-        later = rank > rank[least]
-        return by[later], by[least[later]]
+        sizes = np.diff(np.append(first, len(key)))
+        later = rank > np.repeat(np.minimum.reduceat(rank, first), sizes)
+        one = np.repeat(by[first], sizes)
+        same = by != one
+        return by[later], by[same], one[same]
 
     def open(self, covered: np.ndarray) -> "Suffixes":
         """The entries with windows that aren't covered, with no more bytes than those need."""
+        if not covered.any():
+            return self
         offset = np.arange(covered.shape[1])
         left = ~covered & (self.low[:, None] <= offset) & (offset <= self.high[:, None])
         at = np.flatnonzero(left.any(1))
@@ -162,7 +189,7 @@ class Suffixes:
     def split(self, hot: np.ndarray, length: int, k: int) -> "Suffixes":
         """Entries of hot anchors become one entry for each window, with the hash of the whole
         window in front."""
-        if not self.keys:
+        if not self.keys or not hot.any():
             return self
         grams = np.frombuffer(b"".join([x[HEAD : HEAD + k] for x in self.keys]), np.uint8).reshape(-1, k)
         many = is_hot(BYTE_VALUES[grams], hot)
@@ -183,7 +210,7 @@ class Suffixes:
         """Sorts (key, left, document's id and key, place, lowest and highest offset)."""
         entries.sort()
         keys, lefts, *arrays = map(list, zip(*entries)) if entries else ([] for _ in range(7))
-        return Suffixes(keys, [0, *(common(a, b, 0) for a, b in zip(keys, keys[1:]))][: len(keys)], lefts, *(np.array(x, np.int64) for x in arrays))
+        return Suffixes(keys, neighbours(keys), lefts, *(np.array(x, np.int64) for x in arrays))
 
     def pack(self, a: int, b: int) -> bytes:
         """A run, front-coded: of each suffix only what it doesn't share with the one before."""
