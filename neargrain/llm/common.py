@@ -139,7 +139,7 @@ def slot_counts(texts: DataFrame, slots: Callable[[pa.Array], np.ndarray]) -> tu
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", BATCH_BYTES // 4):
                 total += np.bincount(slots(batch.column("text")), minlength=1 << SLOT_BITS)
                 n += batch.num_rows
         if n:
