@@ -64,8 +64,11 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
 
 
 def log_idf(n: int, counts: np.ndarray) -> np.ndarray:
-    """Logarithm of the smoothed inverse document frequency 1 + ln((1 + n) / (1 + count))."""
-    return np.log(1 + np.log((1 + n) / (1 + np.minimum(counts, n)))).astype(np.float32)
+    """Logarithm of the smoothed inverse document frequency 1 + ln((1 + n) / (1 + count)) of slots.
+    What a slot has by chance, from other shingles, is taken off: the median of all slots. So a
+    rare shingle weighs about as much in a large input, where all slots are full, as in a small one."""
+    own = np.clip(counts - np.median(counts), 1, max(n, 1))  # a shingle that is asked for is in a text
+    return np.log(1 + np.log((1 + n) / (1 + own))).astype(np.float32)
 
 
 def signatures(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +134,8 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
 TERM = np.dtype([("key", "<u8"), ("tf", "<u4"), ("df", "<u4")])
 #: Terms that are sent back to their texts together.
 TOGETHER = 1 << 20
+#: Bytes of text whose shingles are found together: few enough for a core's cache.
+FITTING = 1 << 18
 #: Shingles of rows that are counted together before they are sent (8 bytes each, in one buffer).
 AT_ONCE = 1 << 21
 
@@ -179,7 +184,7 @@ def _held(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBa
         return _dealt(buffer[first], np.diff(np.append(first, n)), np.zeros(0, np.int64), deal)
 
     for whole in batches:
-        for batch in pieces(whole, "text"):
+        for batch in pieces(whole, "text", FITTING):
             keys = shingles(batch.column("text"))[1]
             while len(keys):
                 part, keys = keys[: AT_ONCE - n], keys[AT_ONCE - n :]

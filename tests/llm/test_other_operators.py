@@ -147,6 +147,19 @@ def test_verified_with_exact_frequencies(spark, monkeypatch):
     check_classes(found, docs)
 
 
+def test_full_slots_weigh_shingles_nearer_than_raw_counts():
+    """Heavy-tailed frequencies in ever fuller slots: the part of chance is taken off."""
+    rng = np.random.default_rng(5)
+    frequency = np.minimum(rng.zipf(1.8, 1 << 20), 5000)
+    exact = 1 + np.log((1 + 10_000) / (1 + frequency))
+    for slots in (1 << 20, 1 << 14, 1 << 10):
+        slot = rng.integers(0, slots, len(frequency))
+        counts = np.bincount(slot, frequency, slots).astype(np.int64)
+        raw = 1 + np.log((1 + 10_000) / (1 + np.minimum(counts, 10_000)))
+        error = {name: np.abs(np.log(w[slot] / exact)).mean() for name, w in (("own", np.exp(minhash.log_idf(10_000, counts))), ("raw", raw))}
+        assert error["own"] < error["raw"], slots
+
+
 def test_near_classes_of_an_id_with_two_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
     docs = [(1, a), (2, a + " end"), (2, b), (2, b), (3, b + " end"), (4, c), (4, c + " end"), (None, c)]
