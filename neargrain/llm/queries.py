@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrain.llm import embedding, exact, licenses, minhash, mixing, packing, quality, substring, suffix, warc
+from neargrain.llm import embedding, exact, licenses, minhash, mixing, packing, quality, sharding, substring, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("bigint").alias("n_spans"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.coalesce(F.col("row.text"), F.lit(""))
+    columns = [F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
+    return sharding.shard(table(spark, sf_dir, "documents")).select("row.doc_id", "size", *columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_sharding": op11_sharding,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,4 +134,17 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op11_sharding": r"""
+        WITH crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+             d AS (SELECT doc_id, md5(coalesce(text, '')) AS g, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+                          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+             c AS (SELECT doc_id, g, size::BIGINT AS size, xor(4294967295, list_reduce([4294967295] || bytes, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS text_crc32 FROM d, crc),
+             o AS (SELECT *, (sum(size) OVER w - size)::BIGINT AS before, (sum(size) OVER ())::BIGINT AS total,
+                          (sum(size) OVER (ORDER BY g) - sum(size) OVER (PARTITION BY g))::BIGINT AS low, (sum(size) OVER (ORDER BY g))::BIGINT AS high
+                   FROM c WINDOW w AS (ORDER BY g, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+             edges AS (SELECT i, CASE WHEN 100 * (i * total - 8 * low) <= total THEN 8 * low WHEN 100 * (8 * high - i * total) <= total THEN 8 * high ELSE 8 * (before + size) END AS edge
+                       FROM o, range(1, 8) r(i) WHERE 8 * before < i * total AND i * total <= 8 * (before + size)),
+             s AS (SELECT *, (SELECT count(*) FROM edges WHERE edge <= 8 * before)::INTEGER AS shard FROM o)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY g, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+        FROM s""",
 }
