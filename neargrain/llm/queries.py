@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrain.llm import embedding, exact, licenses, minhash, mixing, packing, quality, ranking, sharding, substring, suffix, warc
+from neargrain.llm import alignment, embedding, exact, licenses, minhash, mixing, packing, quality, ranking, sharding, substring, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(ranking.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.alignment_report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_sharding": op11_sharding,
     "op12_ranking": op12_ranking,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
