@@ -33,8 +33,8 @@ def _quantiles(points: DataFrame, by: str) -> DataFrame:
     all in a group. ``points`` is a sample, of a bounded size for each group."""
     own = Window.partitionBy(by)
     run = F.sum("points").over(own.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = points.withColumns({"run": run, "all": F.sum("points").over(own)})
-    step = lambda c: F.floor(c * F.col("parts") / F.col("all"))
+    rows = points.withColumns({"run": run, "whole": F.sum("points").over(own)})
+    step = lambda c: F.floor(c * F.col("parts") / F.col("whole"))
     crossing = rows.filter(F.least(step(F.col("run")), F.col("parts") - 1) > step(F.col("run") - F.col("points")))
     return crossing.groupBy(by).agg(F.array_sort(F.collect_set("key")).alias("cuts"))
 
