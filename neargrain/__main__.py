@@ -26,7 +26,7 @@ def main(arguments: list[str] | None = None) -> None:
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
     corpus = parse_multilabel(numbered_lines(spark, given.lines, given.header), strict=False)
-    run = Run(corpus, parse_edges(spark.read.text(given.hierarchy)), Settings(k=given.k, queries=given.queries))
+    run = Run(corpus, parse_edges(spark.read.text(given.hierarchy)), Settings(k=given.k, queries=given.queries), f"header {given.header}")
     run.steps(given.folder, given.first, given.last)
     if given.last == "evaluate":
         run.score.show(truncate=False)

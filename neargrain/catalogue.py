@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from neargrain import sources
-from neargrain.operators import counts, evaluate, index, knn, rank, split, weights
+from neargrain.operators import counts, evaluate, index, knn, rank, sets, split, stored, weights
 from neargrain.plans import Run, Settings
 from neargrain.sources import fixtures
 
@@ -386,11 +386,54 @@ def dense_cosine_topk(spark, sf_dir):
     return knn.top_k(queries, train, train_labels, K, "shared", gate=True, digits=6).withColumn("rnk", F.col("rnk").cast("bigint"))
 
 
+@query(f"WITH {BASKET}, {_weights('tf_idf', 'postings')}, {_tail('doc_labels')}, {_entries('doc_labels', 6)} {ENTRIES}")
+def cosine_bounded_topk(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir, replace(RAW, weighting="tf_idf", digits=6, search="bounds")))
+
+
+@query(f"WITH {TEXT}, {_weights('tf_idf', 'postings')}, {_tail('doc_labels')}, {_entries('doc_labels', 6, 10)} {ENTRIES}")
+def cosine_text_topk(spark, sf_dir):
+    corpus = fixtures.text_postings(spark, sf_dir), fixtures.text_labels(spark, sf_dir)
+    return _entries_of(Run(corpus, fixtures.no_edges(spark), replace(RAW, weighting="tf_idf", digits=6, k=10, search="bounds")))
+
+
+@query(f"WITH {RAW_SQL}, {_entries('doc_labels', 9, score=f'CASE WHEN shared > floor(0.3::DOUBLE * least(a.size, b.size)) THEN {COSINE} ELSE 0 END')} {ENTRIES}")
+def cosine_prefix_overlap_topk(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir, replace(RAW, overlap=0.3, search="overlap")))
+
+
+@query(f"WITH {RAW_SQL}, {_entries('doc_labels', 6, score=f'CASE WHEN shared > floor(0.3::DOUBLE * least(a.size, b.size)) THEN {LOG_COSINE} ELSE 0 END')} {ENTRIES}")
+def cosine_log_overlap_topk(spark, sf_dir):
+    return _entries_of(basket_run(spark, sf_dir, replace(RAW, norm="log_l2", overlap=0.3, gate=True, digits=6, search="overlap")))
+
+
 @query(f"{RAW_ENTRIES} SELECT q, label, count(*)::BIGINT AS n_scores, max(score) AS best, min(score) AS worst FROM entries GROUP BY 1, 2")
 def neighbour_scores(spark, sf_dir):
     return basket_run(spark, sf_dir).entries.groupBy("q", "label").agg(F.count("*").alias("n_scores"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
+@query(f"WITH {BASKET} SELECT doc_id, word, tf AS w FROM postings")
+def stored_index(spark, sf_dir):
+    folder = sources.shared_folder(spark, "index")
+    return stored.decoded(stored.write_index(weights.raw_weights(fixtures.basket_postings(spark, sf_dir)), folder, 8))
+
+
+@query(f"{RAW_ENTRIES} SELECT DISTINCT q, doc_id, score FROM entries WHERE score > 0")
+def stored_index_topk(spark, sf_dir):
+    """Two batches of queries over one stored index, cut to the entries of the labelled search."""
+    run = basket_run(spark, sf_dir)
+    folder = sources.shared_folder(spark, "index")
+    stored.write_index(run.parts["train"], folder, 8)
+    found = None
+    for batch in (0, 1):
+        index_ = stored.open_index(spark, folder)
+        best = stored.search(index_, run.parts["queries"].filter(F.col("doc_id") % 2 == batch), K)
+        found = best if found is None else found.unionByName(best)
+    entries = found.join(run.parts["train_labels"].select("doc_id", "pos"), "doc_id")
+    order = Window.partitionBy("q").orderBy("rnk", "pos")
+    return entries.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= K).select("q", "doc_id", "score").distinct()
+
+
 # ---------------------------------------------------------------- ranks and predictions
 
 
@@ -434,6 +477,28 @@ def confusion_cells(spark, sf_dir):
     return basket_run(spark, sf_dir).cells
 
 
+@query(f"{RAW_RANKS} SELECT label, tp, fp, fn FROM cells")
+def confusion_bitmaps(spark, sf_dir):
+    run = basket_run(spark, sf_dir)
+    return sets.confusion(run.predicted_with_fallback, run.truth, split.row_numbers(run.chosen))
+
+
+@query(f"WITH {BASKET} SELECT label, count(DISTINCT doc_id)::BIGINT AS n_docs FROM all_labels GROUP BY 1")
+def label_sets(spark, sf_dir):
+    labels = fixtures.basket_labels(spark, sf_dir)
+    return sets.sizes(sets.document_sets(labels, split.row_numbers(labels), "label"), "label", name="n_docs")
+
+
+@query(f"""WITH {BASKET}, picks AS (SELECT label, doc_id FROM (
+        SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY doc_id DESC) AS rn, count(*) OVER (PARTITION BY label) AS n FROM all_labels) WHERE rn <= floor(0.1::DOUBLE * n))
+    SELECT count(*)::BIGINT AS picks, count(DISTINCT doc_id)::BIGINT AS n FROM picks""")
+def split_union_size(spark, sf_dir):
+    """Documents that any label picks, as the union of the labels' picks."""
+    labels = fixtures.basket_labels(spark, sf_dir)
+    picked = sets.document_sets(split.picks(labels, 0.1), split.row_numbers(labels), "label")
+    return sets.sizes(picked, name="picks").join(F.broadcast(sets.sizes(sets.union(picked))), F.lit(True))
+
+
 @query(f"{RAW_RANKS} SELECT label, tp, fp, fn, round(p, 6) AS p, round(r, 6) AS r FROM rates")
 def category_pr(spark, sf_dir):
     return rounded(evaluate.category_rates(basket_run(spark, sf_dir).cells), "p", "r")

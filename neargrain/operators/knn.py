@@ -6,24 +6,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neargrain.functions import cosine, ratio
+from neargrain.operators import pairs
 from neargrain.operators.weights import squares
 from neargrain.sources import cut
 
 
-def scores(queries: DataFrame, train: DataFrame, norm: str = "l2", overlap: float | None = None, gate: bool = False, digits: int = 9) -> DataFrame:
+#: How pairs are searched: ``join`` makes every pair that shares a word; ``bounds`` those that can be among
+#: the k best; ``overlap`` those that share enough words for the overlap gate.
+SEARCHES = ("join", "bounds", "overlap")
+
+
+def scores(queries: DataFrame, train: DataFrame, norm: str = "l2", overlap: float | None = None, gate: bool = False, digits: int = 9, search: str = "join", k: int = 70) -> DataFrame:
     """(q, doc_id, score) of pairs that share a word; both inputs are (doc_id, word, w).
 
-    One equi-join on words, summed per pair before it is shuffled again; norms are joined to the
-    sums. ``overlap``: pairs that share no more than that part (truncated) of the smaller one's
-    words score 0. ``gate``: pairs with a dot product of 0 or less score 0. Scores are rounded,
-    so that ties don't depend on the order of summation.
+    One equi-join on words, hot ones split into cells, summed per pair before it is shuffled again;
+    norms are joined to the sums. ``overlap``: pairs that share no more than that part (truncated) of
+    the smaller one's words score 0. ``gate``: pairs with a dot product of 0 or less score 0. Scores are
+    rounded, so that ties don't depend on the order of summation. ``search`` other than ``join``
+    leaves out pairs that aren't among the k best, or that score 0.
     """
     q = queries.select(F.col("doc_id").alias("q"), "word", F.col("w").alias("qw"))
     t = train.select("doc_id", "word", F.col("w").alias("tw"))
-    sums = q.join(t, "word").groupBy("q", "doc_id").agg(F.sum(F.col("qw") * F.col("tw")).alias("dot"), F.count("*").alias("shared"))
+    if search == "join":
+        sums = pairs.all_pairs(q, t)
+    elif search == "bounds":
+        if norm != "l2" or overlap is not None:
+            raise ValueError("scores are bounded for the l2 norm without an overlap gate")
+        if queries.agg(F.min("w")).unionAll(train.agg(F.min("w"))).filter("`min(w)` < 0").count():
+            raise ValueError("scores are bounded for weights that are not negative")
+        sums = pairs.Bounded(q, t, k, 2.0 * 10**-digits).pairs
+    elif search == "overlap":
+        if overlap is None:
+            raise ValueError("this search needs an overlap gate")
+        sums = pairs.Overlapping(q, t, overlap).pairs
+    else:
+        raise ValueError(f"no such search: {search}")
     by_q = squares(queries).select(F.col("doc_id").alias("q"), F.col("square").alias("q_square"), F.col("size").alias("q_size"))
     by_t = squares(train).select("doc_id", F.col("square").alias("t_square"), F.col("size").alias("t_size"))
-    pairs = sums.join(by_q, "q").join(by_t, "doc_id")
+    found = sums.join(by_q, "q").join(by_t, "doc_id")
     if norm == "l2":
         score = cosine("dot", "q_square", "t_square")
     elif norm == "log_l2":
@@ -35,7 +55,7 @@ def scores(queries: DataFrame, train: DataFrame, norm: str = "l2", overlap: floa
         score = F.when(F.col("shared") > F.floor(F.lit(float(overlap)) * F.least("q_size", "t_size")), score).otherwise(0.0)
     if gate:
         score = F.when(F.col("dot") > 0, score).otherwise(0.0)
-    return pairs.select("q", "doc_id", F.round(score, digits).alias("score"))
+    return found.select("q", "doc_id", F.round(score, digits).alias("score"))
 
 
 def _fill(found: DataFrame, queries: DataFrame, train_docs: DataFrame, k: int) -> DataFrame:
@@ -55,11 +75,14 @@ def top_k(queries: DataFrame, train: DataFrame, train_labels: DataFrame, k: int
 
     Training documents all have labels, so an entry of a document beyond the k-th can't be among
     the first k: documents are cut to k before labels are joined. ``candidates``: ``all``
-    documents, those without a shared word with score 0, or only those with ``shared`` words.
+    documents, those without a shared word with score 0, or only those with ``shared`` words (which
+    may score 0, so that every pair is made).
     """
+    if candidates == "shared" and options.get("search", "join") == "overlap":
+        raise ValueError("pairs that share too few words are candidates here")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
     first = lambda rows: rows.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
-    found = scores(queries, train, **options)
+    found = scores(queries, train, k=k, **options)
     if candidates == "all":
         # Documents that score 0 rank by doc_id, whether or not they share a word. Queries that
         # need them have fewer than k others, and all of those are here.

@@ -9,8 +9,8 @@ from neargrain.functions import share
 from neargrain.sources import cut
 
 
-def _picked(doc_labels: DataFrame, k: Column, mode: str, seed: int) -> DataFrame:
-    """Documents that any of their labels picks: of a label's rows the last k by document
+def _picks(doc_labels: DataFrame, k: Column, mode: str, seed: int) -> DataFrame:
+    """(doc_id, label) that are picked: of a label's rows the last k by document
     (``tail``), or k by a hash of document and label (``random``).
 
     A label may hold a large part of all rows: rows are counted per slice of the order first, and
@@ -27,17 +27,22 @@ def _picked(doc_labels: DataFrame, k: Column, mode: str, seed: int) -> DataFrame
     counts = counts.withColumn("left", k - F.col("before")).filter("left > 0").select("label", "slice", "n", "left")
     found = rows.join(counts, ["label", "slice"])
     ranked = found.filter("left < n").withColumn("rn", F.row_number().over(Window.partitionBy("label", "slice").orderBy(F.desc("at"), F.desc("doc_id"), F.desc("pos")))).filter("rn <= left")
-    return found.filter("left >= n").select("doc_id").unionByName(ranked.select("doc_id")).distinct()
+    return found.filter("left >= n").select("doc_id", "label").unionByName(ranked.select("doc_id", "label"))
+
+
+def picks(doc_labels: DataFrame, prop: float = 0.1, mode: str = "tail", seed: int = 0) -> DataFrame:
+    """(doc_id, label): prop * count (truncated) of each label's rows; their union is the validation set."""
+    return _picks(doc_labels, share(F.col("all"), prop), mode, seed)
 
 
 def split_prop(doc_labels: DataFrame, prop: float = 0.1, mode: str = "tail", seed: int = 0) -> DataFrame:
     """(doc_id): validation documents, prop * count (truncated) of each label's."""
-    return _picked(doc_labels, share(F.col("all"), prop), mode, seed)
+    return picks(doc_labels, prop, mode, seed).select("doc_id").distinct()
 
 
 def split_even(doc_labels: DataFrame, k: int = 1, mode: str = "tail", seed: int = 0) -> DataFrame:
     """(doc_id): validation documents, k of each label's."""
-    return _picked(doc_labels, F.lit(k).cast("bigint"), mode, seed)
+    return _picks(doc_labels, F.lit(k).cast("bigint"), mode, seed).select("doc_id").distinct()
 
 
 def row_numbers(docs: DataFrame) -> DataFrame:

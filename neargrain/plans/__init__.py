@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import asdict, dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,10 +12,21 @@ from pyspark.sql import functions as F
 
 from neargrain.operators import counts, evaluate, index, knn, rank, split, weights
 from neargrain.sources import cut, load, save
+from neargrain.sources.state import StaleState, drop_manifest, fingerprint, read_manifest, write_manifest
 
 #: The steps in order, and the tables of each that later steps start from.
 STEPS = {"prune": ("postings", "doc_labels"), "weigh": ("weighted",), "split": ("chosen",), "search": ("entries",), "rank": ("ranks",), "evaluate": ("cells", "score")}
 
+#: The settings that each step's tables depend on, besides those of the steps before it.
+SETTINGS_OF = {
+    "prune": ("labels_below", "labels_above", "words_below", "words_above", "frequent_words", "common_words"),
+    "weigh": ("weighting", "narrow"),
+    "split": ("prop", "split"),
+    "search": ("k", "candidates", "norm", "overlap", "gate", "digits", "queries"),
+    "rank": ("per_occurrence", "w"),
+    "evaluate": ("alpha",),
+}
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -31,6 +44,7 @@ class Settings:
     split: str = "tail"
     k: int = 70
     candidates: str = "all"
+    search: str = "join"  # or "bounds", "overlap": see knn.SEARCHES
     norm: str = "l2"
     overlap: float | None = None
     gate: bool = False
@@ -49,6 +63,7 @@ class Run:
     corpus: tuple[DataFrame, DataFrame]  # postings, doc_labels
     edges: DataFrame
     settings: Settings = Settings()
+    origin: str = ""  # how the corpus was read, where its files alone don't tell
 
     @cached_property
     def second_pass(self) -> tuple[DataFrame, DataFrame] | None:
@@ -112,7 +127,7 @@ class Run:
     @cached_property
     def entries(self) -> DataFrame:
         s, p = self.settings, self.parts
-        return cut(knn.top_k(p["queries"], p["train"], p["train_labels"], s.k, s.candidates, norm=s.norm, overlap=s.overlap, gate=s.gate, digits=s.digits))
+        return cut(knn.top_k(p["queries"], p["train"], p["train_labels"], s.k, s.candidates, norm=s.norm, overlap=s.overlap, gate=s.gate, digits=s.digits, search=s.search))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -142,13 +157,45 @@ class Run:
     def score(self) -> DataFrame:
         return evaluate.macro(self.cells)
 
+    def _state(self, name: str) -> dict:
+        """What a step's tables depend on."""
+        names = list(STEPS)
+        fields = [f for step in names[: names.index(name) + 1] for f in SETTINGS_OF[step]]
+        settings = {f: v for f, v in asdict(self.settings).items() if f in fields}
+        return json.loads(json.dumps({"settings": settings, "inputs": self._inputs}))
+
+    @cached_property
+    def _inputs(self) -> list[str]:
+        return [self.origin, *map(fingerprint, (*self.corpus, self.edges))]
+
     def steps(self, folder: str, first: str = "prune", last: str = "evaluate") -> None:
         """Makes the steps from ``first`` to ``last``: the tables of earlier ones are read from
-        ``folder``, where an earlier call has put them, and each step's are written there."""
-        names = list(STEPS)
+        ``folder``, where an earlier call has put them, and each step's are written there.
+
+        A step's folder has a manifest, which is removed before its tables are written and written
+        after them: with the step's settings and those before it, fingerprints of the inputs, and the
+        manifest of the step before, by which tables of different runs are told apart. Earlier
+        steps that are incomplete, or differ in any of these, raise ``StaleState``.
+        """
+        spark, names, before = self.edges.sparkSession, list(STEPS), None
         a, b = names.index(first), names.index(last)
         for name in names[:a]:
-            self.__dict__.update(load(self.edges.sparkSession, f"{folder}/{name}", STEPS[name]))
+            found = read_manifest(spark, f"{folder}/{name}")
+            if found is None:
+                raise StaleState(f"step {name} isn't complete in {folder}")
+            if found["after"] != before:
+                raise StaleState(f"step {name} in {folder} follows another run of the step before it")
+            state = self._state(name)
+            if changed := [f for f, v in state["settings"].items() if found["settings"].get(f) != v]:
+                raise StaleState(f"step {name} in {folder} was made with other settings: {changed}")
+            if found["inputs"] != state["inputs"]:
+                raise StaleState(f"step {name} in {folder} was made from other inputs")
+            before = found["id"]
+            self.__dict__.update(load(spark, f"{folder}/{name}", STEPS[name]))
         for name in names[a : b + 1]:
+            drop_manifest(spark, f"{folder}/{name}")
             save({t: getattr(self, t) for t in STEPS[name]}, f"{folder}/{name}")
-            self.__dict__.update(load(self.edges.sparkSession, f"{folder}/{name}", STEPS[name]))
+            own = uuid.uuid4().hex
+            write_manifest(spark, f"{folder}/{name}", self._state(name) | {"step": name, "id": own, "after": before})
+            before = own
+            self.__dict__.update(load(spark, f"{folder}/{name}", STEPS[name]))

@@ -38,6 +38,10 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array((F.ascii("lang") * 100).cast("int"), number + 10000)).alias("pos", "label"))
 
 
+def no_edges(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "parent int, child int")
+
+
 def dense_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("word", "w")).select("doc_id", F.col("word").cast("bigint").alias("word"), F.col("w").cast("double").alias("w"))
 
