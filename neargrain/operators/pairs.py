@@ -75,13 +75,14 @@ class Bounded:
     never negative, with exact dot products.
 
     A query's words are taken in rising document frequency. The rarest, which reach ``seed`` * k
-    documents, are joined first: the k-th largest of what they add up to, as a part of a cosine, is a
-    bound that the k best reach. What a word can add to a cosine is at most its weight in the query
-    by its largest weight in any training document, both as parts of the norms. From the word on
-    at which all that follow can't add up to the bound, words are the rest: a document that has only
-    rest words isn't among the k best. So only words before it are joined. Pairs that could still
-    reach the bound are finished with the rest words, looked up by document and word. A query that
-    finds fewer than k documents has no bound, and all its words are joined.
+    documents, are joined first. Of what they find, the 2 * k best are finished with the query's other
+    words, looked up by document and word: the k-th largest of these cosines is a bound that the k best
+    reach. Some words can add to a cosine no more than the sum of their weights in the query, each by
+    its largest weight in any training document, and no more than the root of their squared weights
+    in the query (all as parts of the norms). From the word on at which all that follow can't add up
+    to the bound, words are the rest: a document that has only rest words isn't among the k best. So
+    only words before it are joined. Pairs that could still reach the bound are finished with the
+    rest words. A query that finds fewer than k documents has no bound, and all its words are joined.
     """
 
     queries: DataFrame
@@ -99,16 +100,17 @@ class Bounded:
 
     @cached_property
     def terms(self) -> DataFrame:
-        """(q, word, qw, df, after, tail): the training documents that a query's words before one reach,
+        """(q, word, qw, df, before, tail): the training documents that a query's words before one reach,
         and what it and all words after it can add to a cosine."""
         by_q, by_t = self._lengths
         part = F.coalesce(F.try_divide(F.col("tw").cast("double"), F.col("t_norm")), F.lit(0.0))
         most = self.train.join(by_t, "doc_id").groupBy("word").agg(F.count("*").alias("df"), F.max(part).alias("most"))
         rows = self.queries.join(most, "word").join(by_q, "q")
-        adds = F.coalesce(F.try_divide(F.col("qw").cast("double") * F.col("most"), F.col("q_norm")), F.lit(0.0))
+        own = F.coalesce(F.try_divide(F.col("qw").cast("double"), F.col("q_norm")), F.lit(0.0))
         order = Window.partitionBy("q").orderBy("df", "word")
         before = F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        tail = F.sum(adds).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        left = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        tail = F.least(F.sum(own * F.col("most")).over(left), F.sqrt(F.sum(own * own).over(left)))
         return cut(rows.select("q", "word", "qw", "df", before.alias("before"), tail.alias("tail")))
 
     def _parts(self, sums: DataFrame) -> DataFrame:
@@ -127,10 +129,22 @@ class Bounded:
         seeds = self.terms.filter(F.col("before") < self.seed * self.k).select("q", "word", "qw")
         return cut(all_pairs(seeds, self.train, self.cell))
 
+    @cached_property
+    def best(self) -> DataFrame:
+        """The 2 * k best pairs of ``first`` for each query."""
+        order = Window.partitionBy("q").orderBy(F.desc("part"))
+        ranked = self._parts(self.first).withColumn("rn", F.row_number().over(order))
+        return cut(ranked.filter(F.col("rn") <= 2 * self.k).select("q", "doc_id", "dot", "shared"))
+
+    @cached_property
+    def _least(self) -> DataFrame:
+        others = self.terms.filter(F.col("before") >= self.seed * self.k).select("q", "word", "qw")
+        return cut(self._kth(_finish(self.best, others, "q", self.train)))
+
     @cached_property
     def split(self) -> DataFrame:
         """``terms`` with ``kind``: seed, essential or rest."""
-        bounded = self.terms.join(self._kth(self.first), "q", "left")
+        bounded = self.terms.join(self._least, "q", "left")
         kind = F.when(F.col("before") < self.seed * self.k, "seed").when(F.col("tail") >= F.coalesce("least", F.lit(0.0)), "essential").otherwise("rest")
         return cut(bounded.withColumn("kind", kind).select("q", "word", "qw", "df", "tail", "kind"))
 
@@ -141,7 +155,7 @@ class Bounded:
         both = self.first.unionByName(more).groupBy("q", "doc_id").agg(F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))
         sums = cut(both)
         rest = self.split.filter("kind = 'rest'").groupBy("q").agg(F.max("tail").alias("rest"))
-        able = self._parts(sums).join(rest, "q", "left").join(self._kth(sums), "q", "left")
+        able = self._parts(sums).join(rest, "q", "left").join(self._least, "q", "left")
         kept = able.filter(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("least", F.lit(0.0)))
         return cut(kept.select("q", "doc_id", "dot", "shared"))
 
@@ -153,8 +167,8 @@ class Bounded:
     @property
     def rows(self) -> dict[str, int]:
         """Rows that joins on words make, and those that the search of every pair would."""
-        rest = self.split.filter("kind = 'rest'").select("q", "word")
-        finished = self.candidates.select("q", "doc_id").join(rest, "q").join(self.train.select("doc_id", "word"), ["doc_id", "word"]).count()
+        looked_up = lambda found, kinds: found.select("q", "doc_id").join(self.split.filter(kinds).select("q", "word"), "q").join(self.train.select("doc_id", "word"), ["doc_id", "word"]).count()
+        finished = looked_up(self.best, "kind <> 'seed'") + looked_up(self.candidates, "kind = 'rest'")
         by = {r["kind"]: r["df"] for r in self.split.groupBy("kind").agg(F.sum("df").alias("df")).collect()}
         return {"joined": by.get("seed", 0) + by.get("essential", 0) + finished, "all": sum(by.values())}
 
