@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from neargrain import sources
-from neargrain.operators import counts, evaluate, index, knn, rank, sets, split, stored, weights
+from neargrain import sources, streaming
+from neargrain.operators import counts, evaluate, index, knn, lsh, rank, sets, split, stored, weights
 from neargrain.plans import Run, Settings
 from neargrain.sources import fixtures
 
@@ -163,6 +163,29 @@ def parse_labels_only(spark, sf_dir):
     return sources.parse_labels(sources.format_multilabel(*basket(spark, sf_dir)))
 
 
+@query(f"WITH {BASKET} SELECT word AS key, sum(tf)::BIGINT AS cnt, count(*)::BIGINT AS docs FROM postings GROUP BY 1")
+def streamed_word_counts(spark, sf_dir):
+    """Lines that arrive in three parts; each run of the stream goes on where the last one ended."""
+    source, folder = sources.shared_folder(spark, "lines"), sources.shared_folder(spark, "store")
+    lines = sources.cut(sources.format_multilabel(*basket(spark, sf_dir)))
+    for part in range(3):
+        lines.filter(F.col("doc_id") % 3 == part).select("value").write.mode("append").text(source)
+        streaming.absorb(spark, source, folder)
+    return streaming.stored(spark, folder, "word_counts")
+
+
+@query(f"""WITH {BASKET}, {_tail('all_labels')},
+    l AS (SELECT doc_id, string_agg(label::VARCHAR, ', ' ORDER BY pos) AS labels FROM all_labels GROUP BY 1),
+    p AS (SELECT doc_id, string_agg(word || ':' || tf, ' ' ORDER BY word) AS words FROM postings GROUP BY 1)
+    SELECT CASE WHEN doc_id IN (FROM val) THEN 'v' ELSE 't' END AS part, labels || coalesce(' ' || words, '') AS value, count(*)::BIGINT AS n FROM l LEFT JOIN p USING (doc_id) GROUP BY 1, 2""")
+def split_files(spark, sf_dir):
+    """Both files of a split, written and read back."""
+    folder, (postings, labels) = sources.shared_folder(spark, "split"), basket(spark, sf_dir)
+    sources.write_split(sources.cut(sources.format_multilabel(postings, labels)), split.split_prop(labels), folder)
+    part = lambda name: spark.read.text(f"{folder}/{name}").withColumn("part", F.lit(name))
+    return part("t").unionByName(part("v")).groupBy("part", "value").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- hierarchy and indices
 
 
@@ -434,6 +457,18 @@ def stored_index_topk(spark, sf_dir):
     return entries.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= K).select("q", "doc_id", "score").distinct()
 
 
+@query(None)
+def lsh_neighbours(spark, sf_dir):
+    """The 10 nearest vectors of those whose id is divisible by 100, and the part of the true ones
+    (all vectors compared) that are among them. SQL can't draw the projections."""
+    vectors = sources.cut(fixtures.dense_weights(spark, sf_dir))
+    asked = vectors.filter("doc_id % 100 = 0")
+    found = sources.cut(lsh.neighbours(asked, vectors, 10))
+    best = knn.scores(asked, vectors, digits=6).filter("q <> doc_id")
+    truth = best.withColumn("rnk", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))).filter("rnk <= 10")
+    return found.join(F.broadcast(lsh.recall(found, truth).select("recall")), F.lit(True)).withColumn("rnk", F.col("rnk").cast("bigint"))
+
+
 # ---------------------------------------------------------------- ranks and predictions
 
 
