@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from neargrain import sources, streaming
 from neargrain.operators import counts, evaluate, index, knn, lsh, rank, sets, split, stored, weights
 from neargrain.plans import Run, Settings
-from neargrain.sources import fixtures
+from neargrain.sources import fixtures, multilabel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,6 +186,22 @@ def split_files(spark, sf_dir):
     return part("t").unionByName(part("v")).groupBy("part", "value").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {BASKET} SELECT 'label' AS kind, label::BIGINT AS key, count(*)::BIGINT AS cnt FROM all_labels GROUP BY 2
+    UNION ALL SELECT 'word', word, sum(tf)::BIGINT FROM postings GROUP BY 2""")
+def multilabel_files(spark, sf_dir):
+    """Lines written and read back by the data source; labels without the words."""
+    spark.dataSource.register(multilabel.MultilabelSource)
+    folder, (postings, labels) = sources.shared_folder(spark, "lines"), basket(spark, sf_dir)
+    own = labels.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label")))["label"].alias("labels"))
+    words = postings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "tf"))).alias("x"))
+    lines = own.join(words, "doc_id", "left").select("labels", F.col("x.word").alias("words"), F.col("x.tf").alias("counts"))
+    lines.write.format("multilabel").mode("append").save(folder)
+    read = spark.read.format("multilabel").option("rangeBytes", 1 << 20)
+    back = read.option("columns", "labels").load(folder).select(F.lit("label").alias("kind"), F.explode(F.col("labels").cast("array<bigint>")).alias("key"), F.lit(1).cast("bigint").alias("n"))
+    pairs_ = read.option("columns", "all").load(folder).select(F.explode(F.arrays_zip("words", "counts")).alias("x"))
+    return back.unionByName(pairs_.select(F.lit("word").alias("kind"), F.col("x.words").alias("key"), F.col("x.counts").alias("n"))).groupBy("kind", "key").agg(F.sum("n").alias("cnt"))
+
+
 # ---------------------------------------------------------------- hierarchy and indices
 
 
