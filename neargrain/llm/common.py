@@ -31,6 +31,14 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def by_position(docs: DataFrame, names: tuple[str, ...], make: Callable[..., DataFrame]) -> DataFrame:
+    """``make`` of the rows, whose result has the same columns, with columns named by their places: so
+    no name of theirs is one that an operator uses inside. ``names`` are passed on by their new names."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own))
+    return make(docs.toDF(*own), *(at[n] for n in names)).toDF(*docs.columns)
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column as numpy arrays; a null text is empty."""
     texts = pc.fill_null(texts, "") if texts.null_count else texts

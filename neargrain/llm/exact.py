@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neargrain.llm.common import materialise
+from neargrain.llm.common import by_position, materialise
 
 _RUNS = "doc_id bigint, text_sha256 string, run_keep bigint, run_size bigint, edge boolean"
 
@@ -73,7 +73,11 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that stay, with all columns. Of rows that can't be told apart, id and text alike,
-    one stays; so of equal texts without any id one stays, too."""
+    one stays; so of equal texts without any id one stays, too. Columns may have any names."""
+    return by_position(docs, (text, doc_id), _without_copies)
+
+
+def _without_copies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     key = lambda id_, sha: F.concat_ws(":", sha, id_.cast("string"))  # noqa: E731  a null id adds nothing
     kept = exact_duplicates(docs, text, doc_id).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__kept"))
     keyed = docs.withColumn("__kept", key(F.col(doc_id), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neargrain.llm.common import MULTIPLIER, SLOT_BITS, buffer_of, materialise, mix, pieces, rolling, slot_counts, slot_of, word_hashes, words_of
+from neargrain.llm.common import MULTIPLIER, SLOT_BITS, buffer_of, by_position, materialise, mix, pieces, rolling, slot_counts, slot_of, word_hashes, words_of
 from neargrain.llm.graph import components
 from neargrain.llm.repeats import ITEMS, Deal, buckets, by_document, deal_of, dealt, for_documents
 
@@ -353,7 +353,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     empty. Rows with a null id are in no class: class_id is null and they are kept. A document is
     an id with a text: repeated rows count as one and come out each; of an id with several texts
     each text is a document of its own, so classes may share a class_id, and of the documents in a
-    class that have its smallest id one is kept. Other columns are ignored.
+    class that have its smallest id one is kept. Texts are read whole, one of many MB too: a worker
+    holds one, with about 100 bytes for each of its words. An empty table gives an empty result. Other
+    columns are ignored.
     """
     return _classified(docs, text, doc_id, threshold).select("doc_id", "copy_of", "class_id", "kept")
 
@@ -416,7 +418,12 @@ def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document for each class stays."""
-    gone = _classified(docs, text, doc_id, threshold).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    marked = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__own", _digest("__text"))
-    return marked.join(gone, (F.col(doc_id).cast("bigint") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_anti").drop("__text", "__own")
+    """The rows of ``docs``, all columns, of which one document for each class stays. Columns may have
+    any names."""
+
+    def without(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+        gone = _classified(docs, text, doc_id, threshold).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+        marked = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__own", _digest("__text"))
+        return marked.join(gone, (F.col(doc_id).cast("bigint") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_anti").drop("__text", "__own")
+
+    return by_position(docs, (text, doc_id), without)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from neargrain.llm.common import materialise
+from neargrain.llm.common import by_position, materialise
 
 #: Words are runs of anything but space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,8 +84,9 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     Nothing is gathered but one row per source. Statistics are summed per block before they are
     shuffled, so a source may hold any part of the rows. Empty texts have size 0 and give 0
     words; repeated rows (same id and text) count each, share a block, and get equal parts where
-    they fall in a whole pass. Rows without an id are mixed like others. An empty table gives an
-    empty result.
+    they fall in a whole pass. Rows without an id are mixed like others. A text of
+    many MB is one document, whose words are counted where it is read. An empty table gives an empty
+    result; other columns are ignored.
     """
     return _mix(_keyed(docs, text, doc_id), text, doc_id, source, weights, most, shards, seed, blocks).drop("key")
 
@@ -153,14 +154,18 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     without an id, or with an id that other texts have, too, are mixed like others.
 
     Rows come in the order of their output shards, shuffled locally: a partition has slices of
-    shards, one after the other, each in the order of ``place``.
+    shards, one after the other, each in the order of ``place``. Columns may have any names.
     """
-    keyed = _keyed(docs, text, doc_id)
-    parts = _mix(keyed, text, doc_id, source, weights, most, shards, seed, blocks).filter("taken > 0")
-    times = F.col("epochs") + ((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size"))).cast("int")
-    parts = parts.groupBy(F.col("key").alias("__key")).agg(F.max(times).cast("int").alias("__times"), F.max("shard").alias("__first")).filter("__times > 0")
-    rows = keyed.join(parts, "__key").select("*", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy"))
-    shard, place = F.pmod(F.col("__first") + F.col("__copy") - 1, F.lit(shards)), F.xxhash64(F.lit(seed + 3), "__key", "__copy")
-    rows = rows.withColumns({"__shard": shard, "__place": place})
-    slices = max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    return rows.repartition("__shard", F.pmod("__place", F.lit(slices))).sortWithinPartitions("__shard", "__place").select(docs.columns)
+
+    def mixed(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
+        keyed = _keyed(docs, text, doc_id)
+        parts = _mix(keyed, text, doc_id, source, weights, most, shards, seed, blocks).filter("taken > 0")
+        times = F.col("epochs") + ((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size"))).cast("int")
+        parts = parts.groupBy(F.col("key").alias("__key")).agg(F.max(times).cast("int").alias("__times"), F.max("shard").alias("__first")).filter("__times > 0")
+        rows = keyed.join(parts, "__key").select("*", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy"))
+        shard, place = F.pmod(F.col("__first") + F.col("__copy") - 1, F.lit(shards)), F.xxhash64(F.lit(seed + 3), "__key", "__copy")
+        rows = rows.withColumns({"__shard": shard, "__place": place})
+        slices = max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+        return rows.repartition("__shard", F.pmod("__place", F.lit(slices))).sortWithinPartitions("__shard", "__place").select(docs.columns)
+
+    return by_position(docs, (text, doc_id, source), mixed)

@@ -212,7 +212,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
     Scores depend on the text alone; null and empty texts get the score of all-zero statistics.
     Ids without a label are scored like others; a null id is not held out. Repeated rows get
-    equal scores. With no label to learn from, every score is ``accept``.
+    equal scores. With no label to learn from, every score is ``accept``. Texts are read whole, one of many
+    MB too: a worker holds one, with some times its size. An empty table gives an empty result; other
+    columns of both tables are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     out = with_score(rows, train(docs, labels, text, doc_id))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -17,6 +18,7 @@ from oracle import assert_same
 from pyspark.sql import functions as F
 
 from neargrain.llm import embedding, graph, minhash, mixing, quality, queries, warc
+from neargrain.llm.common import materialise
 
 # ---------------------------------------------------------------- archives
 
@@ -537,3 +539,24 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path, labels):
 
 def texts_by_id(rows):
     return dict(rows.keys())
+
+
+def test_stages_keep_columns_of_any_name_and_very_long_texts(spark, tmp_path):
+    names = ["__kept", "__text", "__own", "__key", "__id", "__digest", "__times", "__first", "__copy", "__shard", "__place", "__score", "score", "c0", "c5", "key", "shard", "node"]
+    r = random.Random(17)
+    prose = lambda n: " ".join(f"w{r.randrange(40_000)}" for _ in range(n))
+    copy, words = prose(80), prose(450_000).split()  # 3 MB
+    texts = {i: prose(80) for i in range(30)} | {50: " ".join(words), 51: " ".join(words[:-3]), 52: copy, 53: copy}
+    rows = [(i, t, None if i % 9 == 0 else f"s{i % 3}", *(f"{n} {i}" for n in names)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id bigint", "text string", "source string", *(f"`{n}` string" for n in names)])).repartition(4)
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    expected = {row[0]: row for row in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, str(tmp_path)))
+        found = docs.collect()
+        assert docs.columns == ["doc_id", "text", "source", *names], name
+        assert found and all(tuple(row) == expected[row["doc_id"]] for row in found), name
+    ids = {row["doc_id"] for row in found}
+    assert 52 not in ids and 51 not in ids and {50, 53} & ids
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {row["doc_id"] for row in packed.collect()} == ids
