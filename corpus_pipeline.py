@@ -1,4 +1,8 @@
-"""A training corpus from the documents: filter, deduplicate, mix, pack."""
+"""A training corpus from the documents: filter, deduplicate, mix, pack.
+
+Every stage takes whole texts, also such of many MB (a Python worker holds one at a time), gives an
+empty table for an empty one, and passes on columns of any names.
+"""
 
 from __future__ import annotations
 

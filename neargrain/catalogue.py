@@ -466,7 +466,7 @@ def stored_index_topk(spark, sf_dir):
     found = None
     for batch in (0, 1):
         index_ = stored.open_index(spark, folder)
-        best = stored.search(index_, run.parts["queries"].filter(F.col("doc_id") % 2 == batch), K)
+        best = sources.cut(stored.search(index_, run.parts["queries"].filter(F.col("doc_id") % 2 == batch), K))
         found = best if found is None else found.unionByName(best)
     entries = found.join(run.parts["train_labels"].select("doc_id", "pos"), "doc_id")
     order = Window.partitionBy("q").orderBy("rnk", "pos")

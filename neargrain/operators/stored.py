@@ -136,8 +136,8 @@ def search(index: StoredIndex, queries: DataFrame, k: int, digits: int = 9, seed
     margin = 2.0 * 10**-digits
     q = queries.select(F.col("doc_id").alias("q"), "word", F.col("w").alias("qw"))
     kind = "double" if dict(queries.dtypes)["w"] in ("double", "float") or index.lists.schema["weights"].dataType.elementType.simpleString() in ("double", "float") else "bigint"
-    q = q.withColumn("qw", F.col("qw").cast(kind))
-    norms = q.groupBy("q").agg(F.sum(F.col("qw") * F.col("qw")).alias("q_square"))
+    q = cut(q.withColumn("qw", F.col("qw").cast(kind)))  # a batch
+    norms = cut(q.groupBy("q").agg(F.sum(F.col("qw") * F.col("qw")).alias("q_square")))
     before = Window.partitionBy("q").orderBy("n", "word").rowsBetween(Window.unboundedPreceding, -1)
     terms = q.join(index.words.select("word", "n"), "word").join(norms, "q")
     terms = cut(terms.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
@@ -148,7 +148,7 @@ def search(index: StoredIndex, queries: DataFrame, k: int, digits: int = 9, seed
 
     seeds = scored(_sums(terms.filter(F.col("before") < seed * k).join(index.lists, "word"), index.block_docs, kind))
     order = Window.partitionBy("q").orderBy(F.desc("score"))
-    kth = seeds.filter("score > 0").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") == k).select("q", (F.col("score") - margin).alias("least"))
+    kth = cut(seeds.filter("score > 0").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") == k).select("q", (F.col("score") - margin).alias("least")))
     adds = F.coalesce(F.try_divide(F.col("qw").cast("double") * F.col("most"), F.sqrt(F.col("q_square").cast("double"))), F.lit(0.0))
     able = terms.join(index.lists.select("word", "block", "most"), "word").groupBy("q", "block").agg(F.sum(adds).alias("bound"))
     able = cut(able.join(kth, "q", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0))).select("q", "block"))
