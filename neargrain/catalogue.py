@@ -202,6 +202,16 @@ def multilabel_files(spark, sf_dir):
     return back.unionByName(pairs_.select(F.lit("word").alias("kind"), F.col("x.words").alias("key"), F.col("x.counts").alias("n"))).groupBy("kind", "key").agg(F.sum("n").alias("cnt"))
 
 
+@query(f"""WITH {BASKET}, l AS (SELECT doc_id, string_agg(label::VARCHAR, ', ' ORDER BY pos) AS value FROM all_labels GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, value FROM l QUALIFY row_number() OVER (ORDER BY doc_id) > 1""")
+def numbered_file_lines(spark, sf_dir):
+    """Lines of several files, numbered over all of them; the first is a header."""
+    folder, labels = sources.shared_folder(spark, "lines"), fixtures.basket_labels(spark, sf_dir)
+    lines = sources.format_multilabel(fixtures.basket_postings(spark, sf_dir).filter("false"), labels)
+    lines.orderBy("doc_id").select("value").write.text(folder)
+    return sources.numbered_lines(spark, folder, offset=1)
+
+
 # ---------------------------------------------------------------- hierarchy and indices
 
 
@@ -366,6 +376,13 @@ def split_even(spark, sf_dir):
     return split.split_even(fixtures.basket_labels(spark, sf_dir))
 
 
+@query(f"""WITH {BASKET} SELECT DISTINCT doc_id FROM (
+        SELECT doc_id, row_number() OVER (PARTITION BY label ORDER BY ('0x' || md5(doc_id || ':' || label || ':' || 5)[1:15])::BIGINT DESC, doc_id DESC, pos DESC) AS rn, count(*) OVER (PARTITION BY label) AS n FROM all_labels)
+    WHERE rn <= floor(0.1::DOUBLE * n)""")
+def split_random(spark, sf_dir):
+    return split.split_prop(fixtures.basket_labels(spark, sf_dir), mode="random", seed=5)
+
+
 @query(f"""WITH {BASKET}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM all_labels))
     SELECT doc_id FROM r WHERE rn >= 3 * n // 7 AND rn < 3 * n // 7 + n // 7""")
 def split_kfold(spark, sf_dir):
@@ -560,6 +577,16 @@ def macro_f1(spark, sf_dir):
     return rounded(basket_run(spark, sf_dir).score, "map", "mar", "maf")
 
 
+@query(f"{RAW_RANKS} {MACRO}")
+def macro_f1_resumed(spark, sf_dir):
+    """A run that stops after the search, and another that goes on from its tables."""
+    folder = sources.shared_folder(spark, "steps")
+    basket_run(spark, sf_dir).steps(folder, last="search")
+    later = basket_run(spark, sf_dir)
+    later.steps(folder, "rank")
+    return rounded(later.score, "map", "mar", "maf")
+
+
 @query(f"{FULL_SQL} {MACRO}")
 def end_to_end(spark, sf_dir):
     return rounded(basket_run(spark, sf_dir, FULL).score, "map", "mar", "maf")

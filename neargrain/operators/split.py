@@ -18,8 +18,9 @@ def _picks(doc_labels: DataFrame, k: Column, mode: str, seed: int) -> DataFrame:
     """
     if mode not in ("tail", "random"):
         raise ValueError(f"no such mode: {mode}")
-    rows = doc_labels.withColumn("at", F.col("doc_id") if mode == "tail" else F.xxhash64("doc_id", "label", F.lit(seed)))
-    bounds = rows.approxQuantile("at", [i / 64 for i in range(1, 64)], 0.002) if mode == "tail" else [(i / 32 - 1) * 2.0**63 for i in range(64)]
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "label", F.lit(seed))), 1, 15), 16, 10).cast("bigint")  # 60 bits
+    rows = doc_labels.withColumn("at", F.col("doc_id") if mode == "tail" else drawn)
+    bounds = rows.approxQuantile("at", [i / 64 for i in range(1, 64)], 0.002) if mode == "tail" else [i / 64 * 2.0**60 for i in range(64)]
     rows = rows.withColumn("slice", F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), lambda b: b <= F.col("at"))))
     counts = rows.groupBy("label", "slice").agg(F.count("*").alias("n"))
     above = Window.partitionBy("label").orderBy(F.desc("slice"))  # 64 rows a label at most

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,16 +15,18 @@ def numbered_lines(spark: SparkSession, path: str, offset: int = 0, lines: int |
     """(doc_id, value): the lines of text files, numbered from 0 in order of file and line; of these
     ``lines`` from ``offset`` on (an offset of 1 skips a header).
 
-    A split of a file is read in order by one task: lines are counted per split, the driver gets
-    one row for each split, and the numbers of a split start at the count of all before it.
+    A split of a file is read in order by one task: lines are counted per split, and the numbers of a
+    split start at the count of all before it, which are sums over the splits of its file and over
+    files. Nothing of it comes to the driver or is broadcast by force.
     """
     read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    total, bases = 0, []
-    for r in sorted(read.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()):
-        bases.append((r["file"], r["start"], total - r["first"]))
-        total += r["n"]
-    base = spark.createDataFrame(bases, "file string, start bigint, base bigint")
-    rows = read.join(F.broadcast(base), ["file", "start"]).select((F.col("at") + F.col("base")).alias("doc_id"), "value").filter(F.col("doc_id") >= offset)
+    before = lambda n, order: F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = read.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    files = splits.groupBy("file").agg(F.sum("n").alias("n"))  # a row a file
+    files = files.select("file", before("n", Window.orderBy("file")).alias("files_before"))
+    inside = splits.select("file", "start", "first", before("n", Window.partitionBy("file").orderBy("start")).alias("splits_before"))
+    base = inside.join(files, "file").select("file", "start", (F.col("files_before") + F.col("splits_before") - F.col("first")).alias("base"))
+    rows = read.join(base, ["file", "start"]).select((F.col("at") + F.col("base")).alias("doc_id"), "value").filter(F.col("doc_id") >= offset)
     return rows if lines is None else rows.filter(F.col("doc_id") < offset + lines)
 
 
