@@ -301,7 +301,7 @@ def prune_top_n(spark, sf_dir):
 @query(f"""WITH {TEXT}, kept AS (SELECT word FROM postings GROUP BY 1 HAVING sum(tf) >= 3)
     SELECT doc_id, word, tf FROM postings WHERE word IN (FROM kept)""")
 def prune_corpus(spark, sf_dir):
-    postings, labels = fixtures.text_postings(spark, sf_dir), fixtures.text_labels(spark, sf_dir)
+    postings, labels = sources.cut(fixtures.text_postings(spark, sf_dir)), fixtures.text_labels(spark, sf_dir)
     words = counts.prune(counts.word_counts(postings), counts.word_totals(postings), 3)
     return counts.prune_corpus(postings, labels, None, words)[0]
 
@@ -309,7 +309,7 @@ def prune_corpus(spark, sf_dir):
 @query(f"""WITH {TEXT}, usual AS (SELECT word FROM postings GROUP BY 1 HAVING count(*) <= 0.05::DOUBLE * (SELECT count(DISTINCT doc_id) FROM postings))
     SELECT doc_id, word, tf FROM postings WHERE word IN (FROM usual)""")
 def prune_common_words(spark, sf_dir):
-    postings, labels = fixtures.text_postings(spark, sf_dir), fixtures.text_labels(spark, sf_dir)
+    postings, labels = sources.cut(fixtures.text_postings(spark, sf_dir)), fixtures.text_labels(spark, sf_dir)
     words = counts.prune(counts.word_counts(postings, True), counts.document_total(postings), 0, 0.05)
     return counts.prune_corpus(postings, labels, None, words)[0]
 
@@ -317,7 +317,7 @@ def prune_common_words(spark, sf_dir):
 @query(f"""WITH {TEXT}, kept AS (SELECT word FROM postings GROUP BY 1 HAVING sum(tf) >= 3)
     SELECT doc_id, pos::INTEGER AS pos, label FROM all_labels WHERE doc_id IN (SELECT doc_id FROM postings WHERE word IN (FROM kept))""")
 def prune_corpus_labels(spark, sf_dir):
-    postings, labels = fixtures.text_postings(spark, sf_dir), fixtures.text_labels(spark, sf_dir)
+    postings, labels = sources.cut(fixtures.text_postings(spark, sf_dir)), fixtures.text_labels(spark, sf_dir)
     words = counts.prune(counts.word_counts(postings), counts.word_totals(postings), 3)
     return counts.prune_corpus(postings, labels, None, words)[1]
 
@@ -345,7 +345,7 @@ def tfidf(spark, sf_dir):
 
 @query(f"WITH {TEXT}, {_weights('tf_idf', 'postings')} SELECT doc_id, word, round(w, 6) AS w FROM w")
 def tfidf_text(spark, sf_dir):
-    return rounded(weights.weights(fixtures.text_postings(spark, sf_dir)), "w")
+    return rounded(weights.weights(sources.cut(fixtures.text_postings(spark, sf_dir))), "w")
 
 
 @query(f"WITH {BASKET}, {_weights('tf_idf', 'postings')} SELECT doc_id, word, round(w::FLOAT::DOUBLE, 4) AS w FROM w")
