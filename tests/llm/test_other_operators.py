@@ -254,6 +254,18 @@ def check_vectors(rows, vectors):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
 
 
+def test_roots_of_long_chains():
+    r = np.random.default_rng(4)
+    node = r.permutation(50_000)
+    at = r.permutation(50_000)
+    assert (embedding._roots(node, at[:-1], at[1:]) == 0).all()
+    for _ in range(20):
+        node, a, b = r.permutation(60), r.integers(0, 60, 40), r.integers(0, 60, 40)
+        expected = plain.components(node.tolist(), zip(node[a].tolist(), node[b].tolist()))
+        assert embedding._roots(node, a, b).tolist() == [expected[x] for x in node.tolist()]
+    assert len(embedding._roots(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
 def test_vectors_of_the_table(spark, data):
     vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
     check_vectors(queries.op5_embedding_dedup(spark, data).collect(), vectors)
