@@ -56,6 +56,15 @@ def dots(rows: DataFrame) -> DataFrame:
     return rows.groupBy("q", "doc_id").agg(F.sum(F.col("qw") * F.col("tw")).alias("dot"), F.count("*").alias("shared"))
 
 
+def by_reach(queries: DataFrame, train: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of queries whose words have ``most`` training documents at most, repeats counted, and those of
+    the others."""
+    df = train.groupBy("word").agg(F.count("*").alias("df"))
+    reach = queries.select("q", "word").join(df, "word").groupBy("q").agg(F.sum("df").alias("reach"))
+    rows = cut(queries.join(reach.filter(F.col("reach") > most), "q", "left"))
+    return rows.filter("reach is null").drop("reach"), rows.filter("reach is not null").drop("reach")
+
+
 def all_pairs(queries: DataFrame, train: DataFrame, cell: int | None = CELL) -> DataFrame:
     """(q, doc_id, dot, shared) of every pair that shares a word."""
     return dots(joined(queries, train, None if cell is None else grid(queries, train, cell)))

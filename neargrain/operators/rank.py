@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neargrain.functions import ratio
+from neargrain.sources import cut
 
 WEIGHTS = (3.4, 0.6, 0.8, 0.2)
 ALPHA = 0.76
@@ -19,7 +20,9 @@ def label_features(entries: DataFrame, psums: DataFrame, counts: DataFrame, per_
     ``per_occurrence`` counts the parents' children once for each entry; ``logs`` takes natural
     logarithms (null where a feature is 0)."""
     grouped = entries.groupBy("q", "label").agg(F.max("score").alias("x1"), F.round(F.sum("score"), 9).alias("x3"), F.count("*").alias("n"))
-    joined = grouped.join(psums, "label", "left").join(counts.select(F.col("key").alias("label"), "cnt"), "label", "left")
+    # Written, so that its size is known, and the many rows of queries aren't shuffled by label for a small table.
+    by_label = cut(counts.select(F.col("key").alias("label"), "cnt").join(psums, "label", "full_outer"), "labels")
+    joined = grouped.join(by_label, "label", "left")
     x2 = F.coalesce("psum", F.lit(0)) * (F.col("n") if per_occurrence else F.lit(1))
     columns = {"x1": F.col("x1"), "x2": x2.cast("double"), "x3": F.col("x3"), "x4": ratio(F.col("n"), F.coalesce("cnt", F.lit(0)))}
     return joined.select("q", "label", *[(F.log(F.nullif(c, F.lit(0.0))) if logs else c).alias(x) for x, c in columns.items()])

@@ -44,7 +44,7 @@ class Settings:
     split: str = "tail"
     k: int = 70
     candidates: str = "all"
-    search: str = "join"  # or "bounds", "overlap": see knn.SEARCHES
+    search: str = "join"  # or "bounds", "overlap", "blocks": see knn.SEARCHES
     norm: str = "l2"
     overlap: float | None = None
     gate: bool = False
@@ -93,7 +93,8 @@ class Run:
 
     @cached_property
     def doc_labels(self) -> DataFrame:
-        return cut(self.aligned[1])
+        # Documents that have both a label and a word left are those of the written postings.
+        return cut(self.aligned[1].join(self.postings.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     @property
     def pruned(self) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +128,8 @@ class Run:
     @cached_property
     def entries(self) -> DataFrame:
         s, p = self.settings, self.parts
-        return cut(knn.top_k(p["queries"], p["train"], p["train_labels"], s.k, s.candidates, norm=s.norm, overlap=s.overlap, gate=s.gate, digits=s.digits, search=s.search))
+        # Not written: ranks are made where a query's entries lie together.
+        return knn.top_k(p["queries"], p["train"], p["train_labels"], s.k, s.candidates, norm=s.norm, overlap=s.overlap, gate=s.gate, digits=s.digits, search=s.search)
 
     @cached_property
     def features(self) -> DataFrame:

@@ -237,3 +237,61 @@ def test_picks_are_the_split(spark, data):
     labels = fixtures.basket_labels(spark, data)
     assert rows_of(split.picks(labels, 0.1).select("doc_id").distinct()) == rows_of(split.split_prop(labels, 0.1))
     assert counts.label_counts(labels).count() == len(catalogue.QUERIES["label_sets"](spark, data).collect())
+
+
+# ---------------------------------------------------------------- what is shuffled
+
+
+def exchanges(spark, df):
+    """Shuffles by hash in a plan without broadcasts but those asked for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_pairs_are_shuffled_once(spark):
+    postings, labels = corpus(spark, 14)
+    (q, t), (_, tl) = parts(weights.raw_weights(postings)), parts(labels)
+    found = exchanges(spark, lambda: knn.top_k(q, t, tl, 5).groupBy("q", "label").count())
+    # Besides both sides of the join on words: pairs to queries, and the queries' own ids.
+    on = lambda keys: sum(f"hashpartitioning({keys}" in x.replace("#", ",").replace("L,", ",") for x in found)
+    assert on("word") == 2 and on("q") == 2
+    assert not any("doc_id" in x and "hashpartitioning(q" in x for x in found)
+
+
+@pytest.mark.parametrize(("k", "candidates"), [(3, "all"), (60, "all"), (60, "shared")])
+def test_entries_equal_plain_ones(spark, k, candidates):
+    postings, labels = corpus(spark, 15, 120)
+    (q, t), (_, tl) = parts(weights.raw_weights(postings).cache()), parts(labels.cache())
+    docs, asked = {}, {}
+    for rows, into in ((t, docs), (q, asked)):
+        for d, w, x in rows.collect():
+            into.setdefault(d, {})[w] = x
+    own = {}
+    for d, p, label in sorted(tl.collect()):
+        own.setdefault(d, []).append(label)
+    expected = []
+    for a, x in asked.items():
+        rows = []
+        for b, y in docs.items():
+            dot = sum(x[w] * y[w] for w in x.keys() & y.keys())
+            if x.keys() & y.keys() or candidates == "all":
+                rows.append((-round(dot / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5, 6), b))
+        entries = [(b, label, -s) for s, b in sorted(rows) for label in own[b]]
+        expected += [(a, i + 1, b, label, s) for i, (b, label, s) in enumerate(entries[:k])]
+    assert rows_of(knn.top_k(q, t, tl, k, candidates, digits=6)) == sorted(expected)
+
+
+def test_queries_that_reach_few_documents_make_every_pair(spark, monkeypatch):
+    """Searches leave out nothing for them, and cost several joins of their pairs."""
+    postings, labels = corpus(spark, 16, 60)
+    (q, t), (_, tl) = parts(weights.raw_weights(postings).cache()), parts(labels)
+    full = rows_of(knn.top_k(q, t, tl, 100, digits=6))
+    monkeypatch.setattr(pairs, "Bounded", None)
+    assert rows_of(knn.top_k(q, t, tl, 1000, digits=6, search="bounds")) == rows_of(knn.top_k(q, t, tl, 1000, digits=6))
+    assert full
