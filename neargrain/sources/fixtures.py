@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from neargrain.operators.blocks import packed_vectors
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,5 +48,9 @@ def dense_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("word", "w")).select("doc_id", F.col("word").cast("bigint").alias("word"), F.col("w").cast("double").alias("w"))
 
 
+def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def dense_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("pos"), "label")
