@@ -57,6 +57,12 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(batch.num_rows), sizes), flat("words"), flat("ws")
 
 
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of a batch."""
+    sizes = batch.column("keys").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(batch.num_rows), sizes), batch.column("keys").flatten().to_numpy(zero_copy_only=False)
+
+
 @dataclass
 class _Cell:
     """A block of queries, and the best of the vectors that it has met."""
@@ -88,6 +94,12 @@ class _Cell:
         kept = self.column[at] >= 0
         np.add.at(self.matrix, (row[kept], self.column[at[kept]]), w[kept])
         self.finite = bool(np.isfinite(w).all())
+        self.keyed = "keys" in batch.schema.names
+        if self.keyed:
+            row, key = _keys(batch)
+            order = np.argsort(key, kind="stable")
+            self.keys, self.key_starts, self.key_sizes = np.unique(key[order], return_index=True, return_counts=True)
+            self.key_rows = row[order]
         self.of, self.found, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.least = np.full(len(self.ids), -np.inf)
 
@@ -104,9 +116,20 @@ class _Cell:
         while a < n:
             b = min(n, a + most, max(a + 1, int(np.searchsorted(made, made[a] + AT_ONCE, "right")) - 1))
             own = slice(edges[a], edges[b])
-            self.rank(self.dots(row[own] - a, place[own], w[own], hot[own], b - a), ids[a:b], squares[a:b])
+            able = self.sharing(batch.slice(a, b - a)) if self.keyed else None
+            self.rank(self.dots(row[own] - a, place[own], w[own], hot[own], b - a), ids[a:b], squares[a:b], able)
             a = b
 
+    def sharing(self, batch: pa.RecordBatch) -> np.ndarray:
+        """(queries, vectors): which share a key."""
+        out = np.zeros((len(self.ids), batch.num_rows), bool)
+        row, key = _keys(batch)
+        place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        known = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
+        for at, p in zip(row[known].tolist(), place[known].tolist()):
+            out[self.key_rows[self.key_starts[p] : self.key_starts[p] + self.key_sizes[p]], at] = True
+        return out
+
     def dots(self, row: np.ndarray, place: np.ndarray, w: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
         """(queries, n) dot products."""
         cold = np.flatnonzero(~hot)
@@ -121,8 +144,8 @@ class _Cell:
             total += self.matrix @ other
         return total
 
-    def rank(self, dot: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> None:
-        """Joins the vectors' scores to the best so far."""
+    def rank(self, dot: np.ndarray, ids: np.ndarray, squares: np.ndarray, among: np.ndarray | None = None) -> None:
+        """Joins the vectors' scores to the best so far; ``among`` tells which pairs count."""
         with np.errstate(all="ignore"):
             root = np.sqrt(self.squares[:, None] * squares[None, :])
             score = np.where(root == 0, 0.0, dot / root)
@@ -133,6 +156,8 @@ class _Cell:
         able = order >= self.least[:, None]
         if not self.zeros:
             able &= score != 0
+        if among is not None:
+            able &= among
         if order.shape[1] > 2 * self.k and able.sum() > 4 * self.k * len(self.ids):
             order[~able] = -np.inf
             able &= order >= -np.partition(-order, self.k - 1, axis=1)[:, self.k - 1 : self.k]
@@ -156,6 +181,7 @@ class _Cell:
 def best(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, gate: bool = False, zeros: bool = False, block: int = BLOCK, part: int = PART) -> DataFrame:
     """(q, doc_id, score): of all packed ``vectors`` the k largest cosines with each of the packed ``queries``, ties by id.
     ``gate``: products of 0 or less score 0. ``zeros``: scores of 0 count too, as every two vectors share their first place.
+    If both have a column ``keys`` of numbers, only pairs that share one count.
 
     A vector is sent to each block of queries and a query to each part of the vectors: what a task holds is a block, and
     the k best of each of its queries.
@@ -169,7 +195,7 @@ def best(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, gate:
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sides = [rows.withColumn("i", i).withColumn("j", j).withColumn("held", F.lit(held)) for rows, i, j, held in ((queries, own(blocks), every(parts), False), (vectors, every(blocks), own(parts), True))]
-    rows = sides[0].unionByName(sides[1]).withColumn("cell", F.col("i") * parts + F.col("j")).select("cell", "held", "doc_id", "square", "words", "ws")
+    rows = sides[0].unionByName(sides[1]).withColumn("cell", F.col("i") * parts + F.col("j")).select("cell", "held", *queries.columns)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cell = None, None

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neargrain.functions import cosine
-from neargrain.operators import pairs
+from neargrain.operators import blocks, pairs
 from neargrain.operators.weights import squares
 from neargrain.sources import cut
 
@@ -76,12 +76,24 @@ def exact(found: DataFrame, queries: DataFrame, vectors: DataFrame, digits: int
     return sums.join(by_q, "q").join(by_t, "doc_id").select("q", "doc_id", F.round(cosine("dot", "q_square", "square"), digits).alias("score"))
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6, **options) -> DataFrame:
-    """(q, rnk, doc_id, score): of what shares a key the k largest cosines, ties by id. Vectors
-    without a word have no neighbours."""
-    scored = exact(candidates(queries, vectors, **options), queries, vectors, digits)
+def _keyed(vectors: DataFrame, known: DataFrame, signs: int) -> DataFrame:
+    """Packed vectors with their keys (doc_id, table, key) of all tables as numbers."""
+    number = F.col("table").cast("bigint") * (1 << signs) + F.col("key")
+    return blocks.packed(vectors).join(known.groupBy("doc_id").agg(F.collect_list(number).alias("keys")), "doc_id")
+
+
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6, tables: int = TABLES, signs: int = SIGNS, nearest: int = NEAREST, seed: int = 0) -> DataFrame:
+    """(q, rnk, doc_id, score): of what shares a key the k largest cosines other than 0, ties by id. Vectors
+    without a word have no neighbours.
+
+    Keys go along with whole vectors to where blocks of queries meet parts of all vectors: short keys are shared
+    by most pairs, which as rows, let alone as a row for each word, would be far more than all vectors.
+    """
+    asked = probes(projections(queries, tables, signs, seed), tables, signs, nearest)
+    held = keys(projections(vectors, tables, signs, seed), tables, signs)
+    found = blocks.best(_keyed(queries, asked, signs), _keyed(vectors, held, signs), k + 1, digits).filter("q <> doc_id")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k)
+    return found.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k).select("q", "rnk", "doc_id", "score")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -102,3 +102,16 @@ def test_projections_of_nothing(spark):
 def test_recall_of_the_registered_query(spark, data):
     found = catalogue.QUERIES["lsh_neighbours"](spark, data).collect()
     assert found and {r["recall"] for r in found} == {found[0]["recall"]} and found[0]["recall"] >= 0.9
+
+
+def test_pairs_that_share_a_key_are_no_rows(spark, monkeypatch):
+    """The neighbours are those among the candidates; the query makes no row for a pair, nor for its words."""
+    r = random.Random(3)
+    vectors = spark.createDataFrame([(i, j, r.gauss(0, 1)) for i in range(80) for j in range(6)], "doc_id bigint, word bigint, w double").cache()
+    asked = vectors.filter("doc_id % 10 = 0")
+    scored = lsh.exact(lsh.candidates(asked, vectors, tables=2, signs=6, nearest=1), asked, vectors)
+    expected = scored.withColumn("rnk", F.expr("row_number() over (partition by q order by score desc, doc_id)")).filter("rnk <= 4")
+    expected = sorted(map(tuple, expected.select("q", "rnk", "doc_id", "score").collect()))
+    monkeypatch.setattr(lsh.pairs, "joined", None)
+    assert sorted(map(tuple, lsh.neighbours(asked, vectors, 4, tables=2, signs=6, nearest=1).collect())) == expected
+    assert catalogue.QUERIES["lsh_neighbours"](spark, "/root/testdata/sf0.001").first()["recall"] >= 0.9
