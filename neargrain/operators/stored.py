@@ -30,8 +30,8 @@ ENTRIES = 1 << 20
 
 @dataclass(frozen=True)
 class StoredIndex:
-    """``lists`` (word, block, n, most, gaps, weights): of the documents of a block that have a word,
-    their numbers as differences, the first to the block's first, in order; their weights; and the
+    """``lists`` (word, block, n, most, gaps, weights, squares): of the documents of a block that have a word,
+    their numbers as differences, the first to the block's first, in order; their weights and squared norms; and the
     largest part that a weight has of its document's norm. ``docs`` (row, doc_id, square): numbers of documents
     in the order of ids. ``words`` (word, n, most): the same of all blocks together."""
 
@@ -51,10 +51,10 @@ def write_index(weighted: DataFrame, folder: str, buckets: int = BUCKETS, block_
     docs = spark.read.parquet(f"{folder}/docs")
     rows = weighted.join(docs, "doc_id").withColumns({"block": F.floor(F.col("row") / block_docs), "place": (F.col("row") % block_docs).cast("int")})
     part = F.coalesce(F.try_divide(F.col("w").cast("double"), F.sqrt(F.col("square").cast("double"))), F.lit(0.0))
-    lists = rows.groupBy("word", "block").agg(F.count("*").alias("n"), F.max(part).alias("most"), F.array_sort(F.collect_list(F.struct("place", "w"))).alias("list"))
+    lists = rows.groupBy("word", "block").agg(F.count("*").alias("n"), F.max(part).alias("most"), F.array_sort(F.collect_list(F.struct("place", "w", "square"))).alias("list"))
     places = F.col("list.place")
     gaps = F.zip_with(places, F.concat(F.array(F.lit(0)), F.slice(places, 1, F.size(places) - 1)), lambda a, b: a - b)
-    shaped = lists.select("word", "block", "n", "most", gaps.alias("gaps"), F.col("list.w").alias("weights"))
+    shaped = lists.select("word", "block", "n", "most", gaps.alias("gaps"), F.col("list.w").alias("weights"), F.col("list.square").cast("array<double>").alias("squares"))
     name = f"neargrain_{uuid.uuid4().hex}"
     # One task for each bucket, so that a bucket is one file.
     shaped.repartition(buckets, "word").write.bucketBy(buckets, "word").sortBy("word", "block").option("path", f"{folder}/lists").mode("overwrite").saveAsTable(name)
@@ -111,17 +111,22 @@ def decoded(index: StoredIndex) -> DataFrame:
     return rows.join(index.docs.select("row", "doc_id"), "row").select("doc_id", "word", "w")
 
 
-def _sums(found: DataFrame, block_docs: int, kind: str) -> DataFrame:
-    """(q, row, dot) of queries' words joined with lists."""
+def _scored(found: DataFrame, block_docs: int, kind: str) -> DataFrame:
+    """(q, row, score) of queries' words joined with lists. Squared norms go along, so entries are shuffled once, to their
+    query, where its rows then lie together."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole):
                 entry, row, weight = _numbers(batch, block_docs)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("q").to_numpy()[entry]), pa.array(row), pa.array(weight * batch.column("qw").to_numpy()[entry])], names=["q", "row", "dot"])
+                of = lambda c: batch.column(c).to_numpy()[entry]
+                columns = [of("q"), of("q_square"), row, batch.column("squares").flatten(), weight * of("qw")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "q_square", "row", "square", "dot"])
 
-    rows = found.select("q", "qw", "block", "gaps", "weights").mapInArrow(add, f"q bigint, row bigint, dot {kind}")
-    return rows.groupBy("q", "row").agg(F.sum("dot").alias("dot"))
+    terms = found.select("q", F.col("q_square").cast("double").alias("q_square"), "qw", "block", "gaps", "weights", "squares")
+    rows = terms.mapInArrow(add, f"q bigint, q_square double, row bigint, square double, dot {kind}")
+    sums = rows.repartition("q").groupBy("q", "q_square", "row", "square").agg(F.sum("dot").alias("dot"))
+    return sums.select("q", "row", cosine("dot", "q_square", "square").alias("score"))
 
 
 def search(index: StoredIndex, queries: DataFrame, k: int, digits: int = 9, seed: int = SEED) -> DataFrame:
@@ -129,7 +134,7 @@ def search(index: StoredIndex, queries: DataFrame, k: int, digits: int = 9, seed
     ``queries`` (doc_id, word, w), ties by id; weights must not be negative.
 
     The lists of a query's rarest words, which have ``seed`` * k documents at least, give a bound that
-    the k best reach. A block whose documents can't reach it, by the largest parts that its
+    the k best reach; where these are all its words, there is none. A block whose documents can't reach it, by the largest parts that its
     lists have, is passed over with all its lists. Lists are joined by word in the buckets in which
     they are stored.
     """
@@ -142,17 +147,18 @@ def search(index: StoredIndex, queries: DataFrame, k: int, digits: int = 9, seed
     terms = q.join(index.words.select("word", "n"), "word").join(norms, "q")
     terms = cut(terms.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
 
-    def scored(sums: DataFrame) -> DataFrame:
-        every = sums.join(norms, "q").join(index.docs, "row")
-        return every.withColumn("score", cosine("dot", "q_square", "square"))
-
-    seeds = scored(_sums(terms.filter(F.col("before") < seed * k).join(index.lists, "word"), index.block_docs, kind))
+    # A query whose lists are all among its rarest needs no bound: it reads them all.
+    last = Window.partitionBy("q")
+    large = cut(terms.withColumn("most_before", F.max("before").over(last)).filter(F.col("most_before") >= seed * k).drop("most_before"))
+    seeds = _scored(large.filter(F.col("before") < seed * k).join(index.lists, "word"), index.block_docs, kind)
     order = Window.partitionBy("q").orderBy(F.desc("score"))
     kth = cut(seeds.filter("score > 0").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") == k).select("q", (F.col("score") - margin).alias("least")))
     adds = F.coalesce(F.try_divide(F.col("qw").cast("double") * F.col("most"), F.sqrt(F.col("q_square").cast("double"))), F.lit(0.0))
     able = terms.join(index.lists.select("word", "block", "most"), "word").groupBy("q", "block").agg(F.sum(adds).alias("bound"))
     able = cut(able.join(kth, "q", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0))).select("q", "block"))
     found = terms.join(index.lists, "word").join(able, ["q", "block"], "left_semi")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
-    ranked = scored(_sums(found, index.block_docs, kind)).withColumn("score", F.round("score", digits)).filter("score > 0")
-    return ranked.withColumn("rnk", F.row_number().over(best)).filter(F.col("rnk") <= k).select("q", "rnk", "doc_id", "score")
+    # Documents are numbered in the order of their ids.
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "row")
+    ranked = _scored(found, index.block_docs, kind).withColumn("score", F.round("score", digits)).filter("score > 0")
+    ranked = ranked.withColumn("rnk", F.row_number().over(best)).filter(F.col("rnk") <= k)
+    return ranked.join(index.docs.select("row", "doc_id"), "row").select("q", "rnk", "doc_id", "score")

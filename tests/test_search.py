@@ -295,3 +295,12 @@ def test_queries_that_reach_few_documents_make_every_pair(spark, monkeypatch):
     monkeypatch.setattr(pairs, "Bounded", None)
     assert rows_of(knn.top_k(q, t, tl, 1000, digits=6, search="bounds")) == rows_of(knn.top_k(q, t, tl, 1000, digits=6))
     assert full
+
+
+def test_stored_searches_shuffle_entries_once(spark, tmp_path):
+    postings, _ = corpus(spark, 17, 80)
+    q, t = parts(weights.raw_weights(postings))
+    index = stored.write_index(t, str(tmp_path / "i"), 4)
+    found = exchanges(spark, lambda: stored.search(index, q, 5))
+    assert not any("doc_id" in x or "hashpartitioning(q" in x and "row" in x for x in found)
+    assert sum("hashpartitioning(q" in x and "block" not in x for x in found) == 1
