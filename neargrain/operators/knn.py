@@ -18,12 +18,12 @@ SEARCHES = ("join", "bounds", "overlap", "blocks")
 
 
 def _sums(queries: DataFrame, train: DataFrame, norm: str, overlap: float | None, digits: int, search: str, k: int, about: DataFrame | None) -> DataFrame:
-    """(q, q_square, doc_id, t_square, ..., dot, shared) of pairs (q_size, t_size with ``overlap``), with what ``about`` (doc_id, ...)
+    """(q, q_square, q_size, doc_id, t_square, ..., dot) of pairs (t_size, shared with ``overlap``), with what ``about`` (doc_id, ...)
     tells of training documents; documents that aren't in it are left out.
 
-    All of this goes along with the rows that are joined, so a pair is shuffled once: to its query, where all
-    rows of a query then lie. Queries that reach few documents have next to nothing that a search could leave
-    out; they make every pair.
+    What is a training document's goes along with the rows that are joined, and what is a query's meets them at the
+    query: so a pair is shuffled once, to its query, where all rows of a query then lie. Queries that reach few
+    documents have next to nothing that a search could leave out; they make every pair.
     """
     if search == "bounds":
         if norm != "l2" or overlap is not None:
@@ -35,22 +35,23 @@ def _sums(queries: DataFrame, train: DataFrame, norm: str, overlap: float | None
             raise ValueError("this search needs an overlap gate")
     elif search != "join":
         raise ValueError(f"no such search: {search}")
+    q = queries.select(F.col("doc_id").alias("q"), "word", F.col("w").alias("qw"))
     own_q = squares(queries).withColumnsRenamed({"doc_id": "q", "square": "q_square", "size": "q_size"})
-    own_t = squares(train).withColumnsRenamed({"square": "t_square", "size": "t_size"})
-    if overlap is None:
-        own_q, own_t = own_q.drop("q_size"), own_t.drop("t_size")
-    own_t = own_t if about is None else own_t.join(about, "doc_id")
-    q = cut(queries.select(F.col("doc_id").alias("q"), "word", F.col("w").alias("qw")).join(own_q, "q"))
-    t = cut(train.select("doc_id", "word", F.col("w").alias("tw")).join(own_t, "doc_id"))
-    keys = [c for c in (*q.columns, *t.columns) if c not in ("word", "qw", "tw")]
+    # A document's rows are sent to one place for its norm and its labels.
+    per = Window.partitionBy("doc_id")
+    t = train.select("doc_id", "word", F.col("w").alias("tw"), F.sum(F.col("w") * F.col("w")).over(per).alias("t_square"), *([] if overlap is None else [F.count("*").over(per).alias("t_size")]))
+    t = cut(t if about is None else t.join(about, "doc_id"))
+    keys = ["q", *(c for c in t.columns if c not in ("word", "tw"))]
+    sums = ["dot"] if overlap is None else ["dot", "shared"]
     whole, rest = (q, None) if search == "join" else pairs.by_reach(q, t, pairs.SEED * k)
-    rows = pairs.joined(whole, t, pairs.grid(whole, t))
-    rows = rows.select(*keys, (F.col("qw") * F.col("tw")).alias("dot"), F.lit(1).cast("bigint").alias("shared"))
+    rows = pairs.listed(whole, t)
+    rows = rows.select(*keys, (F.col("qw") * F.col("tw")).alias("dot"), F.lit(1).cast("bigint").alias("shared")).select(*keys, *sums)
     if rest is not None and not rest.isEmpty():
-        q_rows, t_rows = rest.select("q", "word", "qw"), t.select("doc_id", "word", "tw")
+        q_rows, t_rows, own_t = rest.select("q", "word", "qw"), t.select("doc_id", "word", "tw"), t.drop("word", "tw").dropDuplicates(["doc_id"])
         found = (pairs.Bounded(q_rows, t_rows, k, 2.0 * 10**-digits) if search == "bounds" else pairs.Overlapping(q_rows, t_rows, overlap)).pairs
-        rows = rows.unionByName(found.join(own_q, "q").join(own_t, "doc_id").select(*keys, "dot", "shared"))
-    return rows.repartition("q").groupBy(*keys).agg(F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))
+        rows = rows.unionByName(found.join(own_t, "doc_id").select(*keys, *sums)).repartition("q")
+    added = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+    return added.join(own_q.hint("shuffle_hash"), "q")
 
 
 def scores(queries: DataFrame, train: DataFrame, norm: str = "l2", overlap: float | None = None, gate: bool = False, digits: int = 9, search: str = "join", k: int = 70, about: DataFrame | None = None) -> DataFrame:
@@ -83,6 +84,9 @@ def scores(queries: DataFrame, train: DataFrame, norm: str = "l2", overlap: floa
     return found.select("q", "doc_id", F.round(score, digits).alias("score"), *([] if about is None else [c for c in about.columns if c != "doc_id"]))
 
 
+#: Different lists of labels that are told by a number while documents are searched.
+KINDS = 1 << 15
+
 _DOCS = "array<struct<doc_id:{0},score:double,labels:array<{1}>>>"
 
 
@@ -132,6 +136,11 @@ def top_k(queries: DataFrame, train: DataFrame, train_labels: DataFrame, k: int
         raise ValueError("pairs that share too few words, or score 0, are candidates here")
     if candidates not in ("all", "shared"):
         raise ValueError(f"no such candidates: {candidates}")
-    labelled = labels_of(train_labels)
-    found = scores(queries, train, k=k, about=labelled, **options)
+    labelled = cut(labels_of(train_labels))
+    kinds = cut(labelled.select("labels").distinct())
+    if kinds.count() <= KINDS:
+        kinds = F.broadcast(cut(kinds.withColumn("kind", F.row_number().over(Window.orderBy("labels")))))
+        found = scores(queries, train, k=k, about=labelled.join(kinds, "labels").select("doc_id", "kind"), **options).join(kinds, "kind").drop("kind")
+    else:
+        found = scores(queries, train, k=k, about=labelled, **options)
     return entries_of(found, queries, labelled, k, candidates == "all")

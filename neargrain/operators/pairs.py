@@ -18,37 +18,74 @@ from neargrain.sources import cut
 CELL = 1 << 20
 #: So many words are split at most: those beyond make less than this part of all pairs each.
 MOST_SPLIT = 4096
+#: Training documents of one word in one list.
+LIST = 1 << 16
 #: Training documents, in multiples of k, that the rarest words of a query reach at least before
 #: their scores bound the k-th.
 SEED = 4
 
 
-def grid(queries: DataFrame, train: DataFrame, cell: int = CELL) -> DataFrame:
+def grid(queries: DataFrame, train: DataFrame, cell: int = CELL, longest: int | None = None) -> DataFrame:
     """(word, a, b) of words whose frequencies in both make more than ``cell`` pairs: their queries are
     dealt to a rows and their training documents to b columns of cells of about ``cell`` pairs.
-    ``MOST_SPLIT`` rows at most: the limit rises with the number of all pairs."""
+    ``MOST_SPLIT`` rows at most: the limit rises with the number of all pairs. With ``longest``, words that more training
+    documents have are split too, about as many again at most."""
     counts = lambda rows, name: rows.groupBy("word").agg(F.count("*").alias(name))
     both = cut(counts(queries, "n_q").join(counts(train, "n_t"), "word").withColumn("pairs", F.col("n_q").cast("double") * F.col("n_t")))
     limit = F.greatest(F.lit(float(cell)), F.col("total") / MOST_SPLIT)
-    large = both.join(F.broadcast(both.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("total"))), F.lit(True)).withColumn("limit", limit).filter("pairs > limit")
+    totals = both.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("total"), F.coalesce(F.sum("n_t"), F.lit(0)).alias("total_t"))
+    column = F.lit(None).cast("double") if longest is None else F.greatest(F.lit(float(longest)), F.col("total_t") / MOST_SPLIT)
+    known = both.join(F.broadcast(totals), F.lit(True)).withColumns({"limit": limit, "column": column})
+    large = known.filter("pairs > limit or n_t > column")
     side = F.sqrt("limit")
     a = F.when(F.col("n_q") <= side, 1).when(F.col("n_t") <= side, F.ceil(F.col("pairs") / F.col("limit"))).otherwise(F.ceil(F.col("n_q") / side))
     b = F.when(F.col("n_t") <= side, 1).when(F.col("n_q") <= side, F.ceil(F.col("pairs") / F.col("limit"))).otherwise(F.ceil(F.col("n_t") / side))
+    a, b = F.when(F.col("pairs") <= F.col("limit"), 1).otherwise(a), F.when(F.col("pairs") <= F.col("limit"), 1).otherwise(b)
+    b = F.greatest(b, F.ceil(F.col("n_t") / F.col("column")))
     return cut(large.select("word", a.cast("int").alias("a"), b.cast("int").alias("b")))
 
 
 def joined(queries: DataFrame, train: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Rows of both that have the same word, once each: an equi-join, in which a word of ``cells`` is
     a grid of keys. A row of a split word is sent to all cells of its row or column."""
+    left, right, on = _dealt(queries, train, cells)
+    return left.join(right, on).drop(*on[1:])
+
+
+def _dealt(queries: DataFrame, train: DataFrame, cells: DataFrame | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the keys to join them on."""
     if cells is None or cells.isEmpty():
-        return queries.join(train, "word")
+        return queries, train, ["word"]
     known = F.broadcast(cells)
     one = lambda c: F.coalesce(c, F.lit(1))
     every = lambda n: F.explode(F.sequence(F.lit(0), one(F.col(n)) - 1))
     own = lambda key, n: F.pmod(F.xxhash64(key), one(F.col(n))).cast("int")
     left = queries.join(known, "word", "left").withColumn("i", own("q", "a")).withColumn("j", every("b")).drop("a", "b")
     right = train.join(known, "word", "left").withColumn("j", own("doc_id", "b")).withColumn("i", every("a")).drop("a", "b")
-    return left.join(right, ["word", "i", "j"]).drop("i", "j")
+    return left, right, ["word", "i", "j"]
+
+
+def narrowed(rows: DataFrame, *wide: str) -> DataFrame:
+    """The same rows with whole numbers in the smallest type that holds them all, but for the columns ``wide``: in lists,
+    a number takes the width of its type."""
+    whole = [c for c, kind in rows.dtypes if kind in ("smallint", "int", "bigint") and c not in wide]
+    if not whole:
+        return rows
+    ends = rows.agg(*(f(c).alias(f"{name} {c}") for c in whole for name, f in (("min", F.min), ("max", F.max)))).first()
+    fits = lambda c, bits: ends[f"min {c}"] is not None and -(1 << bits) <= ends[f"min {c}"] and ends[f"max {c}"] < 1 << bits
+    return rows.withColumns({c: F.col(c).cast(next((kind for kind, bits in (("tinyint", 7), ("smallint", 15), ("int", 31)) if fits(c, bits)), "bigint")) for c in whole})
+
+
+def listed(queries: DataFrame, train: DataFrame, key: str = "q") -> DataFrame:
+    """The rows of ``joined``, sent to the places of ``key``. On the way there the training documents of a query's
+    word are a list for each column, so that a pair takes no more than its numbers do."""
+    numbers = narrowed(train, "word")
+    left, right, on = _dealt(queries, numbers, grid(queries, train, longest=LIST))
+    own, types = [c for c in train.columns if c != "word"], dict(train.dtypes)
+    lists = right.repartition(*on).groupBy(*on).agg(F.collect_list(F.struct(*own)).alias("x"))
+    sent = left.join(lists, on).select(*(c for c in queries.columns if c != "word"), *(F.col(f"x.{c}").alias(c) for c in own)).repartition(key)
+    rows = sent.select(*(c for c in queries.columns if c != "word"), F.inline(F.arrays_zip(*own)))
+    return rows.withColumns({c: F.col(c).cast(types[c]) for c in own if types[c] != dict(numbers.dtypes)[c]})
 
 
 def dots(rows: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def predict(ranked: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return ranked.withColumn("part", F.try_divide("rank", top)).filter(F.col("part") > alpha).select("q", "label")
 
 
+def predict_or_common(ranked: DataFrame, queries: DataFrame, counts: DataFrame, alpha: float = ALPHA, n: int = 2) -> DataFrame:
+    """The same as ``with_fallback`` of ``predict``, for queries that ``ranked`` has no others than; it is made once,
+    and its rows stay where a query's rows lie together."""
+    common = counts.orderBy(F.desc("cnt"), "key").limit(n).agg(F.collect_list("key").alias("common"))  # n labels
+    grouped = ranked.groupBy("q").agg(F.max("rank").alias("top"), F.collect_list(F.struct("label", "rank")).alias("labels"))
+    said = F.transform(F.filter("labels", lambda x: F.try_divide(x["rank"], F.col("top")) > alpha), lambda x: x["label"])
+    every = queries.select(F.col("doc_id").alias("q")).distinct().join(grouped.select("q", said.alias("labels")), "q", "left")
+    return every.join(F.broadcast(common), F.lit(True)).select("q", F.explode(F.coalesce("labels", "common")).alias("label"))
+
+
 def with_fallback(predicted: DataFrame, ranked: DataFrame, queries: DataFrame, counts: DataFrame, n: int = 2) -> DataFrame:
     """Predictions, and for queries without any rank the n most common labels (ties by label)."""
     common = counts.orderBy(F.desc("cnt"), "key").limit(n).agg(F.collect_list("key").alias("labels"))  # n labels

@@ -26,7 +26,7 @@ def _picks(doc_labels: DataFrame, k: Column, mode: str, seed: int) -> DataFrame:
     above = Window.partitionBy("label").orderBy(F.desc("slice"))  # 64 rows a label at most
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("label")))
     counts = counts.withColumn("left", k - F.col("before")).filter("left > 0").select("label", "slice", "n", "left")
-    found = rows.join(counts, ["label", "slice"])
+    found = rows.join(cut(counts, "slices"), ["label", "slice"])  # written, so that its size is known: few rows beside the others
     ranked = found.filter("left < n").withColumn("rn", F.row_number().over(Window.partitionBy("label", "slice").orderBy(F.desc("at"), F.desc("doc_id"), F.desc("pos")))).filter("rn <= left")
     return found.filter("left >= n").select("doc_id", "label").unionByName(ranked.select("doc_id", "label"))
 

@@ -117,7 +117,7 @@ class Run:
     def parts(self) -> dict[str, DataFrame]:
         train_w, _ = split.separate(self.weighted, self.chosen)
         train_l, _ = split.separate(self.doc_labels, self.chosen)
-        _, query_w = split.separate(self.weighted, self.validation)
+        query_w = cut(split.separate(self.weighted, self.validation)[1])  # a small part, used several times
         _, query_l = split.separate(self.doc_labels, self.validation)
         return {"train": train_w, "train_labels": train_l, "queries": query_w, "query_labels": query_l}
 
@@ -137,7 +137,8 @@ class Run:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return cut(rank.ranks(self.features, self.settings.w))
+        # Not written either: every later table is made from them in one pass.
+        return rank.ranks(self.features, self.settings.w)
 
     @cached_property
     def predicted(self) -> DataFrame:
@@ -145,7 +146,7 @@ class Run:
 
     @cached_property
     def predicted_with_fallback(self) -> DataFrame:
-        return rank.with_fallback(self.predicted, self.ranks, self.parts["queries"], self.label_counts)
+        return rank.predict_or_common(self.ranks, self.parts["queries"], self.label_counts, self.settings.alpha)
 
     @cached_property
     def truth(self) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neargrain import catalogue
-from neargrain.operators import counts, evaluate, knn, pairs, sets, split, stored, weights
+from neargrain.operators import counts, evaluate, knn, pairs, rank, sets, split, stored, weights
 from neargrain.plans import Run, Settings
 from neargrain.sources import fixtures, state
 
@@ -109,6 +109,59 @@ def test_searches_of_nothing(spark):
             assert knn.scores(q, t, **options).count() == 0
 
 
+# ---------------------------------------------------------------- what is sent of a pair
+
+
+def test_pairs_are_sent_as_lists(spark, monkeypatch):
+    postings, _ = corpus(spark, 11)
+    for weighed in (weights.raw_weights(postings).cache(), weights.weights(postings).cache()):
+        q, t = sides(weighed)
+        plain = rows_of(q.join(t, "word").select("q", "qw", "doc_id", "tw"))
+        monkeypatch.setattr(pairs, "LIST", 1 << 16)
+        assert rows_of(pairs.listed(q, t).select("q", "qw", "doc_id", "tw")) == plain
+        monkeypatch.setattr(pairs, "LIST", 7)
+        assert pairs.grid(q, t).isEmpty() and pairs.grid(q, t, longest=7).filter("a = 1 and b > 1").count() > 0
+        assert rows_of(pairs.listed(q, t).select("q", "qw", "doc_id", "tw")) == plain
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = knn.scores(*parts(weighed))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.index("Generate inline") < plan.index("Exchange hashpartitioning(q")
+
+
+def test_numbers_in_lists_keep_their_values(spark):
+    ends = [0, 127, -128, 128, 32767, -32768, 32768, 2**31 - 1, -(2**31), 2**31, 2**63 - 1, -(2**63), None]
+    for i in (3, 6, 9, len(ends)):
+        df = spark.createDataFrame([(n, str(n)) for n in ends[:i]], "a bigint, x string")
+        assert pairs.narrowed(df).filter("x <> coalesce(cast(a as string), 'None')").count() == 0
+    kinds = [dict(pairs.narrowed(spark.createDataFrame([(n,)], "a bigint")).dtypes)["a"] for n in (127, 128, 32768, 2**31)]
+    assert kinds == ["tinyint", "smallint", "int", "bigint"]
+
+
+@pytest.mark.parametrize("kinds", [0, 1 << 15])
+def test_labels_told_by_numbers_are_the_same(spark, monkeypatch, kinds):
+    postings, labels = corpus(spark, 12, 60)
+    q, t = parts(weights.raw_weights(postings).cache())
+    monkeypatch.setattr(knn, "KINDS", kinds)
+    best = {}
+    for s in knn.scores(q, t).collect():
+        best.setdefault(s["q"], []).append((-s["score"], s["doc_id"]))
+    own = {}
+    for d, pos, label in sorted(rows_of(labels.select("doc_id", "pos", "label"))):
+        own.setdefault(d, []).append(label)
+    expected = [(q_, d, label, -s) for q_, found in best.items() for s, d, label in [(s, d, label) for s, d in sorted(found) for label in own.get(d, [])][:5]]
+    assert rows_of(knn.top_k(q, t, labels, 5, "shared").select("q", "doc_id", "label", "score")) == sorted(expected)
+
+
+def test_predictions_in_one_pass(spark):
+    ranked = spark.createDataFrame([(1, 5, 2.0), (1, 6, 1.9), (1, 7, 0.1), (2, 5, 0.0), (3, 8, -1.0)], "q bigint, label int, rank double")
+    queries = spark.createDataFrame([(q, w) for q in (1, 2, 3, 4) for w in (1, 2)], "doc_id bigint, word bigint")
+    counts_ = spark.createDataFrame([(5, 3), (6, 9), (7, 3)], "key int, cnt bigint")
+    assert rows_of(rank.predict_or_common(ranked, queries, counts_)) == rows_of(rank.with_fallback(rank.predict(ranked), ranked, queries, counts_))
+    assert (4, 6) in rows_of(rank.predict_or_common(ranked, queries, counts_))
+
+
 # ---------------------------------------------------------------- a stored index
 
 
