@@ -30,10 +30,12 @@ HOT, MOST_HOT = 0.15, 512
 def packed(rows: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """(doc_id, square, words, ws) of (doc_id, word, w); ``numbers`` (word, row) keeps its words alone, as numbers.
     The squared norm is that of all words."""
-    square = rows.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).cast("double").alias("square"))
-    known = rows.select("doc_id", F.col("word").alias("row"), "w") if numbers is None else rows.join(numbers, "word").select("doc_id", "row", "w")
-    lists = known.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("row").cast("bigint").alias("word"), F.col("w").cast("double").alias("w"))).alias("x"))
-    return square.join(lists, "doc_id").select("doc_id", "square", F.col("x.word").alias("words"), F.col("x.w").alias("ws"))
+    known = rows.select("doc_id", F.col("word").alias("row"), "w") if numbers is None else rows.join(numbers, "word", "left").select("doc_id", "row", "w")
+    pair = F.struct(F.col("row").cast("bigint").alias("word"), F.col("w").cast("double").alias("w"))
+    pair = pair if numbers is None else F.when(F.col("row").isNotNull(), pair)  # other words add to the norm alone
+    # Sent as rows, to be summed and listed at once where they arrive.
+    lists = known.repartition("doc_id").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).cast("double").alias("square"), F.collect_list(pair).alias("x"))
+    return lists.filter(F.size("x") > 0).select("doc_id", "square", F.col("x.word").alias("words"), F.col("x.w").alias("ws"))
 
 
 def packed_vectors(rows: DataFrame, doc_id: str, vector: str) -> DataFrame:

@@ -69,3 +69,17 @@ def test_texts_by_blocks_equal_the_join_on_words(spark, monkeypatch):
 def test_queries_join_nothing_by_word(spark, data, monkeypatch, name):
     monkeypatch.setattr(pairs, "joined", None)
     assert_same(catalogue.QUERIES[name](spark, data), catalogue.ORACLES[name], data)
+
+
+def test_vectors_are_packed_where_their_rows_arrive(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (1, "c", 2.0), (2, "c", 5.0), (3, "b", 0.5)], "doc_id bigint, word string, w double")
+    numbers = spark.createDataFrame([("a", 0), ("b", 1)], "word string, row bigint")
+    plan = blocks.packed(rows, numbers)
+    found = {r["doc_id"]: (r["square"], sorted(zip(r["words"], r["ws"]))) for r in plan.collect()}
+    assert found == {1: (9.0, [(0, 2.0), (1, 1.0)]), 3: (0.25, [(1, 0.5)])}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sent = blocks.packed(rows, numbers.hint("broadcast"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sent.count("Exchange hashpartitioning(doc_id") == 1
