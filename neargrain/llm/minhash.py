@@ -27,6 +27,9 @@ BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: agrees in fewer with probability 2e-5.
 LEAST_AGREEING = 23
 
+#: Texts are asked for by 2**FILTER_BITS bits of their ids' hashes, a table of one size (2 MB).
+FILTER_BITS = 24
+
 _RNG = np.random.default_rng(90125)
 _SALTS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Variates of the sampling, drawn by 16 bits of a hash each: Gamma(2, 1), its logarithm, uniform.
@@ -329,6 +332,21 @@ def _blocks(labelled: DataFrame) -> DataFrame:
     return dealt.select(*labelled.columns, sent).select(*labelled.columns, "sent.*")
 
 
+def _possible(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id is one of ``wanted`` (doc_id), and a few others: those with a hash of which a wanted one
+    has the same FILTER_BITS. So texts that nobody asks for aren't shuffled. Were all bits set, every row would be
+    left: an exact join has to follow."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+        return df.withColumns({"__bucket": F.shiftright(at, 15).cast("int"), "__bit": at.bitwiseAND(F.lit((1 << 15) - 1))})
+
+    sets = placed(wanted.select("doc_id")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    found = placed(rows).join(F.broadcast(sets), "__bucket")
+    byte = "cast(conv(hex(substring(__bits, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    return found.filter(F.expr(f"shiftright({byte}, cast(__bit % 8 as int)) & 1 = 1")).select(*rows.columns)
+
+
 def _digest(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
@@ -388,8 +406,8 @@ def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float) -> Da
     shared = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     in_bands = materialise(banded.join(shared, "band"), "bands")
     pairs = in_bands.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    involved = first.join(in_bands.select("node").distinct(), "node")
-    texts = rows.withColumn("digest", _digest("text")).join(involved, ["digest", "doc_id"]).dropDuplicates(["node"])
+    involved = materialise(first.join(in_bands.select("node").distinct(), "node"), "involved")
+    texts = _possible(rows, involved).withColumn("digest", _digest("text")).join(involved, ["digest", "doc_id"]).dropDuplicates(["node"])
     bags = materialise(bags_of(rows, texts), "bags")
     links = materialise(_verified(pairs, bags, n, threshold), "verified")
     classes = materialise(components(links), "classes")

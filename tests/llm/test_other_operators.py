@@ -175,6 +175,42 @@ def test_near_classes_of_an_id_with_two_texts(spark):
     assert kept == {(1, a): 1, (2, b): 2, (4, last): 1, (None, c): 1}
 
 
+def shuffled_bytes(spark) -> int:
+    """Bytes that all stages so far have sent."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    empty = sc._gateway.new_array(jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, empty, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_only_texts_that_are_compared_are_sent(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"  # joins as large tables have them
+    kept = spark.conf.get(name)
+    letters = random.Random(3)
+    docs = {i: " ".join("".join(letters.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=60)) for _ in range(160)) for i in range(800)}
+    docs |= {1000 + i: docs[i] + " end" for i in range(20)}
+    table = materialise(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4))
+    before = shuffled_bytes(spark)
+    spark.conf.set(name, "-1")
+    try:
+        found = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table).collect()}
+    finally:
+        spark.conf.set(name, kept)
+    assert found == {i: i - 1000 if i >= 1000 else i for i in docs}
+    # Of 8 MB of texts 0.4 MB are compared; shingles of all take about 8 bytes each.
+    assert shuffled_bytes(spark) - before < 0.5 * sum(map(len, docs.values()))
+
+
+@pytest.mark.parametrize("bits", [16, 24])
+def test_rows_of_wanted_ids_are_possible(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "FILTER_BITS", bits)
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    wanted = {3 * i for i in range(1000)}
+    left = {r["doc_id"] for r in minhash._possible(rows, rows.filter("doc_id % 3 = 0 and doc_id < 3000")).select("doc_id").collect()}
+    assert wanted <= left and len(left) < len(wanted) + 2.5 * 100_000 * len(wanted) / (1 << bits)
+    assert minhash._possible(rows, rows.filter("false")).count() == 0
+
+
 def test_near_classes_equal_sql(spark, data):
     assert_same(queries.op4_minhash_dedup(spark, data), queries.ORACLES["op4_minhash_dedup"], data)
 
