@@ -1,6 +1,6 @@
 """The k best cosines of queries whose vectors share many words with most others: dense ones, and long texts.
 
-Joined by word, such a pair would give a row for each word it shares. Here blocks of queries meet parts of all
+Joined by word, such a pair would give a row for each word it shares. Here blocks of queries meet chunks of all
 vectors, each pair of them in one task, which multiplies them and sends a query's k best alone. Vectors are
 packed: (doc_id, words, ws), a row each.
 """
@@ -8,7 +8,8 @@ packed: (doc_id, words, ws), a row each.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 from math import ceil
 
 import numpy as np
@@ -17,14 +18,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neargrain.operators.split import row_numbers
-from neargrain.sources import cut
+from neargrain.sources import cut, few_at_once
 
-#: Queries of a block, vectors of a part, and words of all vectors of either.
-BLOCK, PART, WORDS = 4096, 1 << 16, 1 << 22
+#: Queries of a block, and words of all of them; vectors of a chunk, and words of all of them.
+BLOCK, BLOCK_WORDS, PART, WORDS = 4096, 1 << 21, 1 << 16, 1 << 18
+#: Vectors that a task compares with its block at most, where there are so many.
+STREAM = 1 << 20
+#: Chunks are long rows, of which few are to be held at once.
+ROW_GROUPS = {"parquet.block.size": str(1 << 24), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Products that are added at once, and cells of the table of queries and vectors that they are added in.
-AT_ONCE, CELLS = 1 << 21, 1 << 21
+AT_ONCE, CELLS = 1 << 17, 1 << 21
 #: Words that more than this part of a block's queries have are multiplied as a matrix, so many at most.
-HOT, MOST_HOT = 0.15, 512
+HOT, MOST_HOT = 0.03, 1024
+#: Vocabularies of numbers below this are looked up in a table. Pairs whose products are added anew at once.
+TABLE, PAIRS = 1 << 25, 1 << 12
 
 
 def packed(rows: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
@@ -52,132 +59,252 @@ def word_numbers(queries: DataFrame) -> DataFrame:
     return row_numbers(queries.select(F.col("word").alias("doc_id"))).withColumnRenamed("doc_id", "word")
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word, w) of all words of a batch."""
-    sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(batch.num_rows), sizes), flat("words"), flat("ws")
+@dataclass
+class _Vectors:
+    """The packed vectors of a chunk."""
 
+    ids: np.ndarray
+    squares: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    ws: np.ndarray
+    key_sizes: np.ndarray | None = None
+    keys: np.ndarray | None = None
 
-def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys of a batch."""
-    sizes = batch.column("keys").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(batch.num_rows), sizes), batch.column("keys").flatten().to_numpy(zero_copy_only=False)
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, at: int, prefix: str) -> _Vectors:
+        """Of the columns that begin with ``prefix``, in row ``at``."""
+        return cls(**{name[len(prefix) :]: batch.column(name)[at].values.to_numpy(zero_copy_only=False) for name in batch.schema.names if name.startswith(prefix)})
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids)), self.sizes)
+
+    @cached_property
+    def shift(self) -> np.ndarray:
+        """The powers of two that norms are near to; weights are divided by them, which rounds nothing."""
+        with np.errstate(all="ignore"):
+            able = np.isfinite(self.squares) & (self.squares > 0)
+            return np.where(able, np.frexp(np.sqrt(np.where(able, self.squares, 1.0)))[1], 0)
+
+    @cached_property
+    def scaled(self) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return np.ldexp(self.ws, -self.shift[self.rows])
+
+    @cached_property
+    def norms(self) -> np.ndarray:
+        """Of the scaled weights; 1 for a zero norm."""
+        with np.errstate(all="ignore"):
+            return np.where(self.squares > 0, np.ldexp(np.sqrt(self.squares), -self.shift), 1.0)
+
+    @cached_property
+    def positive(self) -> bool:
+        """Whether no product with such vectors can cancel another."""
+        return bool((self.ws >= 0).all())
+
+    @cached_property
+    def plain(self) -> bool:
+        """Whether products may be added in single precision to tell which pairs can be among the best."""
+        usual = (self.squares == 0) | (self.squares > 1e-280) & (self.squares < 1e280)
+        return bool(usual.all() and (np.abs(self.scaled) < 1e15).all())
 
 
-@dataclass
 class _Cell:
-    """A block of queries, and the best of the vectors that it has met."""
-
-    k: int
-    digits: int
-    gate: bool
-    zeros: bool
-    batches: list[pa.RecordBatch] = field(default_factory=list)
-    ready: bool = False
-
-    def index(self) -> None:
-        """The queries of each word, and a matrix of the frequent ones."""
-        whole = pa.Table.from_batches(self.batches).combine_chunks().to_batches()
-        self.batches, self.ready = [], True
-        batch = whole[0]
-        self.ids, self.squares = batch.column("doc_id").to_numpy(), batch.column("square").to_numpy()
-        row, word, w = _flat(batch)
-        self.vocabulary, at = np.unique(word, return_inverse=True)
+    """A block of queries, and the best of the vectors that it has met.
+
+    Products of the block's frequent words are those of matrices in single precision, others are added one by one in double
+    precision. By their sum, and a bound on its error, most pairs can't be among a query's k best; those that can be are
+    multiplied anew in double precision.
+    """
+
+    def __init__(self, own: _Vectors, k: int, digits: int, gate: bool, zeros: bool) -> None:
+        self.own, self.k, self.digits, self.gate, self.zeros = own, k, digits, gate, zeros
+        n = len(own.ids)
+        self.vocabulary, at = np.unique(own.words, return_inverse=True)
         order = np.argsort(at, kind="stable")
-        self.rows, self.weights = row[order], w[order]
+        self.rows, self.weights = own.rows[order].astype(np.int32), own.scaled[order]
         self.sizes = np.bincount(at, minlength=len(self.vocabulary))
         self.starts = np.cumsum(self.sizes) - self.sizes
         often = np.argsort(-self.sizes, kind="stable")[:MOST_HOT]
-        hot = often[self.sizes[often] > HOT * len(self.ids)]
+        hot = often[self.sizes[often] > HOT * n] if own.plain else often[:0]
         self.column = np.full(len(self.vocabulary), -1)
         self.column[hot] = np.arange(len(hot))
-        self.matrix = np.zeros((len(self.ids), len(hot)))
-        kept = self.column[at] >= 0
-        np.add.at(self.matrix, (row[kept], self.column[at[kept]]), w[kept])
-        self.finite = bool(np.isfinite(w).all())
-        self.keyed = "keys" in batch.schema.names
-        if self.keyed:
-            row, key = _keys(batch)
-            order = np.argsort(key, kind="stable")
-            self.keys, self.key_starts, self.key_sizes = np.unique(key[order], return_index=True, return_counts=True)
+        self.matrix = self.filled(own.rows, self.column[at], own.scaled, n)
+        self.single = np.ascontiguousarray(self.matrix.T, np.float32) if own.plain else None
+        #: Of a cosine: the sum's error by single precision (some units for each product), and a last place's half.
+        self.error, self.half = (len(hot) + 16) * 2.0**-23, 0.51 * 10.0**-digits
+        top = int(self.vocabulary[-1]) + 1 if len(self.vocabulary) and 0 <= self.vocabulary[0] and self.vocabulary[-1] < TABLE else 0
+        self.table = np.full(top + 1, -1, np.int32) if top else None
+        if top:
+            self.table[self.vocabulary] = np.arange(len(self.vocabulary))
+        if own.keys is not None:
+            row = np.repeat(np.arange(n), own.key_sizes)
+            order = np.argsort(own.keys, kind="stable")
+            self.keys, self.key_starts, self.key_counts = np.unique(own.keys[order], return_index=True, return_counts=True)
             self.key_rows = row[order]
+        self.positive, self.plain = own.positive, own.plain
+        self.own = _Vectors(own.ids, own.squares, own.sizes, own.words[:0], own.ws[:0], keys=own.keys)  # what is left to be asked for
         self.of, self.found, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.least = np.full(len(self.ids), -np.inf)
+        self.least = np.full(n, -np.inf)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    @staticmethod
+    def filled(row: np.ndarray, column: np.ndarray, w: np.ndarray, n: int, width: int | None = None) -> np.ndarray:
+        """A matrix of the weights that have a column."""
+        width, kept = int(column.max(initial=-1)) + 1 if width is None else width, column >= 0
+        return np.bincount(row[kept] * width + column[kept], w[kept], n * width).astype(float, copy=False).reshape(n, width)
 
-    def meet(self, batch: pa.RecordBatch) -> None:
-        row, word, w = _flat(batch)
-        place = np.searchsorted(self.vocabulary, word)
-        known = np.zeros(len(word), bool) if not len(self.vocabulary) else self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] == word
-        row, place, w = row[known], place[known], w[known]
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Of words in the vocabulary; -1 for others."""
+        if self.table is not None and words.min(initial=0) >= 0:
+            return self.table[np.minimum(words, len(self.table) - 1)]
+        if not len(self.vocabulary):
+            return np.full(len(words), -1)
+        place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[place] == words, place, -1)
+
+    def meet(self, other: _Vectors) -> None:
+        place, n, nq = self.places(other.words), len(other.ids), len(self.own.ids)
+        known = place >= 0
+        row, place, w = other.rows[known], place[known], other.scaled[known]
+        fast = self.plain and other.plain
         # A matrix has zeros where a word isn't; times what isn't finite they would count.
-        hot = (self.column[place] >= 0) & (self.finite and bool(np.isfinite(w).all()))
-        made = np.concatenate(([0], np.cumsum(np.bincount(row, np.where(hot, 0, self.sizes[place]), batch.num_rows))))
-        ids, squares, n = batch.column("doc_id").to_numpy(), batch.column("square").to_numpy(), batch.num_rows
-        edges, a, most = np.searchsorted(row, np.arange(n + 1)), 0, max(1, CELLS // len(self.ids))
-        while a < n:
-            b = min(n, a + most, max(a + 1, int(np.searchsorted(made, made[a] + AT_ONCE, "right")) - 1))
+        column = self.column[place] if fast else np.full(len(place), -1)
+        edges, most = np.searchsorted(row, np.arange(n + 1)), max(1, CELLS // nq)
+        for a in range(0, n, most):
+            b = min(n, a + most)
             own = slice(edges[a], edges[b])
-            able = self.sharing(batch.slice(a, b - a)) if self.keyed else None
-            self.rank(self.dots(row[own] - a, place[own], w[own], hot[own], b - a), ids[a:b], squares[a:b], able)
-            a = b
+            able = self.sharing(other, a, b) if other.keys is not None and self.own.keys is not None else None
+            cold = column[own] < 0
+            sums = self.sums(row[own][cold] - a, place[own][cold], w[own][cold], b - a)
+            matrix = self.filled(row[own] - a, column[own], w[own], b - a, self.matrix.shape[1]) if fast else None
+            self.rank(other, slice(a, b), sums, matrix, able)
 
-    def sharing(self, batch: pa.RecordBatch) -> np.ndarray:
-        """(queries, vectors): which share a key."""
-        out = np.zeros((len(self.ids), batch.num_rows), bool)
-        row, key = _keys(batch)
+    def sharing(self, other: _Vectors, a: int, b: int) -> np.ndarray:
+        """(vectors, queries): which share a key."""
+        ends = np.concatenate(([0], np.cumsum(other.key_sizes)))
+        out = np.zeros((b - a, len(self.own.ids)), bool)
+        row, key = np.repeat(np.arange(b - a), other.key_sizes[a:b]), other.keys[ends[a] : ends[b]]
         place = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
         known = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
         for at, p in zip(row[known].tolist(), place[known].tolist()):
-            out[self.key_rows[self.key_starts[p] : self.key_starts[p] + self.key_sizes[p]], at] = True
+            out[at, self.key_rows[self.key_starts[p] : self.key_starts[p] + self.key_counts[p]]] = True
         return out
 
-    def dots(self, row: np.ndarray, place: np.ndarray, w: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-        """(queries, n) dot products."""
-        cold = np.flatnonzero(~hot)
-        counts = self.sizes[place[cold]]
-        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(self.starts[place[cold]], counts) + step
-        cell = self.rows[at] * n + np.repeat(row[cold], counts)
-        total = np.bincount(cell, self.weights[at] * np.repeat(w[cold], counts), len(self.ids) * n).astype(float).reshape(-1, n)  # whole numbers, if there are none
-        if hot.any():
-            other = np.zeros((self.matrix.shape[1], n))
-            np.add.at(other, (self.column[place[hot]], row[hot]), w[hot])
-            total += self.matrix @ other
-        return total
-
-    def rank(self, dot: np.ndarray, ids: np.ndarray, squares: np.ndarray, among: np.ndarray | None = None) -> None:
-        """Joins the vectors' scores to the best so far; ``among`` tells which pairs count."""
-        with np.errstate(all="ignore"):
-            root = np.sqrt(self.squares[:, None] * squares[None, :])
-            score = np.where(root == 0, 0.0, dot / root)
-            if self.gate:
-                score[dot <= 0] = 0.0
-            score = np.rint(score * 10.0**self.digits) / 10.0**self.digits
-        order = np.where(np.isnan(score), np.inf, score)  # as in SQL, above all
-        able = order >= self.least[:, None]
-        if not self.zeros:
-            able &= score != 0
+    def sums(self, row: np.ndarray, place: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """(n, queries): products added one by one."""
+        nq, out, a = len(self.own.ids), np.empty((n, len(self.own.ids))), 0
+        made = np.concatenate(([0], np.cumsum(np.bincount(row, self.sizes[place], n))))
+        edges = np.searchsorted(row, np.arange(n + 1))
+        while a < n:
+            b = min(n, max(a + 1, int(np.searchsorted(made, made[a] + AT_ONCE, "right")) - 1))
+            own = slice(edges[a], edges[b])
+            counts = self.sizes[place[own]]
+            at = np.repeat(self.starts[place[own]] - np.cumsum(counts) + counts, counts)
+            at += np.arange(len(at))
+            cell, products = np.repeat((row[own] - a) * nq, counts), np.repeat(w[own], counts)
+            cell += np.take(self.rows, at, mode="clip")
+            products *= np.take(self.weights, at, mode="clip")
+            out[a:b] = np.bincount(cell, products, (b - a) * nq).reshape(b - a, nq)
+            a = b
+        return out
+
+    def rank(self, other: _Vectors, part: slice, sums: np.ndarray, matrix: np.ndarray | None, among: np.ndarray | None) -> None:
+        """Keeps the scores of vectors that may be among the best; ``among`` tells which pairs count."""
+        n, (k, own) = len(sums), (self.k, self.own)
+        if matrix is not None:
+            # Cosines times the norms of the queries' scaled weights; so are those that they are compared with.
+            by = 1 / other.norms[part, None]
+            near = (matrix * by).astype(np.float32) @ self.single
+            near += np.multiply(sums, by, dtype=np.float32, casting="same_kind")
+            norms, slack = own.norms, (self.error + self.half) * own.norms
+        else:
+            near, slack = self.scores(sums, own.squares[None, :], other.squares[part, None], own.shift[None, :] + other.shift[part, None]), np.zeros(len(own.ids))
+            near = np.where(np.isnan(near), np.inf, near)  # as in SQL, above all
+            norms = 1.0
+        # With a gate, scores below 0 are 0.
+        least = (np.where(self.least <= 0, -np.inf, self.least) if self.gate else self.least) * norms
+        able = near >= (least - slack).astype(near.dtype)[None, :]
+        if not self.zeros and (least <= slack).any() and (matrix is None or self.positive and other.positive):
+            able &= near != 0
         if among is not None:
             able &= among
-        if order.shape[1] > 2 * self.k and able.sum() > 4 * self.k * len(self.ids):
-            order[~able] = -np.inf
-            able &= order >= -np.partition(-order, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-        q, at = np.nonzero(able)
+        if n > 2 * k and np.count_nonzero(able) > 4 * k * near.shape[1]:
+            near[~able] = -np.inf
+            kth = np.partition(near, n - k, axis=0)[n - k]
+            kth = np.where(kth <= slack, -np.inf, kth) if self.gate or not self.zeros else kth
+            able &= near >= (kth - 2 * slack).astype(near.dtype)[None, :]
+        at, q = np.divmod(np.flatnonzero(able), len(own.ids))
         if not len(q):
             return
-        q, found, score = np.concatenate((self.of, q)), np.concatenate((self.found, ids[at])), np.concatenate((self.score, score[q, at]))
+        dot = sums[at, q]
+        if matrix is not None and matrix.shape[1]:
+            for a in range(0, len(q), PAIRS):
+                dot[a : a + PAIRS] += np.einsum("ij,ij->i", matrix[at[a : a + PAIRS]], self.matrix[q[a : a + PAIRS]])
+        at = at + part.start
+        score = self.scores(dot, own.squares[q], other.squares[at], own.shift[q] + other.shift[at])
+        kept = np.where(np.isnan(score), np.inf, score) >= self.least[q]
+        if not self.zeros:
+            kept &= score != 0
+        self.waiting.append((q[kept], other.ids[at[kept]], score[kept]))
+        if sum(len(x[0]) for x in self.waiting) > 2 * len(own.ids):
+            self.merge()
+
+    def scores(self, dot: np.ndarray, a: np.ndarray, b: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            dot, root = np.ldexp(dot, shift), np.sqrt(a * b)
+            score = np.where(root == 0, 0.0, dot / root)
+            if self.gate:
+                score = np.where(dot <= 0, 0.0, score)
+            return np.rint(score * 10.0**self.digits) / 10.0**self.digits
+
+    def merge(self) -> None:
+        """Joins the scores that wait to the best so far."""
+        q, found, score = (np.concatenate(x) for x in zip((self.of, self.found, self.score), *self.waiting))
+        self.waiting = []
         best = np.where(np.isnan(score), np.inf, score)
         by = np.lexsort((found, -best, q))
         q, found, score, best = q[by], found[by], score[by], best[by]
-        first = np.searchsorted(q, np.arange(len(self.ids)))
-        kept = np.arange(len(q)) - first[q] < self.k
-        last = np.arange(len(q)) - first[q] == self.k - 1
-        self.least[q[last]] = best[last]
+        place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.own.ids)))[q]
+        self.least[q[place == self.k - 1]] = best[place == self.k - 1]
+        kept = place < self.k
         self.of, self.found, self.score = q[kept], found[kept], score[kept]
 
     def out(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.of]), pa.array(self.found), pa.array(self.score)], names=["q", "doc_id", "score"])
+        self.merge()
+        return pa.RecordBatch.from_arrays([pa.array(self.own.ids[self.of]), pa.array(self.found), pa.array(self.score)], names=["q", "doc_id", "score"])
+
+
+def chunked(rows: DataFrame, docs: int, words: int, prefix: str) -> DataFrame:
+    """A row for each chunk of packed vectors that lie in one partition: at most ``docs``, and ``words`` of all of them."""
+    lists = [c for c in ("words", "ws", "keys") if c in rows.columns]
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        columns = {"ids": whole.column("doc_id"), "squares": whole.column("square"), "sizes": whole.column("words").value_lengths()}
+        columns |= {"key_sizes": whole.column("keys").value_lengths()} if "keys" in lists else {}
+        columns |= {c: whole.column(c).flatten() for c in lists}
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns.values()], names=[prefix + c for c in columns])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, m = [], 0, 0
+        for batch in batches:
+            ends, a = np.cumsum(np.concatenate(([0], batch.column("words").value_lengths().to_numpy(zero_copy_only=False)))), 0
+            while a < batch.num_rows:
+                b = min(batch.num_rows, a + docs - n, int(np.searchsorted(ends, ends[a] + words - m, "right")) - 1)
+                if b <= a and held:  # full
+                    yield joined(held)
+                    held, n, m = [], 0, 0
+                    continue
+                b = max(b, a + 1)
+                held.append(batch.slice(a, b - a))
+                n, m, a = n + b - a, m + int(ends[b] - ends[a]), b
+        if held:
+            yield joined(held)
+
+    types = {"ids": "array<bigint>", "squares": "array<double>", "sizes": "array<int>"} | ({"key_sizes": "array<int>"} if "keys" in lists else {}) | {c: dict(rows.dtypes)[c] for c in lists}
+    return rows.mapInArrow(pack, ", ".join(f"{prefix}{c} {t}" for c, t in types.items()))
 
 
 def best(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, gate: bool = False, zeros: bool = False, block: int = BLOCK, part: int = PART) -> DataFrame:
@@ -185,39 +312,38 @@ def best(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, gate:
     ``gate``: products of 0 or less score 0. ``zeros``: scores of 0 count too, as every two vectors share their first place.
     If both have a column ``keys`` of numbers, only pairs that share one count.
 
-    A vector is sent to each block of queries and a query to each part of the vectors: what a task holds is a block, and
-    the k best of each of its queries.
+    Vectors are written once, in chunks where they lie, and blocks of queries once; each block then reads all chunks, in
+    some tasks. So what is written grows with the input alone, while what is read and multiplied grows with its square.
+    What a task holds is a block, a chunk and the k best of each of the block's queries.
     """
-    queries, vectors = cut(queries), cut(vectors)
-    total = lambda rows: rows.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    (n_q, q_words), (n_v, v_words) = total(queries), total(vectors)
-    blocks = max(1, ceil(n_q / block), ceil(q_words / WORDS))
-    parts = max(1, ceil(n_v / part), ceil(v_words / WORDS))
-    parts = max(parts, min(ceil(queries.sparkSession.sparkContext.defaultParallelism / blocks), ceil(n_v / 1024)))
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sides = [rows.withColumn("i", i).withColumn("j", j).withColumn("held", F.lit(held)) for rows, i, j, held in ((queries, own(blocks), every(parts), False), (vectors, every(blocks), own(parts), True))]
-    rows = sides[0].unionByName(sides[1]).withColumn("cell", F.col("i") * parts + F.col("j")).select("cell", "held", *queries.columns)
+    spark = queries.sparkSession
+    with few_at_once(spark):
+        queries, vectors = cut(queries), cut(chunked(vectors, part, WORDS, "v_"), "chunks", **ROW_GROUPS)
+    n_q, q_words = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    n_v, chunks = vectors.agg(F.coalesce(F.sum(F.size("v_ids")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, ceil(n_q / block), ceil(q_words / BLOCK_WORDS))
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    asked = cut(chunked(queries.repartitionById(blocks, own), n_q or 1, q_words or 1, "q_").withColumn("block", F.spark_partition_id()))
+    streams = max(1, min(chunks, max(ceil(3 * spark.sparkContext.defaultParallelism / blocks), ceil(n_v / STREAM))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, cell = None, None
+        cells: dict[int, _Cell] = {}
+        pa.default_memory_pool().release_unused()  # of earlier tasks
         for batch in batches:
-            key = batch.column("cell").to_numpy() * 2 + batch.column("held").to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else [0]
-            for a, b in zip(edges, edges[1:]):
-                if key[a] // 2 != at:
-                    if cell is not None and cell.ready:
-                        yield cell.out()
-                    at, cell = key[a] // 2, _Cell(k, digits, gate, zeros)
-                if not key[a] % 2:
-                    cell.batches.append(batch.slice(a, b - a))
-                elif cell.ready or cell.batches:
-                    if not cell.ready:
-                        cell.index()
-                    cell.meet(batch.slice(a, b - a))
-        if cell is not None and cell.ready:
+            for at in range(batch.num_rows):
+                i = batch.column("block")[at].as_py()
+                if i not in cells:
+                    cells[i] = _Cell(_Vectors.of(batch, at, "q_"), k, digits, gate, zeros)
+                cells[i].meet(_Vectors.of(batch, at, "v_"))
+        for cell in cells.values():
             yield cell.out()
 
-    found = rows.repartitionById(blocks * parts, "cell").sortWithinPartitions("cell", "held").mapInArrow(search, "q bigint, doc_id bigint, score double")
+    every = vectors.coalesce(streams).crossJoin(asked.repartitionById(blocks, F.col("block")).hint("shuffle_replicate_nl"))
+    # A task's block is one, and comes with its first chunk.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    every = every.select("block", *vectors.columns, *(F.when(first, F.col(c)).alias(c) for c in asked.columns if c != "block"))
+    with few_at_once(spark):
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "2")  # chunks
+        found = cut(every.mapInArrow(search, "q bigint, doc_id bigint, score double"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).drop("rn")

@@ -5,12 +5,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: See ``few_at_once``.
+FEW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 23), "spark.sql.parquet.columnarReaderBatchSize": "64"}
+
+
 def numbered_lines(spark: SparkSession, path: str, offset: int = 0, lines: int | None = None) -> DataFrame:
     """(doc_id, value): the lines of text files, numbered from 0 in order of file and line; of these
     ``lines`` from ``offset`` on (an offset of 1 skips a header).
@@ -102,14 +107,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(rows: DataFrame, name: str = "step") -> DataFrame:
+def cut(rows: DataFrame, name: str = "step", **options: str) -> DataFrame:
     """Writes a table between two steps into a shared folder and reads it back: it is made once
-    however often later steps use it, and survives lost executors."""
+    however often later steps use it, and survives lost executors. ``options`` are the writer's."""
     path = shared_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def few_at_once(spark: SparkSession) -> Iterator[None]:
+    """For jobs over long rows: what is started meanwhile reads a few of them at once, and sends Python some MB."""
+    before = {key: spark.conf.get(key) for key in FEW}
+    try:
+        for key, value in FEW.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def save(tables: dict[str, DataFrame], folder: str) -> None:
     """Writes the tables between two steps."""
     for name, rows in tables.items():

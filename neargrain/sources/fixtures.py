@@ -38,6 +38,14 @@ def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.filter("word <> ''").groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) where they are read; texts of one id, if there are such, are sent to be joined by a space."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").filter("doc_id is not null")
+    if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+
+
 def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array((F.ascii("lang") * 100).cast("int"), number + 10000)).alias("pos", "label"))
