@@ -20,7 +20,7 @@ from neargrain.sources import cut, few_at_once
 #: Bytes of text that share a vocabulary.
 BYTES = 1 << 24
 
-_LISTS = "part bigint, doc_id bigint, words array<int>, counts array<int>, word string, code int, n bigint"
+_LISTS = "part bigint, doc_id bigint, near int, words array<int>, counts array<int>, word string, code int, n bigint"
 
 
 def _ends(sizes: np.ndarray) -> pa.Array:
@@ -40,19 +40,19 @@ def _listed(part: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row, code = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
     sizes = np.bincount(row, minlength=len(words))
     some = sizes > 0
-    ids, ends = texts.column("doc_id").combine_chunks().filter(pa.array(some)), _ends(sizes[some])
+    (ids, near), ends = (texts.column(c).combine_chunks().filter(pa.array(some)) for c in ("doc_id", "near")), _ends(sizes[some])
     vocabulary = coded.dictionary.filter(pa.array(filled))
     none = lambda n, kind: pa.nulls(n, kind)
     lists, names = pa.list_(pa.int32()), [c.split()[0] for c in _LISTS.split(", ")]
     for n, columns in (
-        (len(ids), (ids, pa.ListArray.from_arrays(ends, pa.array(code)), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32())), none(len(ids), pa.string()), none(len(ids), pa.int32()), none(len(ids), pa.int64()))),
-        (n := len(vocabulary), (none(n, pa.int64()), none(n, lists), none(n, lists), vocabulary, pa.array(np.arange(n), pa.int32()), pa.array(np.bincount(code, minlength=n), pa.int64()))),
+        (len(ids), (ids, near, pa.ListArray.from_arrays(ends, pa.array(code)), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32())), none(len(ids), pa.string()), none(len(ids), pa.int32()), none(len(ids), pa.int64()))),
+        (n := len(vocabulary), (none(n, pa.int64()), none(n, pa.int32()), none(n, lists), none(n, lists), vocabulary, pa.array(np.arange(n), pa.int32()), pa.array(np.bincount(code, minlength=n), pa.int64()))),
     ):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), *columns], names=names)
 
 
 def lists(texts: DataFrame, size: int | None = None) -> DataFrame:
-    """Of texts (doc_id, text), whose ids differ, two kinds of rows: (part, doc_id, words, counts) with the numbers that
+    """Of texts (doc_id, text, near), whose ids differ, two kinds of rows: (part, doc_id, near, words, counts) with the numbers that
     words have in a part, and (part, word, code, n), the vocabularies, with the part's documents that have the word."""
     size = BYTES if size is None else size
 
@@ -67,17 +67,17 @@ def lists(texts: DataFrame, size: int | None = None) -> DataFrame:
         if held:
             yield from _listed(part, held)
 
-    lower = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.lower("text"), F.lit("")).alias("text"))
+    lower = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.lower("text"), F.lit("")).alias("text"), "near")
     with few_at_once(texts.sparkSession):
         return cut(lower.mapInArrow(parts, _LISTS), "lists")
 
 
 def vectors(listed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc_id, asked, square, words, ws) of ``lists``: packed by tf-idf, ln(tf + 1) * ln(N / df), and whether ``asked`` (doc_id)
+    """(doc_id, near, asked, square, words, ws) of ``lists``: packed by tf-idf, ln(tf + 1) * ln(N / df), and whether ``asked`` (doc_id)
     has the document. Of these the second factor is squared in ``ws``, others are without it: products are the same,
     and a vector's weights are few different numbers, which take little room. Squared norms are those of the weights.
     """
-    docs = listed.filter("word is null").select("part", "doc_id", "words", "counts")
+    docs = listed.filter("word is null").select("part", "doc_id", "near", "words", "counts")
     total = docs.count()
     per = Window.partitionBy("word")
     terms = listed.filter("word is not null").select("part", "word", "code", "n").repartition("word").withColumn("at", F.monotonically_increasing_id())
@@ -91,7 +91,7 @@ def vectors(listed: DataFrame, asked: DataFrame) -> DataFrame:
     key = lambda kind: (F.col("part") * 4 + kind).alias("key")
     rows = known.select(key(0), F.col("doc_id").alias("a"), F.coalesce("is", F.lit(0)).alias("b"), none("bigint").alias("df"), no_list.alias("words"), no_list.alias("counts"))
     rows = rows.unionAll(terms.select(key(1), within * places + place, "code", "df", no_list, no_list))
-    rows = rows.unionAll(docs.select(key(2), "doc_id", none("int"), none("bigint"), "words", "counts"))
+    rows = rows.unionAll(docs.select(key(2), "doc_id", "near", none("bigint"), "words", "counts"))
     word_type = pa.int32() if kind == "int" else pa.int64()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +119,9 @@ def vectors(listed: DataFrame, asked: DataFrame) -> DataFrame:
                 square = np.bincount(row, (w * rarity) ** 2, b - a)
                 ws = np.where(is_asked[row], w * rarity * rarity, w)
                 ends = _ends(sizes)
-                columns = [own.column("a"), pa.array(is_asked), pa.array(square), pa.ListArray.from_arrays(ends, pa.array(numbers[code], word_type)), pa.ListArray.from_arrays(ends, pa.array(ws))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "asked", "square", "words", "ws"])
+                columns = [own.column("a"), own.column("b"), pa.array(is_asked), pa.array(square), pa.ListArray.from_arrays(ends, pa.array(numbers[code], word_type)), pa.ListArray.from_arrays(ends, pa.array(ws))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "near", "asked", "square", "words", "ws"])
 
-    sent = rows.repartition(F.shiftright("key", 2)).sortWithinPartitions("key").mapInArrow(weigh, f"doc_id bigint, asked boolean, square double, words array<{kind}>, ws array<double>")
+    sent = rows.repartition(F.shiftright("key", 2)).sortWithinPartitions("key").mapInArrow(weigh, f"doc_id bigint, near int, asked boolean, square double, words array<{kind}>, ws array<double>")
     with few_at_once(listed.sparkSession):
         return cut(sent, "vectors")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neargrain.operators.blocks import packed_vectors
+from neargrain.operators.blocks import NEAR, packed_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,13 @@ def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text) where they are read; texts of one id, if there are such, are sent to be joined by a space."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").filter("doc_id is not null")
+    """(doc_id, text, near) where they are read; texts of one id, if there are such, are sent to be joined by a space.
+    ``near``: a number for the language, whose texts share most words."""
+    near = F.pmod(F.coalesce(F.crc32("lang"), F.lit(0)), F.lit(NEAR)).cast("int").alias("near")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", near).filter("doc_id is not null")
     if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return rows
-    return rows.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    return rows.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"), F.min("near").alias("near"))
 
 
 def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
